@@ -1,0 +1,15 @@
+"""Job tables: request defaults, config rules, stats, listing, status
+(S3, F7, A2, A3, A6, A7, P12, T4/T3 batch twins)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def job_stats(results: DataFrame, by: str = "job_id") -> DataFrame:
+    """A2: per job pages_crawled (ok), pages_error, results_count (ok rows kept)."""
+    ok = F.col("error") == ""
+    return results.groupBy(by).agg(
+        F.count_if(ok).alias("pages_crawled"), F.count_if(~ok).alias("pages_error"),
+        F.count_if(ok).alias("results_count"))

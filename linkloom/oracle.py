@@ -1,0 +1,219 @@
+"""DuckDB twins of the catalogue: for each query name, one SQL statement over
+the driver's tables (pre-registered views). Written independently of the
+Spark code, from the same definitions; regex text is shared so that both
+engines apply the same patterns (RE2-compatible: no back-references)."""
+
+from __future__ import annotations
+
+from .functions.html import BLOCK_TAG_RE, CLEANED_TAGS, EXCLUDED_TAGS, TITLE_RE
+from .functions.urls import AUTHORITY_RE, DEFAULT_AVOID_RE, ORIGIN_RE, PATH_RE, SCHEME_RE
+
+SQL: dict[str, str] = {}
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ── SQL building blocks ─────────────────────────────────────────────────────
+
+def collapse(x):
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def strip_tags(x):
+    return collapse(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
+
+
+def drop_el(x, tags):
+    for t in tags:
+        x = f"regexp_replace({x}, {q('(?is)<' + t + chr(92) + 'b[^>]*>.*?</' + t + chr(92) + 's*>')}, ' ', 'g')"
+    return x
+
+
+def clean(x, excluded=CLEANED_TAGS + EXCLUDED_TAGS):
+    return drop_el(f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')", excluded)
+
+
+def auth(x):
+    return f"lower(regexp_extract({x}, {q(AUTHORITY_RE)}, 1))"
+
+
+def resolve(h, b):
+    origin = f"regexp_extract({b}, {q(ORIGIN_RE)}, 0)"
+    scheme = f"regexp_extract({b}, {q(SCHEME_RE)}, 0)"
+    d = f"regexp_replace(regexp_extract({b}, {q(PATH_RE)}, 1), '[^/]*$', '')"
+    d = f"(CASE WHEN {d} = '' THEN '/' ELSE {d} END)"
+    return (f"(CASE WHEN regexp_matches({h}, {q(SCHEME_RE)}) THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN {scheme} || {h} "
+            f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
+            f"WHEN starts_with({h}, '#') THEN {h} "
+            f"ELSE {origin} || {d} || {h} END)")
+
+
+def fmt2(x):
+    return f"printf('%.2f', {x})"
+
+
+def label(e):
+    pairs = [("403", "forbidden"), ("404", "not found"), ("429", "rate limited"), ("500", "server error"),
+             ("503", "service unavailable"), ("timeout", "timed out"), ("fetch_failed", "connection failed")]
+    whens = " ".join(f"WHEN contains(lower({e}), '{c}') THEN '{lab}'" for c, lab in pairs)
+    return f"(CASE {whens} ELSE {e} END)"
+
+
+HREF_SQL = r'(?i)<a\b[^>]*?\bhref="([^"]*)"'
+
+RESULTS_V = """results_v AS (
+  SELECT event_id AS seq, user_id AS job_id,
+    'http://h' || CAST(user_id % 7 AS VARCHAR) || '.example.com/p/' || CAST(event_id % 499 AS VARCHAR) AS url,
+    CAST(event_id % 4 AS INTEGER) AS depth,
+    ([0.0, 0.2, 0.4, 0.5, 0.8, 0.9, 1.0]::DOUBLE[])[event_id % 7 + 1] AS score,
+    CASE WHEN event_type = 'error'
+      THEN (['403', 'fetch_failed:404', 'timeout:429', 'unknown_error:500', '503 x', 'Timeout', 'net::ERR'])[event_id % 7 + 1]
+      ELSE '' END AS error,
+    CASE WHEN event_id % 3 = 0 THEN 's' ELSE '' END AS summary,
+    coalesce(props, '') AS text,
+    CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Page ' || CAST(event_id % 499 AS VARCHAR) END AS title,
+    CAST(event_id % 5 AS BIGINT) AS links_count,
+    CASE WHEN event_type = 'error' THEN 0 ELSE 200 END AS status_code,
+    CASE WHEN event_id % 11 = 0 THEN props WHEN event_id % 11 = 1 THEN 'raw: ' || props ELSE '' END AS extracted_content,
+    ts
+  FROM events)"""
+
+DEDUPED = """deduped AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM results_v WHERE error = '') WHERE rn = 1)"""
+
+
+def top_sql(n, order, min_score=0.0):
+    where = f"WHERE score >= {min_score}" if min_score > 0 else ""
+    return f"""WITH {RESULTS_V}, {DEDUPED}
+SELECT row_number() OVER (ORDER BY {order}) AS rank, seq, url, score, depth
+FROM deduped {where} ORDER BY {order} LIMIT {n}"""
+
+
+# ── pages ───────────────────────────────────────────────────────────────────
+
+CLEAN_TEXT = strip_tags(clean("html"))
+
+SQL["page_title"] = f"SELECT page_id, {collapse(f'regexp_extract(html, {q(TITLE_RE)}, 1)')} AS title FROM pages"
+
+SQL["page_text"] = f"""SELECT page_id, substring(t, 1, 10000) AS text, CAST(length(t) AS BIGINT) AS full_len
+FROM (SELECT page_id, {CLEAN_TEXT} AS t FROM pages)"""
+
+LINKS = f"""h AS (SELECT page_id, url, regexp_extract_all(html, {q(HREF_SQL)}, 1) AS hs FROM pages),
+u AS (SELECT page_id, url, unnest(hs) AS href, unnest(range(len(hs))) AS i FROM h),
+r AS (SELECT page_id, url, href, i, {resolve('href', 'url')} AS dst_url FROM u WHERE href <> ''),
+links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ({auth('dst_url')} <> {auth('url')}), i) - 1 AS BIGINT) AS pos,
+  href, dst_url, {auth('dst_url')} = {auth('url')} AS is_internal FROM r)"""
+
+SQL["page_links"] = f"WITH {LINKS} SELECT page_id, pos, href, dst_url, is_internal FROM links"
+
+SQL["links_resolved"] = f"""WITH {LINKS}
+SELECT page_id, count(*) AS links_count, count(*) FILTER (WHERE is_internal) AS internal_count,
+  arg_min(dst_url, pos) AS first_link FROM links GROUP BY page_id"""
+
+SQL["page_rows"] = f"""WITH {LINKS}, lc AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id)
+SELECT p.page_id, p.url, {collapse(f'regexp_extract(p.html, {q(TITLE_RE)}, 1)')} AS title,
+  substring({strip_tags(clean('p.html'))}, 1, 10000) AS text,
+  CAST(coalesce(lc.n, 0) AS BIGINT) AS links_count, {auth('p.url')} AS host
+FROM pages p LEFT JOIN lc ON lc.page_id = p.page_id"""
+
+SQL["doc_snippets"] = """SELECT doc_id,
+  replace(substring(coalesce(text, ''), 1, 500), chr(10), ' ') AS s500,
+  replace(substring(coalesce(text, ''), 1, 200), chr(10), ' ') AS s200,
+  replace(substring(coalesce(text, ''), 1, 120), chr(10), ' ') AS s120,
+  CAST(length(substring(coalesce(text, ''), 1, 10000)) AS BIGINT) AS kept_len
+FROM documents"""
+
+# ── results ─────────────────────────────────────────────────────────────────
+
+SQL["error_labels"] = f"WITH {RESULTS_V} SELECT seq, error, {label('error')} AS label FROM results_v WHERE error <> ''"
+
+SQL["error_breakdown"] = f"""WITH {RESULTS_V}
+SELECT {label('error')} AS label, count(*) AS n FROM results_v WHERE error <> '' GROUP BY 1"""
+
+SQL["page_error_codes"] = f"""WITH {RESULTS_V}, e AS (
+  SELECT seq, CASE WHEN error = '' THEN ''
+    ELSE (CASE seq % 3 WHEN 0 THEN 'unknown_error' WHEN 1 THEN 'net::ERR_FAILED' ELSE 'Timeout' END)
+      || (CASE WHEN seq % 2 = 0 AND seq % 600 <> 0 THEN ':' || CAST(seq % 600 AS VARCHAR) ELSE '' END) END AS page_error
+  FROM results_v)
+SELECT seq, page_error, {label('page_error')} AS label FROM e"""
+
+PAD3 = "CASE WHEN length(CAST(n AS VARCHAR)) < 3 THEN lpad(CAST(n AS VARCHAR), 3, ' ') ELSE CAST(n AS VARCHAR) END"
+
+SQL["progress_lines"] = f"""WITH {RESULTS_V}, nn AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM results_v)
+SELECT job_id, seq, n,
+  (CASE WHEN error <> '' THEN '✗' ELSE '✓' END) || ' [' || ({PAD3}) || '] depth=' || CAST(depth AS VARCHAR)
+  || ' score=' || {fmt2('score')} || '  ' || substring(url, 1, 80)
+  || (CASE WHEN error <> '' THEN '  (' || {label('error')} || ')' ELSE '' END) AS line
+FROM nn"""
+
+SQL["top_results_score"] = top_sql(10, "score DESC, seq")
+SQL["top_results_depth"] = top_sql(25, "depth, seq")
+SQL["min_score_results"] = top_sql(50, "score DESC, seq", 0.8)
+
+SQL["top_results_per_job"] = f"""WITH {RESULTS_V}, {DEDUPED}
+SELECT * FROM (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, seq) AS rank, seq, url, score
+  FROM deduped) WHERE rank <= 3"""
+
+SQL["dedupe_first"] = f"WITH {RESULTS_V}, {DEDUPED} SELECT url, seq, job_id, score, depth FROM deduped"
+
+SQL["pages_done"] = f"""WITH {RESULTS_V}
+SELECT job_id, seq, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS pages_done FROM results_v"""
+
+SQL["paginate_results"] = f"""WITH {RESULTS_V}, jr AS (
+  SELECT job_id, seq, url, depth, substring(text, 1, 500) AS text_snippet, links_count, score,
+    row_number() OVER (PARTITION BY job_id ORDER BY seq) AS position,
+    count(*) OVER (PARTITION BY job_id) AS total
+  FROM results_v WHERE error = '')
+SELECT job_id, position, seq, url, depth, text_snippet, links_count, score, total,
+  CAST(2 AS BIGINT) AS page, CAST(5 AS BIGINT) AS per_page
+FROM jr WHERE position > 5 AND position <= 10"""
+
+SQL["needs_summary_rows"] = f"""WITH {RESULTS_V}, {DEDUPED}, t AS (
+  SELECT row_number() OVER (ORDER BY score DESC, seq) AS rank, * FROM deduped ORDER BY score DESC, seq LIMIT 20)
+SELECT rank, seq, url FROM t WHERE summary = '' AND text <> ''"""
+
+SQL["result_view"] = f"""WITH {RESULTS_V}, {DEDUPED}, t AS (
+  SELECT row_number() OVER (ORDER BY score DESC, seq) AS rank, * FROM deduped ORDER BY score DESC, seq LIMIT 10)
+SELECT rank, url, {fmt2('score')} AS score_text, depth, links_count,
+  coalesce(nullif(summary, ''), replace(substring(text, 1, 120), chr(10), ' ')) AS line FROM t"""
+
+SQL["results_jsonl_rows"] = f"""WITH {RESULTS_V}
+SELECT seq, url, depth, score, title, summary, error, links_count, substring(text, 1, 500) AS text_snippet,
+  status_code, extracted_content FROM results_v"""
+
+SQL["export_csv_rows"] = f"""WITH {RESULTS_V}
+SELECT seq, url, depth, score, links_count, title, summary,
+  replace(substring(text, 1, 500), chr(10), ' ') AS text_snippet FROM results_v WHERE error = ''"""
+
+SQL["export_md_rows"] = f"""WITH {RESULTS_V}, ok AS (
+  SELECT *, row_number() OVER (ORDER BY seq) AS rank FROM results_v WHERE error = '')
+SELECT seq, rank, '## ' || CAST(rank AS VARCHAR) || '. ' || coalesce(nullif(title, ''), url)
+  || chr(10) || chr(10) || '- **URL:** ' || url
+  || chr(10) || '- **Score:** ' || {fmt2('score')}
+  || chr(10) || '- **Depth:** ' || CAST(depth AS VARCHAR)
+  || chr(10) || '- **Links:** ' || CAST(links_count AS VARCHAR) || chr(10) || chr(10)
+  || coalesce(coalesce(nullif(summary, ''), nullif(substring(text, 1, 500), '')) || chr(10) || chr(10), '')
+  || '---' || chr(10) || chr(10) AS md
+FROM ok"""
+
+SQL["crawl_summary"] = f"""WITH {RESULTS_V}
+SELECT count(*) FILTER (WHERE error = '') AS good, count(*) FILTER (WHERE error <> '') AS errors, count(*) AS total
+FROM results_v"""
+
+SQL["job_stats"] = f"""WITH {RESULTS_V}
+SELECT job_id, count(*) FILTER (WHERE error = '') AS pages_crawled, count(*) FILTER (WHERE error <> '') AS pages_error,
+  count(*) FILTER (WHERE error = '') AS results_count FROM results_v GROUP BY job_id"""
+
+SQL["page_top_focus"] = f"""WITH {LINKS}, lc AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id),
+rows AS (SELECT p.page_id, p.url, {collapse(f'regexp_extract(p.html, {q(TITLE_RE)}, 1)')} AS title,
+  substring({strip_tags(clean('p.html'))}, 1, 10000) AS text, CAST(coalesce(lc.n, 0) AS BIGINT) AS links_count,
+  CASE WHEN contains(p.url, '/en/') THEN 0.8 ELSE 0.4 END::DOUBLE AS score
+  FROM pages p LEFT JOIN lc ON lc.page_id = p.page_id)
+SELECT row_number() OVER (ORDER BY score DESC, page_id) AS rank, page_id, url, title, score, links_count,
+  substring(text, 1, 120) AS snippet FROM rows ORDER BY score DESC, page_id LIMIT 10"""
