@@ -185,3 +185,47 @@ def page_top_focus(spark, d):
     from pyspark.sql import Window
     return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "page_id")).cast("long").alias("rank"),
                       "page_id", "url", "title", "score", "links_count", F.substring("text", 1, 120).alias("snippet"))
+
+
+# ── relevance (B1-B4) ───────────────────────────────────────────────────────
+
+ORACLE_GOAL = "the of thand reheed thention"
+
+
+@query
+def page_blocks(spark, d):
+    from .operators.relevance import block_rows
+    return block_rows(table(spark, d, "pages")).select("page_id", "pos", "text")
+
+
+@query
+def bm25_blocks(spark, d):
+    from .operators.relevance import bm25_block_rows
+    return bm25_block_rows(table(spark, d, "pages"), ORACLE_GOAL)
+
+
+@query
+def bm25_fit_text(spark, d):
+    from .operators.relevance import bm25_filter
+    return bm25_filter(table(spark, d, "pages"), ORACLE_GOAL).select("page_id", "fit_text", "text")
+
+
+@query
+def pruned_blocks(spark, d):
+    from .functions.html import CLEANED_TAGS
+    from .operators.relevance import prune_block_rows
+    return prune_block_rows(table(spark, d, "pages"), excluded=CLEANED_TAGS)
+
+
+@query
+def pruned_text(spark, d):
+    from .functions.html import CLEANED_TAGS
+    from .operators.relevance import pruning_filter
+    return pruning_filter(table(spark, d, "pages"), excluded=CLEANED_TAGS).select(
+        "page_id", "fit_text", "text", "kept_blocks", "blocks")
+
+
+@query
+def content_none_text(spark, d):
+    from .operators.relevance import content_text
+    return content_text(table(spark, d, "pages"), "none").select("page_id", "text")

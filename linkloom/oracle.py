@@ -52,6 +52,11 @@ def resolve(h, b):
             f"ELSE {origin} || {d} || {h} END)")
 
 
+def r4(x):
+    """Spark's round(double, 4): HALF_UP on the shortest decimal form."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), 4) AS DOUBLE)"
+
+
 def fmt2(x):
     return f"printf('%.2f', {x})"
 
@@ -217,3 +222,60 @@ rows AS (SELECT p.page_id, p.url, {collapse(f'regexp_extract(p.html, {q(TITLE_RE
   FROM pages p LEFT JOIN lc ON lc.page_id = p.page_id)
 SELECT row_number() OVER (ORDER BY score DESC, page_id) AS rank, page_id, url, title, score, links_count,
   substring(text, 1, 120) AS snippet FROM rows ORDER BY score DESC, page_id LIMIT 10"""
+
+# ── relevance ───────────────────────────────────────────────────────────────
+
+GOAL_TERMS = "['the', 'of', 'thand', 'reheed', 'thention']"
+
+
+def blocks_cte(excluded=CLEANED_TAGS + EXCLUDED_TAGS):
+    marked = f"regexp_replace({clean('html', excluded)}, {q(BLOCK_TAG_RE)}, chr(1), 'g')"
+    return f"""pb AS (SELECT page_id, string_split({marked}, chr(1)) AS pieces FROM pages),
+rawb AS (SELECT page_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM pb),
+bl AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS pos, piece, t AS text
+  FROM (SELECT page_id, i, piece, {strip_tags('piece')} AS t FROM rawb) WHERE t <> '')"""
+
+
+BM25 = f"""{blocks_cte()},
+tk AS (SELECT page_id, pos, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS toks FROM bl),
+st AS (SELECT page_id, count(*) AS nb, avg(len(toks)) AS avgdl FROM tk GROUP BY page_id),
+qt AS (SELECT unnest({GOAL_TERMS}) AS term),
+tf AS (SELECT tk.page_id, tk.pos, qt.term, len(list_filter(tk.toks, lambda x: x = qt.term)) AS tf, len(tk.toks) AS dl
+  FROM tk CROSS JOIN qt),
+dfq AS (SELECT page_id, term, count(*) FILTER (WHERE tf > 0) AS n FROM tf GROUP BY page_id, term),
+sc AS (SELECT tf.page_id, tf.pos,
+  coalesce(sum(CASE WHEN tf.tf > 0 THEN ln((st.nb - dfq.n + 0.5) / (dfq.n + 0.5) + 1) * tf.tf * 2.5
+    / (tf.tf + 1.5 * (0.25 + 0.75 * coalesce(tf.dl / nullif(st.avgdl, 0), 0))) ELSE 0 END), 0) AS s
+  FROM tf JOIN st USING (page_id) JOIN dfq USING (page_id, term) GROUP BY tf.page_id, tf.pos),
+scored AS (SELECT tk.page_id, tk.pos, tk.text, {r4('coalesce(sc.s, 0)')} AS score FROM tk LEFT JOIN sc USING (page_id, pos))"""
+
+SQL["page_blocks"] = f"WITH {blocks_cte()} SELECT page_id, pos, text FROM bl"
+
+SQL["bm25_blocks"] = f"WITH {BM25} SELECT page_id, pos, text, score, score >= 1.2 AS kept FROM scored"
+
+SQL["bm25_fit_text"] = f"""WITH {BM25}, fit AS (
+  SELECT page_id, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE score >= 1.2), '') AS fit_text
+  FROM scored GROUP BY page_id)
+SELECT p.page_id, coalesce(fit.fit_text, '') AS fit_text,
+  substring(coalesce(nullif(fit.fit_text, ''), {strip_tags(clean('p.html'))}), 1, 10000) AS text
+FROM pages p LEFT JOIN fit ON fit.page_id = p.page_id"""
+
+PRUNE = f"""{blocks_cte(CLEANED_TAGS)},
+an AS (SELECT page_id, pos, piece, text, regexp_extract_all(piece, {q('(?is)<a' + chr(92) + 'b[^>]*>(.*?)</a' + chr(92) + 's*>')}, 1) AS anchors FROM bl),
+ps AS (SELECT page_id, pos, text,
+  0.5 * coalesce(length(text) / nullif(length(piece), 0), 0)
+  + 0.4 * (1 - coalesce(coalesce(list_sum(list_transform(anchors, lambda a: length({strip_tags('a')}))), 0) / nullif(length(text), 0), 0))
+  + 0.1 * least(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) / 10.0, 1.0) AS s FROM an)"""
+
+SQL["pruned_blocks"] = f"WITH {PRUNE} SELECT page_id, pos, {r4('s')} AS score, {r4('s')} >= 0.48 AS kept FROM ps"
+
+SQL["pruned_text"] = f"""WITH {PRUNE}, agg AS (
+  SELECT page_id, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE {r4('s')} >= 0.48), '') AS fit_text,
+    count(*) FILTER (WHERE {r4('s')} >= 0.48) AS kept_blocks, count(*) AS blocks,
+    string_agg(text, ' ' ORDER BY pos) AS whole FROM ps GROUP BY page_id)
+SELECT p.page_id, coalesce(agg.fit_text, '') AS fit_text,
+  substring(coalesce(nullif(agg.fit_text, ''), nullif(agg.whole, ''), ''), 1, 10000) AS text,
+  coalesce(agg.kept_blocks, 0) AS kept_blocks, coalesce(agg.blocks, 0) AS blocks
+FROM pages p LEFT JOIN agg ON agg.page_id = p.page_id"""
+
+SQL["content_none_text"] = f"SELECT page_id, substring({strip_tags(clean('html'))}, 1, 10000) AS text FROM pages"
