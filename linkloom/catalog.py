@@ -229,3 +229,134 @@ def pruned_text(spark, d):
 def content_none_text(spark, d):
     from .operators.relevance import content_text
     return content_text(table(spark, d, "pages"), "none").select("page_id", "text")
+
+
+# ── crawl (J1-J8, J10, F3, F6, S2, T6) over the derived link graph ──────────
+
+def crawl_inputs(spark, d, prefer_external=False, focus=("/en/",), avoid=("/de/",)):
+    """Seeds: the first tenth of the stored pages plus page floor((N-1)/3)
+    (FIXTURES §3), one job; plan: focus /en/, avoid /de/."""
+    from .sources.derived import link_graph, page_count
+    n = page_count(spark, d)
+    pages = table(spark, d, "pages")
+    seeds = pages.filter((F.col("page_id") < (n + 9) // 10) | (F.col("page_id") == (n - 1) // 3)).select(
+        F.lit("job-a").alias("job_id"), F.col("page_id").cast("int").alias("seed_pos"), "url")
+    plans = spark.range(1).select(
+        F.lit("job-a").alias("job_id"), F.array(*[F.lit(x) for x in focus]).alias("focus_patterns"),
+        F.array(*[F.lit(x) for x in avoid]).alias("avoid_patterns"), F.lit(prefer_external).alias("prefer_external"))
+    return seeds, link_graph(spark, d), pages.select("url"), plans
+
+
+def _crawl_rows(df):
+    from .operators.crawl import path_text
+    return df.select("job_id", "seed_pos", "url", "depth", path_text(F.col("path")).alias("path"), "ok", "error",
+                     "score", "pages_done", "budget_hit", "status")
+
+
+def _run_crawl(spark, d, prefer_external=False, **cfg):
+    from .operators.crawl import CrawlConfig, crawl
+    seeds, links, store, plans = crawl_inputs(spark, d, prefer_external)
+    return _crawl_rows(crawl(seeds, links, store, plans, CrawlConfig(**cfg)))
+
+
+@query
+def crawl_bfs(spark, d):
+    return _run_crawl(spark, d, max_depth=3)
+
+
+@query
+def crawl_external_first(spark, d):
+    return _run_crawl(spark, d, prefer_external=True, max_depth=3)
+
+
+@query
+def crawl_dfs(spark, d):
+    return _run_crawl(spark, d, strategy="dfs", max_depth=3)
+
+
+@query
+def crawl_internal_only(spark, d):
+    return _run_crawl(spark, d, max_depth=3, include_external=False)
+
+
+@query
+def crawl_budget(spark, d):
+    return _run_crawl(spark, d, max_depth=3, max_pages=20)
+
+
+@query
+def crawl_score_threshold(spark, d):
+    return _run_crawl(spark, d, max_depth=3, max_pages=30, score_threshold=0.5)
+
+
+@query
+def crawl_bestfirst(spark, d):
+    from .operators.crawl import CrawlConfig, crawl, path_text
+    seeds, links, store, plans = crawl_inputs(spark, d)
+    out = crawl(seeds, links, store, plans, CrawlConfig(strategy="bestfirst", max_depth=3, batch=10))
+    return out.select("job_id", "seed_pos", "url", "depth", path_text(F.col("path")).alias("path"), "ok", "score",
+                      "round", "pages_done")
+
+
+@query
+def page_events(spark, d):
+    from .operators.crawl import CrawlConfig, crawl
+    from .operators.crawl import page_events as pe
+    seeds, links, store, plans = crawl_inputs(spark, d)
+    return pe(crawl(seeds, links, store, plans, CrawlConfig(max_depth=3, max_pages=40, score_threshold=0.5)))
+
+
+@query
+def frontier_hop(spark, d):
+    """J1 with every stored page as a depth-0 frontier of its own run."""
+    from .operators.crawl import expand_frontier
+    from .sources.derived import link_graph
+    pages = table(spark, d, "pages")
+    frontier = pages.select(F.lit("all").alias("job_id"), F.col("page_id").cast("int").alias("seed_pos"), "url",
+                            F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
+    hop = expand_frontier(frontier, link_graph(spark, d), include_external=True)
+    return hop.select("seed_pos", "url", "depth", F.col("path")[0].alias("pos"))
+
+
+@query
+def fetch_from_store(spark, d):
+    """S2 over every link target of the graph."""
+    from .operators.crawl import fetch
+    from .sources.derived import link_graph
+    pages = table(spark, d, "pages")
+    urls = link_graph(spark, d).select("src_id", "pos", F.col("dst_url").alias("url"))
+    got = fetch(urls, pages.select("url", "page_id"))
+    return got.select("src_id", "pos", "url", F.col("page_id").alias("dst_page_id"), "error")
+
+
+@query
+def cache_misses(spark, d):
+    """J8 (enabled): link targets not in the cache (the https pages of the store)."""
+    from .operators.crawl import cached_fetch
+    from .sources.derived import link_graph
+    pages = table(spark, d, "pages")
+    cache = pages.filter(F.col("url").startswith("https://")).select("url")
+    urls = link_graph(spark, d).select("src_id", "pos", F.col("dst_url").alias("url"))
+    hits, misses = cached_fetch(urls, cache, "enabled")
+    return misses.select("src_id", "pos", "url")
+
+
+@query
+def fetch_schedule(spark, d):
+    """J10 over every resolved page link (score: focus /en/)."""
+    from .functions.urls import focus_score
+    from .operators.crawl import fetch_schedule as fs
+    links = P.page_links(table(spark, d, "pages"))
+    urls = links.select(F.col("dst_url").alias("url"), (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
+                        focus_score(F.col("dst_url"), F.array(F.lit("/en/"))).alias("score"))
+    return fs(urls, 1.0, 3.0).select("url", "seq", "host", "host_rank", "planned_s", "earliest_s", "latest_s")
+
+
+@query
+def seed_hosts(spark, d):
+    """A6 over job requests: distinct seed authorities per job."""
+    from .operators.crawl import resolve_seeds
+    from .operators.crawl import seed_hosts as sh
+    from .sources.derived import job_requests_v
+    seeds = resolve_seeds(job_requests_v(spark, d))
+    return sh(seeds).select("job_id", F.array_join("seed_hosts", ",").alias("hosts"))

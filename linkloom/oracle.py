@@ -279,3 +279,84 @@ SELECT p.page_id, coalesce(agg.fit_text, '') AS fit_text,
 FROM pages p LEFT JOIN agg ON agg.page_id = p.page_id"""
 
 SQL["content_none_text"] = f"SELECT page_id, substring({strip_tags(clean('html'))}, 1, 10000) AS text FROM pages"
+
+# ── crawl ───────────────────────────────────────────────────────────────────
+
+LINK_GRAPH = f"""np AS (SELECT count(*) AS n FROM pages),
+lg0 AS (SELECT p.page_id AS src_id, p.url AS src_url, j, (p.page_id * 3 + j * j) % (np.n + 5) AS k
+  FROM pages p, np, range(1, 5) t(j)),
+lg1 AS (SELECT lg0.*, coalesce(d.url, 'http://missing.example.org/' || CAST(lg0.k AS VARCHAR)) AS base
+  FROM lg0 LEFT JOIN pages d ON d.page_id = lg0.k),
+lg AS (SELECT src_id, src_url, CASE WHEN j = 4 AND k % 5 = 0 THEN base || '/login' ELSE base END AS dst_url,
+  CAST(j - 1 AS INTEGER) AS pos FROM lg1),
+lgi AS (SELECT *, {auth('dst_url')} = {auth('src_url')} AS is_internal FROM lg)"""
+
+SEEDS = """seeds AS (SELECT 'job-a' AS job_id, CAST(page_id AS INTEGER) AS seed_pos, url FROM pages, np
+  WHERE page_id < (np.n + 9) // 10 OR page_id = (np.n - 1) // 3)"""
+
+
+def walk_sql(include_external=True):
+    ext = "" if include_external else "AND l.is_internal"
+    return f"""walks(seed_pos, url, depth, path) AS (
+  SELECT seed_pos, url, 0, []::INTEGER[] FROM seeds
+  UNION ALL
+  SELECT w.seed_pos, l.dst_url, w.depth + 1, list_append(w.path, l.pos)
+  FROM walks w JOIN lgi l ON l.src_url = w.url
+  WHERE w.depth < 3 AND w.url IN (SELECT url FROM pages)
+    AND NOT regexp_matches(l.dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(l.dst_url, '/de/') {ext}),
+best AS (SELECT seed_pos, url, depth, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed_pos, url ORDER BY depth, path) AS rk FROM walks) WHERE rk = 1)"""
+
+
+def score_sql(prefer_external):
+    if prefer_external:
+        return f"""(CASE WHEN {auth('b.url')} IN (SELECT {auth('url')} FROM seeds)
+      THEN (CASE WHEN contains(b.url, '/en/') THEN 0.5 ELSE 0.2 END)
+      ELSE (CASE WHEN contains(b.url, '/en/') THEN 1.0 ELSE 0.9 END) END)::DOUBLE"""
+    return "(CASE WHEN contains(b.url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE"
+
+
+def crawl_sql(order="seed_pos, depth, path", prefer_external=False, include_external=True, max_pages=500,
+              threshold=0.0):
+    emitted = f"score >= {threshold}" if threshold > 0 else "true"
+    return f"""WITH RECURSIVE {LINK_GRAPH}, {SEEDS}, {walk_sql(include_external)},
+rows AS (SELECT 'job-a' AS job_id, b.seed_pos, b.url, b.depth, b.path, b.url IN (SELECT url FROM pages) AS ok,
+  {score_sql(prefer_external)} AS score FROM best b),
+capped AS (SELECT * FROM (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY job_id, seed_pos ORDER BY {order}
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(ok AS INTEGER) AS ok_before FROM rows) WHERE ok_before < {max_pages}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {order}) AS pages_done, {emitted} AS emitted FROM capped),
+stops AS (SELECT job_id, min(pages_done) AS stop FROM numbered WHERE emitted AND pages_done >= {max_pages} GROUP BY job_id)
+SELECT n.job_id, n.seed_pos, n.url, n.depth, array_to_string(n.path, '.') AS path, n.ok,
+  CASE WHEN n.ok THEN '' ELSE 'fetch_failed' END AS error, n.score, n.pages_done,
+  s.stop IS NOT NULL AS budget_hit, CASE WHEN s.stop IS NOT NULL THEN 'cancelled' ELSE 'completed' END AS status
+FROM numbered n LEFT JOIN stops s ON s.job_id = n.job_id
+WHERE n.emitted AND (s.stop IS NULL OR n.pages_done <= s.stop)"""
+
+
+SQL["crawl_bfs"] = crawl_sql()
+SQL["crawl_external_first"] = crawl_sql(prefer_external=True)
+SQL["crawl_dfs"] = crawl_sql(order="seed_pos, path")
+SQL["crawl_internal_only"] = crawl_sql(include_external=False)
+SQL["crawl_budget"] = crawl_sql(max_pages=20)
+SQL["crawl_score_threshold"] = crawl_sql(max_pages=30, threshold=0.5)
+SQL["page_events"] = f"""SELECT job_id, 'page' AS event, url, depth, pages_done FROM ({crawl_sql(max_pages=40, threshold=0.5)})"""
+
+SQL["frontier_hop"] = f"""WITH {LINK_GRAPH}
+SELECT CAST(src_id AS INTEGER) AS seed_pos, dst_url AS url, 1 AS depth, pos FROM lgi
+WHERE src_url IN (SELECT url FROM pages) AND NOT regexp_matches(dst_url, {q(DEFAULT_AVOID_RE)})"""
+
+SQL["fetch_from_store"] = f"""WITH {LINK_GRAPH}
+SELECT l.src_id, l.pos, l.dst_url AS url, p.page_id AS dst_page_id,
+  CASE WHEN p.page_id IS NULL THEN 'fetch_failed' ELSE '' END AS error
+FROM lgi l LEFT JOIN pages p ON p.url = l.dst_url"""
+
+SQL["cache_misses"] = f"""WITH {LINK_GRAPH}
+SELECT src_id, pos, dst_url AS url FROM lgi
+WHERE dst_url NOT IN (SELECT url FROM pages WHERE starts_with(url, 'https://'))"""
+
+SQL["fetch_schedule"] = f"""WITH {LINKS}, fu AS (
+  SELECT dst_url AS url, page_id * 1000 + pos AS seq, (CASE WHEN contains(dst_url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE AS score,
+    {auth('dst_url')} AS host FROM links),
+fr AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, seq) AS host_rank FROM fu)
+SELECT url, seq, host, host_rank, (host_rank - 1) * 2.0 AS planned_s, (host_rank - 1) * 1.0 AS earliest_s,
+  (host_rank - 1) * 3.0 AS latest_s FROM fr"""
