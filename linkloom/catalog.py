@@ -360,3 +360,160 @@ def seed_hosts(spark, d):
     from .sources.derived import job_requests_v
     seeds = resolve_seeds(job_requests_v(spark, d))
     return sh(seeds).select("job_id", F.array_join("seed_hosts", ",").alias("hosts"))
+
+
+# ── jobs (S3, F7, A2, A3, A7, P12, T3-T5 batch twins) ───────────────────────
+
+def _jobs(spark, d):
+    from .operators.jobs import read_job_requests
+    from .sources.derived import job_requests_v
+    return read_job_requests(job_requests_v(spark, d))
+
+
+@query
+def job_defaults(spark, d):
+    accepted, _ = _jobs(spark, d)
+    return accepted.select("job_id", "goal", F.array_join("seed_urls", ",").alias("seeds"), "max_depth", "max_pages",
+                           "min_delay_seconds", "max_delay_seconds", "ai_provider", "strategy", "content_filter",
+                           "bm25_threshold", "cache_mode", "stealth", "headless", "score_threshold", "include_external",
+                           "status")
+
+
+@query
+def job_rejects(spark, d):
+    _, rejected = _jobs(spark, d)
+    return rejected
+
+
+@query
+def config_violations(spark, d):
+    from .operators.jobs import config_violations as cv
+    accepted, _ = _jobs(spark, d)
+    return cv(accepted)
+
+
+def _events(spark, d):
+    from .sources.derived import crawl_events_v
+    return crawl_events_v(spark, d)
+
+
+@query
+def job_status(spark, d):
+    from .operators.jobs import job_status as js
+    return js(_events(spark, d))
+
+
+@query
+def done_events(spark, d):
+    from .operators.jobs import done_events as de
+    return de(_events(spark, d))
+
+
+@query
+def running_stats(spark, d):
+    from .operators.jobs import running_stats as rs
+    return rs(_events(spark, d))
+
+
+@query
+def job_elapsed(spark, d):
+    from .operators.jobs import job_elapsed as je
+    return je(_events(spark, d))
+
+
+@query
+def job_list(spark, d):
+    """A3: requests (job-<custkey>) with stats from results and status from
+    events of user <custkey>."""
+    from .operators.jobs import job_stats as js
+    from .operators.jobs import job_status as st
+    from .operators.jobs import list_jobs
+    accepted, _ = _jobs(spark, d)
+    key = F.concat(F.lit("job-"), F.col("job_id").cast("string"))
+    stats = js(results_v(spark, d).withColumn("job_id", key))
+    status = st(_events(spark, d).withColumn("job_id", key))
+    return list_jobs(accepted, stats, status)
+
+
+@query
+def job_view(spark, d):
+    from .operators.jobs import job_stats as js
+    from .operators.jobs import job_view as jv
+    from .plans.plan import parse_plans, usable_plans
+    from .sources.derived import plan_responses_v
+    accepted, _ = _jobs(spark, d)
+    stats = js(results_v(spark, d).withColumn("job_id", F.concat(F.lit("job-"), F.col("job_id").cast("string"))))
+    plans = usable_plans(parse_plans(plan_responses_v(spark, d)))
+    return jv(accepted, stats, plans)
+
+
+# ── plans and model-call prompts (J6, L1-L5, L7, L8) ────────────────────────
+
+@query
+def plan_prompts(spark, d):
+    from .plans.plan import plan_prompts as pp
+    accepted, _ = _jobs(spark, d)
+    return pp(accepted)
+
+
+def _parsed(spark, d):
+    from .plans.plan import parse_plans
+    from .sources.derived import plan_responses_v
+    return parse_plans(plan_responses_v(spark, d))
+
+
+@query
+def plans_parsed(spark, d):
+    p = _parsed(spark, d)
+    seeds = F.array_join(F.transform("prioritized_seeds", lambda s: F.concat_ws(
+        "|", s["url"], F.format_string("%.4f", s["score"]), s["reason"])), ";")
+    return p.select("job_id", "outcome", "summary", seeds.alias("seeds"),
+                    F.array_join("avoid_patterns", ",").alias("avoid"), F.array_join("focus_patterns", ",").alias("focus"),
+                    "prefer_external")
+
+
+@query
+def seeds_resolved(spark, d):
+    from .operators.crawl import resolve_seeds
+    from .plans.plan import usable_plans
+    accepted, _ = _jobs(spark, d)
+    return resolve_seeds(accepted, usable_plans(_parsed(spark, d)))
+
+
+@query
+def plan_view(spark, d):
+    from .plans.plan import plan_view as pv
+    from .plans.plan import usable_plans
+    return pv(usable_plans(_parsed(spark, d)))
+
+
+@query
+def extraction_prompts(spark, d):
+    from .operators.inference import extraction_prompts as ep
+    pages = table(spark, d, "pages")
+    return ep(pages, goal="find pricing pages", description="navigation links with their targets")
+
+
+@query
+def summary_prompts(spark, d):
+    from .operators.inference import summary_prompts as sp
+    from .operators.relevance import content_text
+    rows = content_text(table(spark, d, "pages"), "none")
+    return sp(rows, goal="find pricing pages")
+
+
+@query
+def extracted_parsed(spark, d):
+    from .operators.extract import parse_extracted
+    r = results_v(spark, d).filter(F.col("extracted_content") != "")
+    return parse_extracted(r).select("seq", "is_json", "shown", F.col("k").alias("k"))
+
+
+@query
+def nav_records(spark, d):
+    from .operators.extract import extract_records
+    schema = {"name": "nav", "baseSelector": "li",
+              "fields": [{"name": "text", "selector": "", "type": "text"},
+                         {"name": "href", "selector": "a", "type": "attribute", "attribute": "href"}]}
+    recs = extract_records(table(spark, d, "pages"), schema)
+    return recs.select("page_id", "rec_no", F.col("record")["text"].alias("text"), F.col("record")["href"].alias("href"))

@@ -294,6 +294,8 @@ def crawl(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame
     else:
         early = config.max_pages if config.strategy == "bfs" else None
         rows = crawl_walk(seeds, links, store, plans, config.max_depth, config.include_external, early)
+    # The walk is read by the budget's size checks and windows: materialise it once.
+    rows = cut_lineage(rows)
     out = page_budget(rows, emission_order(config.strategy), config.max_pages, config.score_threshold)
     return out.withColumn("status", F.when(F.col("budget_hit"), F.lit("cancelled")).otherwise(F.lit("completed")))
 

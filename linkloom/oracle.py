@@ -360,3 +360,187 @@ SQL["fetch_schedule"] = f"""WITH {LINKS}, fu AS (
 fr AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, seq) AS host_rank FROM fu)
 SELECT url, seq, host, host_rank, (host_rank - 1) * 2.0 AS planned_s, (host_rank - 1) * 1.0 AS earliest_s,
   (host_rank - 1) * 3.0 AS latest_s FROM fr"""
+
+# ── jobs ────────────────────────────────────────────────────────────────────
+
+JOB_REQUESTS_V = """jr AS (SELECT 'job-' || CAST(c_custkey AS VARCHAR) AS job_id, c_mktsegment AS goal,
+  CASE WHEN c_custkey % 10 = 0 THEN []::VARCHAR[]
+    ELSE ['https://' || lower(replace(c_name, '#', '-')) || '.example.com/'] END AS seed_urls,
+  CAST(c_custkey % 14 AS INTEGER) AS max_depth,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST((c_custkey * 37) % 12000 AS INTEGER) END AS max_pages,
+  CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE (c_acctbal % 70) / 10 END AS min_delay_seconds,
+  CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey % 50 AS DOUBLE) END AS max_delay_seconds,
+  CASE WHEN c_custkey % 9 = 0 THEN 'gemini' WHEN c_custkey % 9 = 1 THEN NULL ELSE 'claude' END AS ai_provider,
+  (['bfs', 'dfs', 'bestfirst', 'random'])[c_custkey % 4 + 1] AS strategy,
+  CASE c_custkey % 5 WHEN 0 THEN 'pruning' WHEN 1 THEN NULL WHEN 2 THEN 'none' ELSE 'bm25' END AS content_filter,
+  CASE WHEN c_custkey % 8 = 0 THEN 0.0::DOUBLE END AS bm25_threshold,
+  CASE WHEN c_custkey % 3 = 0 THEN 'enabled' END AS cache_mode,
+  CASE WHEN c_custkey % 7 = 0 THEN 1.5::DOUBLE WHEN c_custkey % 7 = 1 THEN 0.5::DOUBLE END AS score_threshold,
+  CASE WHEN c_custkey % 2 = 0 THEN false END AS include_external
+  FROM customer),
+acc_all AS (SELECT job_id, coalesce(goal, '') AS goal, coalesce(seed_urls, []::VARCHAR[]) AS seed_urls,
+  coalesce(max_depth, 3) AS max_depth, coalesce(max_pages, 500) AS max_pages,
+  coalesce(min_delay_seconds, 1.0::DOUBLE) AS min_delay_seconds, coalesce(max_delay_seconds, 3.0::DOUBLE) AS max_delay_seconds,
+  coalesce(ai_provider, 'claude') AS ai_provider, coalesce(strategy, 'bfs') AS strategy,
+  coalesce(content_filter, 'bm25') AS content_filter, coalesce(bm25_threshold, 1.2::DOUBLE) AS bm25_threshold,
+  coalesce(cache_mode, 'bypass') AS cache_mode, false AS stealth, true AS headless,
+  coalesce(score_threshold, 0.0::DOUBLE) AS score_threshold, coalesce(include_external, true) AS include_external
+  FROM jr),
+acc AS (SELECT *, 'pending' AS status FROM acc_all WHERE len(seed_urls) > 0)"""
+
+SQL["job_defaults"] = f"""WITH {JOB_REQUESTS_V}
+SELECT job_id, goal, array_to_string(seed_urls, ',') AS seeds, max_depth, max_pages, min_delay_seconds,
+  max_delay_seconds, ai_provider, strategy, content_filter, bm25_threshold, cache_mode, stealth, headless,
+  score_threshold, include_external, status FROM acc"""
+
+SQL["job_rejects"] = f"""WITH {JOB_REQUESTS_V} SELECT job_id, 'seed_urls required' AS error FROM acc_all WHERE len(seed_urls) = 0"""
+
+SQL["config_violations"] = f"""WITH {JOB_REQUESTS_V}, v AS (
+  SELECT job_id, 'provider' AS field, CASE WHEN ai_provider NOT IN ('claude', 'gemini') THEN 'provider must be one of: claude, gemini' END AS message FROM acc
+  UNION ALL SELECT job_id, 'strategy', CASE WHEN strategy NOT IN ('bfs', 'bestfirst', 'dfs') THEN 'strategy must be one of: bfs, bestfirst, dfs' END FROM acc
+  UNION ALL SELECT job_id, 'filter', CASE WHEN content_filter NOT IN ('bm25', 'pruning', 'none') THEN 'filter must be one of: bm25, pruning, none' END FROM acc
+  UNION ALL SELECT job_id, 'cache', CASE WHEN cache_mode NOT IN ('enabled', 'bypass') THEN 'cache must be one of: enabled, bypass' END FROM acc
+  UNION ALL SELECT job_id, 'max_depth', CASE WHEN max_depth < 0 OR max_depth > 10 THEN 'max_depth must be between 0 and 10' END FROM acc
+  UNION ALL SELECT job_id, 'max_pages', CASE WHEN max_pages < 1 OR max_pages > 10000 THEN 'max_pages must be between 1 and 10000' END FROM acc
+  UNION ALL SELECT job_id, 'min_delay', CASE WHEN min_delay_seconds < 0 OR min_delay_seconds > 60 THEN 'min_delay must be between 0 and 60'
+    WHEN min_delay_seconds > max_delay_seconds THEN 'min_delay must be <= max_delay' END FROM acc
+  UNION ALL SELECT job_id, 'max_delay', CASE WHEN max_delay_seconds < 0 OR max_delay_seconds > 60 THEN 'max_delay must be between 0 and 60'
+    WHEN max_delay_seconds < min_delay_seconds THEN 'max_delay must be >= min_delay' END FROM acc
+  UNION ALL SELECT job_id, 'bm25_threshold', CASE WHEN bm25_threshold <= 0 THEN 'bm25_threshold must be > 0' END FROM acc
+  UNION ALL SELECT job_id, 'score_threshold', CASE WHEN score_threshold < 0.0 OR score_threshold > 1.0 THEN 'score_threshold must be between 0.0 and 1.0' END FROM acc)
+SELECT job_id, field, message FROM v WHERE message IS NOT NULL"""
+
+CRAWL_EVENTS_V = """ev AS (SELECT user_id AS job_id, event_id AS seq, ts,
+  CASE WHEN event_type IN ('signup', 'purchase') THEN 'status' ELSE 'page' END AS event,
+  CASE WHEN event_type = 'signup' THEN 'planning' WHEN event_type = 'purchase' THEN 'completed' END AS status,
+  CASE WHEN event_type = 'error' THEN 'fetch_failed:404' ELSE '' END AS error FROM events),
+last_status AS (SELECT job_id, status, epoch_us(ts) / 1e6 AS updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rk FROM ev WHERE event = 'status') WHERE rk = 1)"""
+
+SQL["job_status"] = f"WITH {CRAWL_EVENTS_V} SELECT job_id, status, updated_at FROM last_status"
+SQL["done_events"] = f"""WITH {CRAWL_EVENTS_V}
+SELECT job_id, 'done' AS event, status FROM last_status WHERE status IN ('completed', 'cancelled', 'error')"""
+SQL["running_stats"] = f"""WITH {CRAWL_EVENTS_V}
+SELECT job_id, count(*) FILTER (WHERE error = '') AS pages_crawled, count(*) FILTER (WHERE error <> '') AS pages_error
+FROM ev WHERE event = 'page' GROUP BY job_id"""
+SQL["job_elapsed"] = f"""WITH {CRAWL_EVENTS_V}
+SELECT job_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6 AS elapsed_s FROM ev GROUP BY job_id"""
+
+SQL["job_list"] = f"""WITH {JOB_REQUESTS_V}, {RESULTS_V}, {CRAWL_EVENTS_V},
+st AS (SELECT 'job-' || CAST(job_id AS VARCHAR) AS job_id, count(*) FILTER (WHERE error = '') AS pages_crawled,
+  count(*) FILTER (WHERE error <> '') AS pages_error, count(*) FILTER (WHERE error = '') AS results_count
+  FROM results_v GROUP BY 1),
+ls AS (SELECT 'job-' || CAST(job_id AS VARCHAR) AS job_id, status, updated_at FROM last_status)
+SELECT a.job_id, a.goal, coalesce(ls.status, a.status) AS status, coalesce(st.pages_crawled, 0) AS pages_crawled,
+  coalesce(st.pages_error, 0) AS pages_error, coalesce(st.results_count, 0) AS results_count, ls.updated_at
+FROM acc a LEFT JOIN st ON st.job_id = a.job_id LEFT JOIN ls ON ls.job_id = a.job_id"""
+
+# ── plans ───────────────────────────────────────────────────────────────────
+
+SQL["plan_prompts"] = f"""WITH {JOB_REQUESTS_V}
+SELECT job_id, 'Goal: ' || goal || chr(10) || 'Seed URLs: ['
+  || array_to_string(list_transform(seed_urls, lambda s: '"' || s || '"'), ', ') || ']' || chr(10)
+  || 'Max depth: ' || CAST(max_depth AS VARCHAR) || chr(10) || chr(10) || 'Produce the crawl plan JSON.' AS prompt FROM acc"""
+
+PLAN_RESPONSES_V = """pr AS (SELECT 'job-' || CAST(c_custkey AS VARCHAR) AS job_id,
+  ['https://' || lower(replace(c_name, '#', '-')) || '.example.com/'] AS seed_urls,
+  CASE (c_custkey + 5) % 10
+    WHEN 0 THEN '{"summary": "Plan for ' || lower(c_mktsegment) || '", "prioritized_seeds": [{"url": "https://c'
+      || CAST(c_custkey AS VARCHAR) || '.example.com/", "score": 0.9, "reason": "main site"}, {"url": "https://d'
+      || CAST(c_custkey AS VARCHAR) || '.example.org/", "score": 0.45}], "avoid_patterns": ["/cart", "/de/"], "focus_patterns": ["/pricing", "/'
+      || lower(c_mktsegment) || '"], "prefer_external": false}'
+    WHEN 1 THEN 'Sorry, no plan for ' || c_name
+    WHEN 2 THEN '{"summary": "s", "prioritized_seeds": [{"score": 0.5}]}'
+    WHEN 3 THEN '{"summary": "n' || CAST(c_custkey AS VARCHAR) || '", "prioritized_seeds": [{"url": "https://e'
+      || CAST(c_custkey AS VARCHAR) || '.example.net/", "score": "0.7"}], "prefer_external": 1}'
+    WHEN 4 THEN '{"summary": "x", "prioritized_seeds": [{"url": "https://x.example.com/", "score": "high"}]}'
+    WHEN 5 THEN '{"prioritized_seeds": [{"url": "https://y.example.com/", "score": null}]}'
+    WHEN 6 THEN '[{"url": "https://z.example.com/"}]'
+    WHEN 7 THEN '{"summary": "t' || CAST(c_custkey AS VARCHAR) || '"} trailing words'
+    WHEN 8 THEN '{"summary": "y", "focus_patterns": ["/' || CAST(c_nationkey AS VARCHAR) || '/"], "prefer_external": "false"}'
+    ELSE '{}' END AS raw
+  FROM customer),
+pj AS (SELECT *, json_valid(raw) AS valid, CASE WHEN json_valid(raw) THEN json_type(raw) END AS jt,
+  CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN json_extract(raw, '$.prioritized_seeds') END AS ps FROM pr),
+seedrows AS (SELECT job_id, e, i FROM (
+  SELECT job_id, unnest(json_extract(ps, '$[*]')) AS e, unnest(range(CAST(json_array_length(ps) AS BIGINT))) AS i
+  FROM pj WHERE ps IS NOT NULL AND json_type(ps) = 'ARRAY')),
+seedvals AS (SELECT job_id, i, json_type(e) = 'OBJECT' AND json_extract(e, '$.url') IS NOT NULL AS has_url,
+  json_extract_string(e, '$.url') AS url,
+  CASE WHEN json_extract(e, '$.score') IS NULL THEN 0.5::DOUBLE
+    WHEN json_type(json_extract(e, '$.score')) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(json_extract_string(e, '$.score') AS DOUBLE)
+    WHEN json_type(json_extract(e, '$.score')) = 'VARCHAR' THEN TRY_CAST(trim(json_extract_string(e, '$.score')) AS DOUBLE)
+    WHEN json_type(json_extract(e, '$.score')) = 'BOOLEAN' THEN CASE WHEN json_extract_string(e, '$.score') = 'true' THEN 1.0 ELSE 0.0 END
+    END AS score,
+  coalesce(json_extract_string(e, '$.reason'), '') AS reason FROM seedrows),
+seedagg AS (SELECT job_id, bool_or(NOT has_url OR score IS NULL) AS bad,
+  list(struct_pack(url := url, score := score, reason := reason) ORDER BY i) AS seeds FROM seedvals GROUP BY job_id),
+pe AS (SELECT job_id, json_extract(raw, '$.prefer_external') AS x FROM pj WHERE valid AND jt = 'OBJECT'),
+pet AS (SELECT job_id, CASE WHEN x IS NULL THEN false
+    WHEN json_type(x) = 'BOOLEAN' THEN json_extract_string(x, '$') = 'true'
+    WHEN json_type(x) = 'NULL' THEN false
+    WHEN json_type(x) = 'VARCHAR' THEN length(json_extract_string(x, '$')) > 0
+    WHEN json_type(x) = 'ARRAY' THEN json_array_length(x) > 0
+    WHEN json_type(x) = 'OBJECT' THEN CAST(x AS VARCHAR) <> '{}'
+    ELSE CAST(json_extract_string(x, '$') AS DOUBLE) <> 0 END AS pe FROM pe),
+parsed AS (SELECT pj.job_id, pj.seed_urls,
+  CASE WHEN NOT pj.valid THEN 'fallback'
+    WHEN pj.jt <> 'OBJECT' THEN 'plan_error'
+    WHEN pj.ps IS NOT NULL AND (json_type(pj.ps) <> 'ARRAY' OR coalesce(sa.bad, false)) THEN 'plan_error'
+    ELSE 'ok' END AS outcome,
+  coalesce(CASE WHEN pj.valid AND pj.jt = 'OBJECT' THEN json_extract_string(pj.raw, '$.summary') END, '') AS summary0, coalesce(sa.seeds, []) AS seeds0,
+  CASE WHEN pj.valid AND pj.jt = 'OBJECT' THEN coalesce(TRY_CAST(json_extract(pj.raw, '$.avoid_patterns') AS VARCHAR[]), []) END AS avoid0,
+  CASE WHEN pj.valid AND pj.jt = 'OBJECT' THEN coalesce(TRY_CAST(json_extract(pj.raw, '$.focus_patterns') AS VARCHAR[]), []) END AS focus0,
+  coalesce(pet.pe, false) AS pe0
+  FROM pj LEFT JOIN seedagg sa ON sa.job_id = pj.job_id LEFT JOIN pet ON pet.job_id = pj.job_id),
+plans AS (SELECT job_id, outcome,
+  CASE outcome WHEN 'ok' THEN summary0 WHEN 'fallback' THEN 'AI plan unavailable' END AS summary,
+  CASE outcome WHEN 'ok' THEN seeds0 WHEN 'fallback' THEN list_transform(seed_urls, lambda u: struct_pack(url := u, score := 0.5::DOUBLE, reason := '')) END AS seeds,
+  CASE outcome WHEN 'ok' THEN avoid0 WHEN 'fallback' THEN []::VARCHAR[] END AS avoid,
+  CASE outcome WHEN 'ok' THEN focus0 WHEN 'fallback' THEN []::VARCHAR[] END AS focus,
+  CASE outcome WHEN 'ok' THEN pe0 WHEN 'fallback' THEN false END AS prefer_external
+  FROM parsed)"""
+
+SQL["plans_parsed"] = f"""WITH {PLAN_RESPONSES_V}
+SELECT job_id, outcome, summary,
+  array_to_string(list_transform(seeds, lambda s: concat_ws('|', s.url, printf('%.4f', s.score), s.reason)), ';') AS seeds,
+  array_to_string(avoid, ',') AS avoid, array_to_string(focus, ',') AS focus, prefer_external FROM plans"""
+
+SQL["seeds_resolved"] = f"""WITH {JOB_REQUESTS_V}, {PLAN_RESPONSES_V},
+chosen AS (SELECT a.job_id, CASE WHEN len(coalesce(p.seeds, [])) > 0 THEN list_transform(p.seeds, lambda s: s.url)
+  ELSE a.seed_urls END AS s FROM acc a LEFT JOIN (SELECT * FROM plans WHERE outcome <> 'plan_error') p ON p.job_id = a.job_id)
+SELECT job_id, CAST(seed_pos AS INTEGER) AS seed_pos, url FROM (
+  SELECT job_id, unnest(s) AS url, unnest(range(len(s))) AS seed_pos FROM chosen)"""
+
+SQL["plan_view"] = f"""WITH {PLAN_RESPONSES_V}
+SELECT job_id, concat_ws(chr(10), 'Summary: ' || summary,
+  CASE WHEN len(focus) > 0 THEN 'Focus: ' || array_to_string(focus, ', ') END,
+  CASE WHEN len(avoid) > 0 THEN 'Avoid: ' || array_to_string(avoid, ', ') END,
+  CASE WHEN prefer_external THEN 'Mode: external-first (aggregator site)' END,
+  CASE WHEN len(seeds) > 0 THEN 'Seeds:' || chr(10) || array_to_string(list_transform(seeds, lambda s:
+    '  ' || printf('%.1f', s.score) || '  ' || s.url || CASE WHEN s.reason <> '' THEN '  ' || s.reason ELSE '' END), chr(10)) END) AS view
+FROM plans WHERE outcome <> 'plan_error'"""
+
+SQL["summary_prompts"] = f"""SELECT page_id, 'Goal: find pricing pages' || chr(10) || 'URL: ' || url || chr(10) || chr(10)
+  || 'Page text:' || chr(10) || substring({strip_tags(clean('html'))}, 1, 10000) AS prompt FROM pages"""
+
+SQL["extraction_prompts"] = f"""SELECT page_id, 'Goal: find pricing pages' || chr(10) || 'URL: ' || url || chr(10)
+  || 'Extract: navigation links with their targets'
+  || CASE WHEN h <> '' THEN chr(10) || chr(10) || 'Page HTML:' || chr(10) || h ELSE '' END
+  || chr(10) || chr(10) || 'Produce the extraction schema JSON.' AS prompt
+FROM (SELECT page_id, url, substring({clean('html')}, 1, 15000) AS h FROM pages)"""
+
+SQL["extracted_parsed"] = f"""WITH {RESULTS_V}
+SELECT seq, json_valid(extracted_content) AS is_json,
+  CASE WHEN json_valid(extracted_content) THEN NULL ELSE substring(extracted_content, 1, 2000) END AS shown,
+  CASE WHEN json_valid(extracted_content) THEN CAST(json_extract(extracted_content, '$.k') AS BIGINT) END AS k
+FROM results_v WHERE extracted_content <> ''"""
+
+SQL["nav_records"] = f"""WITH li AS (SELECT page_id, regexp_extract_all(html, {q(r'(?is)<li\b[^>]*>(.*?)</li>')}, 1) AS items FROM pages),
+u AS (SELECT page_id, unnest(items) AS inner_html, unnest(range(len(items))) AS rec_no FROM li)
+SELECT page_id, rec_no, {strip_tags('inner_html')} AS text,
+  nullif(regexp_extract(inner_html, {q(HREF_SQL)}, 1), '') AS href FROM u"""
+
+SQL["seed_hosts"] = f"""WITH {JOB_REQUESTS_V}
+SELECT job_id, array_to_string(list_sort(list_distinct(list_transform(seed_urls, lambda u: {auth('u')}))), ',') AS hosts
+FROM jr WHERE len(seed_urls) > 0"""

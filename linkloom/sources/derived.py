@@ -123,3 +123,33 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     dst_url = F.when((F.col("j") == LINKS_PER_PAGE) & (F.col("k") % 5 == 0), F.concat(base, F.lit("/login"))).otherwise(base)
     g = g.select("src_id", "src_url", dst_url.alias("dst_url"), (F.col("j") - 1).cast("int").alias("pos"))
     return g.withColumn("is_internal", authority("dst_url") == authority("src_url"))
+
+
+def plan_responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-response stand-in from ``customer``: one raw response per job,
+    cycling through the shapes the parser must tell apart (valid, not JSON,
+    seed without url, numeric-string score, bad score, null score, JSON
+    array, trailing text, truthy string flag, empty object)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    ks = k.cast("string")
+    seg = F.lower(F.col("c_mktsegment"))
+    given = F.concat(F.lit("https://"), F.lower(F.regexp_replace(F.col("c_name"), "#", "-")), F.lit(".example.com/"))
+    shape = (k + 5) % 10
+    raw = (F.when(shape == 0, F.concat(
+                F.lit('{"summary": "Plan for '), seg, F.lit('", "prioritized_seeds": [{"url": "https://c'), ks,
+                F.lit('.example.com/", "score": 0.9, "reason": "main site"}, {"url": "https://d'), ks,
+                F.lit('.example.org/", "score": 0.45}], "avoid_patterns": ["/cart", "/de/"], "focus_patterns": ["/pricing", "/'),
+                seg, F.lit('"], "prefer_external": false}')))
+           .when(shape == 1, F.concat(F.lit("Sorry, no plan for "), F.col("c_name")))
+           .when(shape == 2, F.lit('{"summary": "s", "prioritized_seeds": [{"score": 0.5}]}'))
+           .when(shape == 3, F.concat(F.lit('{"summary": "n'), ks, F.lit('", "prioritized_seeds": [{"url": "https://e'), ks,
+                                      F.lit('.example.net/", "score": "0.7"}], "prefer_external": 1}')))
+           .when(shape == 4, F.lit('{"summary": "x", "prioritized_seeds": [{"url": "https://x.example.com/", "score": "high"}]}'))
+           .when(shape == 5, F.lit('{"prioritized_seeds": [{"url": "https://y.example.com/", "score": null}]}'))
+           .when(shape == 6, F.lit('[{"url": "https://z.example.com/"}]'))
+           .when(shape == 7, F.concat(F.lit('{"summary": "t'), ks, F.lit('"} trailing words')))
+           .when(shape == 8, F.concat(F.lit('{"summary": "y", "focus_patterns": ["/'), F.col("c_nationkey").cast("string"),
+                                      F.lit('/"], "prefer_external": "false"}')))
+           .otherwise(F.lit("{}")))
+    return c.select(F.concat(F.lit("job-"), ks).alias("job_id"), F.array(given).alias("seed_urls"), raw.alias("raw"))
