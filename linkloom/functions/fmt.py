@@ -48,7 +48,7 @@ def format_fixed(x, digits: int = 2) -> Column:
 
     def stage3(s):  # exact value * 10^digits = n / 2^sh
         sh = F.lit(52) - s["e"]
-        m = (s["a"] * F.pow(two, sh.cast("double"))).cast("long")  # 2^52 <= m < 2^53, exact
+        m = (s["a"] * F.pow(two, sh.cast("double"))).try_cast("long")  # 2^52 <= m < 2^53, exact (NULL when tiny)
         return F.struct(s["v"].alias("v"), s["a"].alias("a"), sh.alias("sh"), (m * F.lit(scale)).alias("n"))
 
     def stage4(s):
@@ -65,7 +65,7 @@ def format_fixed(x, digits: int = 2) -> Column:
 
     def render(s):
         whole = F.floor(s["r"] / F.lit(scale)).cast("long").cast("string")
-        sign = F.when(s["v"] < 0, F.lit("-")).otherwise(F.lit(""))
+        sign = F.when(s["v"].cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))  # -0.0 too
         if digits == 0:
             return F.concat(sign, whole)
         frac = F.lpad((s["r"] % F.lit(scale)).cast("string"), digits, "0")
