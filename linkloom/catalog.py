@@ -517,3 +517,65 @@ def nav_records(spark, d):
                          {"name": "href", "selector": "a", "type": "attribute", "attribute": "href"}]}
     recs = extract_records(table(spark, d, "pages"), schema)
     return recs.select("page_id", "rec_no", F.col("record")["text"].alias("text"), F.col("record")["href"].alias("href"))
+
+
+# ── URL filters and scorers on the link graph (F1, F2, F8, C2, C3) ─────────
+
+def _graph_candidates(spark, d):
+    from .sources.derived import link_graph
+    g = link_graph(spark, d)
+    return g.select(F.lit("job-a").alias("job_id"), "src_id", "pos", F.col("dst_url").alias("url"), "is_internal")
+
+
+@query
+def avoid_default(spark, d):
+    from .functions.urls import avoided_by_default
+    return _graph_candidates(spark, d).select("src_id", "pos", "url", avoided_by_default("url").alias("avoided"))
+
+
+@query
+def avoid_plan(spark, d):
+    from .functions.urls import contains_any
+    pats = F.array(F.lit("/de/"), F.lit("example.org/1"), F.lit("a.b"))
+    return _graph_candidates(spark, d).select("src_id", "pos", "url", contains_any("url", pats).alias("avoided"))
+
+
+@query
+def filter_stats(spark, d):
+    from .operators.crawl import filter_stats as fs
+    from .operators.crawl import plan_columns
+    seeds, _, _, plans = crawl_inputs(spark, d)
+    return fs(_graph_candidates(spark, d), plan_columns(seeds, plans))
+
+
+@query
+def focus_scores(spark, d):
+    from .functions.urls import focus_score
+    return _graph_candidates(spark, d).select("src_id", "pos", "url",
+                                              focus_score("url", F.array(F.lit("/en/"))).alias("score"))
+
+
+@query
+def external_first_scores(spark, d):
+    from .functions.urls import url_score
+    from .operators.crawl import plan_columns
+    seeds, _, _, plans = crawl_inputs(spark, d, prefer_external=True)
+    plan = plan_columns(seeds, plans)
+    c = _graph_candidates(spark, d).join(plan, "job_id")
+    return c.select("src_id", "pos", "url", url_score(F.col("url"), F.col("prefer_external"), F.col("seed_hosts"),
+                                                      F.col("focus_patterns")).alias("score"))
+
+
+@query
+def job_result_rows(spark, d):
+    return R.job_result_rows(results_v(spark, d))
+
+
+@query
+def session_append(spark, d):
+    """The results of a second session (the error rows of the stand-in,
+    re-fetched) appended after the first."""
+    from .operators.crawl import append_session
+    r = results_v(spark, d).select("seq", "url", "error")
+    again = r.filter(F.col("error") != "").select("seq", "url", F.lit("").alias("error"))
+    return append_session(r, again)

@@ -342,3 +342,25 @@ def fetch_schedule(urls: DataFrame, min_delay: float = 1.0, max_delay: float = 3
     k = (F.col("host_rank") - 1).cast("double")
     return ranked.withColumn("planned_s", k * F.lit(mean)).withColumn("earliest_s", k * F.lit(min_delay)) \
         .withColumn("latest_s", k * F.lit(max_delay))
+
+
+# ── F8, J9 ──────────────────────────────────────────────────────────────────
+
+def filter_stats(candidates: DataFrame, plan: DataFrame) -> DataFrame:
+    """F8: per job, how many candidate URLs the exclusion filter accepted and
+    rejected (the reference's filter statistics)."""
+    j = candidates.join(plan.select("job_id", "avoid_patterns"), "job_id", "inner")
+    ok = url_allowed(F.col("url"), F.col("avoid_patterns"))
+    return j.groupBy("job_id").agg(F.lit("exclusion").alias("filter"), F.count_if(ok).alias("accepted"),
+                                   F.count_if(~ok).alias("rejected"))
+
+
+def append_session(results: DataFrame, new: DataFrame, order: tuple = ("seq",)) -> DataFrame:
+    """Accumulate the rows of another crawl or fetch after the session's
+    rows: their ``seq`` continues after the session's largest (one scalar
+    aggregate), in their own ``order``."""
+    last = results.agg(F.max("seq")).first()[0]
+    start = -1 if last is None else int(last)
+    numbered = ordinal(new, list(order), name="_n")
+    added = numbered.withColumn("seq", F.col("_n") + F.lit(start)).drop("_n")
+    return results.unionByName(added.select(*results.columns))

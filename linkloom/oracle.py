@@ -544,3 +544,32 @@ SELECT page_id, rec_no, {strip_tags('inner_html')} AS text,
 SQL["seed_hosts"] = f"""WITH {JOB_REQUESTS_V}
 SELECT job_id, array_to_string(list_sort(list_distinct(list_transform(seed_urls, lambda u: {auth('u')}))), ',') AS hosts
 FROM jr WHERE len(seed_urls) > 0"""
+
+# ── URL filters and scorers on the link graph ───────────────────────────────
+
+SQL["avoid_default"] = f"""WITH {LINK_GRAPH}
+SELECT src_id, pos, dst_url AS url, regexp_matches(dst_url, {q(DEFAULT_AVOID_RE)}) AS avoided FROM lgi"""
+
+SQL["avoid_plan"] = f"""WITH {LINK_GRAPH}
+SELECT src_id, pos, dst_url AS url,
+  contains(dst_url, '/de/') OR contains(dst_url, 'example.org/1') OR contains(dst_url, 'a.b') AS avoided FROM lgi"""
+
+SQL["filter_stats"] = f"""WITH {LINK_GRAPH}, f AS (
+  SELECT NOT regexp_matches(dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(dst_url, '/de/') AS ok FROM lgi)
+SELECT 'job-a' AS job_id, 'exclusion' AS filter, count(*) FILTER (WHERE ok) AS accepted,
+  count(*) FILTER (WHERE NOT ok) AS rejected FROM f"""
+
+SQL["focus_scores"] = f"""WITH {LINK_GRAPH}
+SELECT src_id, pos, dst_url AS url, (CASE WHEN contains(dst_url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE AS score FROM lgi"""
+
+SQL["external_first_scores"] = f"""WITH {LINK_GRAPH}, {SEEDS}
+SELECT l.src_id, l.pos, l.dst_url AS url, {score_sql(True).replace('b.url', 'l.dst_url')} AS score FROM lgi l"""
+
+SQL["job_result_rows"] = f"""WITH {RESULTS_V}
+SELECT job_id, seq, url, depth, substring(text, 1, 500) AS text_snippet, links_count, score
+FROM results_v WHERE error = ''"""
+
+SQL["session_append"] = f"""WITH {RESULTS_V}, m AS (SELECT max(seq) AS s FROM results_v)
+SELECT seq, url, error FROM results_v
+UNION ALL
+SELECT m.s + row_number() OVER (ORDER BY r.seq) AS seq, r.url, '' AS error FROM results_v r, m WHERE r.error <> ''"""
