@@ -235,14 +235,16 @@ def content_none_text(spark, d):
 
 def crawl_inputs(spark, d, prefer_external=False, focus=("/en/",), avoid=("/de/",)):
     """Seeds: the first tenth of the stored pages plus page floor((N-1)/3)
-    (FIXTURES §3), one job; plan: focus /en/, avoid /de/."""
+    (FIXTURES §3); one job per URL scheme (so several jobs share one plan);
+    plan per job: focus /en/, avoid /de/."""
     from .sources.derived import link_graph, page_count
     n = page_count(spark, d)
     pages = table(spark, d, "pages")
     seeds = pages.filter((F.col("page_id") < (n + 9) // 10) | (F.col("page_id") == (n - 1) // 3)).select(
-        F.lit("job-a").alias("job_id"), F.col("page_id").cast("int").alias("seed_pos"), "url")
-    plans = spark.range(1).select(
-        F.lit("job-a").alias("job_id"), F.array(*[F.lit(x) for x in focus]).alias("focus_patterns"),
+        F.concat(F.lit("job-"), F.regexp_extract("url", "^([a-z]+):", 1)).alias("job_id"),
+        F.col("page_id").cast("int").alias("seed_pos"), "url")
+    plans = seeds.select("job_id").distinct().select(
+        "job_id", F.array(*[F.lit(x) for x in focus]).alias("focus_patterns"),
         F.array(*[F.lit(x) for x in avoid]).alias("avoid_patterns"), F.lit(prefer_external).alias("prefer_external"))
     return seeds, link_graph(spark, d), pages.select("url"), plans
 
@@ -522,9 +524,11 @@ def nav_records(spark, d):
 # ── URL filters and scorers on the link graph (F1, F2, F8, C2, C3) ─────────
 
 def _graph_candidates(spark, d):
+    """Every link target as a candidate of the job of its source's scheme."""
     from .sources.derived import link_graph
     g = link_graph(spark, d)
-    return g.select(F.lit("job-a").alias("job_id"), "src_id", "pos", F.col("dst_url").alias("url"), "is_internal")
+    return g.select(F.concat(F.lit("job-"), F.regexp_extract("src_url", "^([a-z]+):", 1)).alias("job_id"),
+                    "src_id", "pos", F.col("dst_url").alias("url"), "is_internal")
 
 
 @query

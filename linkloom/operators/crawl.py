@@ -53,10 +53,21 @@ class CrawlConfig:
             raise ValueError("max_pages must be between 1 and 10000")
 
 
+LINK_ROWS_PER_PARTITION = 2_000_000
+
+
 def _parts(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def crawl_partitions(links: DataFrame, rows_per_partition: int = LINK_ROWS_PER_PARTITION) -> int:
+    """Partitions for the crawl's co-partitioned tables: enough for
+    ``rows_per_partition`` link rows each, at most spark.sql.shuffle.partitions
+    (all levels must use the same number to stay co-partitioned)."""
+    n_links = links.count()
+    return max(1, min(_parts(links.sparkSession), -(-n_links // rows_per_partition)))
+
+
 # ── J6, A6: seeds and plan columns ───────────────────────────────────────────
 
 def resolve_seeds(jobs: DataFrame, plans: DataFrame | None = None) -> DataFrame:
@@ -125,17 +136,15 @@ def expand_frontier(frontier: DataFrame, links: DataFrame, plan: DataFrame | Non
     return cand.drop("is_internal")
 
 
-def prepare_links(links: DataFrame) -> DataFrame:
+def prepare_links(links: DataFrame, n: int) -> DataFrame:
     """Hash-partition the link table by src_url once (and cut its lineage),
     so every level's join shuffles only the frontier."""
-    n = _parts(links.sparkSession)
     l2 = links.select("src_url", "dst_url", F.col("pos").cast("int").alias("pos"), "is_internal")
     return cut_lineage(l2.repartition(n, "src_url"))
 
 
-def prepare_store(store: DataFrame) -> DataFrame:
+def prepare_store(store: DataFrame, n: int) -> DataFrame:
     """The store's distinct URL set, hash-partitioned by url."""
-    n = _parts(store.sparkSession)
     return cut_lineage(store.select("url").distinct().repartition(n, "url").withColumn("_in_store", F.lit(True)))
 
 
@@ -157,24 +166,24 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
     successful rows: later levels come after them in BFS order and would be
     cut by the budget anyway.
     """
-    spark = seeds.sparkSession
-    n = _parts(spark)
+    links_p = prepare_links(links, n := crawl_partitions(links))
+    store_p = prepare_store(store, n)
     plan = bounded_broadcast(plan_columns(seeds, plans))
-    links_p = prepare_links(links)
-    store_p = prepare_store(store)
 
     level = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
     keyed = cut_lineage(level.repartition(n, *KEY))
     visited = [keyed]  # hash-partitioned by KEY: the anti-joins below never move them
-    ok_so_far = None
+    counts = []
     for _d in range(1, max_depth + 1):
         level = _fetch(keyed, store_p)  # lazy: recomputed from two checkpoints
         frontier = level.filter("ok").select("job_id", "seed_pos", "url", "depth", "path")
         if max_pages is not None:
-            counts = level.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok"))
-            ok_so_far = cut_lineage(counts if ok_so_far is None else (
-                ok_so_far.unionByName(counts).groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))))
-            full = ok_so_far.filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos")
+            counts.append(level.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
+            ok_so_far = counts[0]
+            for c in counts[1:]:
+                ok_so_far = ok_so_far.unionByName(c)
+            full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
+                    .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
             frontier = frontier.join(full, ["job_id", "seed_pos"], "left_anti")
         cand = expand_frontier(frontier, links_p, plan, include_external)
         # Min (depth, path) per (job, seed, url); partial aggregate before the shuffle
@@ -203,48 +212,46 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
     """Rounds; each round emits, per seed run, the ``batch`` best
     discovered-but-unexpanded pages by (score desc, depth, path) and expands
     them. -> rows with ``round`` and ``rank_in_round`` (emission order is
-    (seed_pos, round, rank_in_round))."""
-    spark = seeds.sparkSession
-    n = _parts(spark)
+    (seed_pos, round, rank_in_round)). Per round: one per-seed top-k
+    (window group limit), two checkpoints (the emitted batch, the pending set)."""
+    links_p = prepare_links(links, n := crawl_partitions(links))
+    store_p = prepare_store(store, n)
     plan = bounded_broadcast(plan_columns(seeds, plans))
-    links_p = prepare_links(links)
-    store_p = prepare_store(store)
 
     def scored(df):
         return df.join(plan, "job_id", "inner").withColumn(
             "score", url_score(F.col("url"), F.col("prefer_external"), F.col("seed_hosts"), F.col("focus_patterns"))
         ).select(*KEY, "depth", "path", "score")
 
-    disc = scored(seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")))
-    known = [cut_lineage(disc.select(*KEY).repartition(n, *KEY))]
-    pending = cut_lineage(disc)
+    start = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
+    pending = cut_lineage(scored(start).repartition(n, *KEY))
     emitted: list[DataFrame] = []
-    ok_so_far = None
+    counts: list[DataFrame] = []
+    w = Window.partitionBy("job_id", "seed_pos").orderBy(F.desc("score"), "depth", "path")
     for rnd in range(max_rounds):
-        w = Window.partitionBy("job_id", "seed_pos").orderBy(F.desc("score"), "depth", "path")
         ranked = pending.withColumn("rank_in_round", F.row_number().over(w))
-        take = ranked.filter(F.col("rank_in_round") <= batch)  # per-seed top-k (window group limit)
-        if ok_so_far is not None:
-            full = ok_so_far.filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos")
+        take = ranked.filter(F.col("rank_in_round") <= batch)
+        if counts:
+            ok_so_far = counts[0]
+            for c in counts[1:]:
+                ok_so_far = ok_so_far.unionByName(c)
+            full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
+                    .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
             take = take.join(full, ["job_id", "seed_pos"], "left_anti")
         take = cut_lineage(_fetch(take.withColumn("round", F.lit(rnd)), store_p))
         if take.isEmpty():
             break
         emitted.append(take)
-        counts = take.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok"))
-        ok_so_far = counts if ok_so_far is None else (
-            ok_so_far.unionByName(counts).groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok")))
-        ok_so_far = cut_lineage(ok_so_far)
-        rest = ranked.filter(F.col("rank_in_round") > batch).drop("rank_in_round")
+        counts.append(take.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
         frontier = take.filter(F.col("ok") & (F.col("depth") < max_depth)).select("job_id", "seed_pos", "url", "depth", "path")
         cand = expand_frontier(frontier, links_p, plan, include_external)
         new = cand.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
         new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
-        for old in known:
-            new = new.join(old, KEY, "left_anti")
-        new = cut_lineage(scored(new).repartition(n, *KEY))
-        known.append(new.select(*KEY))
-        pending = cut_lineage(rest.unionByName(new))
+        # discovered so far = this round's pending set + every earlier batch
+        for old in [pending] + emitted[:-1]:
+            new = new.join(old.select(*KEY), KEY, "left_anti")
+        rest = ranked.filter(F.col("rank_in_round") > batch).drop("rank_in_round")
+        pending = cut_lineage(rest.unionByName(scored(new)).repartition(n, *KEY))
     if not emitted:
         return seeds.limit(0)
     out = emitted[0]

@@ -291,26 +291,26 @@ lg AS (SELECT src_id, src_url, CASE WHEN j = 4 AND k % 5 = 0 THEN base || '/logi
   CAST(j - 1 AS INTEGER) AS pos FROM lg1),
 lgi AS (SELECT *, {auth('dst_url')} = {auth('src_url')} AS is_internal FROM lg)"""
 
-SEEDS = """seeds AS (SELECT 'job-a' AS job_id, CAST(page_id AS INTEGER) AS seed_pos, url FROM pages, np
-  WHERE page_id < (np.n + 9) // 10 OR page_id = (np.n - 1) // 3)"""
+SEEDS = """seeds AS (SELECT 'job-' || regexp_extract(url, '^([a-z]+):', 1) AS job_id, CAST(page_id AS INTEGER) AS seed_pos,
+  url FROM pages, np WHERE page_id < (np.n + 9) // 10 OR page_id = (np.n - 1) // 3)"""
 
 
 def walk_sql(include_external=True):
     ext = "" if include_external else "AND l.is_internal"
-    return f"""walks(seed_pos, url, depth, path) AS (
-  SELECT seed_pos, url, 0, []::INTEGER[] FROM seeds
+    return f"""walks(job_id, seed_pos, url, depth, path) AS (
+  SELECT job_id, seed_pos, url, 0, []::INTEGER[] FROM seeds
   UNION ALL
-  SELECT w.seed_pos, l.dst_url, w.depth + 1, list_append(w.path, l.pos)
+  SELECT w.job_id, w.seed_pos, l.dst_url, w.depth + 1, list_append(w.path, l.pos)
   FROM walks w JOIN lgi l ON l.src_url = w.url
   WHERE w.depth < 3 AND w.url IN (SELECT url FROM pages)
     AND NOT regexp_matches(l.dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(l.dst_url, '/de/') {ext}),
-best AS (SELECT seed_pos, url, depth, path FROM (
-  SELECT *, row_number() OVER (PARTITION BY seed_pos, url ORDER BY depth, path) AS rk FROM walks) WHERE rk = 1)"""
+best AS (SELECT job_id, seed_pos, url, depth, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id, seed_pos, url ORDER BY depth, path) AS rk FROM walks) WHERE rk = 1)"""
 
 
 def score_sql(prefer_external):
     if prefer_external:
-        return f"""(CASE WHEN {auth('b.url')} IN (SELECT {auth('url')} FROM seeds)
+        return f"""(CASE WHEN {auth('b.url')} IN (SELECT {auth('s.url')} FROM seeds s WHERE s.job_id = b.job_id)
       THEN (CASE WHEN contains(b.url, '/en/') THEN 0.5 ELSE 0.2 END)
       ELSE (CASE WHEN contains(b.url, '/en/') THEN 1.0 ELSE 0.9 END) END)::DOUBLE"""
     return "(CASE WHEN contains(b.url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE"
@@ -320,7 +320,7 @@ def crawl_sql(order="seed_pos, depth, path", prefer_external=False, include_exte
               threshold=0.0):
     emitted = f"score >= {threshold}" if threshold > 0 else "true"
     return f"""WITH RECURSIVE {LINK_GRAPH}, {SEEDS}, {walk_sql(include_external)},
-rows AS (SELECT 'job-a' AS job_id, b.seed_pos, b.url, b.depth, b.path, b.url IN (SELECT url FROM pages) AS ok,
+rows AS (SELECT b.job_id, b.seed_pos, b.url, b.depth, b.path, b.url IN (SELECT url FROM pages) AS ok,
   {score_sql(prefer_external)} AS score FROM best b),
 capped AS (SELECT * FROM (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY job_id, seed_pos ORDER BY {order}
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(ok AS INTEGER) AS ok_before FROM rows) WHERE ok_before < {max_pages}),
@@ -554,16 +554,18 @@ SQL["avoid_plan"] = f"""WITH {LINK_GRAPH}
 SELECT src_id, pos, dst_url AS url,
   contains(dst_url, '/de/') OR contains(dst_url, 'example.org/1') OR contains(dst_url, 'a.b') AS avoided FROM lgi"""
 
-SQL["filter_stats"] = f"""WITH {LINK_GRAPH}, f AS (
-  SELECT NOT regexp_matches(dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(dst_url, '/de/') AS ok FROM lgi)
-SELECT 'job-a' AS job_id, 'exclusion' AS filter, count(*) FILTER (WHERE ok) AS accepted,
-  count(*) FILTER (WHERE NOT ok) AS rejected FROM f"""
+SQL["filter_stats"] = f"""WITH {LINK_GRAPH}, {SEEDS}, f AS (
+  SELECT 'job-' || regexp_extract(src_url, '^([a-z]+):', 1) AS job_id,
+    NOT regexp_matches(dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(dst_url, '/de/') AS ok FROM lgi)
+SELECT job_id, 'exclusion' AS filter, count(*) FILTER (WHERE ok) AS accepted,
+  count(*) FILTER (WHERE NOT ok) AS rejected FROM f WHERE job_id IN (SELECT job_id FROM seeds) GROUP BY job_id"""
 
 SQL["focus_scores"] = f"""WITH {LINK_GRAPH}
 SELECT src_id, pos, dst_url AS url, (CASE WHEN contains(dst_url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE AS score FROM lgi"""
 
-SQL["external_first_scores"] = f"""WITH {LINK_GRAPH}, {SEEDS}
-SELECT l.src_id, l.pos, l.dst_url AS url, {score_sql(True).replace('b.url', 'l.dst_url')} AS score FROM lgi l"""
+SQL["external_first_scores"] = f"""WITH {LINK_GRAPH}, {SEEDS}, c AS (
+  SELECT 'job-' || regexp_extract(src_url, '^([a-z]+):', 1) AS job_id, src_id, pos, dst_url AS url FROM lgi)
+SELECT b.src_id, b.pos, b.url, {score_sql(True)} AS score FROM c b WHERE b.job_id IN (SELECT job_id FROM seeds)"""
 
 SQL["job_result_rows"] = f"""WITH {RESULTS_V}
 SELECT job_id, seq, url, depth, substring(text, 1, 500) AS text_snippet, links_count, score
