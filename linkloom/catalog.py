@@ -561,13 +561,10 @@ def focus_scores(spark, d):
 
 @query
 def external_first_scores(spark, d):
-    from .functions.urls import url_score
-    from .operators.crawl import plan_columns
+    from .operators.crawl import plan_columns, score_rows
     seeds, _, _, plans = crawl_inputs(spark, d, prefer_external=True)
-    plan = plan_columns(seeds, plans)
-    c = _graph_candidates(spark, d).join(plan, "job_id")
-    return c.select("src_id", "pos", "url", url_score(F.col("url"), F.col("prefer_external"), F.col("seed_hosts"),
-                                                      F.col("focus_patterns")).alias("score"))
+    c = _graph_candidates(spark, d)
+    return score_rows(c, seeds, plan_columns(seeds, plans)).select("src_id", "pos", "url", "score")
 
 
 @query

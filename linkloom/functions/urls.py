@@ -89,9 +89,15 @@ def contains_any(url, patterns) -> Column:
     return F.coalesce(F.exists(_col(patterns), lambda p: u.contains(p)), F.lit(False))
 
 
-def external_first_score(url, seed_hosts, focus) -> Column:
-    """0.2 for seed hosts else 0.9; +0.3 (capped at 1.0) on a focus hit."""
-    base = F.when(F.array_contains(_col(seed_hosts), authority(url)), F.lit(SEED_HOST_BASE)).otherwise(F.lit(OTHER_HOST_BASE))
+def in_hosts(url, hosts) -> Column:
+    """The URL's authority is in the array column ``hosts``."""
+    return F.coalesce(F.array_contains(_col(hosts), authority(url)), F.lit(False))
+
+
+def external_first_score(url, is_seed_host, focus) -> Column:
+    """0.2 when ``is_seed_host`` (boolean column) else 0.9; +0.3 (capped
+    at 1.0) on a focus hit."""
+    base = F.when(F.coalesce(_col(is_seed_host), F.lit(False)), F.lit(SEED_HOST_BASE)).otherwise(F.lit(OTHER_HOST_BASE))
     return F.when(contains_any(url, focus), F.least(base + F.lit(FOCUS_BONUS), F.lit(1.0))).otherwise(base)
 
 
@@ -100,10 +106,10 @@ def focus_score(url, focus) -> Column:
     return F.when(contains_any(url, focus), F.lit(FOCUS_HIT)).otherwise(F.lit(FOCUS_MISS))
 
 
-def url_score(url, prefer_external, seed_hosts, focus) -> Column:
+def url_score(url, prefer_external, is_seed_host, focus) -> Column:
     """C4: external-first scorer, else focus scorer when there are focus
     patterns, else no scorer (0.0)."""
     has_focus = F.coalesce(F.size(_col(focus)), F.lit(0)) > 0
-    return (F.when(F.coalesce(_col(prefer_external), F.lit(False)), external_first_score(url, seed_hosts, focus))
+    return (F.when(F.coalesce(_col(prefer_external), F.lit(False)), external_first_score(url, is_seed_host, focus))
             .when(has_focus, focus_score(url, focus))
             .otherwise(F.lit(0.0)))

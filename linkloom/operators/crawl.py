@@ -42,7 +42,7 @@ class CrawlConfig:
     include_external: bool = True
     score_threshold: float = 0.0
     batch: int = 10  # best-first: pages expanded per seed per round
-    max_rounds: int = 1000  # best-first safety bound on rounds
+    max_rounds: int | None = None  # best-first: optional bound on rounds (None: until the frontier is empty)
 
     def validate(self) -> None:
         if self.strategy not in ("bfs", "dfs", "bestfirst"):
@@ -84,25 +84,40 @@ def resolve_seeds(jobs: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     return out.withColumn("seed_pos", F.col("seed_pos").cast("int"))
 
 
+def seed_host_set(seeds: DataFrame) -> DataFrame:
+    """A6 as rows: distinct (job_id, host) of the seeds."""
+    return seeds.select("job_id", authority("url").alias("host")).distinct()
+
+
 def seed_hosts(seeds: DataFrame) -> DataFrame:
-    """Distinct seed authorities per job (bounded by the seed list)."""
-    return seeds.groupBy("job_id").agg(F.array_sort(F.collect_set(authority("url"))).alias("seed_hosts"))
+    """A6 per job as a sorted array (for display; the crawl joins
+    ``seed_host_set`` instead of carrying arrays)."""
+    return seed_host_set(seeds).groupBy("job_id").agg(F.array_sort(F.collect_list("host")).alias("seed_hosts"))
 
 
 def plan_columns(seeds: DataFrame, plans: DataFrame | None) -> DataFrame:
-    """Per-job avoid / focus / prefer_external / seed_hosts (one row per job)."""
-    hosts = seed_hosts(seeds)
+    """Per-job avoid / focus / prefer_external (one row per job with seeds)."""
+    jobs = seeds.select("job_id").distinct()
+    empty = F.array().cast("array<string>")
     if plans is None:
-        return hosts.select("job_id", F.array().cast("array<string>").alias("avoid_patterns"),
-                            F.array().cast("array<string>").alias("focus_patterns"),
-                            F.lit(False).alias("prefer_external"), "seed_hosts")
-    p = plans.select("job_id", F.coalesce("avoid_patterns", F.array().cast("array<string>")).alias("avoid_patterns"),
-                     F.coalesce("focus_patterns", F.array().cast("array<string>")).alias("focus_patterns"),
-                     F.coalesce("prefer_external", F.lit(False)).alias("prefer_external"))
-    return hosts.join(p, "job_id", "left").select(
-        "job_id", F.coalesce("avoid_patterns", F.array().cast("array<string>")).alias("avoid_patterns"),
-        F.coalesce("focus_patterns", F.array().cast("array<string>")).alias("focus_patterns"),
-        F.coalesce("prefer_external", F.lit(False)).alias("prefer_external"), "seed_hosts")
+        return jobs.select("job_id", empty.alias("avoid_patterns"), empty.alias("focus_patterns"),
+                           F.lit(False).alias("prefer_external"))
+    p = plans.select("job_id", "avoid_patterns", "focus_patterns", "prefer_external")
+    return jobs.join(p, "job_id", "left").select(
+        "job_id", F.coalesce("avoid_patterns", empty).alias("avoid_patterns"),
+        F.coalesce("focus_patterns", empty).alias("focus_patterns"),
+        F.coalesce("prefer_external", F.lit(False)).alias("prefer_external"))
+
+
+def score_rows(rows: DataFrame, seeds: DataFrame, plan: DataFrame) -> DataFrame:
+    """C4 on crawl rows: the seed-host test of C2 is an equi-join with the
+    (job, host) set of the seeds, not an array carried per row."""
+    hosts = seed_host_set(seeds).withColumn("_seed_host", F.lit(True))
+    j = (rows.withColumn("host", authority("url")).join(plan, "job_id", "inner")
+         .join(hosts, ["job_id", "host"], "left"))
+    is_seed = F.coalesce(F.col("_seed_host"), F.lit(False))
+    return j.withColumn("score", url_score(F.col("url"), F.col("prefer_external"), is_seed, F.col("focus_patterns"))) \
+        .drop("host", "_seed_host", "avoid_patterns", "focus_patterns", "prefer_external")
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -199,8 +214,7 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
     for lv in visited[1:]:
         walk = walk.unionByName(lv)
     walk = _fetch(walk, store_p)  # one store join for all levels
-    scored = walk.join(plan, "job_id", "inner").withColumn(
-        "score", url_score(F.col("url"), F.col("prefer_external"), F.col("seed_hosts"), F.col("focus_patterns")))
+    scored = score_rows(walk, seeds, plan)
     return scored.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score")
 
 
@@ -208,7 +222,7 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
 
 def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
                     max_depth: int = 3, include_external: bool = True, max_pages: int = 500,
-                    batch: int = 10, max_rounds: int = 1000) -> DataFrame:
+                    batch: int = 10, max_rounds: int | None = None) -> DataFrame:
     """Rounds; each round emits, per seed run, the ``batch`` best
     discovered-but-unexpanded pages by (score desc, depth, path) and expands
     them. -> rows with ``round`` and ``rank_in_round`` (emission order is
@@ -219,16 +233,16 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
     plan = bounded_broadcast(plan_columns(seeds, plans))
 
     def scored(df):
-        return df.join(plan, "job_id", "inner").withColumn(
-            "score", url_score(F.col("url"), F.col("prefer_external"), F.col("seed_hosts"), F.col("focus_patterns"))
-        ).select(*KEY, "depth", "path", "score")
+        return score_rows(df, seeds, plan).select(*KEY, "depth", "path", "score")
 
     start = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
     pending = cut_lineage(scored(start).repartition(n, *KEY))
     emitted: list[DataFrame] = []
     counts: list[DataFrame] = []
     w = Window.partitionBy("job_id", "seed_pos").orderBy(F.desc("score"), "depth", "path")
-    for rnd in range(max_rounds):
+    rnd = -1
+    while max_rounds is None or rnd + 1 < max_rounds:
+        rnd += 1
         ranked = pending.withColumn("rank_in_round", F.row_number().over(w))
         take = ranked.filter(F.col("rank_in_round") <= batch)
         if counts:

@@ -11,7 +11,7 @@ from linkloom.functions.fmt import format_fixed
 from linkloom.functions.html import clean_html, page_text, strip_tags, title_of
 from linkloom.functions.text import snippet
 from linkloom.functions.urls import (authority, avoided_by_default, contains_any, external_first_score, focus_score,
-                                     resolve, url_score)
+                                     in_hosts, resolve, url_score)
 
 
 def one(spark, expr, *values, schema):
@@ -33,10 +33,10 @@ def test_scores(spark):
         ("http://other.example.org/en/x", )], "u string")
     hosts = F.array(F.lit("seed.example.com"))
     focus = F.array(F.lit("/en/"))
-    assert [r[0] for r in df.select(external_first_score("u", hosts, focus)).collect()] == [0.2, 0.5, 0.9, 1.0]
+    assert [r[0] for r in df.select(external_first_score("u", in_hosts("u", hosts), focus)).collect()] == [0.2, 0.5, 0.9, 1.0]
     assert [r[0] for r in df.select(focus_score("u", focus)).collect()] == [0.4, 0.8, 0.4, 0.8]
     none = F.array().cast("array<string>")
-    assert [r[0] for r in df.select(url_score("u", F.lit(False), hosts, none)).collect()] == [0.0] * 4
+    assert [r[0] for r in df.select(url_score("u", F.lit(False), in_hosts("u", hosts), none)).collect()] == [0.0] * 4
 
 
 def test_default_avoid(spark):
