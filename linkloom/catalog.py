@@ -16,6 +16,7 @@ from .functions.text import snippet
 from .operators import pages as P
 from .operators import results as R
 from .sources.derived import results_v
+from .session import spread
 from .sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,33 +27,39 @@ def query(fn):
     return fn
 
 
+def pages_table(spark, d):
+    """The page store, spread over the cores when it has fewer splits (html
+    work is CPU-heavy per row)."""
+    return spread(table(spark, d, "pages"))
+
+
 # ── pages → rows (P1-P5, P8, C1) ────────────────────────────────────────────
 
 @query
 def page_rows(spark, d):
-    return P.page_rows(table(spark, d, "pages"))
+    return P.page_rows(pages_table(spark, d))
 
 
 @query
 def page_text(spark, d):
-    t = P.page_text_only(table(spark, d, "pages"))
+    t = P.page_text_only(pages_table(spark, d))
     return t.select("page_id", F.substring("text", 1, 10_000).alias("text"),
                     F.length("text").cast("long").alias("full_len"))
 
 
 @query
 def page_title(spark, d):
-    return P.page_rows(table(spark, d, "pages")).select("page_id", "title")
+    return P.page_rows(pages_table(spark, d)).select("page_id", "title")
 
 
 @query
 def page_links(spark, d):
-    return P.page_links(table(spark, d, "pages"))
+    return P.page_links(pages_table(spark, d))
 
 
 @query
 def links_resolved(spark, d):
-    links = P.page_links(table(spark, d, "pages"))
+    links = P.page_links(pages_table(spark, d))
     return links.groupBy("page_id").agg(
         F.count("*").alias("links_count"),
         F.count_if("is_internal").alias("internal_count"),
@@ -179,7 +186,7 @@ def job_stats(spark, d):
 @query
 def page_top_focus(spark, d):
     from .functions.urls import focus_score
-    rows = P.page_rows(table(spark, d, "pages"))
+    rows = P.page_rows(pages_table(spark, d))
     scored = rows.withColumn("score", focus_score("url", F.array(F.lit("/en/"))))
     top = scored.orderBy(F.desc("score"), "page_id").limit(10)
     from pyspark.sql import Window
@@ -195,40 +202,40 @@ ORACLE_GOAL = "the of thand reheed thention"
 @query
 def page_blocks(spark, d):
     from .operators.relevance import block_rows
-    return block_rows(table(spark, d, "pages")).select("page_id", "pos", "text")
+    return block_rows(pages_table(spark, d)).select("page_id", "pos", "text")
 
 
 @query
 def bm25_blocks(spark, d):
     from .operators.relevance import bm25_block_rows
-    return bm25_block_rows(table(spark, d, "pages"), ORACLE_GOAL)
+    return bm25_block_rows(pages_table(spark, d), ORACLE_GOAL)
 
 
 @query
 def bm25_fit_text(spark, d):
     from .operators.relevance import bm25_filter
-    return bm25_filter(table(spark, d, "pages"), ORACLE_GOAL).select("page_id", "fit_text", "text")
+    return bm25_filter(pages_table(spark, d), ORACLE_GOAL).select("page_id", "fit_text", "text")
 
 
 @query
 def pruned_blocks(spark, d):
     from .functions.html import CLEANED_TAGS
     from .operators.relevance import prune_block_rows
-    return prune_block_rows(table(spark, d, "pages"), excluded=CLEANED_TAGS)
+    return prune_block_rows(pages_table(spark, d), excluded=CLEANED_TAGS)
 
 
 @query
 def pruned_text(spark, d):
     from .functions.html import CLEANED_TAGS
     from .operators.relevance import pruning_filter
-    return pruning_filter(table(spark, d, "pages"), excluded=CLEANED_TAGS).select(
+    return pruning_filter(pages_table(spark, d), excluded=CLEANED_TAGS).select(
         "page_id", "fit_text", "text", "kept_blocks", "blocks")
 
 
 @query
 def content_none_text(spark, d):
     from .operators.relevance import content_text
-    return content_text(table(spark, d, "pages"), "none").select("page_id", "text")
+    return content_text(pages_table(spark, d), "none").select("page_id", "text")
 
 
 # ── crawl (J1-J8, J10, F3, F6, S2, T6) over the derived link graph ──────────
@@ -239,7 +246,7 @@ def crawl_inputs(spark, d, prefer_external=False, focus=("/en/",), avoid=("/de/"
     plan per job: focus /en/, avoid /de/."""
     from .sources.derived import link_graph, page_count
     n = page_count(spark, d)
-    pages = table(spark, d, "pages")
+    pages = pages_table(spark, d)
     seeds = pages.filter((F.col("page_id") < (n + 9) // 10) | (F.col("page_id") == (n - 1) // 3)).select(
         F.concat(F.lit("job-"), F.regexp_extract("url", "^([a-z]+):", 1)).alias("job_id"),
         F.col("page_id").cast("int").alias("seed_pos"), "url")
@@ -348,7 +355,7 @@ def fetch_schedule(spark, d):
     """J10 over every resolved page link (score: focus /en/)."""
     from .functions.urls import focus_score
     from .operators.crawl import fetch_schedule as fs
-    links = P.page_links(table(spark, d, "pages"))
+    links = P.page_links(pages_table(spark, d))
     urls = links.select(F.col("dst_url").alias("url"), (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
                         focus_score(F.col("dst_url"), F.array(F.lit("/en/"))).alias("score"))
     return fs(urls, 1.0, 3.0).select("url", "seq", "host", "host_rank", "planned_s", "earliest_s", "latest_s")
@@ -492,7 +499,7 @@ def plan_view(spark, d):
 @query
 def extraction_prompts(spark, d):
     from .operators.inference import extraction_prompts as ep
-    pages = table(spark, d, "pages")
+    pages = pages_table(spark, d)
     return ep(pages, goal="find pricing pages", description="navigation links with their targets")
 
 
@@ -500,7 +507,7 @@ def extraction_prompts(spark, d):
 def summary_prompts(spark, d):
     from .operators.inference import summary_prompts as sp
     from .operators.relevance import content_text
-    rows = content_text(table(spark, d, "pages"), "none")
+    rows = content_text(pages_table(spark, d), "none")
     return sp(rows, goal="find pricing pages")
 
 
@@ -517,7 +524,7 @@ def nav_records(spark, d):
     schema = {"name": "nav", "baseSelector": "li",
               "fields": [{"name": "text", "selector": "", "type": "text"},
                          {"name": "href", "selector": "a", "type": "attribute", "attribute": "href"}]}
-    recs = extract_records(table(spark, d, "pages"), schema)
+    recs = extract_records(pages_table(spark, d), schema)
     return recs.select("page_id", "rec_no", F.col("record")["text"].alias("text"), F.col("record")["href"].alias("href"))
 
 
