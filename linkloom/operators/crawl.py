@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import authority, avoided_by_default, contains_any, url_score
-from ..session import cut_lineage
-from .ordinal import ordinal
+from ..session import co_partitioned, cut_lineage, cut_lineage_counted
+from .ordinal import largest_group, ordinal
 
 KEY = ["job_id", "seed_pos", "url"]
 FETCH_FAILED = "fetch_failed"
@@ -121,9 +121,11 @@ def score_rows(rows: DataFrame, seeds: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only when its row count is within ``max_rows``
-    (checked with one count); otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Materialise ``df`` once and broadcast it only when its row count
+    (observed while materialising) is within ``max_rows``; otherwise leave it
+    to a shuffle join."""
+    out, rows = cut_lineage_counted(df)
+    return F.broadcast(out) if rows <= max_rows else out
 
 
 # ── J1, F1, F2, F6: one hop ──────────────────────────────────────────────────
@@ -172,22 +174,14 @@ def _fetch(rows: DataFrame, store_urls: DataFrame) -> DataFrame:
 
 # ── J2, J3, J5: level loop (BFS reach; DFS differs only in order) ───────────
 
-def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
-               max_depth: int = 3, include_external: bool = True, max_pages: int | None = None) -> DataFrame:
-    """Every URL each seed run reaches within ``max_depth``, at its smallest
-    (depth, path). -> job_id, seed_pos, url, depth, path, ok, error, score.
-
-    ``max_pages`` (BFS only) stops expanding a seed once it has that many
-    successful rows: later levels come after them in BFS order and would be
-    cut by the budget anyway.
-    """
-    links_p = prepare_links(links, n := crawl_partitions(links))
-    store_p = prepare_store(store, n)
-    plan = bounded_broadcast(plan_columns(seeds, plans))
-
+def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages) -> list[DataFrame]:
+    """The level loop; runs inside ``co_partitioned(n)``: the min-path
+    aggregate's exchange is the (job, seed, url) hash partitioning of the
+    visited levels, so the anti-joins below it move nothing, and the frontier
+    joins the url-partitioned links and store without moving them."""
     level = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
     keyed = cut_lineage(level.repartition(n, *KEY))
-    visited = [keyed]  # hash-partitioned by KEY: the anti-joins below never move them
+    visited = [keyed]
     counts = []
     for _d in range(1, max_depth + 1):
         level = _fetch(keyed, store_p)  # lazy: recomputed from two checkpoints
@@ -206,10 +200,28 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
         new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
         for old in visited:
             new = new.join(old.select(*KEY), KEY, "left_anti")
-        keyed = cut_lineage(new.repartition(n, *KEY))
-        if keyed.isEmpty():
+        keyed, n_new = cut_lineage_counted(new)
+        if n_new == 0:
             break
         visited.append(keyed)
+    return visited
+
+
+def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
+               max_depth: int = 3, include_external: bool = True, max_pages: int | None = None) -> DataFrame:
+    """Every URL each seed run reaches within ``max_depth``, at its smallest
+    (depth, path). -> job_id, seed_pos, url, depth, path, ok, error, score.
+
+    ``max_pages`` (BFS only) stops expanding a seed once it has that many
+    successful rows: later levels come after them in BFS order and would be
+    cut by the budget anyway.
+    """
+    n = crawl_partitions(links)
+    plan = bounded_broadcast(plan_columns(seeds, plans))
+    with co_partitioned(seeds.sparkSession, n):
+        links_p = prepare_links(links, n)
+        store_p = prepare_store(store, n)
+        visited = _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages)
     walk = visited[0]
     for lv in visited[1:]:
         walk = walk.unionByName(lv)
@@ -228,9 +240,23 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
     them. -> rows with ``round`` and ``rank_in_round`` (emission order is
     (seed_pos, round, rank_in_round)). Per round: one per-seed top-k
     (window group limit), two checkpoints (the emitted batch, the pending set)."""
-    links_p = prepare_links(links, n := crawl_partitions(links))
-    store_p = prepare_store(store, n)
+    n = crawl_partitions(links)
     plan = bounded_broadcast(plan_columns(seeds, plans))
+    with co_partitioned(seeds.sparkSession, n):
+        emitted = _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external, max_pages, batch,
+                                    max_rounds)
+    if not emitted:
+        return seeds.limit(0)
+    out = emitted[0]
+    for e in emitted[1:]:
+        out = out.unionByName(e)
+    return out.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score", "round", "rank_in_round")
+
+
+def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external, max_pages, batch,
+                      max_rounds) -> list[DataFrame]:
+    links_p = prepare_links(links, n)
+    store_p = prepare_store(store, n)
 
     def scored(df):
         return score_rows(df, seeds, plan).select(*KEY, "depth", "path", "score")
@@ -252,8 +278,8 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
             full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
                     .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
             take = take.join(full, ["job_id", "seed_pos"], "left_anti")
-        take = cut_lineage(_fetch(take.withColumn("round", F.lit(rnd)), store_p))
-        if take.isEmpty():
+        take, n_take = cut_lineage_counted(_fetch(take.withColumn("round", F.lit(rnd)), store_p))
+        if n_take == 0:
             break
         emitted.append(take)
         counts.append(take.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
@@ -266,12 +292,7 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
             new = new.join(old.select(*KEY), KEY, "left_anti")
         rest = ranked.filter(F.col("rank_in_round") > batch).drop("rank_in_round")
         pending = cut_lineage(rest.unionByName(scored(new)).repartition(n, *KEY))
-    if not emitted:
-        return seeds.limit(0)
-    out = emitted[0]
-    for e in emitted[1:]:
-        out = out.unionByName(e)
-    return out.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score", "round", "rank_in_round")
+    return emitted
 
 
 # ── J7, F3, W1: budget ──────────────────────────────────────────────────────
@@ -291,9 +312,11 @@ def page_budget(rows: DataFrame, order: list, max_pages: int, score_threshold: f
     pages_done >= max_pages stops the job. Returns the emitted rows with
     ``pages_done`` and ``budget_hit``."""
     ok = F.col("ok").cast("int")
-    per_seed = ordinal(rows, order, by=["job_id", "seed_pos"], name="_seed_rn", running=ok, running_name="_seed_ok")
+    biggest = largest_group(rows, ["job_id"])  # a seed run is never larger than its job: one check for both
+    per_seed = ordinal(rows, order, by=["job_id", "seed_pos"], name="_seed_rn", running=ok, running_name="_seed_ok",
+                       group_rows=biggest)
     capped = per_seed.filter((F.col("_seed_ok") - ok) < max_pages).drop("_seed_rn", "_seed_ok")
-    numbered = ordinal(capped, order, by=["job_id"], name="pages_done")
+    numbered = ordinal(capped, order, by=["job_id"], name="pages_done", group_rows=biggest)
     emitted = (F.col("score") >= F.lit(score_threshold)) if score_threshold > 0 else F.lit(True)
     numbered = numbered.withColumn("_emitted", emitted)
     stops = (numbered.filter(F.col("_emitted") & (F.col("pages_done") >= max_pages))

@@ -40,11 +40,15 @@ BOOL_TRUE = ("true", "1", "yes")
 BOOL_FALSE = ("false", "0", "no")
 
 
-def read_job_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_job_requests(requests: DataFrame, new_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """S3: (accepted jobs with defaults applied and status 'pending',
-    rejected requests with error 'seed_urls required')."""
+    rejected requests with error 'seed_urls required'). ``new_ids`` gives
+    every request a fresh uuid (the reference's behaviour); by default a
+    supplied ``job_id`` is kept, for reproducible runs."""
     seeds = F.coalesce(F.col("seed_urls"), F.array().cast("array<string>"))
     cfg = [F.coalesce(F.col(k), F.lit(v).cast(t)).alias(k) for k, v, t in JOB_DEFAULTS]
+    if new_ids or "job_id" not in requests.columns:
+        requests = requests.withColumn("job_id", F.expr("uuid()"))
     jobs = requests.select("job_id", F.coalesce(F.col("goal"), F.lit("")).alias("goal"), seeds.alias("seed_urls"), *cfg)
     has_seeds = F.size("seed_urls") > 0
     accepted = jobs.filter(has_seeds).withColumn("status", F.lit("pending"))

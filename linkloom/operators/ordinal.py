@@ -39,12 +39,14 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 def ordinal(df: DataFrame, order_by: Sequence, by: Sequence[str] = (), name: str = "rn",
             running: Column | None = None, running_name: str | None = None,
-            max_group_rows: int | None = None, num_partitions: int | None = None) -> DataFrame:
+            max_group_rows: int | None = None, num_partitions: int | None = None,
+            group_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row within its ``by`` group in
     ``order_by`` order (give a total order for a stable answer).
 
     ``running`` (optional numeric Column) adds ``running_name`` = its running
-    sum in the same order, current row included.
+    sum in the same order, current row included. ``group_rows`` is a known
+    upper bound of the largest group's size (skips the check).
     """
     spark = df.sparkSession
     bound = max_group_rows if max_group_rows is not None else int(
@@ -53,7 +55,7 @@ def ordinal(df: DataFrame, order_by: Sequence, by: Sequence[str] = (), name: str
     rname = running_name or f"{name}_running"
     work = df.withColumn("_ord_w", running.cast("long")) if running is not None else df
 
-    if largest_group(df, by) <= bound:
+    if (group_rows if group_rows is not None else largest_group(df, by)) <= bound:
         w = Window.partitionBy(*by).orderBy(*order)
         out = work.withColumn(name, F.row_number().over(w).cast("long"))
         if running is not None:

@@ -15,6 +15,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -64,3 +65,36 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` plus the row count, observed during the same job."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    obs = Observation()
+    out = cut_lineage(df.observe(obs, F.count(F.lit(1)).alias("n")))
+    return out, int(obs.get["n"])
+
+
+class co_partitioned:
+    """``with co_partitioned(spark, n):`` run eager steps with
+    ``spark.sql.shuffle.partitions = n`` and adaptive execution off (both
+    restored on exit). Checkpoints taken inside keep their hash partitioning
+    (an adaptive plan reports an unknown one), and every exchange uses the
+    same ``n``, so joins between such tables move nothing."""
+
+    def __init__(self, spark: SparkSession, n: int):
+        self.spark, self.n = spark, n
+
+    def __enter__(self):
+        c = self.spark.conf
+        self.old = (c.get("spark.sql.shuffle.partitions"), c.get("spark.sql.adaptive.enabled"))
+        c.set("spark.sql.shuffle.partitions", str(self.n))
+        c.set("spark.sql.adaptive.enabled", "false")
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old[0])
+        self.spark.conf.set("spark.sql.adaptive.enabled", self.old[1])
+        return False
