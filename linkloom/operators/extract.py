@@ -134,8 +134,8 @@ def select(scope: _Node, selector: str) -> list[_Node]:
         comb, simple = steps[i]
         if not _matches(node, simple):
             return False
-        if i == 0:
-            return True
+        if i == 0:  # a leading '>' means a direct child of the scope
+            return comb != ">" or node.parent is scope
         p = node.parent
         if steps[i][0] == ">":
             return p is not None and p is not scope and ok(p, i - 1)
