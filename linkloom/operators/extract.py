@@ -187,7 +187,8 @@ def extract_records(pages: DataFrame, schema: dict) -> DataFrame:
                     ids.append(pid)
                     nos.append(i)
                     recs.append({k: r.get(k) for k in names})
-            yield pd.DataFrame({"page_id": ids, "rec_no": nos, "record": recs})
+            if ids:  # an empty frame cannot be typed as map<string,string>
+                yield pd.DataFrame({"page_id": ids, "rec_no": nos, "record": recs})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, rec_no long, record map<string,string>")
 
