@@ -40,8 +40,10 @@ def summarize(rows: DataFrame, make_fn: Callable[[], Callable[[list[str], list[s
     Arrow batch (the client is made once per partition). Rows that already
     have a summary or have no text are passed through when ``only_missing``.
     Adds ``had_summary`` for A4. A failing batch or an empty answer → ''."""
-    schema = rows.schema.add("had_summary", "boolean")
+    from pyspark.sql.types import BooleanType, StructField, StructType
+
     cols = rows.columns
+    schema = StructType(list(rows.schema.fields) + [StructField("had_summary", BooleanType())])  # not .add: it mutates
 
     def run(batches: Iterator):
         fn = make_fn()
