@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from linkloom.operators.jobs import done_events, job_status, running_stats
 from linkloom.schemas import CRAWL_EVENTS
 from linkloom.sources.files import read_events
-from linkloom.streaming.events import (follow, job_status_stream, on_page, running_stats_stream, stream_dedupe,
-                                       terminal_events)
+from linkloom.streaming.events import (deduped, follow, job_status_stream, on_page, running_stats_stream,
+                                       stream_dedupe, terminal_events)
 
 
 def write_events(tmp, spark, sf):
@@ -70,5 +70,5 @@ def test_stream_dedupe(spark, tmp):
     stream = spark.readStream.schema("seq long, url string, error string, score double").option("maxFilesPerTrigger", 1).json(src)
     out = os.path.join(tmp, "dedup")
     stream_dedupe(stream, out, os.path.join(tmp, "ck_d"), available_now=True).awaitTermination()
-    got = sorted((r["url"], r["seq"]) for r in spark.read.parquet(out).collect())
+    got = sorted((r["url"], r["seq"]) for r in deduped(spark, out).collect())
     assert got == [("u0", 4), ("u1", 1), ("u2", 2), ("u3", 3)]
