@@ -128,6 +128,36 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(out) if rows <= max_rows else out
 
 
+# ── hot keys ────────────────────────────────────────────────────────────────
+
+HOT_KEY_ROWS = 1_000_000  # rows of one url in one step before it is split
+SALTS = 64
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str, left_rows: int,
+                   salt_cols: list, hot_rows: int | None = None, salts: int | None = None) -> DataFrame:
+    """``left.join(right, key, how)`` where a key holding more than
+    ``hot_rows`` left rows is split: its left rows get a salt from
+    ``salt_cols`` and its right rows are replicated once per salt, so a hub
+    URL reached by millions of seed runs is spread over ``salts`` tasks.
+    Keys under the bound keep the plain (co-partitioned) join. ``left_rows``
+    (an observed count) bounds the number of hot keys by left_rows / hot_rows;
+    when it is under ``hot_rows`` no key can be hot and nothing is added."""
+    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    salts = SALTS if salts is None else salts
+    if left_rows <= hot_rows:
+        return left.join(right, key, how)
+    hot = left.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
+    if left_rows // max(hot_rows, 1) <= 1_000_000:  # proven bound on the hot-key table
+        hot = F.broadcast(hot)
+    cold = left.join(hot, key, "left_anti").join(right, key, how)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)).cast("int")
+    hot_left = left.join(hot, key, "left_semi").withColumn("_salt", salt)
+    hot_right = right.join(hot, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot_part = hot_left.join(hot_right, [key, "_salt"], how).drop("_salt")
+    return cold.unionByName(hot_part)
+
+
 # ── J1, F1, F2, F6: one hop ──────────────────────────────────────────────────
 
 def url_allowed(url: Column, avoid: Column) -> Column:
@@ -136,10 +166,13 @@ def url_allowed(url: Column, avoid: Column) -> Column:
 
 
 def expand_frontier(frontier: DataFrame, links: DataFrame, plan: DataFrame | None = None,
-                    include_external: bool = True) -> DataFrame:
+                    include_external: bool = True, frontier_rows: int = 0) -> DataFrame:
     """J1 (+F1, F2, F6): out-links of fetched frontier pages, depth + 1, path
-    extended by the link position. Seeds skip the filter; links don't."""
-    hop = frontier.join(links, frontier["url"] == links["src_url"], "inner")
+    extended by the link position. Seeds skip the filter; links don't.
+    ``frontier_rows`` (an upper bound of the frontier's size) enables the
+    hot-URL split of the link join."""
+    hop = hot_split_join(frontier, links.withColumnRenamed("src_url", "url"), "url", "inner", frontier_rows,
+                         ["job_id", "seed_pos"])
     cand = hop.select(
         "job_id", "seed_pos", F.col("dst_url").alias("url"), (F.col("depth") + 1).alias("depth"),
         F.concat(F.col("path"), F.array(F.col("pos").cast("int"))).alias("path"), "is_internal")
@@ -165,9 +198,9 @@ def prepare_store(store: DataFrame, n: int) -> DataFrame:
     return cut_lineage(store.select("url").distinct().repartition(n, "url").withColumn("_in_store", F.lit(True)))
 
 
-def _fetch(rows: DataFrame, store_urls: DataFrame) -> DataFrame:
-    """S2 on the URL set: ok flag and error code per row."""
-    j = rows.join(store_urls, "url", "left")
+def _fetch(rows: DataFrame, store_urls: DataFrame, n_rows: int = 0) -> DataFrame:
+    """S2 on the URL set: ok flag and error code per row (hot URLs split)."""
+    j = hot_split_join(rows, store_urls, "url", "left", n_rows, ["job_id", "seed_pos"])
     ok = F.coalesce(F.col("_in_store"), F.lit(False))
     return j.withColumn("ok", ok).withColumn("error", F.when(ok, F.lit("")).otherwise(F.lit(FETCH_FAILED))).drop("_in_store")
 
@@ -180,11 +213,12 @@ def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external,
     visited levels, so the anti-joins below it move nothing, and the frontier
     joins the url-partitioned links and store without moving them."""
     level = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
-    keyed = cut_lineage(level.repartition(n, *KEY))
+    keyed, n_rows = cut_lineage_counted(level.repartition(n, *KEY))
     visited = [keyed]
+    total = n_rows
     counts = []
     for _d in range(1, max_depth + 1):
-        level = _fetch(keyed, store_p)  # lazy: recomputed from two checkpoints
+        level = _fetch(keyed, store_p, n_rows)  # lazy: recomputed from two checkpoints
         frontier = level.filter("ok").select("job_id", "seed_pos", "url", "depth", "path")
         if max_pages is not None:
             counts.append(level.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
@@ -194,17 +228,18 @@ def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external,
             full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
                     .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
             frontier = frontier.join(full, ["job_id", "seed_pos"], "left_anti")
-        cand = expand_frontier(frontier, links_p, plan, include_external)
+        cand = expand_frontier(frontier, links_p, plan, include_external, n_rows)
         # Min (depth, path) per (job, seed, url); partial aggregate before the shuffle
         new = cand.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
         new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
         for old in visited:
             new = new.join(old.select(*KEY), KEY, "left_anti")
-        keyed, n_new = cut_lineage_counted(new)
-        if n_new == 0:
+        keyed, n_rows = cut_lineage_counted(new)
+        if n_rows == 0:
             break
         visited.append(keyed)
-    return visited
+        total += n_rows
+    return visited, total
 
 
 def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
@@ -221,11 +256,11 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
     with co_partitioned(seeds.sparkSession, n):
         links_p = prepare_links(links, n)
         store_p = prepare_store(store, n)
-        visited = _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages)
+        visited, total = _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages)
     walk = visited[0]
     for lv in visited[1:]:
         walk = walk.unionByName(lv)
-    walk = _fetch(walk, store_p)  # one store join for all levels
+    walk = _fetch(walk, store_p, total)  # one store join for all levels
     scored = score_rows(walk, seeds, plan)
     return scored.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score")
 
@@ -262,7 +297,7 @@ def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external,
         return score_rows(df, seeds, plan).select(*KEY, "depth", "path", "score")
 
     start = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
-    pending = cut_lineage(scored(start).repartition(n, *KEY))
+    pending, n_pending = cut_lineage_counted(scored(start).repartition(n, *KEY))
     emitted: list[DataFrame] = []
     counts: list[DataFrame] = []
     w = Window.partitionBy("job_id", "seed_pos").orderBy(F.desc("score"), "depth", "path")
@@ -278,20 +313,20 @@ def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external,
             full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
                     .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
             take = take.join(full, ["job_id", "seed_pos"], "left_anti")
-        take, n_take = cut_lineage_counted(_fetch(take.withColumn("round", F.lit(rnd)), store_p))
+        take, n_take = cut_lineage_counted(_fetch(take.withColumn("round", F.lit(rnd)), store_p, n_pending))
         if n_take == 0:
             break
         emitted.append(take)
         counts.append(take.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
         frontier = take.filter(F.col("ok") & (F.col("depth") < max_depth)).select("job_id", "seed_pos", "url", "depth", "path")
-        cand = expand_frontier(frontier, links_p, plan, include_external)
+        cand = expand_frontier(frontier, links_p, plan, include_external, n_take)
         new = cand.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
         new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
         # discovered so far = this round's pending set + every earlier batch
         for old in [pending] + emitted[:-1]:
             new = new.join(old.select(*KEY), KEY, "left_anti")
         rest = ranked.filter(F.col("rank_in_round") > batch).drop("rank_in_round")
-        pending = cut_lineage(rest.unionByName(scored(new)).repartition(n, *KEY))
+        pending, n_pending = cut_lineage_counted(rest.unionByName(scored(new)).repartition(n, *KEY))
     return emitted
 
 
