@@ -587,3 +587,18 @@ def session_append(spark, d):
     r = results_v(spark, d).select("seq", "url", "error")
     again = r.filter(F.col("error") != "").select("seq", "url", F.lit("").alias("error"))
     return append_session(r, again)
+
+
+# ── documents: BM25 over paragraphs (B2), offline summaries (L4) ───────────
+
+@query
+def doc_bm25(spark, d):
+    from .operators.relevance import text_bm25
+    return text_bm25(spread(table(spark, d, "documents")), ORACLE_GOAL)
+
+
+@query
+def doc_summaries(spark, d):
+    from .operators.inference import extractive_summaries
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text")
+    return extractive_summaries(docs, "find pricing pages for software plans", n=3).select("doc_id", "summary_text")

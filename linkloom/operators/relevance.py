@@ -152,3 +152,22 @@ def content_text(pages: DataFrame, content_filter: str = "bm25", goal: str = "",
         return pages.select("page_id", "url", F.lit(None).cast("string").alias("fit_text"),
                             page_text(html=clean_html("html")).alias("text"))
     raise ValueError("content_filter must be bm25, pruning or none")
+
+
+def paragraphs(text) -> Column:
+    """Blocks of a plain text: its lines, trimmed of spaces, non-empty."""
+    t = F.col(text) if isinstance(text, str) else text
+    lines = F.transform(F.split(F.coalesce(t, F.lit("")), "\n"), lambda line: F.struct(F.trim(line).alias("text")))
+    return F.filter(lines, lambda b: b["text"] != "")
+
+
+def text_bm25(docs: DataFrame, goal, key: str = "doc_id", threshold: float = BM25_THRESHOLD) -> DataFrame:
+    """B2 over plain texts (corpus = a text's own paragraphs): per text the
+    paragraph count, kept count, fit-text length and best score."""
+    df = with_bm25(docs.select(key, paragraphs("text").alias("_b")), "_b", goal_terms(goal), "_s")
+    kept = F.filter(F.arrays_zip(F.col("_b").alias("b"), F.col("_s").alias("s")),
+                    lambda z: F.round(z["s"], 4) >= F.lit(threshold))
+    return df.select(
+        key, F.size("_b").cast("long").alias("paragraphs"), F.size(kept).cast("long").alias("kept"),
+        F.length(F.array_join(F.transform(kept, lambda z: z["b"]["text"]), "\n")).cast("long").alias("fit_len"),
+        F.round(F.array_max("_s"), 4).alias("best"))

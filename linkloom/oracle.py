@@ -575,3 +575,23 @@ SQL["session_append"] = f"""WITH {RESULTS_V}, m AS (SELECT max(seq) AS s FROM re
 SELECT seq, url, error FROM results_v
 UNION ALL
 SELECT m.s + row_number() OVER (ORDER BY r.seq) AS seq, r.url, '' AS error FROM results_v r, m WHERE r.error <> ''"""
+
+SQL["doc_bm25"] = f"""WITH dl AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+du AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM dl),
+bl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(line) AS text FROM du WHERE trim(line) <> ''),
+tk AS (SELECT doc_id, pos, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS toks FROM bl),
+st AS (SELECT doc_id, count(*) AS nb, avg(len(toks)) AS avgdl FROM tk GROUP BY doc_id),
+qt AS (SELECT unnest({GOAL_TERMS}) AS term),
+tf AS (SELECT tk.doc_id, tk.pos, qt.term, len(list_filter(tk.toks, lambda x: x = qt.term)) AS tf, len(tk.toks) AS dl
+  FROM tk CROSS JOIN qt),
+dfq AS (SELECT doc_id, term, count(*) FILTER (WHERE tf > 0) AS n FROM tf GROUP BY doc_id, term),
+sc AS (SELECT tf.doc_id, tf.pos,
+  coalesce(sum(CASE WHEN tf.tf > 0 THEN ln((st.nb - dfq.n + 0.5) / (dfq.n + 0.5) + 1) * tf.tf * 2.5
+    / (tf.tf + 1.5 * (0.25 + 0.75 * coalesce(tf.dl / nullif(st.avgdl, 0), 0))) ELSE 0 END), 0) AS s
+  FROM tf JOIN st USING (doc_id) JOIN dfq USING (doc_id, term) GROUP BY tf.doc_id, tf.pos),
+scored AS (SELECT tk.doc_id, tk.pos, tk.text, coalesce(sc.s, 0) AS s FROM tk LEFT JOIN sc USING (doc_id, pos)),
+agg AS (SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (WHERE {r4('s')} >= 1.2) AS kept,
+  length(coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE {r4('s')} >= 1.2), '')) AS fit_len,
+  {r4('max(s)')} AS best FROM scored GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a.paragraphs, 0) AS paragraphs, coalesce(a.kept, 0) AS kept,
+  CAST(coalesce(a.fit_len, 0) AS BIGINT) AS fit_len, a.best FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id"""

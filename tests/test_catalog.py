@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 
 TABLES = "customer events documents pages".split()
-ROWS_ONLY = {"crawl_bestfirst", "job_view"}
+ROWS_ONLY = {"crawl_bestfirst", "job_view", "doc_summaries"}
 
 
 def norm(v):
