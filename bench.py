@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "page_top_focus", "page_rows", "page_links", "bm25_fit_text", "pruned_text", "nav_records",
+    "page_top_focus", "page_rows", "page_links", "bm25_fit_text", "pruned_text", "nav_records", "doc_bm25",
     "crawl_bfs", "crawl_dfs", "crawl_bestfirst", "crawl_budget",
     "top_results_score", "dedupe_first", "pages_done", "paginate_results", "progress_lines", "export_md_rows",
     "error_breakdown", "job_defaults", "config_violations", "plans_parsed", "job_status", "fetch_schedule",

@@ -62,10 +62,13 @@ def _parts(spark) -> int:
 
 def crawl_partitions(links: DataFrame, rows_per_partition: int = LINK_ROWS_PER_PARTITION) -> int:
     """Partitions for the crawl's co-partitioned tables: enough for
-    ``rows_per_partition`` link rows each, at most spark.sql.shuffle.partitions
-    (all levels must use the same number to stay co-partitioned)."""
+    ``rows_per_partition`` link rows each and at least one per core, at most
+    spark.sql.shuffle.partitions (all levels use the same number so that they
+    stay co-partitioned)."""
+    spark = links.sparkSession
     n_links = links.count()
-    return max(1, min(_parts(links.sparkSession), -(-n_links // rows_per_partition)))
+    want = max(spark.sparkContext.defaultParallelism, -(-n_links // rows_per_partition))
+    return max(1, min(_parts(spark), want))
 
 
 # ── J6, A6: seeds and plan columns ───────────────────────────────────────────
@@ -135,16 +138,21 @@ SALTS = 64
 
 
 def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str, left_rows: int,
-                   salt_cols: list, hot_rows: int | None = None, salts: int | None = None) -> DataFrame:
+                   salt_cols: list, hot_rows: int | None = None, salts: int | None = None,
+                   build_left: bool = False) -> DataFrame:
     """``left.join(right, key, how)`` where a key holding more than
     ``hot_rows`` left rows is split: its left rows get a salt from
     ``salt_cols`` and its right rows are replicated once per salt, so a hub
     URL reached by millions of seed runs is spread over ``salts`` tasks.
     Keys under the bound keep the plain (co-partitioned) join. ``left_rows``
     (an observed count) bounds the number of hot keys by left_rows / hot_rows;
-    when it is under ``hot_rows`` no key can be hot and nothing is added."""
+    when it is under ``hot_rows`` no key can be hot and nothing is added.
+    ``build_left`` hashes the (small) left side per partition so the right
+    side streams through unsorted."""
     hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     salts = SALTS if salts is None else salts
+    if build_left:
+        left = left.hint("shuffle_hash")
     if left_rows <= hot_rows:
         return left.join(right, key, how)
     hot = left.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
@@ -172,7 +180,7 @@ def expand_frontier(frontier: DataFrame, links: DataFrame, plan: DataFrame | Non
     ``frontier_rows`` (an upper bound of the frontier's size) enables the
     hot-URL split of the link join."""
     hop = hot_split_join(frontier, links.withColumnRenamed("src_url", "url"), "url", "inner", frontier_rows,
-                         ["job_id", "seed_pos"])
+                         ["job_id", "seed_pos"], build_left=True)
     cand = hop.select(
         "job_id", "seed_pos", F.col("dst_url").alias("url"), (F.col("depth") + 1).alias("depth"),
         F.concat(F.col("path"), F.array(F.col("pos").cast("int"))).alias("path"), "is_internal")
@@ -190,12 +198,13 @@ def prepare_links(links: DataFrame, n: int) -> DataFrame:
     """Hash-partition the link table by src_url once (and cut its lineage),
     so every level's join shuffles only the frontier."""
     l2 = links.select("src_url", "dst_url", F.col("pos").cast("int").alias("pos"), "is_internal")
-    return cut_lineage(l2.repartition(n, "src_url"))
+    return cut_lineage(l2.repartition(n, "src_url").sortWithinPartitions("src_url"))
 
 
 def prepare_store(store: DataFrame, n: int) -> DataFrame:
     """The store's distinct URL set, hash-partitioned by url."""
-    return cut_lineage(store.select("url").distinct().repartition(n, "url").withColumn("_in_store", F.lit(True)))
+    urls = store.select("url").distinct().repartition(n, "url").sortWithinPartitions("url")
+    return cut_lineage(urls.withColumn("_in_store", F.lit(True)))
 
 
 def _fetch(rows: DataFrame, store_urls: DataFrame, n_rows: int = 0) -> DataFrame:
@@ -213,7 +222,7 @@ def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external,
     visited levels, so the anti-joins below it move nothing, and the frontier
     joins the url-partitioned links and store without moving them."""
     level = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
-    keyed, n_rows = cut_lineage_counted(level.repartition(n, *KEY))
+    keyed, n_rows = cut_lineage_counted(level.repartition(n, *KEY).sortWithinPartitions(*KEY))
     visited = [keyed]
     total = n_rows
     counts = []

@@ -79,22 +79,30 @@ def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 class co_partitioned:
     """``with co_partitioned(spark, n):`` run eager steps with
-    ``spark.sql.shuffle.partitions = n`` and adaptive execution off (both
+    ``spark.sql.shuffle.partitions = n`` and adaptive execution off (all
     restored on exit). Checkpoints taken inside keep their hash partitioning
-    (an adaptive plan reports an unknown one), and every exchange uses the
-    same ``n``, so joins between such tables move nothing."""
+    and sort order (an adaptive plan reports unknown ones), and every
+    exchange uses the same ``n``, so joins between such tables move nothing.
+    The runtime bloom filter is off too: it would scan the store's URL set
+    at every step to build a filter too small for it."""
+
+    SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled",
+                "spark.sql.optimizer.runtime.bloomFilter.enabled")
 
     def __init__(self, spark: SparkSession, n: int):
         self.spark, self.n = spark, n
 
     def __enter__(self):
         c = self.spark.conf
-        self.old = (c.get("spark.sql.shuffle.partitions"), c.get("spark.sql.adaptive.enabled"))
-        c.set("spark.sql.shuffle.partitions", str(self.n))
-        c.set("spark.sql.adaptive.enabled", "false")
+        self.old = [c.get(k, None) for k in self.SETTINGS]
+        for k, v in zip(self.SETTINGS, (str(self.n), "false", "false")):
+            c.set(k, v)
         return self
 
     def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.old[0])
-        self.spark.conf.set("spark.sql.adaptive.enabled", self.old[1])
+        for k, v in zip(self.SETTINGS, self.old):
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
         return False
