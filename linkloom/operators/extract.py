@@ -15,6 +15,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -190,6 +192,7 @@ def extract_records(pages: DataFrame, schema: dict) -> DataFrame:
             if ids:  # an empty frame cannot be typed as map<string,string>
                 yield pd.DataFrame({"page_id": ids, "rec_no": nos, "record": recs})
 
+    ship_package(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, rec_no long, record map<string,string>")
 
 
@@ -201,6 +204,7 @@ def extracted_json(pages: DataFrame, schema: dict) -> DataFrame:
             out = [json.dumps(extract_from_html(h, schema), ensure_ascii=False) for h in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"], "extracted_content": out})
 
+    ship_package(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, extracted_content string")
 
 

@@ -63,6 +63,9 @@ def summarize(rows: DataFrame, make_fn: Callable[[], Callable[[list[str], list[s
             pdf["had_summary"] = had | ~want
             yield pdf
 
+    from ..session import ship_package
+
+    ship_package(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 

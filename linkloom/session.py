@@ -106,3 +106,22 @@ class co_partitioned:
             else:
                 self.spark.conf.set(k, v)
         return False
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``linkloom`` importable in the Python workers of this
+    application (``addPyFile`` of a zip of the package, once per app).
+    Needed by the operators that run Python inside tasks."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="linkloom-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "linkloom"), "zip", os.path.dirname(pkg), "linkloom")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)

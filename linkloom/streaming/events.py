@@ -82,6 +82,9 @@ def _done(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
 def terminal_events(events: DataFrame) -> DataFrame:
     """One 'done' event per job once its latest status is terminal
     (state per job: last status and a done flag; append mode)."""
+    from ..session import ship_package
+
+    ship_package(events.sparkSession)
     return events.groupBy("job_id").applyInPandasWithState(
         _done, DONE_SCHEMA, DONE_STATE, "append", GroupStateTimeout.NoTimeout)
 
