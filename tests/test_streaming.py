@@ -72,3 +72,19 @@ def test_stream_dedupe(spark, tmp):
     stream_dedupe(stream, out, os.path.join(tmp, "ck_d"), available_now=True).awaitTermination()
     got = sorted((r["url"], r["seq"]) for r in deduped(spark, out).collect())
     assert got == [("u0", 4), ("u1", 1), ("u2", 2), ("u3", 3)]
+
+
+def test_append_events_log(spark, tmp, sf):
+    """Events appended to the JSON log read back (S4) as they went in."""
+    from linkloom.streaming.events import append_events
+    ev, src = write_events(tmp, spark, sf)
+    stream = spark.readStream.schema(CRAWL_EVENTS).json(os.path.join(src, "*"))
+    log = os.path.join(tmp, "log")
+    append_events(stream, log, os.path.join(tmp, "ck_log"), available_now=True).awaitTermination()
+    back = read_events(spark, log)
+    cols = ["job_id", "seq", "event", "status", "error", "url"]
+    assert sorted(tuple(r) for r in back.select(*cols).collect()) == sorted(tuple(r) for r in ev.select(*cols).collect())
+    stamped = spark.readStream.schema(CRAWL_EVENTS).json(os.path.join(src, "*")).drop("ts")
+    log2 = os.path.join(tmp, "log2")
+    append_events(stamped, log2, os.path.join(tmp, "ck_log2"), available_now=True).awaitTermination()
+    assert read_events(spark, log2).filter("ts is null").count() == 0
