@@ -31,3 +31,22 @@ def page_links(pages: DataFrame) -> DataFrame:
 def page_text_only(pages: DataFrame) -> DataFrame:
     """P1+P2: text of the cleaned page, whitespace collapsed, uncut."""
     return pages.select("page_id", strip_tags(clean_html("html")).alias("text"))
+
+
+def page_meta(df: DataFrame, meta_title: str = "meta_title", result_title: str = "result_title",
+              depth: str = "depth", status_code: str = "status_code", score: str = "score",
+              extracted: str = "extracted_content") -> DataFrame:
+    """P8 on fetched-page rows: title = metadata title, else the result's
+    title, else ''; depth and status default 0; score = |score| (default
+    0.0); extracted content default ''. Missing columns count as absent."""
+    def col(name, default):
+        return F.col(name) if name in df.columns else F.lit(default)
+
+    return df.withColumns({
+        "title": F.coalesce(F.nullif(col(meta_title, None).cast("string"), F.lit("")),
+                            F.nullif(col(result_title, None).cast("string"), F.lit("")), F.lit("")),
+        "depth": F.coalesce(col(depth, None).cast("int"), F.lit(0)),
+        "status_code": F.coalesce(col(status_code, None).cast("int"), F.lit(0)),
+        "score": F.abs(F.coalesce(col(score, None).cast("double"), F.lit(0.0))),
+        "extracted_content": F.coalesce(col(extracted, None).cast("string"), F.lit("")),
+    })

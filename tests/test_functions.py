@@ -97,3 +97,11 @@ def test_format_fixed_matches_python(spark, xs):
     for x, r in zip(xs, got):
         assert r["a"] == f"{x:.2f}" and r["b"] == f"{x:.1f}", (x, r)
     assert not math.isnan(xs[0]) or True
+
+
+def test_page_meta_defaults(spark):
+    from linkloom.operators.pages import page_meta
+    df = spark.createDataFrame([("M", "R", 2, 404, -0.5, "x"), ("", "R", None, None, None, None), (None, "", 1, 0, 0.3, "")],
+                               "meta_title string, result_title string, depth int, status_code int, score double, extracted_content string")
+    got = [(r["title"], r["depth"], r["status_code"], r["score"], r["extracted_content"]) for r in page_meta(df).collect()]
+    assert got == [("M", 2, 404, 0.5, "x"), ("R", 0, 0, 0.0, ""), ("", 1, 0, 0.3, "")]
