@@ -105,31 +105,32 @@ def progress_lines(spark, d):
 
 @query
 def top_results_score(spark, d):
-    t = R.top_results(results_v(spark, d), n=10, sort="score")
+    t = R.top_results(results_v(spark, d), n=10, sort="score", columns=["url"])
     return t.select("rank", "seq", "url", "score", "depth")
 
 
 @query
 def top_results_depth(spark, d):
-    t = R.top_results(results_v(spark, d), n=25, sort="depth")
+    t = R.top_results(results_v(spark, d), n=25, sort="depth", columns=["url"])
     return t.select("rank", "seq", "url", "score", "depth")
 
 
 @query
 def min_score_results(spark, d):
-    t = R.top_results(results_v(spark, d), n=50, min_score_value=0.8, sort="score")
+    t = R.top_results(results_v(spark, d), n=50, min_score_value=0.8, sort="score", columns=["url"])
     return t.select("rank", "seq", "url", "score", "depth")
 
 
 @query
 def top_results_per_job(spark, d):
-    t = R.top_results(results_v(spark, d), n=3, sort="score", by="job_id")
+    t = R.top_results(results_v(spark, d), n=3, sort="score", by="job_id", columns=["url"])
     return t.select("job_id", "rank", "seq", "url", "score")
 
 
 @query
 def dedupe_first(spark, d):
-    return R.dedupe_first(results_v(spark, d)).select("url", "seq", "job_id", "score", "depth")
+    return R.dedupe_first(results_v(spark, d), columns=["job_id", "score", "depth"]).select(
+        "url", "seq", "job_id", "score", "depth")
 
 
 @query
@@ -146,13 +147,14 @@ def paginate_results(spark, d):
 
 @query
 def needs_summary_rows(spark, d):
-    t = R.top_results(results_v(spark, d), n=20, sort="score")
+    t = R.top_results(results_v(spark, d), n=20, sort="score", columns=["url", "summary", "text"])
     return R.needs_summary(t).select("rank", "seq", "url")
 
 
 @query
 def result_view(spark, d):
-    return R.result_view(R.top_results(results_v(spark, d), n=10, sort="score"))
+    return R.result_view(R.top_results(results_v(spark, d), n=10, sort="score",
+                                       columns=["url", "links", "summary", "text"]))
 
 
 @query

@@ -35,12 +35,16 @@ def score_threshold(df: DataFrame, t: float) -> DataFrame:
     return df.filter(F.col("score") >= F.lit(t)) if t > 0 else df
 
 
-def dedupe_first(df: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
+def dedupe_first(df: DataFrame, key: str = "url", order: str = "seq", columns: list[str] | None = None) -> DataFrame:
     """First non-error row per ``key`` by arrival.
 
     ``min_by`` over a struct is a partial aggregate: each task keeps one row
     per key before the shuffle, so a hot URL never piles up in one task.
+    ``columns`` limits the carried columns (Catalyst cannot prune fields
+    inside the aggregated struct, so unneeded wide columns would be scanned).
     """
+    if columns is not None:
+        df = df.select(*dict.fromkeys([key, order, "error", *columns]))
     ok = ok_only(df)
     others = [c for c in ok.columns if c != key]
     first = ok.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("_first"))
@@ -48,7 +52,7 @@ def dedupe_first(df: DataFrame, key: str = "url", order: str = "seq") -> DataFra
 
 
 def top_results(df: DataFrame, n: int = 10, min_score_value: float = 0.0, sort: str = "score",
-                by: str | None = None) -> DataFrame:
+                by: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """O1: ok rows → first per url → min score → stable sort → first n, with
     ``rank`` (W3). ``sort='score'`` is score desc, ``'depth'`` depth asc;
     ties keep arrival order. ``by`` gives top n per group instead."""
@@ -56,7 +60,9 @@ def top_results(df: DataFrame, n: int = 10, min_score_value: float = 0.0, sort:
         raise ValueError("n must be >= 0")
     if sort not in ("score", "depth"):
         raise ValueError("sort must be 'score' or 'depth'")
-    rows = min_score(dedupe_first(df), min_score_value)
+    if columns is not None:
+        columns = list(dict.fromkeys([*columns, "score", "depth"] + ([by] if by else [])))
+    rows = min_score(dedupe_first(df, columns=columns), min_score_value)
     order = [F.desc("score"), F.asc("seq")] if sort == "score" else [F.asc("depth"), F.asc("seq")]
     if by is None:
         top = rows.orderBy(*order).limit(n)  # TakeOrderedAndProject: per-task top n, then merge
