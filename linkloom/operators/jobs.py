@@ -48,7 +48,11 @@ def read_job_requests(requests: DataFrame, new_ids: bool = False) -> tuple[DataF
     seeds = F.coalesce(F.col("seed_urls"), F.array().cast("array<string>"))
     cfg = [F.coalesce(F.col(k), F.lit(v).cast(t)).alias(k) for k, v, t in JOB_DEFAULTS]
     if new_ids or "job_id" not in requests.columns:
-        requests = requests.withColumn("job_id", F.expr("uuid()"))
+        from ..session import cut_lineage
+
+        # uuid() is not reproducible: materialise so a recomputed partition
+        # after an executor loss cannot give a job a second id
+        requests = cut_lineage(requests.withColumn("job_id", F.expr("uuid()")))
     jobs = requests.select("job_id", F.coalesce(F.col("goal"), F.lit("")).alias("goal"), seeds.alias("seed_urls"), *cfg)
     has_seeds = F.size("seed_urls") > 0
     accepted = jobs.filter(has_seeds).withColumn("status", F.lit("pending"))
