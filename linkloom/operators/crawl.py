@@ -112,10 +112,11 @@ def plan_columns(seeds: DataFrame, plans: DataFrame | None) -> DataFrame:
         F.coalesce("prefer_external", F.lit(False)).alias("prefer_external"))
 
 
-def score_rows(rows: DataFrame, seeds: DataFrame, plan: DataFrame) -> DataFrame:
+def score_rows(rows: DataFrame, seeds: DataFrame, plan: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """C4 on crawl rows: the seed-host test of C2 is an equi-join with the
-    (job, host) set of the seeds, not an array carried per row."""
-    hosts = seed_host_set(seeds).withColumn("_seed_host", F.lit(True))
+    (job, host) set of the seeds, not an array carried per row. ``hosts``:
+    that set already materialised (``seed_host_set``)."""
+    hosts = (seed_host_set(seeds) if hosts is None else hosts).withColumn("_seed_host", F.lit(True))
     j = (rows.withColumn("host", authority("url")).join(plan, "job_id", "inner")
          .join(hosts, ["job_id", "host"], "left"))
     is_seed = F.coalesce(F.col("_seed_host"), F.lit(False))
@@ -270,7 +271,7 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
     for lv in visited[1:]:
         walk = walk.unionByName(lv)
     walk = _fetch(walk, store_p, total)  # one store join for all levels
-    scored = score_rows(walk, seeds, plan)
+    scored = score_rows(walk, seeds, plan, cut_lineage(seed_host_set(seeds)))
     return scored.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score")
 
 
@@ -301,9 +302,10 @@ def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external,
                       max_rounds) -> list[DataFrame]:
     links_p = prepare_links(links, n)
     store_p = prepare_store(store, n)
+    hosts = cut_lineage(seed_host_set(seeds))  # read every round: materialise once
 
     def scored(df):
-        return score_rows(df, seeds, plan).select(*KEY, "depth", "path", "score")
+        return score_rows(df, seeds, plan, hosts).select(*KEY, "depth", "path", "score")
 
     start = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
     pending, n_pending = cut_lineage_counted(scored(start).repartition(n, *KEY))
