@@ -604,3 +604,17 @@ def doc_summaries(spark, d):
     from .operators.inference import extractive_summaries
     docs = spread(table(spark, d, "documents")).select("doc_id", "text")
     return extractive_summaries(docs, "find pricing pages for software plans", n=3).select("doc_id", "summary_text")
+
+
+@query
+def job_from_payloads(spark, d):
+    """S3 through JSON request bodies: each request written as a JSON body,
+    parsed back with the request schema, then defaulted (equals job_defaults)."""
+    from .operators.jobs import read_job_requests, requests_from_json
+    from .sources.derived import job_requests_v
+    bodies = job_requests_v(spark, d).select(F.to_json(F.struct("*")).alias("body"))
+    accepted, _ = read_job_requests(requests_from_json(bodies))
+    return accepted.select("job_id", "goal", F.array_join("seed_urls", ",").alias("seeds"), "max_depth", "max_pages",
+                           "min_delay_seconds", "max_delay_seconds", "ai_provider", "strategy", "content_filter",
+                           "bm25_threshold", "cache_mode", "stealth", "headless", "score_threshold", "include_external",
+                           "status")

@@ -60,6 +60,18 @@ def read_job_requests(requests: DataFrame, new_ids: bool = False) -> tuple[DataF
     return accepted, rejected
 
 
+REQUEST_SCHEMA = ("job_id string, goal string, seed_urls array<string>, "
+                  + ", ".join(f"{k} {t}" for k, _, t in JOB_DEFAULTS))
+
+
+def requests_from_json(bodies: DataFrame, col: str = "body") -> DataFrame:
+    """S3 input from raw JSON request bodies: one typed request row per body
+    (unknown keys ignored; an unparsable body is a request without seeds and
+    is rejected by ``read_job_requests``)."""
+    parsed = F.from_json(F.col(col), REQUEST_SCHEMA, {"mode": "PERMISSIVE"})
+    return bodies.select(parsed.alias("_r")).select("_r.*")
+
+
 def job_config(jobs: DataFrame) -> Column:
     """The 13 config values as one struct column."""
     return F.struct(*[F.col(k) for k, _, _ in JOB_DEFAULTS])

@@ -595,3 +595,5 @@ agg AS (SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (WHERE {r4('s')}
   {r4('max(s)')} AS best FROM scored GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a.paragraphs, 0) AS paragraphs, coalesce(a.kept, 0) AS kept,
   CAST(coalesce(a.fit_len, 0) AS BIGINT) AS fit_len, a.best FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id"""
+
+SQL["job_from_payloads"] = SQL["job_defaults"]

@@ -55,3 +55,16 @@ def test_prompt_and_view(spark):
     v = plan_view(parse_plans(df)).first()["view"]
     assert v == ("Summary: S\nFocus: /p\nAvoid: /cart\nMode: external-first (aggregator site)\nSeeds:\n"
                  "  0.9  https://a/  r\n  0.5  https://b/")
+
+
+def test_job_requests_from_json(spark):
+    from linkloom.operators.jobs import read_job_requests, requests_from_json
+    bodies = spark.createDataFrame([
+        ('{"job_id": "a", "goal": "g", "seed_urls": ["https://x/"], "max_depth": 5, "extra": 1}',),
+        ('{"job_id": "b", "seed_urls": []}',), ("not json",), ('{"job_id": "c", "seed_urls": ["https://y/"]}',)], "body string")
+    acc, rej = read_job_requests(requests_from_json(bodies))
+    got = {r["job_id"]: (r["goal"], r["max_depth"], r["max_pages"], r["strategy"], r["include_external"], r["status"])
+           for r in acc.collect()}
+    assert got == {"a": ("g", 5, 500, "bfs", True, "pending"), "c": ("", 3, 500, "bfs", True, "pending")}
+    assert sorted((r["job_id"] or "", r["error"]) for r in rej.collect()) == [("", "seed_urls required"),
+                                                                             ("b", "seed_urls required")]
