@@ -120,3 +120,14 @@ def on_page(results: DataFrame, callback: Callable[[DataFrame, int], None], chec
     """Per-page callback sink (persist + count) as foreachBatch."""
     w = results.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now).start()
+
+
+def event_stream(events: DataFrame) -> DataFrame:
+    """T2 + T3 as one stream: every event once, plus one 'done' event per job
+    when its latest status is terminal (the reference's event stream, whose
+    subscriber stops at 'done'). Append mode."""
+    done = terminal_events(events)
+    cols = events.columns
+    done_rows = done.select(*[F.col(c) if c in ("job_id", "event", "status") else
+                              F.lit(None).cast(events.schema[c].dataType).alias(c) for c in cols])
+    return events.unionByName(done_rows)

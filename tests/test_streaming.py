@@ -88,3 +88,14 @@ def test_append_events_log(spark, tmp, sf):
     log2 = os.path.join(tmp, "log2")
     append_events(stamped, log2, os.path.join(tmp, "ck_log2"), available_now=True).awaitTermination()
     assert read_events(spark, log2).filter("ts is null").count() == 0
+
+
+def test_event_stream_appends_done(spark, tmp, sf):
+    from linkloom.streaming.events import event_stream
+    ev, src = write_events(tmp, spark, sf)
+    stream = spark.readStream.schema(CRAWL_EVENTS).json(os.path.join(src, "*"))
+    run_to_memory(event_stream(stream), "es", "append", tmp)
+    out = spark.table("es")
+    assert out.filter("event <> 'done'").count() == ev.count()
+    got = sorted((r["job_id"], r["status"]) for r in out.filter("event = 'done'").collect())
+    assert got == sorted((r["job_id"], r["status"]) for r in done_events(ev).collect())
