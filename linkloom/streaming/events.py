@@ -81,11 +81,14 @@ def _done(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
 
 def terminal_events(events: DataFrame) -> DataFrame:
     """One 'done' event per job once its latest status is terminal
-    (state per job: last status and a done flag; append mode)."""
+    (state per job: last status and a done flag; append mode). Only status
+    events reach the per-job function (a handful per job, however many page
+    events a hot job has), and it reads its group in Arrow-sized chunks."""
     from ..session import ship_package
 
     ship_package(events.sparkSession)
-    return events.groupBy("job_id").applyInPandasWithState(
+    status = events.filter(F.col("event") == "status").select("job_id", "event", "status", "ts", "seq")
+    return status.groupBy("job_id").applyInPandasWithState(
         _done, DONE_SCHEMA, DONE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
