@@ -315,8 +315,10 @@ def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external,
     rnd = -1
     while max_rounds is None or rnd + 1 < max_rounds:
         rnd += 1
-        ranked = pending.withColumn("rank_in_round", F.row_number().over(w))
-        take = ranked.filter(F.col("rank_in_round") <= batch)
+        # per-seed top-k: a filter right on row_number lets Spark keep only the
+        # top ``batch`` per seed run in each task before the shuffle
+        top = pending.withColumn("rank_in_round", F.row_number().over(w)).filter(F.col("rank_in_round") <= batch)
+        take = top
         if counts:
             ok_so_far = counts[0]
             for c in counts[1:]:
@@ -336,7 +338,7 @@ def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external,
         # discovered so far = this round's pending set + every earlier batch
         for old in [pending] + emitted[:-1]:
             new = new.join(old.select(*KEY), KEY, "left_anti")
-        rest = ranked.filter(F.col("rank_in_round") > batch).drop("rank_in_round")
+        rest = pending.join(top.select(*KEY), KEY, "left_anti")  # no full ranking of a hot seed run
         pending, n_pending = cut_lineage_counted(rest.unionByName(scored(new)).repartition(n, *KEY))
     return emitted
 
