@@ -126,12 +126,3 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
 
-
-def cut_lineage_metrics(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
-    """``cut_lineage`` plus aggregate metrics (name=Column) observed during
-    the same job."""
-    from pyspark.sql import Observation
-
-    obs = Observation()
-    out = cut_lineage(df.observe(obs, *[m.alias(k) for k, m in metrics.items()]))
-    return out, dict(obs.get)
