@@ -24,11 +24,27 @@ DEFAULT_SEED_SCORE = 0.5
 EXTERNAL_MODE_LINE = "Mode: external-first (aggregator site)"
 
 
+def ascii_escape(text: Column) -> Column:
+    """Non-ASCII characters as ``\\uXXXX`` (surrogate pairs above U+FFFF), as
+    Python's ``json.dumps`` writes them by default."""
+    chars = F.regexp_extract_all(text, F.lit(r"(?s)."), 0)  # one element per code point
+
+    def one(c):
+        cp = F.ascii(c)
+        hx = lambda v: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(v), 4, "0")))
+        hi = F.lit(0xD800) + F.shiftright(cp - F.lit(0x10000), 10)
+        lo = F.lit(0xDC00) + ((cp - F.lit(0x10000)) % F.lit(1024))
+        return F.when(cp < 128, c).when(cp <= 0xFFFF, hx(cp)).otherwise(F.concat(hx(hi), hx(lo)))
+
+    return F.array_join(F.transform(chars, one), "")
+
+
 def json_string_list(arr) -> Column:
-    """Python ``json.dumps(list_of_str)`` spacing: '["a", "b"]' (ASCII input)."""
+    """Python ``json.dumps(list_of_str)``: '["a", "b"]' with ", " between
+    items and non-ASCII characters escaped."""
     a = F.col(arr) if isinstance(arr, str) else arr
     items = F.transform(a, lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", ""))
-    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    return ascii_escape(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
 
 
 def plan_prompts(jobs: DataFrame) -> DataFrame:

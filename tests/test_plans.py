@@ -68,3 +68,12 @@ def test_job_requests_from_json(spark):
     assert got == {"a": ("g", 5, 500, "bfs", True, "pending"), "c": ("", 3, 500, "bfs", True, "pending")}
     assert sorted((r["job_id"] or "", r["error"]) for r in rej.collect()) == [("", "seed_urls required"),
                                                                              ("b", "seed_urls required")]
+
+
+def test_seed_list_json_like_python(spark):
+    from pyspark.sql import functions as F
+
+    from linkloom.plans.plan import json_string_list
+    vals = [["https://a.example.com/für", "plain"], ["中文"], ["emoji😀x", 'q"u\\t\tz'], []]
+    df = spark.createDataFrame([(v,) for v in vals], "s array<string>")
+    assert [r[0] for r in df.select(json_string_list(F.col("s"))).collect()] == [json.dumps(v) for v in vals]
