@@ -1,20 +1,22 @@
-"""The crawl as an iterative dataflow over a link table.
+"""The crawl as an iterative dataflow over a link table.
 
 A crawl of already-fetched pages is a bounded walk of the link graph: each
 level is one join of the frontier with the links, a filter, an anti-join
 with what each seed run has visited and a min-path aggregate. Every job,
 seed and URL is a row, so many jobs run in one Spark plan.
 
-Partitioning: the link table is hash-partitioned by ``src_url`` and the
-store's URL set by ``url`` once (checkpointed), so the per-level joins move
-only the frontier. Each level's new rows are hash-partitioned by
-``(job_id, seed_pos, url)`` and checkpointed, so the next level's anti-joins
-against earlier levels are co-partitioned (no shuffle of the visited set)
-and lineage stays one level deep. The driver only sees one count per level.
+Partitioning: inside ``co_partitioned(n)`` the link table is
+hash-partitioned by ``src_url`` and the store's URL set by ``url`` once
+(checkpointed, sorted); each level's new rows come out of the min-path
+aggregate hash-partitioned by ``(job_id, seed_pos, url)`` and are
+checkpointed, so the anti-joins against earlier levels and the link join
+(frontier hashed, links streamed) move only the frontier. Lineage stays one
+level deep; the driver only sees one observed row count per level. URLs
+that could exceed ``HOT_KEY_ROWS`` rows in a step are split and salted.
 
 Row order (the reference's emission order) is data: ``path`` = link
-positions from the seed, so BFS emits by (seed_pos, depth, path) and DFS by
-(seed_pos, path).
+positions from the seed, so BFS emits by (seed_pos, depth, path), DFS by
+(seed_pos, path) and best-first by (seed_pos, round, rank in round).
 """
 
 from __future__ import annotations
