@@ -134,3 +134,25 @@ def within_rows(first: np.ndarray, n: int, size: int) -> np.ndarray:
 def row_of(first: np.ndarray, n: int) -> np.ndarray:
     """The row of each of n positions."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first)) if n else np.zeros(0, np.int64)
+
+
+#: A key shared by more rows than a page is dealt to several pages; at most so many keys can be.
+HOT_KEYS, PAGE_ROWS = 100_000, 1024
+
+
+def paged_join(many: DataFrame, few: DataFrame, keys: list[str], count: str, total: int, spread, page_rows: int | None = None) -> DataFrame:
+    """``many`` joined to ``few``, which has one row per key and in ``count`` the rows of ``many`` with it.
+
+    Keys of more than a page of rows are split: their rows of ``many`` go to
+    pages by ``spread`` (a hash column), their row of ``few`` to every page.
+    Fewer than total / page_rows <= HOT_KEYS keys are so frequent, which
+    bounds the table of them that is broadcast.
+    """
+    from pyspark.sql import functions as F
+
+    page_rows = page_rows or max(PAGE_ROWS, total // HOT_KEYS)
+    pages = F.ceil(F.col(count) / page_rows).cast("int")
+    hot = F.broadcast(few.filter(F.col(count) > page_rows).select(*keys, pages.alias("_pages")))
+    left = many.join(hot, keys, "left").withColumn("_page", F.pmod(spread, F.coalesce("_pages", F.lit(1))).cast("int")).drop("_pages")
+    right = few.withColumn("_page", F.explode(F.sequence(F.lit(0), pages - 1)))
+    return left.join(right, [*keys, "_page"]).drop("_page")
