@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from linkloom.llm.decontaminate import find_leaks
 from linkloom.llm.exact_dedup import exact_groups
 from linkloom.llm.packing import pack
+from linkloom.llm.parity_join import near_duplicates
 from linkloom.llm.perspectives import rotate_perspectives
 from linkloom.llm.quality_cnn import fit_quality, score_quality
 from linkloom.llm.suffix_arrays import remove_repeated_bytes
@@ -59,13 +60,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_arrays, op4_packing, op5_perspectives, op6_url_filter,
-                            op7_decontaminate, op10_suffix_trees)
+                            op7_decontaminate, op8_parity_join, op10_suffix_trees)
 }
 
 SQL = {
