@@ -365,3 +365,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = paged_join(profiles.filter("n > 0"), ready, ["sig"], "c", total, F.xxhash64("k")).select("id", "n", "component_id")
     none = profiles.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; same columns.
+
+    Rows are told by id: rows without one stay, and rows that share one stay
+    if any of them is its component's.
+    """
+    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), (F.col(id_col) == F.col("component_id")).alias("stays"))
+    gone = written(found.groupBy("_id").agg(F.max("stays").alias("stays")).filter("not stays").select("_id"), "gone")
+    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.decontaminate import find_leaks
 from linkloom.llm.exact_dedup import exact_groups
+from linkloom.llm.language_id import fit_text, identify_languages
 from linkloom.llm.packing import pack
 from linkloom.llm.parity_join import near_duplicates
 from linkloom.llm.perspectives import rotate_perspectives
@@ -64,13 +65,17 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), fit_text(table(spark, sf_dir, "documents")))
+
+
 def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_arrays, op4_packing, op5_perspectives, op6_url_filter,
-                            op7_decontaminate, op8_parity_join, op10_suffix_trees)
+                            op7_decontaminate, op8_parity_join, op9_language, op10_suffix_trees)
 }
 
 SQL = {
