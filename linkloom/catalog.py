@@ -59,11 +59,7 @@ def page_links(spark, d):
 
 @query
 def links_resolved(spark, d):
-    links = P.page_links(pages_table(spark, d))
-    return links.groupBy("page_id").agg(
-        F.count("*").alias("links_count"),
-        F.count_if("is_internal").alias("internal_count"),
-        F.min_by("dst_url", "pos").alias("first_link"))
+    return P.link_counts(pages_table(spark, d)).filter("links_count > 0")
 
 
 @query
@@ -188,9 +184,11 @@ def job_stats(spark, d):
 @query
 def page_top_focus(spark, d):
     from .functions.urls import focus_score
-    rows = P.page_rows(pages_table(spark, d))
-    scored = rows.withColumn("score", focus_score("url", F.array(F.lit("/en/"))))
-    top = scored.orderBy(F.desc("score"), "page_id").limit(10)
+    pages = pages_table(spark, d)
+    # The score needs the url alone: html is read and parsed for the ten pages that are shown.
+    best = (pages.select("page_id", focus_score("url", F.array(F.lit("/en/"))).alias("score"))
+            .orderBy(F.desc("score"), "page_id").limit(10))
+    top = P.page_rows(pages.join(F.broadcast(best.select("page_id")), "page_id", "left_semi")).join(F.broadcast(best), "page_id")
     from pyspark.sql import Window
     return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "page_id")).cast("long").alias("rank"),
                       "page_id", "url", "title", "score", "links_count", F.substring("text", 1, 120).alias("snippet"))
@@ -243,15 +241,17 @@ def content_none_text(spark, d):
 # ── crawl (J1-J8, J10, F3, F6, S2, T6) over the derived link graph ──────────
 
 def crawl_inputs(spark, d, prefer_external=False, focus=("/en/",), avoid=("/de/",)):
-    """Seeds: the first tenth of the stored pages plus page floor((N-1)/3)
-    (FIXTURES §3); one job per URL scheme (so several jobs share one plan);
-    plan per job: focus /en/, avoid /de/."""
-    from .sources.derived import link_graph, page_count
-    n = page_count(spark, d)
+    """Seeds: every site's first stored page, of all pages; one job per URL
+    scheme (so several jobs share one plan), its seeds in page order; plan per
+    job: focus /en/, avoid /de/."""
+    from .functions.urls import authority
+    from .operators.ordinal import ordinal
+    from .sources.derived import link_graph
     pages = table(spark, d, "pages")
-    seeds = pages.filter((F.col("page_id") < (n + 9) // 10) | (F.col("page_id") == (n - 1) // 3)).select(
-        F.concat(F.lit("job-"), F.regexp_extract("url", "^([a-z]+):", 1)).alias("job_id"),
-        F.col("page_id").cast("int").alias("seed_pos"), "url")
+    job = F.concat(F.lit("job-"), F.regexp_extract("url", "^([a-z]+):", 1))
+    first = (pages.groupBy(job.alias("job_id"), authority("url").alias("host"))
+             .agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url")))
+    seeds = ordinal(first, ["page_id"], by=["job_id"], name="n").select("job_id", (F.col("n") - 1).cast("int").alias("seed_pos"), "url")
     plans = seeds.select("job_id").distinct().select(
         "job_id", F.array(*[F.lit(x) for x in focus]).alias("focus_patterns"),
         F.array(*[F.lit(x) for x in avoid]).alias("avoid_patterns"), F.lit(prefer_external).alias("prefer_external"))
@@ -309,6 +309,36 @@ def crawl_bestfirst(spark, d):
                       "round", "pages_done")
 
 
+@query
+def crawl_jobs(spark, d):
+    """One plan over jobs with settings of their own: breadth-first, two deep
+    and within the site, beside depth-first with a threshold."""
+    from .operators.crawl import crawl_jobs as cj
+    from .operators.crawl import path_text
+    seeds, links, store, plans = crawl_inputs(spark, d)
+    first = F.col("job_id") == "job-http"
+    jobs = seeds.select("job_id").distinct().select(
+        "job_id", F.when(first, "bfs").otherwise("dfs").alias("strategy"), F.when(first, 2).otherwise(3).alias("max_depth"),
+        F.when(first, 30).otherwise(25).alias("max_pages"), F.when(first, 0.0).otherwise(0.5).alias("score_threshold"), (~first).alias("include_external"))
+    out = cj(jobs, seeds, links, store, plans)
+    return out.select("job_id", "strategy", "seed_pos", "url", "depth", path_text(F.col("path")).alias("path"), "ok", "error", "score", "pages_done",
+                      "budget_hit", "status")
+
+
+@query
+def crawl_result_rows(spark, d):
+    from .operators.crawl import CrawlConfig, crawl
+    from .operators.crawl import crawl_result_rows as crr
+    seeds, links, store, plans = crawl_inputs(spark, d)
+    rows = crr(crawl(seeds, links, store, plans, CrawlConfig(max_depth=3, max_pages=20)), pages_table(spark, d), latest="page_id")
+    return rows.select("job_id", "pages_done", "url", "depth", "score", "title", "text", "links_count", "error", "status_code")
+
+
+@query
+def links_from_pages(spark, d):
+    return P.links_from_pages(pages_table(spark, d))
+
+
 @query
 def page_events(spark, d):
     from .operators.crawl import CrawlConfig, crawl
@@ -358,9 +388,8 @@ def fetch_schedule(spark, d):
     from .functions.urls import focus_score
     from .operators.crawl import fetch_schedule as fs
     links = P.page_links(pages_table(spark, d))
-    urls = links.select(F.col("dst_url").alias("url"), (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
-                        focus_score(F.col("dst_url"), F.array(F.lit("/en/"))).alias("score"))
-    return fs(urls, 1.0, 3.0).select("url", "seq", "host", "host_rank", "planned_s", "earliest_s", "latest_s")
+    urls = links.select(F.col("dst_url").alias("url"), "page_id", "pos", focus_score(F.col("dst_url"), F.array(F.lit("/en/"))).alias("score"))
+    return fs(urls, 1.0, 3.0, [F.desc("score"), "page_id", "pos"]).select("url", "page_id", "pos", "host", "host_rank", "planned_s", "earliest_s", "latest_s")
 
 
 @query

@@ -32,6 +32,8 @@ from .ordinal import largest_group, ordinal
 
 KEY = ["job_id", "seed_pos", "url"]
 FETCH_FAILED = "fetch_failed"
+#: Per-job limits that a plan table may carry.
+JOB_LIMITS = ("job_max_depth", "job_include_external")
 
 
 @dataclass(frozen=True)
@@ -49,28 +51,22 @@ class CrawlConfig:
     def validate(self) -> None:
         if self.strategy not in ("bfs", "dfs", "bestfirst"):
             raise ValueError("strategy must be bfs, dfs or bestfirst")
-        if not 0 <= self.max_depth <= 10:
-            raise ValueError("max_depth must be between 0 and 10")
-        if not 1 <= self.max_pages <= 10_000:
-            raise ValueError("max_pages must be between 1 and 10000")
+        # Any depth and budget run; ranges are a matter of the shell's settings (config_violations).
 
 
 LINK_ROWS_PER_PARTITION = 2_000_000
 
 
-def _parts(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def crawl_partitions(spark, n_links: int, rows_per_partition: int = LINK_ROWS_PER_PARTITION) -> int:
+    """Partitions for the crawl's co-partitioned tables: enough for
+    ``rows_per_partition`` link rows each and at least one per core (all
+    levels use the same number so that they stay co-partitioned)."""
+    return max(1, spark.sparkContext.defaultParallelism, -(-n_links // rows_per_partition))
 
 
-def crawl_partitions(links: DataFrame, rows_per_partition: int = LINK_ROWS_PER_PARTITION) -> int:
-    """Partitions for the crawl's co-partitioned tables: enough for
-    ``rows_per_partition`` link rows each and at least one per core, at most
-    spark.sql.shuffle.partitions (all levels use the same number so that they
-    stay co-partitioned)."""
-    spark = links.sparkSession
-    n_links = links.count()
-    want = max(spark.sparkContext.defaultParallelism, -(-n_links // rows_per_partition))
-    return max(1, min(_parts(spark), want))
+def materialise_links(links: DataFrame) -> tuple[DataFrame, int]:
+    """The link table's crawl columns, computed once, and their observed count."""
+    return cut_lineage_counted(links.select("src_url", "dst_url", F.col("pos").cast("int").alias("pos"), "is_internal"))
 
 
 # ── J6, A6: seeds and plan columns ───────────────────────────────────────────
@@ -123,48 +119,46 @@ def score_rows(rows: DataFrame, seeds: DataFrame, plan: DataFrame, hosts: DataFr
          .join(hosts, ["job_id", "host"], "left"))
     is_seed = F.coalesce(F.col("_seed_host"), F.lit(False))
     return j.withColumn("score", url_score(F.col("url"), F.col("prefer_external"), is_seed, F.col("focus_patterns"))) \
-        .drop("host", "_seed_host", "avoid_patterns", "focus_patterns", "prefer_external")
+        .drop("host", "_seed_host", "avoid_patterns", "focus_patterns", "prefer_external", *JOB_LIMITS)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Materialise ``df`` once and broadcast it only when its row count
-    (observed while materialising) is within ``max_rows``; otherwise leave it
-    to a shuffle join."""
-    out, rows = cut_lineage_counted(df)
-    return F.broadcast(out) if rows <= max_rows else out
+def bounded_broadcast(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+    """Materialise ``df`` once and broadcast it only when its rows, as text,
+    are within ``max_bytes``; otherwise leave it to a shuffle join."""
+    out = cut_lineage(df)
+    size = out.agg(F.sum(F.octet_length(F.to_json(F.struct(*out.columns))))).first()[0] or 0
+    return F.broadcast(out) if size <= max_bytes else out
 
 
 # ── hot keys ────────────────────────────────────────────────────────────────
 
 HOT_KEY_ROWS = 1_000_000  # rows of one url in one step before it is split
-SALTS = 64
 
 
 def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str, left_rows: int,
-                   salt_cols: list, hot_rows: int | None = None, salts: int | None = None,
-                   build_left: bool = False) -> DataFrame:
+                   salt_cols: list, hot_rows: int | None = None, build_left: bool = False) -> DataFrame:
     """``left.join(right, key, how)`` where a key holding more than
     ``hot_rows`` left rows is split: its left rows get a salt from
-    ``salt_cols`` and its right rows are replicated once per salt, so a hub
-    URL reached by millions of seed runs is spread over ``salts`` tasks.
+    ``salt_cols`` and its right rows are replicated once per salt. A key has
+    as many salts as its rows need at ``hot_rows`` each, however hot it is.
     Keys under the bound keep the plain (co-partitioned) join. ``left_rows``
     (an observed count) bounds the number of hot keys by left_rows / hot_rows;
     when it is under ``hot_rows`` no key can be hot and nothing is added.
     ``build_left`` hashes the (small) left side per partition so the right
     side streams through unsorted."""
     hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    salts = SALTS if salts is None else salts
     if build_left:
         left = left.hint("shuffle_hash")
     if left_rows <= hot_rows:
         return left.join(right, key, how)
-    hot = left.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
-    if left_rows // max(hot_rows, 1) <= 1_000_000:  # proven bound on the hot-key table
+    hot = (left.groupBy(key).count().filter(F.col("count") > hot_rows)
+           .select(key, F.ceil(F.col("count") / max(hot_rows, 1)).cast("int").alias("_salts")))
+    if left_rows // max(hot_rows, 1) <= 10_000:  # so many hot keys at most: a few MB of URLs
         hot = F.broadcast(hot)
     cold = left.join(hot, key, "left_anti").join(right, key, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)).cast("int")
-    hot_left = left.join(hot, key, "left_semi").withColumn("_salt", salt)
-    hot_right = right.join(hot, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.col("_salts")).cast("int")
+    hot_left = left.join(hot, key).withColumn("_salt", salt).drop("_salts")
+    hot_right = right.join(hot, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     hot_part = hot_left.join(hot_right, [key, "_salt"], how).drop("_salt")
     return cold.unionByName(hot_part)
 
@@ -190,8 +184,12 @@ def expand_frontier(frontier: DataFrame, links: DataFrame, plan: DataFrame | Non
     if not include_external:
         cand = cand.filter(F.col("is_internal"))
     if plan is not None:
-        cand = cand.join(plan.select("job_id", "avoid_patterns"), "job_id", "inner").filter(
-            url_allowed(F.col("url"), F.col("avoid_patterns"))).drop("avoid_patterns")
+        own = [c for c in JOB_LIMITS if c in plan.columns]
+        cand = cand.join(plan.select("job_id", "avoid_patterns", *own), "job_id", "inner").filter(
+            url_allowed(F.col("url"), F.col("avoid_patterns")))
+        if own:  # each job's own reach
+            cand = cand.filter((F.col("depth") <= F.col("job_max_depth")) & (F.col("job_include_external") | F.col("is_internal")))
+        cand = cand.drop("avoid_patterns", *own)
     else:
         cand = cand.filter(~avoided_by_default(F.col("url")))
     return cand.drop("is_internal")
@@ -254,17 +252,25 @@ def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external,
     return visited, total
 
 
+def _planned(seeds: DataFrame, plans: DataFrame | None, limits: DataFrame | None) -> DataFrame:
+    plan = plan_columns(seeds, plans)
+    return bounded_broadcast(plan if limits is None else plan.join(limits.select("job_id", *JOB_LIMITS), "job_id"))
+
+
 def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
-               max_depth: int = 3, include_external: bool = True, max_pages: int | None = None) -> DataFrame:
+               max_depth: int = 3, include_external: bool = True, max_pages: int | None = None,
+               limits: DataFrame | None = None) -> DataFrame:
     """Every URL each seed run reaches within ``max_depth``, at its smallest
     (depth, path). -> job_id, seed_pos, url, depth, path, ok, error, score.
 
     ``max_pages`` (BFS only) stops expanding a seed once it has that many
     successful rows: later levels come after them in BFS order and would be
-    cut by the budget anyway.
+    cut by the budget anyway. ``limits``: JOB_LIMITS by job_id, within
+    ``max_depth`` and ``include_external``.
     """
-    n = crawl_partitions(links)
-    plan = bounded_broadcast(plan_columns(seeds, plans))
+    links, n_links = materialise_links(links)
+    n = crawl_partitions(seeds.sparkSession, n_links)
+    plan = _planned(seeds, plans, limits)
     with co_partitioned(seeds.sparkSession, n):
         links_p = prepare_links(links, n)
         store_p = prepare_store(store, n)
@@ -281,19 +287,22 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
 
 def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
                     max_depth: int = 3, include_external: bool = True, max_pages: int = 500,
-                    batch: int = 10, max_rounds: int | None = None) -> DataFrame:
+                    batch: int = 10, max_rounds: int | None = None, limits: DataFrame | None = None) -> DataFrame:
     """Rounds; each round emits, per seed run, the ``batch`` best
     discovered-but-unexpanded pages by (score desc, depth, path) and expands
     them. -> rows with ``round`` and ``rank_in_round`` (emission order is
     (seed_pos, round, rank_in_round)). Per round: one per-seed top-k
     (window group limit), two checkpoints (the emitted batch, the pending set)."""
-    n = crawl_partitions(links)
-    plan = bounded_broadcast(plan_columns(seeds, plans))
+    links, n_links = materialise_links(links)
+    n = crawl_partitions(seeds.sparkSession, n_links)
+    plan = _planned(seeds, plans, limits)
     with co_partitioned(seeds.sparkSession, n):
         emitted = _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external, max_pages, batch,
                                     max_rounds)
     if not emitted:
-        return seeds.limit(0)
+        return seeds.limit(0).select(
+            "job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.lit(False).alias("ok"),
+            F.lit("").alias("error"), F.lit(0.0).alias("score"), F.lit(0).alias("round"), F.lit(0).alias("rank_in_round"))
     out = emitted[0]
     for e in emitted[1:]:
         out = out.unionByName(e)
@@ -355,19 +364,21 @@ def emission_order(strategy: str) -> list:
     return ["seed_pos", "round", "rank_in_round"]
 
 
-def page_budget(rows: DataFrame, order: list, max_pages: int, score_threshold: float = 0.0) -> DataFrame:
+def page_budget(rows: DataFrame, order: list, max_pages: int | Column, score_threshold: float | Column = 0.0) -> DataFrame:
     """Per seed keep rows up to its ``max_pages``-th successful one; then
     pages_done = running count per job in emission order (every result,
     threshold-dropped ones included); the first *emitted* row with
     pages_done >= max_pages stops the job. Returns the emitted rows with
-    ``pages_done`` and ``budget_hit``."""
+    ``pages_done`` and ``budget_hit``. Budget and threshold are numbers or
+    columns of ``rows`` (one value per job)."""
     ok = F.col("ok").cast("int")
     biggest = largest_group(rows, ["job_id"])  # a seed run is never larger than its job: one check for both
     per_seed = ordinal(rows, order, by=["job_id", "seed_pos"], name="_seed_rn", running=ok, running_name="_seed_ok",
                        group_rows=biggest)
     capped = per_seed.filter((F.col("_seed_ok") - ok) < max_pages).drop("_seed_rn", "_seed_ok")
     numbered = ordinal(capped, order, by=["job_id"], name="pages_done", group_rows=biggest)
-    emitted = (F.col("score") >= F.lit(score_threshold)) if score_threshold > 0 else F.lit(True)
+    threshold = F.lit(score_threshold)
+    emitted = (threshold <= 0) | (F.col("score") >= threshold)
     numbered = numbered.withColumn("_emitted", emitted)
     stops = (numbered.filter(F.col("_emitted") & (F.col("pages_done") >= max_pages))
              .groupBy("job_id").agg(F.min("pages_done").alias("_stop")))
@@ -394,6 +405,63 @@ def crawl(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame
     return out.withColumn("status", F.when(F.col("budget_hit"), F.lit("cancelled")).otherwise(F.lit("completed")))
 
 
+def crawl_jobs(jobs: DataFrame, seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
+               batch: int = 10) -> DataFrame:
+    """Every job with the settings of its own row, all jobs in one plan.
+
+    ``jobs``: job_id, strategy, max_depth, max_pages, score_threshold,
+    include_external (``read_job_requests`` gives these with their defaults).
+    Breadth-first and depth-first jobs share one walk, as they differ in the
+    order of its rows only; best-first jobs share the rounds. Emission order
+    is (seed_pos, then the strategy's own), and each job has its budget and
+    threshold. Jobs of another strategy raise before anything runs.
+    """
+    settings = cut_lineage(jobs.select("job_id", "strategy", "max_depth", "max_pages", "score_threshold", "include_external"))
+    kinds = {r["strategy"]: r for r in settings.groupBy("strategy").agg(F.max("max_depth").alias("depth"), F.max("max_pages").alias("pages")).collect()}
+    unknown = set(kinds) - {"bfs", "dfs", "bestfirst"}
+    if unknown:
+        raise ValueError(f"strategy must be bfs, dfs or bestfirst, not {sorted(map(str, unknown))}")
+    limits = settings.select("job_id", F.col("max_depth").alias("job_max_depth"), F.col("include_external").alias("job_include_external"))
+    parts = []
+    for group in (("bfs", "dfs"), ("bestfirst",)):
+        here = [kinds[k] for k in group if k in kinds]
+        if not here:
+            continue
+        own = seeds.join(settings.filter(F.col("strategy").isin(*group)).select("job_id", "strategy"), "job_id")
+        mine, depth = own.select("job_id", "seed_pos", "url"), max(r["depth"] for r in here)
+        if group == ("bestfirst",):
+            rows = crawl_bestfirst(mine, links, store, plans, depth, True, max(r["pages"] for r in here), batch, limits=limits)
+            first, then = F.col("round"), F.array(F.col("rank_in_round").cast("int"))
+        else:
+            rows = crawl_walk(mine, links, store, plans, depth, True, limits=limits)
+            first, then = F.when(F.col("strategy") == "bfs", F.col("depth")).otherwise(0), F.col("path")
+        rows = rows.join(settings, "job_id")
+        parts.append(rows.select("job_id", "strategy", "seed_pos", "url", "depth", "path", "ok", "error", "score", "max_pages", "score_threshold",
+                                 first.cast("int").alias("_first"), then.alias("_then")))
+    if not parts:
+        return crawl(seeds, links, store, plans, CrawlConfig()).withColumn("strategy", F.lit("bfs")).limit(0)
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    out = page_budget(cut_lineage(rows), ["seed_pos", "_first", "_then"], F.col("max_pages"), F.col("score_threshold"))
+    return out.drop("_first", "_then", "max_pages", "score_threshold").withColumn(
+        "status", F.when(F.col("budget_hit"), F.lit("cancelled")).otherwise(F.lit("completed")))
+
+
+def crawl_result_rows(crawled: DataFrame, store: DataFrame, latest: str | None = None) -> DataFrame:
+    """A crawl's emitted rows as page results: title, text, links and status
+    of the stored page (one version per URL), looked up after the budget cut,
+    so html is parsed for emitted pages only; a failed row has none."""
+    from .pages import page_rows
+
+    emitted = crawled.filter("ok").select("url").distinct()
+    pages = page_rows(one_version(store.join(emitted, "url", "left_semi"), latest)).drop("host")
+    j = crawled.join(pages, "url", "left")
+    return j.select("job_id", "pages_done", "url", "depth", "score", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"),
+                    F.coalesce("links_count", F.lit(0)).alias("links_count"), "error", F.when(F.col("ok"), 200).otherwise(0).alias("status_code"),
+                    F.lit("").alias("extracted_content"), F.lit("").alias("summary"))
+
+
 def page_events(crawled: DataFrame) -> DataFrame:
     """One 'page' event per emitted row."""
     return crawled.select("job_id", F.lit("page").alias("event"), "url", "depth", "pages_done")
@@ -417,10 +485,19 @@ def cached_fetch(frontier: DataFrame, cache: DataFrame, mode: str = "bypass") ->
     return frontier.join(urls, "url", "left_semi"), frontier.join(urls, "url", "left_anti")
 
 
-def fetch(urls: DataFrame, store: DataFrame) -> DataFrame:
+def one_version(store: DataFrame, latest: str | None = None) -> DataFrame:
+    """One row per URL: the one with the largest ``latest``, or without it the
+    smallest row. Partial aggregates keep one row per URL and task."""
+    row = F.struct(*store.columns)
+    best = F.min(row) if latest is None else F.max(F.struct(F.col(latest).alias("_at"), row.alias("_row")))["_row"]
+    return store.groupBy(F.col("url").alias("_url")).agg(best.alias("_best")).select("_best.*")
+
+
+def fetch(urls: DataFrame, store: DataFrame, latest: str | None = None) -> DataFrame:
     """Look each URL up in the page store; a miss is a row with error
-    'fetch_failed', not an exception."""
-    j = urls.join(store.withColumn("_hit", F.lit(True)), "url", "left")
+    'fetch_failed', not an exception. Of several stored versions of a URL one
+    is taken (``one_version``), so every request gives one row."""
+    j = urls.join(one_version(store, latest).withColumn("_hit", F.lit(True)), "url", "left")
     return j.withColumn("error", F.when(F.col("_hit").isNull(), F.lit(FETCH_FAILED)).otherwise(F.lit(""))).drop("_hit")
 
 

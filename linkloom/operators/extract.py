@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import json_value
 from ..session import ship_package
 
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -212,10 +213,8 @@ def parse_extracted(df: DataFrame, col: str = "extracted_content", cap: int = 20
     """Parsed VARIANT when the text is JSON, else the raw text cut to 2000
     characters for display; ``k`` = top-level field k when present."""
     x = F.col(col)
-    v = F.try_parse_json(x)
-    tail = F.rtrim(x)
-    complete = tail.rlike(r'([}\]"0-9]|true|false|null)$') & ~tail.rlike(r"[}\]]\s*[^\s}\]]+$")
-    is_json = v.isNotNull() & complete
+    v = json_value(x)
+    is_json = v.isNotNull()
     return df.select(
         "*", F.when(is_json, v).alias("parsed"), is_json.alias("is_json"),
         F.when(is_json, F.lit(None).cast("string")).otherwise(F.substring(x, 1, cap)).alias("shown"),

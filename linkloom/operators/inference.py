@@ -39,11 +39,13 @@ def summarize(rows: DataFrame, make_fn: Callable[[], Callable[[list[str], list[s
     """L4: fill ``summary`` by calling ``make_fn()``'s batch function once per
     Arrow batch (the client is made once per partition). Rows that already
     have a summary or have no text are passed through when ``only_missing``.
-    Adds ``had_summary`` for A4. A failing batch or an empty answer → ''."""
+    Where a batch fails, its rows are asked one by one, so that only the rows
+    that fail themselves lose their summary. Adds ``had_summary`` (for A4) and
+    ``failed`` (the call raised); a failed or empty answer is ''."""
     from pyspark.sql.types import BooleanType, StructField, StructType
 
     cols = rows.columns
-    schema = StructType(list(rows.schema.fields) + [StructField("had_summary", BooleanType())])  # not .add: it mutates
+    schema = StructType(list(rows.schema.fields) + [StructField("had_summary", BooleanType()), StructField("failed", BooleanType())])  # not .add: it mutates
 
     def run(batches: Iterator):
         fn = make_fn()
@@ -52,15 +54,22 @@ def summarize(rows: DataFrame, make_fn: Callable[[], Callable[[list[str], list[s
             want = (~had) & (pdf["text"].fillna("") != "") if only_missing else pdf["text"].fillna("") != ""
             out = pdf["summary"].fillna("").copy()
             idx = list(pdf.index[want])
-            if idx:
+            failed = want & False
+            groups = [idx] if idx else []
+            while groups:
+                some = groups.pop()
                 try:
-                    got = fn([goal] * len(idx), list(pdf.loc[idx, "url"]), list(pdf.loc[idx, "text"]))
-                    out.loc[idx] = [(g or "").strip() for g in got]
-                except Exception:  # noqa: BLE001 - the reference swallows provider errors
-                    out.loc[idx] = ""
+                    got = fn([goal] * len(some), list(pdf.loc[some, "url"]), list(pdf.loc[some, "text"]))
+                    out.loc[some] = [(g or "").strip() for g in got]
+                except Exception:  # noqa: BLE001 - a provider's error costs that row its summary, not the job
+                    if len(some) > 1:
+                        groups += [[i] for i in some]
+                    else:
+                        out.loc[some], failed.loc[some] = "", True
             pdf = pdf[cols].copy()
             pdf["summary"] = out
             pdf["had_summary"] = had | ~want
+            pdf["failed"] = failed
             yield pdf
 
     from ..session import ship_package

@@ -2,8 +2,8 @@
 
 ``row_number() OVER (PARTITION BY k ORDER BY o)`` hash-partitions on ``k``;
 that is fine while the largest group is modest, so the group sizes are
-checked first (one partial aggregate). Beyond the bound, rows are
-range-partitioned on ``(k, o)`` instead, which splits a hot key over many
+checked first (one partial aggregate). Beyond the bound, and always where
+the whole table is numbered, rows are range-partitioned on ``(k, o)`` instead, which splits a hot key over many
 partitions; each partition numbers its rows locally and adds the counts of
 the same key in earlier partitions (a small per-(key, partition) summary).
 
@@ -31,8 +31,6 @@ def _sort_col(c) -> Column:
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Row count of the largest ``by`` group (partial aggregate, one number back)."""
-    if not by:
-        return df.count()
     v = df.groupBy(*by).count().agg(F.max("count")).first()[0]
     return int(v or 0)
 
@@ -55,7 +53,7 @@ def ordinal(df: DataFrame, order_by: Sequence, by: Sequence[str] = (), name: str
     rname = running_name or f"{name}_running"
     work = df.withColumn("_ord_w", running.cast("long")) if running is not None else df
 
-    if (group_rows if group_rows is not None else largest_group(df, by)) <= bound:
+    if by and (group_rows if group_rows is not None else largest_group(df, by)) <= bound:
         w = Window.partitionBy(*by).orderBy(*order)
         out = work.withColumn(name, F.row_number().over(w).cast("long"))
         if running is not None:

@@ -28,6 +28,22 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.col("l.url").alias("dst_url"), (~F.col("l.ext")).alias("is_internal"))
 
 
+def link_counts(pages: DataFrame) -> DataFrame:
+    """Per page: links, internal links and the first link's target, read off
+    the page's link array (nothing is exploded or shuffled)."""
+    links = pages.select("page_id", out_links("html", "url").alias("l"))
+    return links.select(
+        "page_id", F.size("l").cast("long").alias("links_count"),
+        F.size(F.filter("l", lambda x: ~x["ext"])).cast("long").alias("internal_count"),
+        F.get("l", F.lit(0))["url"].alias("first_link"))
+
+
+def links_from_pages(pages: DataFrame) -> DataFrame:
+    """The crawl's link table out of stored pages: src_url, dst_url, pos, is_internal."""
+    return (page_links(pages.withColumn("page_id", F.col("url"))).select(
+        F.col("page_id").alias("src_url"), "dst_url", F.col("pos").cast("int").alias("pos"), "is_internal"))
+
+
 def page_text_only(pages: DataFrame) -> DataFrame:
     """P1+P2: text of the cleaned page, whitespace collapsed, uncut."""
     return pages.select("page_id", strip_tags(clean_html("html")).alias("text"))

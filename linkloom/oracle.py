@@ -291,18 +291,19 @@ lg AS (SELECT src_id, src_url, CASE WHEN j = 4 AND k % 5 = 0 THEN base || '/logi
   CAST(j - 1 AS INTEGER) AS pos FROM lg1),
 lgi AS (SELECT *, {auth('dst_url')} = {auth('src_url')} AS is_internal FROM lg)"""
 
-SEEDS = """seeds AS (SELECT 'job-' || regexp_extract(url, '^([a-z]+):', 1) AS job_id, CAST(page_id AS INTEGER) AS seed_pos,
-  url FROM pages, np WHERE page_id < (np.n + 9) // 10 OR page_id = (np.n - 1) // 3)"""
+SEEDS = f"""firsts AS (SELECT 'job-' || regexp_extract(url, '^([a-z]+):', 1) AS job_id, min(page_id) AS page_id,
+  arg_min(url, page_id) AS url FROM pages GROUP BY 1, {auth('url')}),
+seeds AS (SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY page_id) - 1 AS INTEGER) AS seed_pos, url FROM firsts)"""
 
 
-def walk_sql(include_external=True):
+def walk_sql(include_external=True, max_depth=3):
     ext = "" if include_external else "AND l.is_internal"
     return f"""walks(job_id, seed_pos, url, depth, path) AS (
   SELECT job_id, seed_pos, url, 0, []::INTEGER[] FROM seeds
   UNION ALL
   SELECT w.job_id, w.seed_pos, l.dst_url, w.depth + 1, list_append(w.path, l.pos)
   FROM walks w JOIN lgi l ON l.src_url = w.url
-  WHERE w.depth < 3 AND w.url IN (SELECT url FROM pages)
+  WHERE w.depth < {max_depth} AND w.url IN (SELECT url FROM pages)
     AND NOT regexp_matches(l.dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(l.dst_url, '/de/') {ext}),
 best AS (SELECT job_id, seed_pos, url, depth, path FROM (
   SELECT *, row_number() OVER (PARTITION BY job_id, seed_pos, url ORDER BY depth, path) AS rk FROM walks) WHERE rk = 1)"""
@@ -317,9 +318,9 @@ def score_sql(prefer_external):
 
 
 def crawl_sql(order="seed_pos, depth, path", prefer_external=False, include_external=True, max_pages=500,
-              threshold=0.0):
+              threshold=0.0, max_depth=3):
     emitted = f"score >= {threshold}" if threshold > 0 else "true"
-    return f"""WITH RECURSIVE {LINK_GRAPH}, {SEEDS}, {walk_sql(include_external)},
+    return f"""WITH RECURSIVE {LINK_GRAPH}, {SEEDS}, {walk_sql(include_external, max_depth)},
 rows AS (SELECT b.job_id, b.seed_pos, b.url, b.depth, b.path, b.url IN (SELECT url FROM pages) AS ok,
   {score_sql(prefer_external)} AS score FROM best b),
 capped AS (SELECT * FROM (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY job_id, seed_pos ORDER BY {order}
@@ -333,6 +334,21 @@ FROM numbered n LEFT JOIN stops s ON s.job_id = n.job_id
 WHERE n.emitted AND (s.stop IS NULL OR n.pages_done <= s.stop)"""
 
 
+SQL["links_from_pages"] = f"""WITH {LINKS}
+SELECT p.url AS src_url, l.dst_url, CAST(l.pos AS INTEGER) AS pos, l.is_internal FROM links l JOIN pages p USING (page_id)"""
+
+SQL["crawl_result_rows"] = f"""WITH c AS ({crawl_sql(max_pages=20)}),
+one AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1),
+pr AS (SELECT * FROM ({SQL['page_rows']}) WHERE page_id IN (SELECT page_id FROM one))
+SELECT c.job_id, c.pages_done, c.url, c.depth, c.score, coalesce(pr.title, '') AS title, coalesce(pr.text, '') AS text,
+  coalesce(pr.links_count, 0) AS links_count, c.error, CASE WHEN c.ok THEN 200 ELSE 0 END AS status_code
+FROM c LEFT JOIN pr ON pr.url = c.url AND c.ok"""
+
+SQL["crawl_jobs"] = f"""WITH a AS ({crawl_sql(max_pages=30, include_external=False, max_depth=2)}),
+b AS ({crawl_sql(order="seed_pos, path", max_pages=25, threshold=0.5)})
+SELECT a.*, 'bfs' AS strategy FROM a WHERE job_id = 'job-http'
+UNION ALL SELECT b.*, 'dfs' AS strategy FROM b WHERE job_id <> 'job-http'"""
+
 SQL["crawl_bfs"] = crawl_sql()
 SQL["crawl_external_first"] = crawl_sql(prefer_external=True)
 SQL["crawl_dfs"] = crawl_sql(order="seed_pos, path")
@@ -355,10 +371,10 @@ SELECT src_id, pos, dst_url AS url FROM lgi
 WHERE dst_url NOT IN (SELECT url FROM pages WHERE starts_with(url, 'https://'))"""
 
 SQL["fetch_schedule"] = f"""WITH {LINKS}, fu AS (
-  SELECT dst_url AS url, page_id * 1000 + pos AS seq, (CASE WHEN contains(dst_url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE AS score,
+  SELECT dst_url AS url, page_id, pos, (CASE WHEN contains(dst_url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE AS score,
     {auth('dst_url')} AS host FROM links),
-fr AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, seq) AS host_rank FROM fu)
-SELECT url, seq, host, host_rank, (host_rank - 1) * 2.0 AS planned_s, (host_rank - 1) * 1.0 AS earliest_s,
+fr AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id, pos) AS host_rank FROM fu)
+SELECT url, page_id, pos, host, host_rank, (host_rank - 1) * 2.0 AS planned_s, (host_rank - 1) * 1.0 AS earliest_s,
   (host_rank - 1) * 3.0 AS latest_s FROM fr"""
 
 # ── jobs ────────────────────────────────────────────────────────────────────

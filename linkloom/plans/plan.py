@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fmt import format_fixed
+from ..functions.json import json_value
 
 # The reference's fallback summary, default seed score and mode line.
 FALLBACK_SUMMARY = "AI plan unavailable"
@@ -89,11 +90,7 @@ def parse_plans(responses: DataFrame) -> DataFrame:
     avoid_patterns, focus_patterns, prefer_external). plan_error rows carry
     NULL plan columns."""
     raw = F.col("raw")
-    v = F.try_parse_json(raw)
-    # The variant parser accepts text after the value; Python's json.loads does not.
-    tail = F.rtrim(raw)
-    complete = tail.rlike(r'([}\]"0-9]|true|false|null)$') & ~tail.rlike(r"[}\]]\s*[^\s}\]]+$")
-    p = responses.select("job_id", "seed_urls", raw, v.alias("_v"), complete.alias("_complete"))
+    p = responses.select("job_id", "seed_urls", raw, json_value(raw).alias("_v"))
     pv = F.col("_v")
     is_obj = _vtype(pv).startswith("OBJECT")
     seeds_v = F.try_variant_get(pv, "$.prioritized_seeds", "variant")
@@ -106,7 +103,7 @@ def parse_plans(responses: DataFrame) -> DataFrame:
     bad_seed = F.exists(seeds, lambda s: ~s["_has_url"] | s["score"].isNull())
     seeds_ok = seeds_v.isNull() | (seeds_t.startswith("ARRAY") & ~F.coalesce(bad_seed, F.lit(False)))
     p = p.withColumn("_seeds", seeds)
-    outcome = (F.when(pv.isNull() | ~F.col("_complete"), F.lit("fallback"))
+    outcome = (F.when(pv.isNull(), F.lit("fallback"))
                .when(~is_obj | ~seeds_ok, F.lit("plan_error"))
                .otherwise(F.lit("ok")))
     strs = "array<string>"

@@ -42,7 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not (master == "local" or master.startswith("local[")):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="linkloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -68,9 +68,10 @@ def _done(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         status, ts, seq, done = None, None, None, False
     for pdf in batches:
         st = pdf[pdf["event"] == "status"]
-        for row in st.itertuples(index=False):
-            if ts is None or (row.ts, row.seq) > (ts, seq):
-                status, ts, seq = row.status, row.ts, row.seq
+        if len(st):
+            last = st.sort_values(["ts", "seq"]).iloc[-1]
+            if ts is None or (last["ts"], last["seq"]) > (ts, seq):
+                status, ts, seq = last["status"], last["ts"], int(last["seq"])
     if status in TERMINAL and not done:
         done = True
         state.update((status, ts, seq, done))
@@ -106,6 +107,15 @@ def stream_dedupe(results: DataFrame, out_path: str, checkpoint: str, available_
     return _trigger(w, available_now).start()
 
 
+def compact_deduped(spark, out_path: str, compacted_path: str) -> DataFrame:
+    """The stored candidates of ``stream_dedupe`` reduced to the first row per
+    URL, written to a new folder: run it between streams (or on a copy of a
+    finished batch's files) so that candidates don't pile up, and let the next
+    stream write there."""
+    deduped(spark, out_path).write.mode("errorifexists").parquet(compacted_path)
+    return spark.read.parquet(compacted_path)
+
+
 def deduped(spark, out_path: str) -> DataFrame:
     """The T7 result: first row per URL over all stored candidates."""
     return dedupe_first(spark.read.parquet(out_path))

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from linkloom.plans.plan import parse_plans, plan_prompts, plan_view
 
 GIVEN = ["https://g.example.com/"]
@@ -77,3 +79,22 @@ def test_seed_list_json_like_python(spark):
     vals = [["https://a.example.com/für", "plain"], ["中文"], ["emoji😀x", 'q"u\\t\tz'], []]
     df = spark.createDataFrame([(v,) for v in vals], "s array<string>")
     assert [r[0] for r in df.select(json_string_list(F.col("s"))).collect()] == [json.dumps(v) for v in vals]
+
+
+def test_strict_json_agrees_with_the_standard_parser(spark):
+    import json as std
+
+    from linkloom.functions.json import json_value
+
+    texts = ['{"summary":"x"} Confidence: 9', '{"k":1}\n{"k":2}', '{"k":1} {"k":2}', '{"k":1}]', '{"k":1} note 5', '"a} bc"', '{"k": [1, 2]}', ' {"k": null} ',
+             "", " ", "null", "12", "1, 2", '1}, {"v": 2', "[1]", "[1],", "]", '{"a": "}"}', '{"a": 1', "true false", '"x" "y"', "{} x", "[] []"]
+
+    def standard(t):
+        try:
+            std.loads(t)
+            return True
+        except ValueError:
+            return False
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", json_value(F.col("t")).isNotNull().alias("ok")).collect()
+    assert {texts[r.i]: r.ok for r in got} == {t: standard(t) for t in texts}
