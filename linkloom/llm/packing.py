@@ -36,9 +36,13 @@ from linkloom.llm.common import with_python, written
 
 CAPACITY, END = 4096, 1
 #: Entries of a worker's memory of encoded words.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: What a text of plain Latin words doesn't hold: other signs, contractions, marks of special tokens.
+_OTHER = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|'[A-Za-z]|<\|")
+#: Where such a text's words part though there is no space.
+_EDGE = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[!-/:-@\[-`{-~])")
+_LETTERS = re.compile("[a-zà-öø-ÿ]+")
 #: White space to Python, but not to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -47,55 +51,51 @@ class Words:
     """Token ids of texts, remembering words.
 
     White space always parts tokens and is dropped, so a text's ids are its
-    words' ids in order; a word is encoded when first met. Letters and the
-    signs that follow them are parted too, and letters lower-cased, as the
-    tokenizer does.
+    words' ids in order; a word is encoded when first met. Texts of plain
+    Latin words are lower-cased and their letters parted from the signs that
+    follow beforehand, as the tokenizer does, which leaves fewer words.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges for words that need no more than being parted at spaces.
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 512):
-            some = parts[at:at + 512]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            cuts = np.flatnonzero(np.diff(word)) + 1
-            each = np.split(ids, cuts)
-            self.parts.update(zip(some, [x.tobytes() for x in each] if len(each) == len(some) else self.encode(some)))
-
     def learn(self, new: list[str]) -> None:
-        split, other = [], []
-        for w in new:
-            m = _LATIN.fullmatch(w)
-            split.append((w, m[1].lower(), m[2])) if m else other.append(w)
-        self._learn_parts(list({p for _, a, b in split for p in (a, b)} - self.parts.keys()))
-        for w, a, b in split:
-            self.words[w] = self.parts[a] + self.parts[b]
-        self.words.update(zip(other, self.encode(other)))
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        rest = list(set(new) - set(letters)) if len(letters) < len(new) else []
+        for at in range(0, len(letters), 512):
+            some = letters[at:at + 512]
+            found = self.lean.encode(" ".join(some), add_special_tokens=False)
+            ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+            cuts = [0, *(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(ids)]
+            if len(cuts) == len(some) + 1:
+                self.words.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                rest += some
+        self.words.update(zip(rest, self.encode(rest)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        odd = [bool(_ODD.search(t)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
+        split = [None if _ODD.search(t) else t.split() if _OTHER.search(t) else _EDGE.sub(" ", t.lower()).split() for t in texts]
         new: set[str] = set()
         for ws in split:
-            new.update(ws)
+            new.update(ws or ())
         self.learn(list(new - self.words.keys()))
         get = self.words.__getitem__
-        out = [self.encode([t])[0] if o else b"".join(map(get, ws)) for t, ws, o in zip(texts, split, odd)]
-        for kept in (self.words, self.parts):
-            if len(kept) > REMEMBERED:  # words met first are mostly the frequent ones
-                for w in list(kept)[REMEMBERED // 2:]:
-                    del kept[w]
+        out = [self.encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
+        if len(self.words) > REMEMBERED:  # words met first are mostly the frequent ones
+            for w in list(self.words)[REMEMBERED // 2:]:
+                del self.words[w]
         return out
 
 
