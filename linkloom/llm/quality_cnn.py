@@ -63,10 +63,15 @@ class Model:
         self.v = rng.normal(0, 0.1, FILTERS).astype(np.float32)
         self.c = np.zeros(1, np.float32)
 
-    def places(self, laid: np.ndarray) -> np.ndarray:
-        """Every filter's value at every place; a place is this step's bytes and the next's."""
+    def places(self, laid: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+        """Every filter's value at every place; a place is this step's bytes and the next's.
+
+        ``begins``: steps with which another row begins; they are no part of the place before.
+        """
         x = self.emb[laid].reshape(-1, STEP * DIM)
         z = x @ np.hstack([self.w[:STEP * DIM], self.w[STEP * DIM:]])
+        if begins is not None:
+            z[begins, FILTERS:] = 0
         out = z[:, :FILTERS]
         out[:-1] += z[1:, FILTERS:]
         return out
@@ -74,13 +79,15 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         laid, halves = _layout(data, offsets)
         pooled = np.empty((len(laid) // (HALF * STEP), FILTERS), np.float32)
+        row_begins = np.cumsum(halves) * HALF
         per = 1024  # halves looked at together, and one more step for the last place's second half
         for at in range(0, len(pooled), per):
             to = min(len(pooled), at + per)
             part = laid[at * HALF * STEP:to * HALF * STEP + STEP]
             if to == len(pooled):
                 part = np.concatenate([part, np.full(STEP, PAD, np.uint16)])
-            pooled[at:to] = self.places(part)[:-1].reshape(to - at, HALF, FILTERS).max(1)
+            inside = row_begins[np.searchsorted(row_begins, at * HALF):np.searchsorted(row_begins, to * HALF, "right")] - at * HALF
+            pooled[at:to] = self.places(part, inside)[:-1].reshape(to - at, HALF, FILTERS).max(1)
         first, last, count = _chunks(halves)
         seen = np.maximum(np.maximum(pooled[first], pooled[last]) + self.b, 0)
         evidence = seen @ self.v + self.c[0]
@@ -115,7 +122,7 @@ class Model:
                 raw[:, :size] = laid[first[pick][:, None] * size + np.arange(size)]
                 two = last[pick] > first[pick]
                 raw[two, size:2 * size] = laid[last[pick][two][:, None] * size + np.arange(size)]
-                place = self.places(np.concatenate([raw, np.full((n, 0), PAD, np.uint16)], 1).ravel()).reshape(n, -1, FILTERS)[:, :2 * HALF]
+                place = self.places(raw.ravel()).reshape(n, -1, FILTERS)[:, :2 * HALF]
                 top = place.argmax(1)
                 value = np.take_along_axis(place, top[:, None], 1)[:, 0] + self.b
                 seen = np.maximum(value, 0)
