@@ -69,9 +69,12 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """A model of the first ``sample`` labelled documents by hash of the id."""
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-            .filter(F.col("lang").isNotNull() & (F.octet_length("t") <= SAMPLE_BYTES)).orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(sample).collect())
+    """A model of the first ``sample`` labelled documents by hash of the id (null ids and labels left out)."""
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter(
+        F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("t") <= SAMPLE_BYTES))
+    # The ids first: sorting would send every partition's first texts to the driver.
+    picked = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = known.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("lang", "t")).alias("x")).orderBy("id").select("x.*").collect()
     return TextModel([r["t"].encode() for r in rows], [r["lang"] for r in rows])
 
 
