@@ -119,12 +119,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told by id. Ids that are null or occur more than once are told
     by id and text, and one row of each is kept.
     """
-    found = written(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept", F.col("text_sha256").alias("_sha")), "groups")
-    again = found.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and _id is not null").select("_id")
-    gone = found.filter("not kept").select("_id").unionByName(again)
-    plain = docs.filter(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_id"], "left_anti")
-    repeated = docs.join(again, docs[id_col] == again["_id"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
-    repeated = repeated.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates([id_col, "_sha"])
-    stays = found.filter("kept").select("_id", F.col("_sha").alias("_kept"))
-    repeated = repeated.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi").drop("_sha")
+    found = written(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_ll_id"), "kept", F.col("text_sha256").alias("_ll_sha")), "groups")
+    again = found.groupBy("_ll_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and _ll_id is not null").select("_ll_id")
+    gone = found.filter("not kept").select("_ll_id").unionByName(again)
+    plain = docs.filter(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_ll_id"], "left_anti")
+    repeated = docs.join(again, docs[id_col] == again["_ll_id"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    repeated = repeated.withColumn("_ll_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates([id_col, "_ll_text"])
+    stays = found.filter("kept").select("_ll_id", "_ll_sha")
+    repeated = repeated.join(stays, F.col(id_col).eqNullSafe(F.col("_ll_id")) & (F.col("_ll_text") == F.col("_ll_sha")), "left_semi").drop("_ll_text")
     return plain.unionByName(repeated)
