@@ -334,6 +334,21 @@ def crawl_result_rows(spark, d):
     return rows.select("job_id", "pages_done", "url", "depth", "score", "title", "text", "links_count", "error", "status_code")
 
 
+@query
+def default_avoid(spark, d):
+    """F1 on every page's url with each word that a pattern looks for, in
+    endings that it takes and endings that it narrowly doesn't."""
+    from .functions.urls import avoided_by_default
+    words = ("login logout signin signup register vote upvote downvote hide flag report user profile account "
+             "from submit faq guidelines legal privacy terms").split()
+    lits = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    pages = table(spark, d, "pages").select("page_id", "url")
+    inside = (pages.withColumn("word", lits(words)).withColumn("tail", lits(["", "?a=1", "/x", "s", "_x", "-x", ".html"]))
+              .select("page_id", F.concat(F.rtrim("url", F.lit("/")), F.lit("/"), "word", "tail").alias("url")))
+    before = pages.withColumn("head", lits(["mailto:", "x-mailto:", "/mailto:"])).select("page_id", F.concat("head", "url").alias("url"))
+    return inside.unionByName(before).withColumn("avoided", avoided_by_default("url"))
+
+
 @query
 def links_from_pages(spark, d):
     return P.links_from_pages(pages_table(spark, d))

@@ -1,12 +1,22 @@
 """DuckDB twins of the catalogue: for each query name, one SQL statement over
 the driver's tables (pre-registered views). Written independently of the
-Spark code, from the same definitions; regex text is shared so that both
-engines apply the same patterns (RE2-compatible: no back-references)."""
+Spark code, from the same definitions, patterns included (RE2-compatible: no
+back-references), so that a pattern lost there shows here."""
 
 from __future__ import annotations
 
-from .functions.html import BLOCK_TAG_RE, CLEANED_TAGS, EXCLUDED_TAGS, TITLE_RE
-from .functions.urls import AUTHORITY_RE, DEFAULT_AVOID_RE, ORIGIN_RE, PATH_RE, SCHEME_RE
+# Page and url patterns.
+CLEANED_TAGS = ("head", "script", "style")
+EXCLUDED_TAGS = ("nav", "footer", "header", "aside")
+BLOCK_TAG_RE = r"</?(?:p|div|h[1-6]|li|ul|ol|article|section|main|table|tr|td|th|blockquote|pre|br|body|html)\b[^>]*>"
+TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
+SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+AUTHORITY_RE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*"
+PATH_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+# The default avoid patterns.
+DEFAULT_AVOID_RE = (r"/login\b|/logout\b|/signin\b|/signup\b|/register\b|/vote[?/]|/upvote\b|/downvote\b|/hide[?/]|/flag[?/]|/report\b|"
+                    r"/user[?/]|/profile[?/]|/account[?/]|/from\?|/submit\b|/faq\b|/guidelines\b|/legal\b|/privacy\b|/terms\b|^mailto:")
 
 SQL: dict[str, str] = {}
 
@@ -334,6 +344,13 @@ FROM numbered n LEFT JOIN stops s ON s.job_id = n.job_id
 WHERE n.emitted AND (s.stop IS NULL OR n.pages_done <= s.stop)"""
 
 
+SQL["default_avoid"] = f"""WITH v AS (SELECT page_id, unnest([
+  'login', 'logout', 'signin', 'signup', 'register', 'vote', 'upvote', 'downvote', 'hide', 'flag', 'report', 'user', 'profile', 'account',
+  'from', 'submit', 'faq', 'guidelines', 'legal', 'privacy', 'terms']) AS word, url FROM pages),
+t AS (SELECT page_id, rtrim(url, '/') || '/' || word || tail AS url FROM v, (SELECT unnest(['', '?a=1', '/x', 's', '_x', '-x', '.html']) AS tail)
+  UNION ALL SELECT page_id, head || url FROM pages, (SELECT unnest(['mailto:', 'x-mailto:', '/mailto:']) AS head))
+SELECT page_id, url, regexp_matches(url, {q(DEFAULT_AVOID_RE)}) AS avoided FROM t"""
+
 SQL["links_from_pages"] = f"""WITH {LINKS}
 SELECT p.url AS src_url, l.dst_url, CAST(l.pos AS INTEGER) AS pos, l.is_internal FROM links l JOIN pages p USING (page_id)"""
 
