@@ -21,6 +21,7 @@ positions from the seed, so BFS emits by (seed_pos, depth, path), DFS by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,19 @@ class CrawlConfig:
         # Any depth and budget run; ranges are a matter of the shell's settings (config_violations).
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """A user's own URL filter and scorer, as Columns of the url.
+
+    ``url_filter``: which URLs may be followed, besides the avoid patterns
+    (seeds are not filtered). ``url_scorer``: the score instead of C2-C4.
+    """
+
+    url_filter: Callable[[Column], Column] | None = None
+    url_scorer: Callable[[Column], Column] | None = None
+
+
+NO_HOOKS = Hooks()
 LINK_ROWS_PER_PARTITION = 2_000_000
 
 
@@ -110,10 +124,13 @@ def plan_columns(seeds: DataFrame, plans: DataFrame | None) -> DataFrame:
         F.coalesce("prefer_external", F.lit(False)).alias("prefer_external"))
 
 
-def score_rows(rows: DataFrame, seeds: DataFrame, plan: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+def score_rows(rows: DataFrame, seeds: DataFrame, plan: DataFrame, hosts: DataFrame | None = None, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """C4 on crawl rows: the seed-host test of C2 is an equi-join with the
     (job, host) set of the seeds, not an array carried per row. ``hosts``:
-    that set already materialised (``seed_host_set``)."""
+    that set already materialised (``seed_host_set``). A hook's scorer takes
+    the place of all this."""
+    if hooks.url_scorer is not None:
+        return rows.withColumn("score", hooks.url_scorer(F.col("url")).cast("double"))
     hosts = (seed_host_set(seeds) if hosts is None else hosts).withColumn("_seed_host", F.lit(True))
     j = (rows.withColumn("host", authority("url")).join(plan, "job_id", "inner")
          .join(hosts, ["job_id", "host"], "left"))
@@ -171,7 +188,7 @@ def url_allowed(url: Column, avoid: Column) -> Column:
 
 
 def expand_frontier(frontier: DataFrame, links: DataFrame, plan: DataFrame | None = None,
-                    include_external: bool = True, frontier_rows: int = 0) -> DataFrame:
+                    include_external: bool = True, frontier_rows: int = 0, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """J1 (+F1, F2, F6): out-links of fetched frontier pages, depth + 1, path
     extended by the link position. Seeds skip the filter; links don't.
     ``frontier_rows`` (an upper bound of the frontier's size) enables the
@@ -192,6 +209,8 @@ def expand_frontier(frontier: DataFrame, links: DataFrame, plan: DataFrame | Non
         cand = cand.drop("avoid_patterns", *own)
     else:
         cand = cand.filter(~avoided_by_default(F.col("url")))
+    if hooks.url_filter is not None:
+        cand = cand.filter(hooks.url_filter(F.col("url")))
     return cand.drop("is_internal")
 
 
@@ -217,7 +236,7 @@ def _fetch(rows: DataFrame, store_urls: DataFrame, n_rows: int = 0) -> DataFrame
 
 # ── J2, J3, J5: level loop (BFS reach; DFS differs only in order) ───────────
 
-def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages) -> list[DataFrame]:
+def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages, hooks=NO_HOOKS) -> tuple[list[DataFrame], int]:
     """The level loop; runs inside ``co_partitioned(n)``: the min-path
     aggregate's exchange is the (job, seed, url) hash partitioning of the
     visited levels, so the anti-joins below it move nothing, and the frontier
@@ -238,7 +257,7 @@ def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external,
             full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
                     .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
             frontier = frontier.join(full, ["job_id", "seed_pos"], "left_anti")
-        cand = expand_frontier(frontier, links_p, plan, include_external, n_rows)
+        cand = expand_frontier(frontier, links_p, plan, include_external, n_rows, hooks)
         # Min (depth, path) per (job, seed, url); partial aggregate before the shuffle
         new = cand.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
         new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
@@ -259,7 +278,7 @@ def _planned(seeds: DataFrame, plans: DataFrame | None, limits: DataFrame | None
 
 def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
                max_depth: int = 3, include_external: bool = True, max_pages: int | None = None,
-               limits: DataFrame | None = None) -> DataFrame:
+               limits: DataFrame | None = None, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """Every URL each seed run reaches within ``max_depth``, at its smallest
     (depth, path). -> job_id, seed_pos, url, depth, path, ok, error, score.
 
@@ -274,12 +293,12 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
     with co_partitioned(seeds.sparkSession, n):
         links_p = prepare_links(links, n)
         store_p = prepare_store(store, n)
-        visited, total = _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages)
+        visited, total = _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages, hooks)
     walk = visited[0]
     for lv in visited[1:]:
         walk = walk.unionByName(lv)
     walk = _fetch(walk, store_p, total)  # one store join for all levels
-    scored = score_rows(walk, seeds, plan, cut_lineage(seed_host_set(seeds)))
+    scored = score_rows(walk, seeds, plan, cut_lineage(seed_host_set(seeds)), hooks)
     return scored.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score")
 
 
@@ -287,7 +306,8 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
 
 def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
                     max_depth: int = 3, include_external: bool = True, max_pages: int = 500,
-                    batch: int = 10, max_rounds: int | None = None, limits: DataFrame | None = None) -> DataFrame:
+                    batch: int = 10, max_rounds: int | None = None, limits: DataFrame | None = None,
+                    hooks: Hooks = NO_HOOKS) -> DataFrame:
     """Rounds; each round emits, per seed run, the ``batch`` best
     discovered-but-unexpanded pages by (score desc, depth, path) and expands
     them. -> rows with ``round`` and ``rank_in_round`` (emission order is
@@ -298,7 +318,7 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
     plan = _planned(seeds, plans, limits)
     with co_partitioned(seeds.sparkSession, n):
         emitted = _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external, max_pages, batch,
-                                    max_rounds)
+                                    max_rounds, hooks)
     if not emitted:
         return seeds.limit(0).select(
             "job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.lit(False).alias("ok"),
@@ -310,13 +330,13 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
 
 
 def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external, max_pages, batch,
-                      max_rounds) -> list[DataFrame]:
+                      max_rounds, hooks=NO_HOOKS) -> list[DataFrame]:
     links_p = prepare_links(links, n)
     store_p = prepare_store(store, n)
     hosts = cut_lineage(seed_host_set(seeds))  # read every round: materialise once
 
     def scored(df):
-        return score_rows(df, seeds, plan, hosts).select(*KEY, "depth", "path", "score")
+        return score_rows(df, seeds, plan, hosts, hooks).select(*KEY, "depth", "path", "score")
 
     start = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
     pending, n_pending = cut_lineage_counted(scored(start).repartition(n, *KEY))
@@ -343,7 +363,7 @@ def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external,
         emitted.append(take)
         counts.append(take.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
         frontier = take.filter(F.col("ok") & (F.col("depth") < max_depth)).select("job_id", "seed_pos", "url", "depth", "path")
-        cand = expand_frontier(frontier, links_p, plan, include_external, n_take)
+        cand = expand_frontier(frontier, links_p, plan, include_external, n_take, hooks)
         new = cand.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
         new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
         # discovered so far = this round's pending set + every earlier batch
@@ -388,17 +408,17 @@ def page_budget(rows: DataFrame, order: list, max_pages: int | Column, score_thr
 
 
 def crawl(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
-          config: CrawlConfig = CrawlConfig()) -> DataFrame:
+          config: CrawlConfig = CrawlConfig(), hooks: Hooks = NO_HOOKS) -> DataFrame:
     """J3/J4/J5 + J7: the emitted crawl rows of every job, with pages_done
     (W1) and budget_hit; final status is 'cancelled' when the budget stopped
     the job (the reference's behaviour), else 'completed'."""
     config.validate()
     if config.strategy == "bestfirst":
         rows = crawl_bestfirst(seeds, links, store, plans, config.max_depth, config.include_external,
-                               config.max_pages, config.batch, config.max_rounds)
+                               config.max_pages, config.batch, config.max_rounds, hooks=hooks)
     else:
         early = config.max_pages if config.strategy == "bfs" else None
-        rows = crawl_walk(seeds, links, store, plans, config.max_depth, config.include_external, early)
+        rows = crawl_walk(seeds, links, store, plans, config.max_depth, config.include_external, early, hooks=hooks)
     # The walk is read by the budget's size checks and windows: materialise it once.
     rows = cut_lineage(rows)
     out = page_budget(rows, emission_order(config.strategy), config.max_pages, config.score_threshold)
@@ -406,7 +426,7 @@ def crawl(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame
 
 
 def crawl_jobs(jobs: DataFrame, seeds: DataFrame, links: DataFrame, store: DataFrame, plans: DataFrame | None = None,
-               batch: int = 10) -> DataFrame:
+               batch: int = 10, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """Every job with the settings of its own row, all jobs in one plan.
 
     ``jobs``: job_id, strategy, max_depth, max_pages, score_threshold,
@@ -430,10 +450,10 @@ def crawl_jobs(jobs: DataFrame, seeds: DataFrame, links: DataFrame, store: DataF
         own = seeds.join(settings.filter(F.col("strategy").isin(*group)).select("job_id", "strategy"), "job_id")
         mine, depth = own.select("job_id", "seed_pos", "url"), max(r["depth"] for r in here)
         if group == ("bestfirst",):
-            rows = crawl_bestfirst(mine, links, store, plans, depth, True, max(r["pages"] for r in here), batch, limits=limits)
+            rows = crawl_bestfirst(mine, links, store, plans, depth, True, max(r["pages"] for r in here), batch, limits=limits, hooks=hooks)
             first, then = F.col("round"), F.array(F.col("rank_in_round").cast("int"))
         else:
-            rows = crawl_walk(mine, links, store, plans, depth, True, limits=limits)
+            rows = crawl_walk(mine, links, store, plans, depth, True, limits=limits, hooks=hooks)
             first, then = F.when(F.col("strategy") == "bfs", F.col("depth")).otherwise(0), F.col("path")
         rows = rows.join(settings, "job_id")
         parts.append(rows.select("job_id", "strategy", "seed_pos", "url", "depth", "path", "ok", "error", "score", "max_pages", "score_threshold",
