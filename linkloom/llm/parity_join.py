@@ -16,9 +16,11 @@ non-empty blocks for this, the search is made with more blocks.
 Candidates are pruned by size and by the Hamming distance of folded sketches
 (a lower bound of the difference), and what is left is verified on the whole
 shingle sets. Documents with equal sets are one from the start. A block
-that more than ``LIMIT`` documents share yields pairs with one centre only;
-its members that these links don't join are searched again by another
-sketch, each level narrowing the groups, until none is so large.
+that more than ``LIMIT`` documents share yields pairs with one centre only.
+Its members that the links don't join are searched again with all such
+blocks put last in the order (any order that is the same for all will do), so
+that documents meet in rarer blocks; what is still in large groups at the
+last level is compared in full.
 """
 
 from __future__ import annotations
@@ -35,13 +37,16 @@ from linkloom.llm.common import LOWER, grams, mixed, paged_join, row_of, slices,
 from linkloom.llm.components import components
 
 SHINGLE = 5
-#: Members of a block up to which all their pairs are candidates.
+#: Members of a block up to which all their pairs are candidates (twice and four times as many at later levels,
+#: where members that are known to be linked make no pairs).
 LIMIT = 16
 #: Bytes of a group of block rows, and rows kept before they are dealt out.
-GROUP_BYTES, HELD = 24 << 20, 1_500_000
+GROUP_BYTES, HELD = 12 << 20, 400_000
 #: Below this size every shingle has a block of its own.
 SINGLE = 64
-LEVELS = 6
+LEVELS = 5
+#: Bits of the map of common blocks; a bit that is set for another block only changes the order.
+COMMON_BITS = 24
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,11 +96,11 @@ def _members(value: np.ndarray, bounds: np.ndarray, row: np.ndarray) -> tuple[np
     return value[at], entry
 
 
-def block_rows(value: np.ndarray, bounds: np.ndarray, seed: int, more: int) -> tuple[np.ndarray, ...]:
-    """Key, row and band of each document's first d + 1 blocks; how many had too few."""
+def block_rows(value: np.ndarray, bounds: np.ndarray, more: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Key, row and band of each document's first d + 1 blocks, ``common`` ones last; how many had too few."""
     row, band, d = _bands(np.diff(bounds))
     x, entry = _members(value, bounds, row)
-    x = mixed(x + np.uint64(seed + 1) * _GOLD)
+    x = mixed(x + _GOLD)
     blocks = (2 << band) * more
     many = (np.minimum(blocks, 1 << 40)[entry]).astype(np.uint64)
     block = np.where((2 << band)[entry] <= SINGLE, x >> np.uint64(24), (x >> np.uint64(16)) % many).astype(np.int64)
@@ -108,13 +113,16 @@ def block_rows(value: np.ndarray, bounds: np.ndarray, seed: int, more: int) -> t
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     parity = np.bitwise_xor.reduceat(x, lead)
     entry, block = entry[lead], block[lead]
+    key = mixed(parity + mixed(block.astype(np.uint64) * _GOLD + band[entry].astype(np.uint64)))
+    if common is not None:
+        at = (key & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)
+        order = np.lexsort((block, (common[at >> 3] >> (at & 7).astype(np.uint8)) & 1, entry))
+        key, entry = key[order], entry[order]
     first = np.searchsorted(entry, np.arange(len(row) + 1))
     nth = np.arange(len(entry)) - first[entry]
     few = int((np.diff(first) <= d).sum())
     take = nth <= d[entry]
-    entry, block, parity = entry[take], block[take], parity[take]
-    key = mixed(parity + mixed(block.astype(np.uint64) * _GOLD + band[entry].astype(np.uint64)))
-    return key, row[entry], band[entry], few
+    return key[take], row[entry[take]], band[entry[take]], few
 
 
 def folded_sketches(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -171,7 +179,7 @@ _FOUND = "a long, b long, band int, size_a int, size_b int, hot boolean"
 
 
 def _search(limit: int | None):
-    """Candidate pairs of a slot's groups; members (key, signature) of groups over ``limit``."""
+    """Candidate pairs of a slot's groups; members (group, signature, key in size_b) of groups over ``limit``."""
     def search(table: pa.Table) -> pa.Table:
         key, sig, label, size, band = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
                                        for c, t in (("keys", np.uint32), ("sigs", np.int64), ("labels", np.int64), ("sizes", np.uint32), ("bands", np.uint8)))
@@ -215,7 +223,7 @@ def _search(limit: int | None):
         a, b = a[one], b[one]
         slot = table.column("slot")[0].as_py() if table.num_rows else 0
         name = mixed(key[hot].astype(np.uint64) + (band[hot].astype(np.uint64) << np.uint64(32)) + np.uint64(slot) * _GOLD).view(np.int64)
-        columns = [np.concatenate(x) for x in ((sig[a], name), (sig[b], sig[hot]), (band[a], band[hot]), (size[a], size[hot]), (size[b], size[hot]))]
+        columns = [np.concatenate(x) for x in ((sig[a], name), (sig[b], sig[hot]), (band[a], band[hot]), (size[a], size[hot]), (size[b], key[hot].view(np.int32)))]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.table([*(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, kinds)), pa.array(np.arange(len(a) + len(hot)) >= len(a))],
                         names=["a", "b", "band", "size_a", "size_b", "hot"])
@@ -229,42 +237,18 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["k", "id", "n", "sig"])
 
 
-def _dealt(slots: int, more: int, few):
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(slots)
-        for _, data, offsets in slices(batches, "t"):
-            value, bounds = shingle_sets(data, offsets)
-            sig = signatures(value, bounds).view(np.int64)
-            key, row, band, lacking = block_rows(value, bounds, 0, more)
-            if lacking:
-                few.add(lacking)
-            yield from _blobs(dealer.add(key, sig[row], sig[row], np.diff(bounds)[row], band))
-        yield from _blobs(dealer.deal())
-    return dealt
-
-
-def _dealt_again(slots: int, more: int, few, level: int):
-    """Blocks of the members of large groups, by another sketch and within their groups."""
+def _dealt(slots: int, more: int, few, common):
+    """Block rows of documents; labels are the signatures where the rows have none."""
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = _Dealer(slots)
         for batch, data, offsets in slices(batches, "t"):
             value, bounds = shingle_sets(data, offsets)
-            sig, label = batch.column("sig").to_numpy(), batch.column("label").to_numpy()
-            key, row, band, lacking = block_rows(value, bounds, level, more)
+            sig = signatures(value, bounds).view(np.int64)
+            label = batch.column("label").to_numpy() if "label" in batch.schema.names else sig
+            key, row, band, lacking = block_rows(value, bounds, more, common.value)
             if lacking:
                 few.add(lacking)
-            groups = batch.column("groups")
-            begin, names = groups.offsets.to_numpy() - groups.offsets[0].as_py(), groups.flatten().to_numpy().view(np.uint64)
-            count = np.diff(begin)[row]
-            upto = np.cumsum(count)
-            lo = 0
-            while lo < len(row):  # a few rows of blocks for every group of their document, in bounded steps
-                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HELD, "right")))
-                c, r = count[lo:hi], row[lo:hi]
-                at = np.repeat(begin[:-1][r] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-                r = np.repeat(r, c)
-                yield from _blobs(dealer.add(mixed(np.repeat(key[lo:hi], c) ^ names[at]), sig[r], label[r], np.diff(bounds)[r], np.repeat(band[lo:hi], c)))
-                lo = hi
+            yield from _blobs(dealer.add(key, sig[row], label[row], np.diff(bounds)[row], band))
         yield from _blobs(dealer.deal())
     return dealt
 
@@ -309,6 +293,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFram
     return written(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
+def _with_common(common: np.ndarray | None, hot: DataFrame) -> np.ndarray:
+    """The map of common blocks with those of ``hot`` (key) set; 2 MB however many there are."""
+    at = F.col("key").cast("long").bitwiseAND(F.lit((1 << COMMON_BITS) - 1))
+    words = (hot.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+             .groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(1 << COMMON_BITS >> 6, np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    out = out.view(np.uint8)
+    return out if common is None else out | common
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, limit: int = LIMIT, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
@@ -323,40 +318,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = with_python(docs).select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id"), text.alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
     profiles = written(named.mapInArrow(_profiles, f"k long, id {kind}, n long, sig long"), "profiles")
-    classes = written(profiles.filter("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least"), F.min("k").alias("k")), "classes")
+    classes = written(profiles.filter("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least"), F.min("k").alias("k"), F.max("n").alias("n")), "classes")
     total, shingles = profiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
-    def searched(rows: DataFrame, deal, size: int, limit: int | None, *more_args) -> DataFrame:
+    common = None
+
+    def searched(rows: DataFrame, shingles: int, limit: int | None) -> DataFrame:
         """Blocks dealt to slots and searched; once more with more blocks where a document had too few."""
-        more = 1
+        more, known = 1, spark.sparkContext.broadcast(common)
         while True:
             few = spark.sparkContext.accumulator(0)
-            slots = max(1, math.ceil(size * more / group_bytes))
-            blobs = rows.mapInArrow(deal(slots, more, few, *more_args), _BLOB)
+            slots = max(1, math.ceil(shingles * 10 / group_bytes))  # about 0.45 rows of 25 bytes a shingle
+            blobs = rows.mapInArrow(_dealt(slots, more, few, known), _BLOB)
             out = written(blobs.groupBy("slot").applyInArrow(_search(limit), _FOUND), "candidates")
             if not few.value:
                 return out
             more *= 4
 
-    found = searched(named.select("t"), _dealt, shingles * 10, limit)
+    found = searched(named.select("t"), shingles, limit)
     wanted = found.select(F.explode(F.array(F.when(~F.col("hot"), F.col("a")), F.col("b"))).alias("sig")).filter("sig is not null").distinct()
     # Of every set that is in question one text.
     texts = written(named.select("k", "t").join(classes.join(wanted, "sig").select("k", "sig"), "k").select("sig", "t"), "texts")
     sketches = written(texts.mapInArrow(_sketches, "sig long, band int, sketch binary"), "sketches")
     links = _verify(found.filter("not hot"), texts, sketches)
     for level in range(1, LEVELS + 1):
-        hot = written(found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig")).distinct(), "hot")
+        hot = written(found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig"), F.col("size_b").alias("key")).distinct(), "hot")
         if hot.isEmpty():
             break
+        common = _with_common(common, hot)
         labels = components(links)
         hot = written(hot.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("e", "sig", F.coalesce("label", "sig").alias("label")), "members")
         apart = hot.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("e", "c")
-        members = written(paged_join(hot, apart, ["e"], "c", total, F.xxhash64("sig")).groupBy("sig", "label").agg(F.collect_set("e").alias("groups")), "open")
-        size = members.join(texts, "sig").agg(F.sum(F.size("groups").cast("long") * F.octet_length("t"))).first()[0]
+        members = written(paged_join(hot, apart, ["e"], "c", total, F.xxhash64("sig")).select("sig", "label").distinct(), "open")
+        size = members.join(classes.select("sig", "n"), "sig").agg(F.sum("n")).first()[0]
         if not size:
             break
-        again = texts.join(members, "sig")
-        found = searched(again, _dealt_again, size, None if level == LEVELS else limit, level)
+        found = searched(texts.join(members, "sig"), size, None if level == LEVELS else limit * min(4, 2 ** level))
         links = written(links.unionByName(_verify(found.filter("not hot"), texts, sketches)).distinct(), "links")
     labels = components(links)
     named_classes = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
@@ -373,6 +370,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are told by id: rows without one stay, and rows that share one stay
     if any of them is its component's.
     """
-    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), (F.col(id_col) == F.col("component_id")).alias("stays"))
-    gone = written(found.groupBy("_id").agg(F.max("stays").alias("stays")).filter("not stays").select("_id"), "gone")
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_ll_id"), (F.col(id_col) == F.col("component_id")).alias("stays"))
+    gone = written(found.groupBy("_ll_id").agg(F.max("stays").alias("stays")).filter("not stays").select("_ll_id"), "gone")
+    return docs.join(gone, docs[id_col] == gone["_ll_id"], "left_anti")
