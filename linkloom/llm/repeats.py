@@ -152,8 +152,9 @@ def find_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> Ste
     named = docs.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id"), text.alias("t"))
     runs = written(with_python(named.select("k", "t")).mapInArrow(_runs(unit), "k long, anchor long, content long, low long, n int"), "runs")
     total = runs.count()
-    # Contents with their counts, and one document that has each; anchors that occur twice.
-    contents = written(runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("one"), F.max("n").alias("n0")), "contents")
+    # Contents with their counts, and one place that has each (a text may hold one many times); anchors that occur twice.
+    contents = written(runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("one"), F.min_by("low", "k").alias("there"),
+                                                                F.max("n").alias("n0")), "contents")
     anchors = (contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("c"), F.sum(F.col("n0") + unit.window - 1).alias("symbols"))
                .filter("c > 1"))
     anchors = written(anchors.select("anchor", "d", F.when(F.col("d") > 1, F.col("symbols")).otherwise(0).alias("symbols")), "anchors")
@@ -162,11 +163,11 @@ def find_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> Ste
     known = paged_join(contents, anchors, ["anchor"], "d", total, F.xxhash64("content"))
     # A hot anchor's contents are dealt to several groups, a group's worth of symbols each.
     parts = F.ceil(F.col("symbols") / unit.hot)
-    known = known.select("anchor", "content", "c", "one", (F.col("c") > 1).alias("whole"), (F.col("d") > 1).alias("several"), (parts > 1).alias("hot"),
+    known = known.select("anchor", "content", "c", "one", "there", (F.col("c") > 1).alias("whole"), (F.col("d") > 1).alias("several"), (parts > 1).alias("hot"),
                          F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64("content"), F.greatest(parts, F.lit(1)))), F.lit(groups)).cast("int").alias("grp"))
     known = written(known.filter("whole or several"), "known")
     found = paged_join(runs, known, ["anchor", "content"], "c", total, F.xxhash64("k", "low"))
-    found = written(found.select("k", "low", "n", "anchor", "whole", "hot", "grp", (F.col("several") & (F.col("k") == F.col("one"))).alias("need")).distinct(), "found")
+    found = written(found.select("k", "low", "n", "anchor", "whole", "hot", "grp", (F.col("several") & (F.col("k") == F.col("one")) & (F.col("low") == F.col("there"))).alias("need")).distinct(), "found")
     lists = found.filter("whole or need").groupBy("k").agg(
         F.collect_list(F.when(F.col("need"), F.struct("low", "n", "anchor", "grp", "hot"))).alias("need"))
     touched = written(named.join(lists, "k"), "touched")
@@ -176,7 +177,7 @@ def find_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> Ste
     searched = written(snippets.groupBy("grp").applyInArrow(_search(unit), "k long, low long, n long, anchor long, finger long, hot boolean"), "searched")
     # Windows of hot anchors meet those of the anchor's other groups, by ranges of their hash.
     wide = searched.filter("hot")
-    slots = max(1, math.ceil(wide.count() * 24 / (8 << 20)))
+    slots = max(1, math.ceil(wide.count() * 24 / (1 << 20)))
     merged = (wide.withColumn("range", F.pmod(F.xxhash64("anchor", F.shiftright("finger", 20)), F.lit(slots)).cast("int"))
               .groupBy("range").applyInArrow(_merge, "k long, low long, n long"))
     marks = (found.filter("whole").select("k", "low", F.col("n").cast("long").alias("n"))

@@ -87,9 +87,10 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, bounds:
     place = np.empty(size, np.int64)
     place[sa] = np.arange(size)
     end = np.repeat(bounds[1:], np.diff(bounds))  # of the stretch in which a position lies
-    padded = np.zeros(size + 16, np.uint8)
+    words = np.arange(0, 64, 8)  # compared together
+    padded = np.zeros(size + cap + 128, np.uint8)
     padded[:size] = data
-    eights = np.ndarray((size + 8,), "<u8", padded, strides=(1,))
+    eights = np.ndarray((size + cap + 120,), "<u8", padded, strides=(1,))
     offset = np.cumsum(n) - n
     out = np.zeros(int(n.sum()), np.int32)
     lane = np.argsort(-n, kind="stable")
@@ -105,13 +106,16 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, bounds:
         before = np.where(at > 0, sa[np.maximum(at - 1, 0)], 0)
         room = np.minimum(np.minimum(end[i] - i, end[before] - before), cap)
         while len(live):
-            differ = eights[i[live] + h[live]] ^ eights[before[live] + h[live]]
+            differ = eights[(i[live] + h[live])[:, None] + words] ^ eights[(before[live] + h[live])[:, None] + words]
             some = differ != 0
-            at_bit = np.zeros(len(live), np.int64)
-            lowest = differ[some] & (~differ[some] + np.uint64(1))
-            at_bit[some] = np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3
-            h[live] += np.where(some, at_bit, 8)
-            live = live[~some & (h[live] < room[live])]
+            word = some.argmax(1)
+            first = differ[np.arange(len(live)), word]
+            found = first != 0
+            lowest = first[found] & (~first[found] + np.uint64(1))
+            step_by = np.full(len(live), 8 * len(words), np.int64)
+            step_by[found] = 8 * word[found] + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3)
+            h[live] += step_by
+            live = live[~found & (h[live] < room[live])]
         h = np.where(tied, cap, np.minimum(h, room))
         h[(at == 0) & ~tied] = 0
         out[offset[lane] + step] = h
