@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.anchors import window_runs
-from linkloom.llm.common import paged_join, slices, with_python, written
+from linkloom.llm.anchors import _power, window_runs
+from linkloom.llm.common import mixed, paged_join, slices, with_python, written
 
 
 @dataclass
@@ -92,7 +92,7 @@ def stretches(windows: np.ndarray, snippet: np.ndarray, place: np.ndarray) -> tu
     return snippet[at[lead]], place[at[lead]], np.diff(np.append(lead, len(at)))
 
 
-def _search(unit: Unit):
+def _search(unit: Unit, slots: int):
     """Equal windows of a group; of hot anchors also the windows that other groups must know of."""
     def search(table: pa.Table) -> pa.Table:
         bodies, n = table.column("body").combine_chunks(), table.column("n").to_numpy()
@@ -105,45 +105,49 @@ def _search(unit: Unit):
         place = np.arange(len(snippet)) - np.repeat(np.cumsum(n) - n, n)
         kind = unit.classes(symbols, bounds, n)
         s, p, length = stretches(kind >= 0, snippet, place)
-        out = [k[s], low[s] + p, length.astype(np.int64), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)]
+        out = {"k": k[s], "low": low[s] + p, "n": length.astype(np.int64)}
+        packed: dict[str, list] = {c: [] for c in ("slot", "fingers", "keys", "lows", "alone")}
         if hot.any():
-            # One window of each class, and every window that is alone here.
-            wide = unit.window - unit.gram + 1
+            # One window of each class, and every window that is alone here, as arrays for each slot.
             grams = unit.grams(symbols)
             at = np.flatnonzero(hot[snippet])
             mine = kind[at]
             lead = np.zeros(len(at), bool)
             lead[np.unique(mine, return_index=True)[1]] = True
             at = at[lead | (mine < 0)]
-            start = bounds[snippet[at]] + place[at]
-            finger = _fingers(grams, start, wide)
-            alone = kind[at] < 0
-            out = [np.concatenate(x) for x in zip(out, [k[snippet[at]], low[snippet[at]] + place[at], np.where(alone, 1, 0), anchor[snippet[at]], finger.view(np.int64)])]
-        return pa.table(dict(zip(("k", "low", "n", "anchor", "finger"), map(pa.array, out)))).append_column(
-            "hot", pa.array(np.arange(len(out[0])) >= len(s)))
+            finger = mixed(_fingers(grams, bounds[snippet[at]] + place[at], unit.window - unit.gram + 1) ^ anchor[snippet[at]].view(np.uint64))
+            slot = ((finger >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            at, finger, slot = at[order], finger[order], slot[order]
+            some, first = np.unique(slot, return_index=True)
+            for x, a, b in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+                own = at[a:b]
+                for c, v in zip(packed, (x, finger[a:b].tobytes(), k[snippet[own]].tobytes(), (low[snippet[own]] + place[own]).tobytes(), (kind[own] < 0).tobytes())):
+                    packed[c].append(v)
+        marks, more = len(s), len(packed["slot"])
+        columns = [pa.array(np.concatenate([v, np.zeros(more, np.int64)])) for v in out.values()]
+        columns += [pa.array([None] * marks + packed[c], pa.int32() if c == "slot" else pa.binary()) for c in packed]
+        return pa.table(columns, names=[*out, *packed])
     return search
 
 
 def _fingers(grams: np.ndarray, start: np.ndarray, wide: int) -> np.ndarray:
     """A hash of the ``wide`` grams from each start."""
-    from linkloom.llm.anchors import _power
-    from linkloom.llm.common import mixed
-
     up, down = _power(len(grams) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * up[:len(grams)])])
     return mixed((total[start + wide] - total[start]) * down[start])
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Windows of a hot anchor that were alone in their group, but not over all groups.
+    """Windows of hot anchors that were alone in their group, but not over all groups.
 
-    Each group's windows come sorted; a window is looked up by binary search
-    in the sorted windows of all.
+    A window is looked up by binary search in the sorted windows of all groups.
     """
-    finger = table.column("finger").to_numpy()
+    finger, k, low, alone = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+                             for c, t in (("fingers", np.uint64), ("keys", np.int64), ("lows", np.int64), ("alone", bool)))
     every = np.sort(finger)
-    twice = np.searchsorted(every, finger, "right") - np.searchsorted(every, finger, "left") > 1
-    return table.filter(pa.array(twice & (table.column("n").to_numpy() > 0))).select(["k", "low", "n"])
+    twice = (np.searchsorted(every, finger, "right") - np.searchsorted(every, finger, "left") > 1) & alone
+    return pa.table([pa.array(k[twice]), pa.array(low[twice]), pa.array(np.ones(twice.sum(), np.int64))], names=["k", "low", "n"])
 
 
 def find_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> Steps:
@@ -174,14 +178,14 @@ def find_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> Ste
 
     snippets = with_python(touched.filter(F.size("need") > 0).select("k", "t", "need")).mapInArrow(
         _snippets(unit), "k long, low long, n int, anchor long, grp int, hot boolean, body binary")
-    searched = written(snippets.groupBy("grp").applyInArrow(_search(unit), "k long, low long, n long, anchor long, finger long, hot boolean"), "searched")
-    # Windows of hot anchors meet those of the anchor's other groups, by ranges of their hash.
-    wide = searched.filter("hot")
-    slots = max(1, math.ceil(wide.count() * 24 / (1 << 20)))
-    merged = (wide.withColumn("range", F.pmod(F.xxhash64("anchor", F.shiftright("finger", 20)), F.lit(slots)).cast("int"))
-              .groupBy("range").applyInArrow(_merge, "k long, low long, n long"))
+    # Windows of hot anchors meet those of the anchor's other groups, in slots by their hash.
+    heavy = anchors.agg(F.sum(F.when(F.col("symbols") > unit.hot, F.col("symbols")))).first()[0] or 0
+    slots = max(1, math.ceil(heavy * 8 / (1 << 20)))
+    searched = written(snippets.groupBy("grp").applyInArrow(
+        _search(unit, slots), "k long, low long, n long, slot int, fingers binary, keys binary, lows binary, alone binary"), "searched")
+    merged = searched.filter("slot is not null").groupBy("slot").applyInArrow(_merge, "k long, low long, n long")
     marks = (found.filter("whole").select("k", "low", F.col("n").cast("long").alias("n"))
-             .unionByName(searched.filter("not hot").select("k", "low", "n")).unionByName(merged))
+             .unionByName(searched.filter("slot is null").select("k", "low", "n")).unionByName(merged))
     marks = marks.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("low", "n"))).alias("marks"))
     return Steps(touched.select("k", "id", "t").join(marks, "k", "left"), touched.select("k").distinct())
 
