@@ -1,17 +1,19 @@
-"""Operator 7: benchmark decontamination by rare seeds and Smith-Waterman.
+"""Operator 7: benchmark decontamination by seeds and Smith-Waterman.
 
 Texts are words between white space and ASCII punctuation, lower-cased by
-Spark's ``lower`` (all letters, not only A-Z). Two
-passes over the documents, neither with a shuffle of text:
-
-1. In how many documents does every word triple of the benchmark occur?
-   (Counted in the tasks, summed by Spark.) An item's *seeds* are its
-   triples that are not much more frequent than its rarer ones: what is rare
-   is measured within the item, so an item that leaked into many documents
-   keeps its seeds while stock phrases lose out.
-2. Every document position that holds a seed is joined to the items that
-   have it. Hits of a document and an item that lie on near diagonals make a
-   passage; Smith-Waterman aligns item and passage word by word, so that
+Spark's ``lower`` (all letters, not only A-Z). One
+pass over the documents, without a shuffle of text:
+
+1. Every word triple of an item is a *seed*, however frequent: how often a
+   passage was copied says nothing about whether it is a copy. Every document
+   position that holds a seed is joined to the items that have it, and hits
+   of a document and an item that lie on near diagonals make a passage, wide
+   enough for every alignment through a hit that could reach the score.
+2. Stock phrases are told from copies by a bound, not by their count: with 1
+   for a word that the item has and the cost for any other, no alignment
+   scores more than the best run of a passage's words. Only the runs that
+   could reach the score are kept.
+3. Smith-Waterman aligns item and passage word by word, so that
    words replaced, left out or added cost a little and do not hide a copy.
 
 The benchmark is taken in blocks of bounded size, each sent to all tasks.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import IS_SPACE, grams, row_of, slices, with_python, within_rows, word_hashes, word_spans, written
+from linkloom.llm.common import IS_SPACE, grams, mixed, row_of, slices, with_python, within_rows, word_hashes, word_spans, written
 
 #: Words of a seed.
 SEED = 3
@@ -36,8 +38,8 @@ SEED = 3
 COST = 0.5
 #: A copy's alignment score as a share of the item's words, and the least score in words.
 THRESHOLD, LEAST = 0.5, 6.0
-#: Seeds are at most so many times as frequent as the item's lower quartile.
-RARE = 8
+#: Seed hits, or words of passages, that a task holds at a time.
+HITS = 1 << 20
 #: Benchmark text of a block.
 BLOCK_BYTES = 16 << 20
 
@@ -50,6 +52,11 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(data, starts, ends), first
 
 
+def _of_item(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A hash of each word and the item it is looked up in."""
+    return mixed(words + mixed(item.astype(np.uint64)))
+
+
 class Keys:
     """A sorted set of hashes with a bitmap before it."""
 
@@ -100,50 +107,108 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
 class Index:
     """A block of items: their words, and which have which seed where."""
 
-    def __init__(self, ids: list, words: list[np.ndarray], frequency: dict[int, int]):
+    def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
         gram, item, place = [], [], []
         for i, w in enumerate(words):
             g = grams(w, SEED)
-            if not len(g):
-                continue
-            df = np.array([frequency.get(int(x), 0) for x in g.view(np.int64)])
-            rare = df <= RARE * (np.quantile(df, 0.25, method="lower") + 1)
-            gram.append(g[rare]), place.append(np.flatnonzero(rare)), item.append(np.full(rare.sum(), i))
+            gram.append(g), place.append(np.arange(len(g))), item.append(np.full(len(g), i))
         gram, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((gram, np.uint64), (item, np.int64), (place, np.int64)))
         order = np.argsort(gram, kind="stable")
         gram, self.item, self.place = gram[order], self.item[order], self.place[order]
         self.keys = Keys(gram)
         self.bounds = np.concatenate([np.searchsorted(gram, self.keys.keys), [len(gram)]])
         self.size = np.array([len(w) for w in words] or [0])
+        self.need = np.maximum(THRESHOLD * self.size, LEAST)
+        self.known = np.unique(_of_item(np.repeat(np.arange(len(words)), self.size[:len(words)]), np.concatenate(words or [np.zeros(0, np.uint64)])))
+
+    def hits(self, at: np.ndarray, key: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Row, item and diagonal of the hits, all of a row and an item together and about ``HITS`` at a time."""
+        count = self.bounds[key + 1] - self.bounds[key]
+        total = np.concatenate([[0], np.cumsum(count)])
+        a = 0
+        while a < len(at):
+            b = int(np.searchsorted(total, total[a] + HITS, "right")) - 1
+            if b < len(at):
+                b = int(np.searchsorted(row, row[b])) if row[b] > row[a] else int(np.searchsorted(row, row[a], "right"))
+            parts = max(1, math.ceil((total[b] - total[a]) / HITS))
+            for part in range(parts):  # a row with more hits is taken by some of the items at a time
+                held, c = [], a
+                while c < b:
+                    d = min(b, max(c + 1, int(np.searchsorted(total, total[c] + HITS, "right")) - 1))
+                    n = count[c:d]
+                    posting = np.repeat(self.bounds[key[c:d]] - (total[c:d] - total[c]), n) + np.arange(total[d] - total[c])
+                    item, start = self.item[posting], np.repeat(at[c:d], n) - self.place[posting]
+                    mine = item % parts == part
+                    held.append((np.repeat(row[c:d], n)[mine], item[mine], start[mine]))
+                    c = d
+                yield tuple(np.concatenate(x) for x in zip(*held))
+            a = b
+
+    def runs(self, hashes: np.ndarray, row: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Row, item, from and to of the runs of words in passages that could reach the score.
+
+        An alignment's words in the document sum to no less than its score,
+        up to each of them, so it lies in one run where the sum stays above 0.
+        """
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, "right")) - 1)
+            n = (high - low)[a:b]
+            of = np.repeat(np.arange(a, b), n)
+            at = np.repeat(low[a:b] - (total[a:b] - total[a]), n) + np.arange(total[b] - total[a])
+            name = _of_item(item[of], hashes[at])
+            place = np.searchsorted(self.known, name)
+            place[place == len(self.known)] = 0
+            value = np.where(self.known[place] == name, 1, -COST)
+            summed = np.cumsum(value)
+            begin = total[a:b] - total[a]
+            summed -= np.repeat((summed - value)[begin], n)
+            apart = (of - a) * (4.0 * len(of) + 4)  # passages don't see each other's least sums
+            least = np.minimum(np.minimum.accumulate(summed - apart) + apart, 0)
+            held = summed - least
+            up = held > 0
+            lead = up.copy()
+            lead[1:] &= ~up[:-1] | (of[1:] != of[:-1])
+            run = np.cumsum(lead) - 1
+            enough = np.flatnonzero(held >= self.need[item[of]])
+            some, last = np.unique(run[enough][::-1], return_index=True)
+            last = enough[::-1][last]
+            lead = np.flatnonzero(lead)[some]
+            yield row[of[lead]], item[of[lead]], at[lead], at[last] + 1
+            a = b
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Row, item, score in words and passage (words from, to) of every copy."""
-        nothing = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int64, np.int64))
         hashes, first = _words(data, offsets)
+        out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int64, np.int64))]
         g = grams(hashes, SEED)
-        if not len(g) or not len(self.keys.keys):
-            return nothing
-        at, key = self.keys.find(g, within_rows(first, SEED, len(g)))
-        if not len(at):
-            return nothing
-        count = self.bounds[key + 1] - self.bounds[key]
-        posting = np.repeat(self.bounds[key] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        item, row = self.item[posting], np.repeat(row_of(first, len(hashes))[at], count)
-        start = np.repeat(at, count) - self.place[posting]
-        order = np.lexsort((start, item, row))
-        row, item, start = row[order], item[order], start[order]
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.size[item[1:]])
-        lead = np.flatnonzero(fresh)
-        last = np.append(lead[1:], len(row)) - 1
-        row, item, size = row[lead], item[lead], self.size[item[lead]]
-        slack = size // 4 + 2
-        low = np.maximum(first[row], start[lead] - slack)
-        high = np.minimum(first[row + 1], start[last] + size + slack)
-        score = align([self.words[i] for i in item], [hashes[a:b] for a, b in zip(low, high)])
-        good = (score >= THRESHOLD * size) & (score >= LEAST)
-        row, item, score, low, high = (x[good] for x in (row, item, score, low, high))
+        at = key = np.zeros(0, np.int64)
+        if len(g) and len(self.keys.keys):
+            at, key = self.keys.find(g, within_rows(first, SEED, len(g)))
+        for row, item, start in self.hits(at, key, row_of(first, len(hashes))[at]):
+            order = np.lexsort((start, item, row))
+            row, item, start = row[order], item[order], start[order]
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.size[item[1:]])
+            lead = np.flatnonzero(fresh)
+            last = np.append(lead[1:], len(row)) - 1
+            row, item, size = row[lead], item[lead], self.size[item[lead]]
+            # A copy has no more words added than the item has.
+            low = np.maximum(first[row], start[lead] - size)
+            high = np.minimum(first[row + 1], start[last] + 2 * size)
+            for row, item, low, high in self.runs(hashes, row, item, low, high):  # noqa: B020, PLW2901
+                # No copy is longer than two items: long runs are taken in windows that overlap by as much.
+                size = 2 * self.size[item]
+                windows = np.maximum(1, -(-(high - low) // size) - 1)
+                one = np.repeat(np.arange(len(row)), windows)
+                low = low[one] + size[one] * (np.arange(len(one)) - np.repeat(np.cumsum(windows) - windows, windows))
+                row, item, high = row[one], item[one], np.minimum(high[one], low + 2 * size[one])
+                score = align([self.words[i] for i in item], [hashes[a:b] for a, b in zip(low, high)])
+                good = score >= self.need[item]
+                out.append(tuple(x[good] for x in (row, item, score, low, high)))
+        row, item, score, low, high = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((low, -score, item, row))  # the best passage of a document and an item
         row, item, score, low, high = (x[order] for x in (row, item, score, low, high))
         one = np.ones(len(row), bool)
@@ -151,8 +216,8 @@ class Index:
         return row[one], item[one], score[one], (low - first[row])[one], (high - first[row])[one]
 
 
-def build_indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list[Index]:
-    """Seeds of all items, in blocks of ``BLOCK_BYTES``; counts cover all documents."""
+def build_indexes(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> list[Index]:
+    """Seeds of all items, in blocks of ``BLOCK_BYTES``."""
     items = written(benchmark.select(F.col(item_col).alias("id"), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("t")).distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
@@ -163,25 +228,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         hashes, first = _words(np.frombuffer(b"".join(raw), np.uint8), offsets)
         words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-        keys = Keys(np.concatenate([grams(w, SEED) for w in words] or [np.zeros(0, np.uint64)]))
-
-        def counted(batches: Iterator[pa.RecordBatch], keys: Keys = keys) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(keys.keys), np.int64)
-            for _, data, offsets in slices(batches, "t"):
-                h, first = _words(data, offsets)
-                g = grams(h, SEED)
-                at, key = keys.find(g, within_rows(first, SEED, len(g)))
-                once = np.unique(row_of(first, len(h))[at] * len(keys.keys) + key)
-                total += np.bincount(once % len(keys.keys), minlength=len(keys.keys))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.keys[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-        frequency = {}
-        if len(keys.keys):
-            texts = with_python(docs).select(F.lower(F.col(text_col)).alias("t"))
-            # As many rows as the block has triples, at most.
-            frequency = {r[0]: r[1] for r in texts.mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()}
-        out.append(Index([r["id"] for r in rows], words, frequency))
+        out.append(Index([r["id"] for r in rows], words))
     return out
 
 
@@ -198,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = f"id {id_kind.simpleString()}, item {item_kind.simpleString()}, score double, passage_start long, passage_stop long"
     rows = with_python(docs).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("t"))
     found = None
-    for index in build_indexes(docs, benchmark, text_col, item_col, item_text):
+    for index in build_indexes(benchmark, item_col, item_text):
         def leaks(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             ids = None
             for batch, data, offsets in slices(batches, "t"):
@@ -223,7 +270,7 @@ def from_spark(kind) -> pa.DataType:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item, all columns as they are."""
     schema, names, lowered = docs.schema, docs.columns, "_lower_" + "_".join(docs.columns)
-    for index in build_indexes(docs, benchmark, text_col, item_col, item_text):
+    for index in build_indexes(benchmark, item_col, item_text):
         def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch, data, offsets in slices(batches, lowered):
                 keep = np.ones(batch.num_rows, bool)

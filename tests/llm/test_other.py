@@ -209,6 +209,40 @@ def test_leaks(spark):
     assert find_leaks(docs, items.limit(0)).collect() == [] and find_leaks(docs.limit(0), items).collect() == []
 
 
+@pytest.mark.parametrize("copies", [9, 100, 3000])
+def test_leaks_of_a_copy_in_many_documents(spark, copies):
+    item = [f"w{i}" for i in range(40)]
+    edited = [f"other{i}" if i in (5, 14, 23, 32) else w for i, w in enumerate(item)]
+    for passage, score in ((item[:28], 0.7), (edited, 0.85)):
+        rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(9)), *passage, *(f"b{i}x{j}" for j in range(9))])) for i in range(copies)]
+        # Stock phrases of the item are no copy.
+        stock = [(copies + i, " ".join(w for j in (0, 2, 3, 5, 6, 8) for w in [*item[3 * j:3 * j + 3], *(f"c{j}y{k}" for k in range(7))])) for i in range(20)]
+        items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+        got = find_leaks(docs_of(spark, rows + stock), items).collect()
+        assert sorted((r.doc_id, r.score) for r in got) == [(i, score) for i in range(copies)]
+        assert drop_leaks(docs_of(spark, rows + stock), items).count() == len(stock)
+
+
+def test_leaks_equal_alignment_of_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 60}"
+    items = [[word() for _ in range(rng.randint(12, 40))] for _ in range(25)]
+    docs = []
+    for i in range(60):
+        text = [word() for _ in range(rng.randint(0, 150))]
+        edited = [w for x in items[i % 25] for w in ([x], [x, word()], [word()], [])[rng.choices(range(4), (8, 2, 1, 1))[0]]]
+        docs.append(text + edited + [word() for _ in range(rng.randint(0, 400))])
+    got = find_leaks(docs_of(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    triples = lambda x: {tuple(x[j:j + 3]) for j in range(len(x) - 2)}
+    want = {}
+    for i, d in enumerate(docs):
+        for j, x in enumerate(items):
+            score = brute.smith_waterman(x, d)
+            if triples(x) & triples(d) and score >= max(6, len(x) / 2):
+                want[i, j] = round(score / len(x), 4)
+    assert len(want) > 40 and {(r.doc_id, r.item_id): r.score for r in got.collect()} == want
+
+
 def test_leaked_items_of_the_table_are_found(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()}
