@@ -16,6 +16,9 @@ pass over the documents, without a shuffle of text:
 3. Smith-Waterman aligns item and passage word by word, so that
    words replaced, left out or added cost a little and do not hide a copy.
 
+Items too short for the least score are found where a document has the whole
+item word for word.
+
 The benchmark is taken in blocks of bounded size, each sent to all tasks.
 """
 
@@ -111,6 +114,8 @@ class Index:
         self.ids, self.words = ids, words
         gram, item, place = [], [], []
         for i, w in enumerate(words):
+            if len(w) < LEAST:
+                continue
             g = grams(w, SEED)
             gram.append(g), place.append(np.arange(len(g))), item.append(np.full(len(g), i))
         gram, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((gram, np.uint64), (item, np.int64), (place, np.int64)))
@@ -122,6 +127,30 @@ class Index:
         self.need = np.maximum(THRESHOLD * self.size, LEAST)
         self.known = np.unique(_of_item(np.repeat(np.arange(len(words)), self.size[:len(words)]), np.concatenate(words or [np.zeros(0, np.uint64)])))
 
+        self.short = {}
+        for n in range(1, math.ceil(LEAST)):
+            which = np.flatnonzero(self.size == n)
+            if len(which):
+                gram = np.array([grams(words[i], n)[0] for i in which])
+                order = np.argsort(gram, kind="stable")
+                keys = Keys(gram)
+                self.short[n] = keys, np.append(np.searchsorted(gram[order], keys.keys), len(gram)), which[order]
+
+    def whole(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Row, item, score, from and to of the first place where a row has all words of a short item."""
+        row = row_of(first, len(hashes))
+        for n, (keys, bounds, items) in self.short.items():
+            g = grams(hashes, n)
+            if not len(g):
+                continue
+            at, key = keys.find(g, within_rows(first, n, len(g)))
+            _, one = np.unique(row[at] * len(keys.keys) + key, return_index=True)
+            at, key = at[one], key[one]
+            count = bounds[key + 1] - bounds[key]
+            item = items[np.repeat(bounds[key] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            at = np.repeat(at, count)
+            yield row[at], item, np.full(len(at), n, np.float32), at, at + n
+
     def hits(self, at: np.ndarray, key: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Row, item and diagonal of the hits, all of a row and an item together and about ``HITS`` at a time."""
         count = self.bounds[key + 1] - self.bounds[key]
@@ -182,7 +211,7 @@ class Index:
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Row, item, score in words and passage (words from, to) of every copy."""
         hashes, first = _words(data, offsets)
-        out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int64, np.int64))]
+        out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int64, np.int64)), *self.whole(hashes, first)]
         g = grams(hashes, SEED)
         at = key = np.zeros(0, np.int64)
         if len(g) and len(self.keys.keys):
@@ -237,7 +266,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Columns: id, item id, score (alignment score over the item's words, at
     most 1), passage_start and passage_stop (the document's words compared).
-    Null texts are empty; items of fewer than ``LEAST`` words and empty
+    Null texts are empty; items of fewer than ``LEAST`` words are found where
+    all their words stand together, score 1; items without words and empty
     tables give no rows. Repeated items count once, items that share an id
     but not the text are apart, and repeated documents are judged each.
     """

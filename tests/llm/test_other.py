@@ -243,6 +243,14 @@ def test_leaks_equal_alignment_of_all_pairs(spark):
     assert len(want) > 40 and {(r.doc_id, r.item_id): r.score for r in got.collect()} == want
 
 
+def test_leaks_of_short_items(spark):
+    docs = docs_of(spark, [(1, "x One, two three four five y one two three four five"), (2, "one two three four six"), (3, "two three"), (4, "three"), (5, "two"), (6, "three four five"), (7, None)])
+    items = spark.createDataFrame([(1, "one two three four FIVE"), (2, "two three"), (3, "two three"), (4, "six"), (5, ""), (6, None), (7, "a b c d e f")], "item_id long, text string")
+    got = sorted(tuple(r) for r in find_leaks(docs, items).collect())
+    assert got == [(1, 1, 1.0, 1, 6), (1, 2, 1.0, 2, 4), (1, 3, 1.0, 2, 4), (2, 2, 1.0, 1, 3), (2, 3, 1.0, 1, 3), (2, 4, 1.0, 4, 5), (3, 2, 1.0, 0, 2), (3, 3, 1.0, 0, 2)]
+    assert sorted(r.doc_id for r in drop_leaks(docs, items).collect()) == [4, 5, 6, 7]
+
+
 def test_leaked_items_of_the_table_are_found(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()}
