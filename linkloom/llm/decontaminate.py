@@ -19,7 +19,8 @@ pass over the documents, without a shuffle of text:
 Items too short for the least score are found where a document has the whole
 item word for word.
 
-The benchmark is taken in blocks of bounded size, each sent to all tasks.
+The benchmark is taken in blocks of bounded size, each sent to all tasks; of
+several blocks, one is used and its copies written before the next is read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 import string
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -245,20 +247,21 @@ class Index:
         return row[one], item[one], score[one], (low - first[row])[one], (high - first[row])[one]
 
 
-def build_indexes(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> list[Index]:
-    """Seeds of all items, in blocks of ``BLOCK_BYTES``."""
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, int]:
+    """The items (id, t, block) and the number of blocks of ``BLOCK_BYTES``."""
     items = written(benchmark.select(F.col(item_col).alias("id"), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("t")).distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    out = []
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block).orderBy("id", "t").collect()
-        raw = [r["t"].encode() for r in rows]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        hashes, first = _words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-        out.append(Index([r["id"] for r in rows], words))
-    return out
+    return items.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks))), blocks
+
+
+def build_index(items: DataFrame, block: int) -> Index:
+    """Seeds of the items of one block."""
+    rows = items.filter(F.col("block") == block).orderBy("id", "t").collect()
+    raw = [r["t"].encode() for r in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    hashes, first = _words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    return Index([r["id"] for r in rows], [hashes[a:b] for a, b in zip(first[:-1], first[1:])])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -274,9 +277,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     id_kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"id {id_kind.simpleString()}, item {item_kind.simpleString()}, score double, passage_start long, passage_stop long"
     rows = with_python(docs).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("t"))
-    found = None
-    for index in build_indexes(benchmark, item_col, item_text):
-        def leaks(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    items, blocks = item_blocks(benchmark, item_col, item_text)
+
+    def of_block(block: int) -> DataFrame:
+        index = build_index(items, block)
+
+        def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = None
             for batch, data, offsets in slices(batches, "t"):
                 row, item, score, low, high = index.leaks(data, offsets)
@@ -286,9 +292,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         [batch.column(0).take(pa.array(row)), ids.take(pa.array(item)), pa.array(np.round(score.astype(np.float64) / index.size[item], 4)), pa.array(low), pa.array(high)],
                         ["id", "item", "score", "passage_start", "passage_stop"])
 
-        part = rows.mapInArrow(leaks, schema)
-        found = part if found is None else found.unionByName(part)
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
+        found = rows.mapInArrow(leaks, schema)
+        return found if blocks == 1 else written(found, "leaks")
+
+    return reduce(DataFrame.unionByName, map(of_block, range(blocks))).withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def from_spark(kind) -> pa.DataType:
@@ -300,12 +307,28 @@ def from_spark(kind) -> pa.DataType:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item, all columns as they are."""
     schema, names, lowered = docs.schema, docs.columns, "_lower_" + "_".join(docs.columns)
-    for index in build_indexes(benchmark, item_col, item_text):
-        def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    items, blocks = item_blocks(benchmark, item_col, item_text)
+    texts = with_python(docs).withColumn(lowered, F.lower(F.col(text_col)))
+    if blocks == 1:
+        index = build_index(items, 0)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, data, offsets in slices(batches, lowered):
                 keep = np.ones(batch.num_rows, bool)
                 keep[index.leaks(data, offsets)[0]] = False
                 yield batch.filter(pa.array(keep)).select(names)
 
-        docs = with_python(docs).withColumn(lowered, F.lower(F.col(text_col))).mapInArrow(clean, schema)
-    return docs
+        return texts.mapInArrow(clean, schema)
+
+    # Whether a row stays rests on its text alone, so texts are told by a digest.
+    def of_block(block: int) -> DataFrame:
+        index = build_index(items, block)
+
+        def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, data, offsets in slices(batches, "t"):
+                yield batch.select(["digest"]).take(pa.array(np.unique(index.leaks(data, offsets)[0])))
+
+        return written(texts.select(F.md5(lowered).alias("digest"), F.col(lowered).alias("t")).mapInArrow(leaks, "digest string"), "leaks")
+
+    gone = reduce(DataFrame.unionByName, map(of_block, range(blocks))).distinct().withColumnRenamed("digest", lowered)
+    return texts.withColumn(lowered, F.md5(lowered)).join(gone, lowered, "left_anti").drop(lowered)

@@ -1,6 +1,8 @@
 """Operators 2, 4, 5, 6, 7 and 9, and the pipeline."""
 
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -10,6 +12,7 @@ from tokenizers import Tokenizer
 
 import brute
 import corpus_pipeline
+from linkloom.llm import decontaminate
 from linkloom.llm.decontaminate import align, drop_leaks, find_leaks
 from linkloom.llm.language_id import TextModel, fit_text, identify_languages
 from linkloom.llm.packing import Words, best_fit_runs, pack
@@ -251,6 +254,26 @@ def test_leaks_of_short_items(spark):
     assert sorted(r.doc_id for r in drop_leaks(docs, items).collect()) == [4, 5, 6, 7]
 
 
+def test_leaks_block_by_block(spark, sf, monkeypatch):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    want, kept = sorted(map(tuple, find_leaks(docs, items).collect())), sorted(map(tuple, drop_leaks(docs, items).collect()), key=repr)
+    real, made, others = decontaminate.Index.__init__, [], []
+
+    def init(self, *given):
+        gc.collect()
+        others.append(sum(r() is not None for r in made))
+        made.append(weakref.ref(self))
+        real(self, *given)
+
+    monkeypatch.setattr(decontaminate.Index, "__init__", init)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert sorted(map(tuple, find_leaks(docs, items).collect())) == want
+    got = drop_leaks(docs, items)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=repr) == kept
+    assert len(made) > 5 and max(others) <= 1  # blocks that the driver still holds while it makes another
+
+
 def test_leaked_items_of_the_table_are_found(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()}
