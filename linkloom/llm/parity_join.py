@@ -20,7 +20,8 @@ that more than ``LIMIT`` documents share yields pairs with one centre only.
 Its members that the links don't join are searched again with all such
 blocks put last in the order (any order that is the same for all will do), so
 that documents meet in rarer blocks; what is still in large groups at the
-last level is compared in full.
+last level is compared in full, page against page of a group's members, so
+that no task holds a whole group or its pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ GROUP_BYTES, HELD = 12 << 20, 400_000
 #: Below this size every shingle has a block of its own.
 SINGLE = 64
 LEVELS = 5
+#: Members of a page at the last level at most, bytes of a page's sketches, and pairs (or bytes of them) held at a time.
+PAGE, PAGE_BYTES, PAIRS = 4096, 8 << 20, 1 << 20
 #: Bits of the map of common blocks; a bit that is set for another block only changes the order.
 COMMON_BITS = 24
 
@@ -178,7 +181,7 @@ def _blobs(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
 _FOUND = "a long, b long, band int, size_a int, size_b int, hot boolean"
 
 
-def _search(limit: int | None):
+def _search(limit: int):
     """Candidate pairs of a slot's groups; members (group, signature, key in size_b) of groups over ``limit``."""
     def search(table: pa.Table) -> pa.Table:
         key, sig, label, size, band = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
@@ -201,17 +204,14 @@ def _search(limit: int | None):
             count = np.diff(np.append(lead, len(key)))
             mixed_labels = np.minimum.reduceat(label, lead) != np.maximum.reduceat(label, lead)
             lead, count = lead[mixed_labels], count[mixed_labels]
-            for m in np.unique(count[count <= (limit or 0)]):
+            for m in np.unique(count[count <= limit]):
                 i, j = np.triu_indices(m, 1)
                 at = lead[count == m][:, None]
                 out.append(((at + i).ravel(), (at + j).ravel()))
-            for at, m in zip(lead[count > (limit or 0)], count[count > (limit or 0)]):
-                # One centre for all; without a limit every member in turn.
-                for c in range(1 if limit else m - 1):
-                    out.append((np.full(m - 1 - c, at + c), np.arange(at + c + 1, at + m)))
-            if limit:
-                big = count > limit
-                hot = np.repeat(lead[big] - np.cumsum(count[big]) + count[big], count[big]) + np.arange(int(count[big].sum()))
+            big = count > limit
+            for at, m in zip(lead[big], count[big]):
+                out.append((np.full(m - 1, at), np.arange(at + 1, at + m)))  # one centre for all
+            hot = np.repeat(lead[big] - np.cumsum(count[big]) + count[big], count[big]) + np.arange(int(count[big].sum()))
         a, b = (np.concatenate(x) for x in zip(*out))
         small, large = np.minimum(size[a], size[b]).astype(np.int64), np.maximum(size[a], size[b]).astype(np.int64)
         good = (label[a] != label[b]) & (4 * small >= 3 * large)
@@ -269,6 +269,48 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _page_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of two pages of a group (or within one) that could be linked and are not known to be."""
+    page, sig, label, size = (table.column(c).to_numpy() for c in ("page", "sig", "label", "size"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    sketch = table.column("sketch").to_pylist()
+    wide = len(sketch[0])
+    sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, wide)
+    left, right = np.flatnonzero(page == i), np.flatnonzero(page == j)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step, held = max(1, PAIRS // max(1, len(right))), max(1, 8 * PAIRS // wide)
+    for at in range(0, len(left), step):
+        a, b = (x.ravel() for x in np.meshgrid(left[at:at + step], right, indexing="ij"))
+        small, large = np.minimum(size[a], size[b]).astype(np.int64), np.maximum(size[a], size[b]).astype(np.int64)
+        good = (label[a] != label[b]) & (4 * small >= 3 * large)
+        if i == j:
+            good &= a < b
+        a, b, most = a[good], b[good], ((small + large) // 7)[good]
+        for c in range(0, len(a), held):
+            x, y = a[c:c + held], b[c:c + held]
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= most[c:c + held]
+            out.append((x[near], y[near]))
+    a, b = (np.concatenate(x) for x in zip(*out))
+    band = np.full(len(a), table.column("band")[0].as_py(), np.int32)
+    return pa.table([pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(band), pa.array(size[a]), pa.array(size[b])],
+                    names=["a", "b", "band", "size_a", "size_b"])
+
+
+def _paged_pairs(members: DataFrame, sketches: DataFrame, total: int) -> DataFrame:
+    """All pairs of each group's members (e, sig, band, size, label), page against page."""
+    # Groups with the same members are one.
+    groups = (members.groupBy("e", "band").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("marks"),
+                                               F.min("label").alias("low"), F.max("label").alias("high"))
+              .filter("low <> high").groupBy("band", "c", "marks").agg(F.min("e").alias("e")))
+    page = F.greatest(F.lit(1), F.least(F.lit(PAGE), F.floor(F.lit(2 * PAGE_BYTES) / F.pow(F.lit(2.0), F.col("band")))))
+    groups = groups.select("e", "c", F.ceil(F.col("c") / page).cast("int").alias("pages"))
+    rows = paged_join(members, groups, ["e"], "c", total, F.xxhash64("sig")).drop("c")
+    rows = rows.withColumn("page", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("pages")).cast("int")).join(sketches, ["sig", "band"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+    rows = rows.select("e", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "page", "sig", "label", "band", "size", "sketch")
+    return rows.groupBy("e", "i", "j").applyInArrow(_page_pairs, "a long, b long, band int, size_a int, size_b int")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in slices(batches, "x"):
         mine, bounds = shingle_sets(data, offsets)
@@ -323,7 +365,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     common = None
 
-    def searched(rows: DataFrame, shingles: int, limit: int | None) -> DataFrame:
+    def searched(rows: DataFrame, shingles: int, limit: int) -> DataFrame:
         """Blocks dealt to slots and searched; once more with more blocks where a document had too few."""
         more, known = 1, spark.sparkContext.broadcast(common)
         while True:
@@ -353,8 +395,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         size = members.join(classes.select("sig", "n"), "sig").agg(F.sum("n")).first()[0]
         if not size:
             break
-        found = searched(texts.join(members, "sig"), size, None if level == LEVELS else limit * min(4, 2 ** level))
+        found = searched(texts.join(members, "sig"), size, limit * min(4, 2 ** level))
         links = written(links.unionByName(_verify(found.filter("not hot"), texts, sketches)).distinct(), "links")
+    else:
+        large = found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig"), "band", F.col("size_a").alias("size")).distinct()
+        large = large.join(components(links).withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        pairs = _paged_pairs(written(large, "large"), sketches, total)
+        links = written(links.unionByName(_verify(pairs, texts, sketches)).distinct(), "links")
     labels = components(links)
     named_classes = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = named_classes.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.min("least").alias("component_id"))

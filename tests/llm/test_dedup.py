@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from linkloom.llm import parity_join
 from linkloom.llm.components import components
 from linkloom.llm.exact_dedup import drop_copies, exact_groups
 from linkloom.llm.parity_join import drop_near_duplicates, near_duplicates
@@ -118,6 +119,37 @@ def test_near_duplicates_of_a_large_group(spark):
     same(near_duplicates(table(spark, rows), limit=6), brute.near(rows))
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Texts that share three quarters of their shingles meet in common blocks at every level; some are linked."""
+    rng = random.Random(10)
+    template, rows = [f"t{i}" for i in range(90)], []
+    for i in range(60):
+        own = [f"o{i // 2 if i < 20 else i}_{j}" for j in range(rng.randint(24, 28))]
+        rows.append((i, " ".join(template + own + ([f"last{i}"] if i < 20 else []))))
+    pairs = []
+    real = parity_join._search
+
+    def search(limit):
+        pairs.append(limit)
+        return real(limit)
+
+    monkeypatch.setattr(parity_join, "_search", search)
+    monkeypatch.setattr(parity_join, "PAGE", 16)
+    compared = spark.sparkContext.accumulator(0)
+    whole = parity_join._page_pairs
+
+    def counted(table):
+        compared.add(1)
+        assert table.num_rows < 60
+        return whole(table)
+
+    monkeypatch.setattr(parity_join, "_page_pairs", counted)
+    want = brute.near(rows)
+    assert 40 <= len({c for _, _, c in want}) < 60
+    same(near_duplicates(table(spark, rows), limit=2), want)
+    assert len(pairs) == parity_join.LEVELS + 1 and None not in pairs and compared.value > 1
+
+
 def test_drop_near_duplicates(spark, corpus):
     docs = table(spark, corpus)
     kept = drop_near_duplicates(docs)
