@@ -15,7 +15,8 @@ non-empty blocks for this, the search is made with more blocks.
 
 Candidates are pruned by size and by the Hamming distance of folded sketches
 (a lower bound of the difference), and what is left is verified on the whole
-shingle sets. Documents with equal sets are one from the start. A block
+shingle sets. Documents with equal sets are one from the start: only one text
+of each set deals its blocks. A block
 that more than ``LIMIT`` documents share yields pairs with one centre only.
 Its members that the links don't join are searched again with all such
 blocks put last in the order (any order that is the same for all will do), so
@@ -161,6 +162,11 @@ class _Dealer:
             return
         columns = [np.concatenate(c) for c in zip(*self.held)]
         self.held, self.size = [], 0
+        order = np.lexsort((columns[1], columns[0]))  # repeated rows send the same key and signature
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+        columns = [c[new] for c in columns]
         slot = ((columns[0] >> np.uint64(34)) % np.uint64(self.slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         columns = [c[order] for c in columns]
@@ -377,7 +383,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 return out
             more *= 4
 
-    found = searched(named.select("t"), shingles, limit)
+    # Of texts with equal sets one is searched: those of the other keys are left out.
+    copied = classes.filter("c > 1").select("sig", "c", F.col("k").alias("first"))
+    copies = written(paged_join(profiles.filter("n > 0").select("sig", "k"), copied, ["sig"], "c", total, F.xxhash64("k")).filter("k <> first").select("k").distinct(), "copies")
+    found = searched(named.join(copies, "k", "left_anti").select("t"), shingles, limit)
     wanted = found.select(F.explode(F.array(F.when(~F.col("hot"), F.col("a")), F.col("b"))).alias("sig")).filter("sig is not null").distinct()
     # Of every set that is in question one text.
     texts = written(named.select("k", "t").join(classes.join(wanted, "sig").select("k", "sig"), "k").select("sig", "t"), "texts")

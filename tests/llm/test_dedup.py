@@ -119,6 +119,29 @@ def test_near_duplicates_of_a_large_group(spark):
     same(near_duplicates(table(spark, rows), limit=6), brute.near(rows))
 
 
+@pytest.mark.parametrize("ids", [range(10, 3010), [None] * 3000])
+def test_copies_deal_their_blocks_once(spark, monkeypatch, ids):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows, dealt = [(i, text(100)) for i in range(10)], spark.sparkContext.accumulator(0)
+    copied = text(100)
+    real = parity_join._dealt
+
+    def counting(*given):
+        deal = real(*given)
+
+        def of(batches):
+            for blob in deal(batches):
+                dealt.add(sum(len(x) // 4 for x in blob.column("keys").to_pylist()))
+                yield blob
+        return of
+
+    monkeypatch.setattr(parity_join, "_dealt", counting)
+    rows = [*rows, *((i, copied) for i in ids)]
+    same(near_duplicates(table(spark, rows).repartition(4)), brute.near(rows))
+    assert 0 < dealt.value < 100 * 40
+
+
 def test_near_duplicates_of_a_template(spark, monkeypatch):
     """Texts that share three quarters of their shingles meet in common blocks at every level; some are linked."""
     rng = random.Random(10)
