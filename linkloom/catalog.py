@@ -240,18 +240,20 @@ def content_none_text(spark, d):
 
 # ── crawl (J1-J8, J10, F3, F6, S2, T6) over the derived link graph ──────────
 
-def crawl_inputs(spark, d, prefer_external=False, focus=("/en/",), avoid=("/de/",)):
-    """Seeds: every site's first stored page, of all pages; one job per URL
-    scheme (so several jobs share one plan), its seeds in page order; plan per
-    job: focus /en/, avoid /de/."""
+def _site_job(url):
+    """The job of a url: one per site."""
     from .functions.urls import authority
+    return F.concat(F.lit("job-"), authority(url))
+
+
+def crawl_inputs(spark, d, prefer_external=False, focus=("/en/",), avoid=("/de/",)):
+    """Seeds: every stored page, in the job of its site, in page order; plan
+    per job: focus /en/, avoid /de/."""
     from .operators.ordinal import ordinal
     from .sources.derived import link_graph
     pages = table(spark, d, "pages")
-    job = F.concat(F.lit("job-"), F.regexp_extract("url", "^([a-z]+):", 1))
-    first = (pages.groupBy(job.alias("job_id"), authority("url").alias("host"))
-             .agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url")))
-    seeds = ordinal(first, ["page_id"], by=["job_id"], name="n").select("job_id", (F.col("n") - 1).cast("int").alias("seed_pos"), "url")
+    seeds = ordinal(pages.select(_site_job("url").alias("job_id"), "page_id", "url"), ["page_id"], by=["job_id"], name="n")
+    seeds = seeds.select("job_id", (F.col("n") - 1).cast("int").alias("seed_pos"), "url")
     plans = seeds.select("job_id").distinct().select(
         "job_id", F.array(*[F.lit(x) for x in focus]).alias("focus_patterns"),
         F.array(*[F.lit(x) for x in avoid]).alias("avoid_patterns"), F.lit(prefer_external).alias("prefer_external"))
@@ -316,7 +318,7 @@ def crawl_jobs(spark, d):
     from .operators.crawl import crawl_jobs as cj
     from .operators.crawl import path_text
     seeds, links, store, plans = crawl_inputs(spark, d)
-    first = F.col("job_id") == "job-http"
+    first = F.length("job_id") % 2 == 0
     jobs = seeds.select("job_id").distinct().select(
         "job_id", F.when(first, "bfs").otherwise("dfs").alias("strategy"), F.when(first, 2).otherwise(3).alias("max_depth"),
         F.when(first, 30).otherwise(25).alias("max_pages"), F.when(first, 0.0).otherwise(0.5).alias("score_threshold"), (~first).alias("include_external"))
@@ -492,14 +494,65 @@ def job_list(spark, d):
 
 @query
 def job_view(spark, d):
+    """Every job's record with its results in chunks of ten."""
+    from .operators.event_log import job_records
+    from .operators.jobs import JOB_DEFAULTS
     from .operators.jobs import job_stats as js
-    from .operators.jobs import job_view as jv
     from .plans.plan import parse_plans, usable_plans
     from .sources.derived import plan_responses_v
     accepted, _ = _jobs(spark, d)
-    stats = js(results_v(spark, d).withColumn("job_id", F.concat(F.lit("job-"), F.col("job_id").cast("string"))))
+    key = F.concat(F.lit("job-"), F.col("job_id").cast("string"))
+    results = results_v(spark, d).withColumn("job_id", key)
     plans = usable_plans(parse_plans(plan_responses_v(spark, d)))
-    return jv(accepted, stats, plans)
+    view = job_records(accepted, js(results), _events(spark, d).withColumn("job_id", key), R.job_result_rows(results), plans, size=10)
+    shown = F.transform("results", lambda r: F.concat_ws(" ", r["position"], r["url"], r["depth"], F.format_string("%.1f", r["score"]), r["links_count"]))
+    return view.select("job_id", "goal", F.array_join("seed_urls", ",").alias("seeds"), "status", "error", "created_at", "updated_at",
+                       *[F.col(f"config.{k}").alias(k) for k, _, _ in JOB_DEFAULTS if k not in ("stealth", "headless")],
+                       "stats.pages_crawled", "stats.pages_error", "stats.results_count", F.col("ai_plan.summary").alias("plan_summary"),
+                       "chunk", F.size("results").cast("long").alias("n"), F.array_join(shown, "; ").alias("results"))
+
+
+def _log_inputs(spark, d):
+    """The budgeted crawl of every site, its jobs and their plans (a third of the sites have none that is usable)."""
+    from .operators.crawl import CrawlConfig, crawl
+    seeds, links, store, plans = crawl_inputs(spark, d)
+    bad = F.length("job_id") % 3 == 0
+    crawled = crawl(seeds, links, store, plans.filter(~bad), CrawlConfig(max_depth=2, max_pages=15))
+    jobs = seeds.select("job_id").distinct()
+    outcomes = jobs.select("job_id", F.when(bad, "plan_error").otherwise("ok").alias("outcome"),
+                           F.when(~bad, F.concat(F.lit("Crawl of "), F.substring("job_id", 5, 200))).alias("summary"), F.when(bad, F.lit("'url'")).alias("error"))
+    return jobs, crawled, outcomes
+
+
+@query
+def crawl_event_log(spark, d):
+    """The whole event log of a crawl."""
+    from .operators.event_log import crawl_event_log as log
+    return log(*_log_inputs(spark, d)).drop("ts")
+
+
+@query
+def crawl_log_state(spark, d):
+    """T3 to T5 read from that log."""
+    from .operators.event_log import crawl_event_log as log
+    from .operators.event_log import log_state
+    return log_state(log(*_log_inputs(spark, d)))
+
+
+@query
+def settings_checked(spark, d):
+    """F7 on raw text: every customer types one setting in the session of its nation."""
+    from .operators.settings import settings_outcomes
+    from .sources.derived import raw_settings_v
+    return settings_outcomes(raw_settings_v(spark, d)).select("session_id", "seq", "key", "raw", "field", "message", "flag")
+
+
+@query
+def session_settings(spark, d):
+    """The settings that hold at the end of each session."""
+    from .operators.settings import session_config, settings_outcomes
+    from .sources.derived import raw_settings_v
+    return session_config(settings_outcomes(raw_settings_v(spark, d)))
 
 
 # ── plans and model-call prompts (J6, L1-L5, L7, L8) ────────────────────────
@@ -542,6 +595,36 @@ def plan_view(spark, d):
     return pv(usable_plans(_parsed(spark, d)))
 
 
+def stub_planner():
+    """A stand-in for a model: its answer, or failure, follows from the prompt's goal."""
+    import json
+
+    def answer(prompt):
+        goal = prompt.split("\n", 1)[0][6:]
+        if goal == "MACHINERY":
+            raise RuntimeError("provider down")
+        if goal == "AUTOMOBILE":
+            return "I can't plan this."
+        if goal == "BUILDING":
+            return json.dumps({"summary": "s", "prioritized_seeds": [{"score": 1}]})
+        seeds = json.loads(prompt.split("\n")[1][len("Seed URLs: "):])
+        return json.dumps({"summary": f"Plan for {goal}", "prioritized_seeds": [{"url": seeds[0], "score": 0.9, "reason": "given"}], "focus_patterns": [f"/{goal.lower()}/"],
+                           "prefer_external": goal == "FURNITURE"})
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+@query
+def plan_flow(spark, d):
+    """L8 as one flow (prompt, call, parse, view), with a stand-in for the model."""
+    from .operators.requests import planned
+    from .session import checkpoint_dir
+    accepted, _ = _jobs(spark, d)
+    import uuid
+    out = planned(accepted, stub_planner, f"{checkpoint_dir(spark).rstrip('/')}/linkloom-answers-{uuid.uuid4().hex}")
+    return out.select("job_id", "outcome", "error", "summary", F.array_join("focus_patterns", ",").alias("focus"), "prefer_external", "view")
+
+
 @query
 def extraction_prompts(spark, d):
     from .operators.inference import extraction_prompts as ep
@@ -574,14 +657,33 @@ def nav_records(spark, d):
     return recs.select("page_id", "rec_no", F.col("record")["text"].alias("text"), F.col("record")["href"].alias("href"))
 
 
+@query
+def listing_records(spark, d):
+    """L6 with a selector list, sibling and position steps and attribute tests."""
+    from .operators.extract import extract_records
+    schema = {"name": "listing", "baseSelector": "div.ad ~ article > h1, nav > ul > li:nth-child(odd), nav li + li:nth-child(2)", "fields": [
+        {"name": "text", "selector": "", "type": "text"},
+        {"name": "href", "selector": "a[href^='/']:first-child", "type": "attribute", "attribute": "href"},
+        {"name": "with_e", "selector": "a[href*=\"e\"], h2", "type": "text"}]}
+    r = F.col("record")
+    return extract_records(pages_table(spark, d), schema).select("page_id", "rec_no", *[r[k].alias(k) for k in ("text", "href", "with_e")])
+
+
+@query
+def nested_exclusion(spark, d):
+    """P1 on pages whose excluded elements are nested in their own kind, unclosed, or closed by what holds them."""
+    from .functions.html import drop_elements, strip_tags
+    from .sources.derived import tangled_pages_v
+    return tangled_pages_v(spark, d).select("page_id", strip_tags(drop_elements("html")).alias("text"))
+
+
 # ── URL filters and scorers on the link graph (F1, F2, F8, C2, C3) ─────────
 
 def _graph_candidates(spark, d):
-    """Every link target as a candidate of the job of its source's scheme."""
+    """Every link target as a candidate of the job of its source's site."""
     from .sources.derived import link_graph
     g = link_graph(spark, d)
-    return g.select(F.concat(F.lit("job-"), F.regexp_extract("src_url", "^([a-z]+):", 1)).alias("job_id"),
-                    "src_id", "pos", F.col("dst_url").alias("url"), "is_internal")
+    return g.select(_site_job("src_url").alias("job_id"), "src_id", "pos", F.col("dst_url").alias("url"), "is_internal")
 
 
 @query

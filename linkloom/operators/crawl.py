@@ -9,8 +9,10 @@ Partitioning: inside ``co_partitioned(n)`` the link table is
 hash-partitioned by ``src_url`` and the store's URL set by ``url`` once
 (checkpointed, sorted); each level's new rows come out of the min-path
 aggregate hash-partitioned by ``(job_id, seed_pos, url)`` and are
-checkpointed, so the anti-joins against earlier levels and the link join
-(frontier hashed, links streamed) move only the frontier. Lineage stays one
+checkpointed, so the anti-joins against what was seen and the link join
+(frontier hashed, links streamed) move only the frontier. What was seen is
+kept in runs of doubling length (``KeyRuns``), so a level joins as many of
+them as the number of levels has binary digits, not one for each level. Lineage stays one
 level deep; the driver only sees one observed row count per level. URLs
 that could exceed ``HOT_KEY_ROWS`` rows in a step are split and salted.
 
@@ -234,41 +236,97 @@ def _fetch(rows: DataFrame, store_urls: DataFrame, n_rows: int = 0) -> DataFrame
     return j.withColumn("ok", ok).withColumn("error", F.when(ok, F.lit("")).otherwise(F.lit(FETCH_FAILED))).drop("_in_store")
 
 
-# ── J2, J3, J5: level loop (BFS reach; DFS differs only in order) ───────────
+# ── J2: what was seen, in runs of doubling length ───────────────────────────
+
+class KeyRuns:
+    """Keys seen so far, hash-partitioned by KEY into ``n`` and sorted.
+
+    A level's keys are a run of length one; two runs of equal length become
+    one of twice the length. After L levels there are as many runs as L has
+    binary ones, and a key has been written log2(L) times at most. The last
+    level's run is the level's own checkpoint: nothing is copied for it.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.runs = n, []
+
+    def add(self, rows: DataFrame) -> None:
+        self.runs.append((1, rows.select(*KEY)))
+        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
+            (length, old), (_, new) = self.runs[-2:]
+            self.runs[-2:] = [(2 * length, cut_lineage(co_located(old.unionByName(new), self.n)))]
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        """``rows`` whose key was not seen; they stay where they are."""
+        for _, keys in self.runs:
+            rows = rows.join(keys, KEY, "left_anti")
+        return rows
+
+
+def co_located(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, *KEY).sortWithinPartitions(*KEY)
+
+
+def _unioned(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _at_smallest_path(candidates: DataFrame) -> DataFrame:
+    """One row per key, that of the smallest (depth, path); partial aggregate before the shuffle."""
+    best = candidates.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
+    return best.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
+
+
+class _Budget:
+    """Successful rows of each seed run so far, as one small table."""
+
+    def __init__(self, max_pages: int):
+        self.max_pages, self.counts, self.most = max_pages, None, 0
+
+    def add(self, rows: DataFrame, most: int) -> None:
+        """``rows`` have an ``ok`` flag; a seed run has at most ``most`` of them."""
+        self.most += most
+        counts = rows.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok"))
+        if self.counts is not None:
+            counts = self.counts.unionByName(counts).groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
+        self.counts = cut_lineage(counts)
+
+    def open_runs(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of seed runs that have not reached the budget; all of them while none can have."""
+        if self.counts is None or self.most < self.max_pages:
+            return rows
+        return rows.join(self.counts.filter(F.col("n_ok") >= self.max_pages).select("job_id", "seed_pos"), ["job_id", "seed_pos"], "left_anti")
+
+
+# ── J3, J5: level loop (BFS reach; DFS differs only in order) ───────────────
 
 def _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages, hooks=NO_HOOKS) -> tuple[list[DataFrame], int]:
     """The level loop; runs inside ``co_partitioned(n)``: the min-path
     aggregate's exchange is the (job, seed, url) hash partitioning of the
-    visited levels, so the anti-joins below it move nothing, and the frontier
+    seen keys, so the anti-joins below it move nothing, and the frontier
     joins the url-partitioned links and store without moving them."""
     level = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
-    keyed, n_rows = cut_lineage_counted(level.repartition(n, *KEY).sortWithinPartitions(*KEY))
-    visited = [keyed]
+    keyed, n_rows = cut_lineage_counted(co_located(level, n))
+    levels, seen = [keyed], KeyRuns(n)
     total = n_rows
-    counts = []
-    for _d in range(1, max_depth + 1):
+    budget = _Budget(max_pages) if max_pages is not None else None
+    for depth in range(max_depth):
         level = _fetch(keyed, store_p, n_rows)  # lazy: recomputed from two checkpoints
         frontier = level.filter("ok").select("job_id", "seed_pos", "url", "depth", "path")
-        if max_pages is not None:
-            counts.append(level.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
-            ok_so_far = counts[0]
-            for c in counts[1:]:
-                ok_so_far = ok_so_far.unionByName(c)
-            full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
-                    .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
-            frontier = frontier.join(full, ["job_id", "seed_pos"], "left_anti")
-        cand = expand_frontier(frontier, links_p, plan, include_external, n_rows, hooks)
-        # Min (depth, path) per (job, seed, url); partial aggregate before the shuffle
-        new = cand.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
-        new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
-        for old in visited:
-            new = new.join(old.select(*KEY), KEY, "left_anti")
+        if budget is not None:
+            budget.add(level, n_rows)
+            frontier = budget.open_runs(frontier)
+        seen.add(keyed)
+        new = seen.without(_at_smallest_path(expand_frontier(frontier, links_p, plan, include_external, n_rows, hooks)))
         keyed, n_rows = cut_lineage_counted(new)
         if n_rows == 0:
             break
-        visited.append(keyed)
+        levels.append(keyed)
         total += n_rows
-    return visited, total
+    return levels, total
 
 
 def _planned(seeds: DataFrame, plans: DataFrame | None, limits: DataFrame | None) -> DataFrame:
@@ -293,11 +351,8 @@ def crawl_walk(seeds: DataFrame, links: DataFrame, store: DataFrame, plans: Data
     with co_partitioned(seeds.sparkSession, n):
         links_p = prepare_links(links, n)
         store_p = prepare_store(store, n)
-        visited, total = _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages, hooks)
-    walk = visited[0]
-    for lv in visited[1:]:
-        walk = walk.unionByName(lv)
-    walk = _fetch(walk, store_p, total)  # one store join for all levels
+        levels, total = _walk_levels(seeds, links_p, store_p, plan, n, max_depth, include_external, max_pages, hooks)
+    walk = _fetch(_unioned(levels), store_p, total)  # one store join for all levels
     scored = score_rows(walk, seeds, plan, cut_lineage(seed_host_set(seeds)), hooks)
     return scored.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score")
 
@@ -311,8 +366,8 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
     """Rounds; each round emits, per seed run, the ``batch`` best
     discovered-but-unexpanded pages by (score desc, depth, path) and expands
     them. -> rows with ``round`` and ``rank_in_round`` (emission order is
-    (seed_pos, round, rank_in_round)). Per round: one per-seed top-k
-    (window group limit), two checkpoints (the emitted batch, the pending set)."""
+    (seed_pos, round, rank_in_round)). Two checkpoints per round: the emitted
+    batch and the pages it discovered."""
     links, n_links = materialise_links(links)
     n = crawl_partitions(seeds.sparkSession, n_links)
     plan = _planned(seeds, plans, limits)
@@ -323,55 +378,78 @@ def crawl_bestfirst(seeds: DataFrame, links: DataFrame, store: DataFrame, plans:
         return seeds.limit(0).select(
             "job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.lit(False).alias("ok"),
             F.lit("").alias("error"), F.lit(0.0).alias("score"), F.lit(0).alias("round"), F.lit(0).alias("rank_in_round"))
-    out = emitted[0]
-    for e in emitted[1:]:
-        out = out.unionByName(e)
-    return out.select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score", "round", "rank_in_round")
+    return _unioned(emitted).select("job_id", "seed_pos", "url", "depth", "path", "ok", "error", "score", "round", "rank_in_round")
+
+
+class Frontier:
+    """Pages that are discovered and scored but not expanded, in runs.
+
+    What a round discovers is a run of its own, written once where its keys
+    are. A round reads the runs, less what was emitted since each was
+    written; runs of equal length become one, and lose their emitted rows
+    then. So no round scores, moves or rewrites all that is pending.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.runs, self.emitted, self.rows = n, [], [], 0
+
+    def add(self, rows: DataFrame, count: int) -> None:
+        """A round's discoveries, hash-partitioned by KEY and sorted."""
+        self.rows += count
+        self.runs.append((1, len(self.emitted), rows))
+        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
+            length = self.runs[-1][0]
+            left = _unioned([self._left(at, run) for _, at, run in self.runs[-2:]])
+            self.runs[-2:] = [(2 * length, len(self.emitted), cut_lineage(co_located(left, self.n)))]
+
+    def _left(self, written_at: int, run: DataFrame) -> DataFrame:
+        gone = self.emitted[written_at:]
+        return run.join(_unioned(gone).select(*KEY), KEY, "left_anti") if gone else run
+
+    def pending(self) -> DataFrame:
+        return _unioned([self._left(at, run) for _, at, run in self.runs])
+
+    def emit(self, rows: DataFrame, count: int) -> None:
+        self.rows -= count
+        self.emitted.append(rows)
 
 
 def _bestfirst_rounds(seeds, links, store, plan, n, max_depth, include_external, max_pages, batch,
                       max_rounds, hooks=NO_HOOKS) -> list[DataFrame]:
     links_p = prepare_links(links, n)
     store_p = prepare_store(store, n)
-    hosts = cut_lineage(seed_host_set(seeds))  # read every round: materialise once
+    hosts = bounded_broadcast(seed_host_set(seeds))  # read every round: materialise once
 
     def scored(df):
-        return score_rows(df, seeds, plan, hosts, hooks).select(*KEY, "depth", "path", "score")
+        return co_located(score_rows(df, seeds, plan, hosts, hooks).select(*KEY, "depth", "path", "score"), n)
 
     start = seeds.select("job_id", "seed_pos", "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
-    pending, n_pending = cut_lineage_counted(scored(start).repartition(n, *KEY))
-    emitted: list[DataFrame] = []
-    counts: list[DataFrame] = []
+    found, n_found = cut_lineage_counted(scored(start))
+    frontier, seen, budget = Frontier(n), KeyRuns(n), _Budget(max_pages)
     w = Window.partitionBy("job_id", "seed_pos").orderBy(F.desc("score"), "depth", "path")
-    rnd = -1
-    while max_rounds is None or rnd + 1 < max_rounds:
-        rnd += 1
+    rnd = 0
+    while max_rounds is None or rnd < max_rounds:
+        frontier.add(found, n_found)
+        seen.add(found)
+        if not frontier.rows:
+            break
         # per-seed top-k: a filter right on row_number lets Spark keep only the
         # top ``batch`` per seed run in each task before the shuffle
-        top = pending.withColumn("rank_in_round", F.row_number().over(w)).filter(F.col("rank_in_round") <= batch)
-        take = top
-        if counts:
-            ok_so_far = counts[0]
-            for c in counts[1:]:
-                ok_so_far = ok_so_far.unionByName(c)
-            full = (ok_so_far.groupBy("job_id", "seed_pos").agg(F.sum("n_ok").alias("n_ok"))
-                    .filter(F.col("n_ok") >= max_pages).select("job_id", "seed_pos"))
-            take = take.join(full, ["job_id", "seed_pos"], "left_anti")
-        take, n_take = cut_lineage_counted(_fetch(take.withColumn("round", F.lit(rnd)), store_p, n_pending))
+        top = budget.open_runs(frontier.pending()).withColumn("rank_in_round", F.row_number().over(w)).filter(F.col("rank_in_round") <= batch)
+        take, n_take = cut_lineage_counted(_fetch(top.withColumn("round", F.lit(rnd)), store_p, frontier.rows))
         if n_take == 0:
             break
-        emitted.append(take)
-        counts.append(take.groupBy("job_id", "seed_pos").agg(F.count_if("ok").alias("n_ok")))
-        frontier = take.filter(F.col("ok") & (F.col("depth") < max_depth)).select("job_id", "seed_pos", "url", "depth", "path")
-        cand = expand_frontier(frontier, links_p, plan, include_external, n_take, hooks)
-        new = cand.groupBy(*KEY).agg(F.min(F.struct("depth", "path")).alias("_m"))
-        new = new.select(*KEY, F.col("_m.depth").alias("depth"), F.col("_m.path").alias("path"))
-        # discovered so far = this round's pending set + every earlier batch
-        for old in [pending] + emitted[:-1]:
-            new = new.join(old.select(*KEY), KEY, "left_anti")
-        rest = pending.join(top.select(*KEY), KEY, "left_anti")  # no full ranking of a hot seed run
-        pending, n_pending = cut_lineage_counted(rest.unionByName(scored(new)).repartition(n, *KEY))
-    return emitted
+        frontier.emit(take, n_take)
+        if budget.most + batch >= max_pages or budget.counts is not None:
+            # From here on a seed run may be full; what it had before is counted first.
+            budget.add(_unioned(frontier.emitted) if budget.counts is None else take, batch)
+        else:
+            budget.most += batch
+        expanded = take.filter(F.col("ok") & (F.col("depth") < max_depth)).select("job_id", "seed_pos", "url", "depth", "path")
+        new = seen.without(_at_smallest_path(expand_frontier(expanded, links_p, plan, include_external, n_take, hooks)))
+        found, n_found = cut_lineage_counted(scored(new))
+        rnd += 1
+    return frontier.emitted
 
 
 # ── J7, F3, W1: budget ──────────────────────────────────────────────────────

@@ -301,12 +301,11 @@ lg AS (SELECT src_id, src_url, CASE WHEN j = 4 AND k % 5 = 0 THEN base || '/logi
   CAST(j - 1 AS INTEGER) AS pos FROM lg1),
 lgi AS (SELECT *, {auth('dst_url')} = {auth('src_url')} AS is_internal FROM lg)"""
 
-SEEDS = f"""firsts AS (SELECT 'job-' || regexp_extract(url, '^([a-z]+):', 1) AS job_id, min(page_id) AS page_id,
-  arg_min(url, page_id) AS url FROM pages GROUP BY 1, {auth('url')}),
-seeds AS (SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY page_id) - 1 AS INTEGER) AS seed_pos, url FROM firsts)"""
+SEEDS = f"""seeds AS (SELECT 'job-' || {auth('url')} AS job_id,
+  CAST(row_number() OVER (PARTITION BY {auth('url')} ORDER BY page_id) - 1 AS INTEGER) AS seed_pos, url FROM pages)"""
 
 
-def walk_sql(include_external=True, max_depth=3):
+def walk_sql(include_external=True, max_depth=3, planned="true"):
     ext = "" if include_external else "AND l.is_internal"
     return f"""walks(job_id, seed_pos, url, depth, path) AS (
   SELECT job_id, seed_pos, url, 0, []::INTEGER[] FROM seeds
@@ -314,7 +313,7 @@ def walk_sql(include_external=True, max_depth=3):
   SELECT w.job_id, w.seed_pos, l.dst_url, w.depth + 1, list_append(w.path, l.pos)
   FROM walks w JOIN lgi l ON l.src_url = w.url
   WHERE w.depth < {max_depth} AND w.url IN (SELECT url FROM pages)
-    AND NOT regexp_matches(l.dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(l.dst_url, '/de/') {ext}),
+    AND NOT regexp_matches(l.dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT (({planned}) AND contains(l.dst_url, '/de/')) {ext}),
 best AS (SELECT job_id, seed_pos, url, depth, path FROM (
   SELECT *, row_number() OVER (PARTITION BY job_id, seed_pos, url ORDER BY depth, path) AS rk FROM walks) WHERE rk = 1)"""
 
@@ -328,11 +327,11 @@ def score_sql(prefer_external):
 
 
 def crawl_sql(order="seed_pos, depth, path", prefer_external=False, include_external=True, max_pages=500,
-              threshold=0.0, max_depth=3):
+              threshold=0.0, max_depth=3, planned="true"):
     emitted = f"score >= {threshold}" if threshold > 0 else "true"
-    return f"""WITH RECURSIVE {LINK_GRAPH}, {SEEDS}, {walk_sql(include_external, max_depth)},
+    return f"""WITH RECURSIVE {LINK_GRAPH}, {SEEDS}, {walk_sql(include_external, max_depth, planned)},
 rows AS (SELECT b.job_id, b.seed_pos, b.url, b.depth, b.path, b.url IN (SELECT url FROM pages) AS ok,
-  {score_sql(prefer_external)} AS score FROM best b),
+  CASE WHEN {planned} THEN {score_sql(prefer_external)} ELSE 0.0 END AS score FROM best b),
 capped AS (SELECT * FROM (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY job_id, seed_pos ORDER BY {order}
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(ok AS INTEGER) AS ok_before FROM rows) WHERE ok_before < {max_pages}),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {order}) AS pages_done, {emitted} AS emitted FROM capped),
@@ -344,6 +343,31 @@ FROM numbered n LEFT JOIN stops s ON s.job_id = n.job_id
 WHERE n.emitted AND (s.stop IS NULL OR n.pages_done <= s.stop)"""
 
 
+def bestfirst_sql(batch=10, max_pages=500, max_depth=3):
+    """Rounds as a recursive CTE: each round's working table is all that is known, with the round of what was emitted."""
+    allowed = f"NOT regexp_matches(l.dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(l.dst_url, '/de/')"
+    score = "(CASE WHEN contains({0}, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE"
+    return f"""WITH RECURSIVE {LINK_GRAPH}, {SEEDS}, known AS (
+  SELECT 0 AS n, job_id, seed_pos, url, 0 AS depth, []::INTEGER[] AS path, {score.format('url')} AS score, url IN (SELECT url FROM pages) AS ok,
+    CAST(NULL AS INTEGER) AS round, CAST(NULL AS BIGINT) AS place FROM seeds
+  UNION ALL (
+  WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, seed_pos, round IS NULL ORDER BY score DESC, depth, path) AS rk,
+      sum(CASE WHEN round IS NOT NULL AND ok THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, seed_pos) AS n_ok FROM known),
+  marked AS (SELECT * EXCLUDE (rk, n_ok), round IS NULL AND rk <= {batch} AND n_ok < {max_pages} AS taken, rk FROM ranked),
+  found AS (SELECT job_id, seed_pos, l.dst_url AS url, m.depth + 1 AS depth, list_append(m.path, l.pos) AS path
+    FROM marked m JOIN lgi l ON l.src_url = m.url WHERE m.taken AND m.ok AND m.depth < {max_depth} AND {allowed}),
+  new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, seed_pos, url ORDER BY depth, path) AS nth FROM found) WHERE nth = 1)
+  SELECT n + 1, job_id, seed_pos, url, depth, path, score, ok, CASE WHEN taken THEN n ELSE round END, CASE WHEN taken THEN rk ELSE place END
+  FROM marked WHERE EXISTS (SELECT 1 FROM marked WHERE taken)
+  UNION ALL SELECT (SELECT max(n) FROM marked) + 1, f.job_id, f.seed_pos, f.url, f.depth, f.path, {score.format('f.url')}, f.url IN (SELECT url FROM pages), NULL, NULL
+  FROM new f WHERE NOT EXISTS (SELECT 1 FROM marked k WHERE k.job_id = f.job_id AND k.seed_pos = f.seed_pos AND k.url = f.url))),
+rows AS (SELECT * FROM known WHERE n = (SELECT max(n) FROM known) AND round IS NOT NULL),
+capped AS (SELECT * FROM (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY job_id, seed_pos ORDER BY round, place
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(ok AS INTEGER) AS ok_before FROM rows) WHERE ok_before < {max_pages}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seed_pos, round, place) AS pages_done FROM capped)
+SELECT job_id, seed_pos, url, depth, array_to_string(path, '.') AS path, ok, score, round, pages_done FROM numbered WHERE pages_done <= {max_pages}"""
+
+
 SQL["default_avoid"] = f"""WITH v AS (SELECT page_id, unnest([
   'login', 'logout', 'signin', 'signup', 'register', 'vote', 'upvote', 'downvote', 'hide', 'flag', 'report', 'user', 'profile', 'account',
   'from', 'submit', 'faq', 'guidelines', 'legal', 'privacy', 'terms']) AS word, url FROM pages),
@@ -363,14 +387,15 @@ FROM c LEFT JOIN pr ON pr.url = c.url AND c.ok"""
 
 SQL["crawl_jobs"] = f"""WITH a AS ({crawl_sql(max_pages=30, include_external=False, max_depth=2)}),
 b AS ({crawl_sql(order="seed_pos, path", max_pages=25, threshold=0.5)})
-SELECT a.*, 'bfs' AS strategy FROM a WHERE job_id = 'job-http'
-UNION ALL SELECT b.*, 'dfs' AS strategy FROM b WHERE job_id <> 'job-http'"""
+SELECT a.*, 'bfs' AS strategy FROM a WHERE length(job_id) % 2 = 0
+UNION ALL SELECT b.*, 'dfs' AS strategy FROM b WHERE length(job_id) % 2 <> 0"""
 
 SQL["crawl_bfs"] = crawl_sql()
 SQL["crawl_external_first"] = crawl_sql(prefer_external=True)
 SQL["crawl_dfs"] = crawl_sql(order="seed_pos, path")
 SQL["crawl_internal_only"] = crawl_sql(include_external=False)
 SQL["crawl_budget"] = crawl_sql(max_pages=20)
+SQL["crawl_bestfirst"] = bestfirst_sql()
 SQL["crawl_score_threshold"] = crawl_sql(max_pages=30, threshold=0.5)
 SQL["page_events"] = f"""SELECT job_id, 'page' AS event, url, depth, pages_done FROM ({crawl_sql(max_pages=40, threshold=0.5)})"""
 
@@ -588,7 +613,7 @@ SELECT src_id, pos, dst_url AS url,
   contains(dst_url, '/de/') OR contains(dst_url, 'example.org/1') OR contains(dst_url, 'a.b') AS avoided FROM lgi"""
 
 SQL["filter_stats"] = f"""WITH {LINK_GRAPH}, {SEEDS}, f AS (
-  SELECT 'job-' || regexp_extract(src_url, '^([a-z]+):', 1) AS job_id,
+  SELECT 'job-' || {auth('src_url')} AS job_id,
     NOT regexp_matches(dst_url, {q(DEFAULT_AVOID_RE)}) AND NOT contains(dst_url, '/de/') AS ok FROM lgi)
 SELECT job_id, 'exclusion' AS filter, count(*) FILTER (WHERE ok) AS accepted,
   count(*) FILTER (WHERE NOT ok) AS rejected FROM f WHERE job_id IN (SELECT job_id FROM seeds) GROUP BY job_id"""
@@ -597,7 +622,7 @@ SQL["focus_scores"] = f"""WITH {LINK_GRAPH}
 SELECT src_id, pos, dst_url AS url, (CASE WHEN contains(dst_url, '/en/') THEN 0.8 ELSE 0.4 END)::DOUBLE AS score FROM lgi"""
 
 SQL["external_first_scores"] = f"""WITH {LINK_GRAPH}, {SEEDS}, c AS (
-  SELECT 'job-' || regexp_extract(src_url, '^([a-z]+):', 1) AS job_id, src_id, pos, dst_url AS url FROM lgi)
+  SELECT 'job-' || {auth('src_url')} AS job_id, src_id, pos, dst_url AS url FROM lgi)
 SELECT b.src_id, b.pos, b.url, {score_sql(True)} AS score FROM c b WHERE b.job_id IN (SELECT job_id FROM seeds)"""
 
 SQL["job_result_rows"] = f"""WITH {RESULTS_V}
@@ -630,3 +655,122 @@ SELECT d.doc_id, coalesce(a.paragraphs, 0) AS paragraphs, coalesce(a.kept, 0) AS
   CAST(coalesce(a.fit_len, 0) AS BIGINT) AS fit_len, a.best FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id"""
 
 SQL["job_from_payloads"] = SQL["job_defaults"]
+
+# ── event log, job records, settings, plan flow ────────────────────────────
+
+USABLE = "length(job_id) % 3 <> 0"
+EVENT_LOG = f"""c AS ({crawl_sql(max_pages=15, max_depth=2, planned=USABLE)}),
+jobs AS (SELECT DISTINCT 'job-' || {auth('url')} AS job_id FROM pages),
+ends AS (SELECT job_id, max(status) AS status FROM c GROUP BY job_id),
+parts AS (SELECT job_id, 1 AS place, 0 AS nth, 'status' AS event, 'planning' AS status, NULL AS summary, NULL AS error, NULL AS url,
+    NULL::INTEGER AS depth, NULL::BIGINT AS pages_done FROM jobs
+  UNION ALL SELECT job_id, 2, 0, CASE WHEN {USABLE} THEN 'plan' ELSE 'plan_error' END, NULL, CASE WHEN {USABLE} THEN 'Crawl of ' || substr(job_id, 5) END,
+    CASE WHEN NOT ({USABLE}) THEN '''url''' END, NULL, NULL, NULL FROM jobs
+  UNION ALL SELECT job_id, 3, 0, 'status', 'running', NULL, NULL, NULL, NULL, NULL FROM jobs
+  UNION ALL SELECT job_id, 4, pages_done, 'page', NULL, NULL, error, url, depth, pages_done FROM c
+  UNION ALL SELECT job_id, 5, 0, 'status', coalesce(ends.status, 'completed'), NULL, NULL, NULL, NULL, NULL FROM jobs LEFT JOIN ends USING (job_id))"""
+
+SQL["crawl_event_log"] = f"""WITH {EVENT_LOG}
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY place, nth) AS seq, event, status, summary, error, url, depth, pages_done FROM parts"""
+
+SQL["crawl_log_state"] = f"""WITH {EVENT_LOG},
+n AS (SELECT job_id, count(*) FILTER (WHERE ok) AS pages_crawled, count(*) FILTER (WHERE NOT ok) AS pages_error FROM c GROUP BY job_id)
+SELECT j.job_id, coalesce(ends.status, 'completed') AS status, true AS done, coalesce(n.pages_crawled, 0) AS pages_crawled, coalesce(n.pages_error, 0) AS pages_error
+FROM jobs j LEFT JOIN ends USING (job_id) LEFT JOIN n USING (job_id)"""
+
+SQL["job_view"] = f"""WITH {JOB_REQUESTS_V}, {RESULTS_V}, {CRAWL_EVENTS_V}, {PLAN_RESPONSES_V},
+rr AS (SELECT 'job-' || CAST(job_id AS VARCHAR) AS job_id, seq, url, depth, score, links_count, error,
+  row_number() OVER (PARTITION BY job_id, error = '' ORDER BY seq) AS position FROM results_v),
+st AS (SELECT job_id, count(*) FILTER (WHERE error = '') AS ok, count(*) FILTER (WHERE error <> '') AS bad FROM rr GROUP BY job_id),
+ch AS (SELECT job_id, CAST((position - 1) // 10 AS BIGINT) AS chunk, count(*) AS n,
+  string_agg(concat_ws(' ', position, url, depth, printf('%.1f', score), links_count), '; ' ORDER BY position) AS results FROM rr WHERE error = '' GROUP BY ALL),
+born AS (SELECT 'job-' || CAST(job_id AS VARCHAR) AS job_id, epoch_us(min(ts)) / 1e6 AS created_at FROM ev GROUP BY 1),
+ls AS (SELECT 'job-' || CAST(job_id AS VARCHAR) AS job_id, status, updated_at FROM last_status)
+SELECT a.job_id, a.goal, array_to_string(a.seed_urls, ',') AS seeds, coalesce(ls.status, a.status) AS status, '' AS error, born.created_at, ls.updated_at,
+  a.max_depth, a.max_pages, a.min_delay_seconds, a.max_delay_seconds, a.ai_provider, a.strategy, a.content_filter, a.bm25_threshold, a.cache_mode,
+  a.score_threshold, a.include_external, coalesce(st.ok, 0) AS pages_crawled, coalesce(st.bad, 0) AS pages_error, coalesce(st.ok, 0) AS results_count,
+  p.summary AS plan_summary, coalesce(ch.chunk, 0) AS chunk, coalesce(ch.n, 0) AS n, coalesce(ch.results, '') AS results
+FROM acc a LEFT JOIN st USING (job_id) LEFT JOIN ch USING (job_id) LEFT JOIN born USING (job_id) LEFT JOIN ls USING (job_id)
+LEFT JOIN (SELECT * FROM plans WHERE outcome <> 'plan_error') p USING (job_id)"""
+
+RAW_KEYS = "['provider', 'Max-Pages', 'max-depth', 'min-delay', 'max-delay', 'strategy', 'filter', 'bm25-threshold', 'cache', 'stealth', 'headless', 'score-threshold', 'include-external', 'color', 'min-delay', 'max-delay']"
+RAW_TEXTS = "['claude', '5', '0.5', 'TRUE', 'dfs', 'none', 'abc', '-1', ' 12 ', 'no', '2.5', '1_000', 'it''s', 'enabled', '', '61', '1e1', 'nan', '4']"
+SETTINGS = f"""raws AS (SELECT CAST(c_nationkey AS VARCHAR) AS session_id, c_custkey AS seq, lower(({RAW_KEYS})[(c_custkey * 7 + c_custkey // 16) % 16 + 1]) AS key,
+  trim(({RAW_TEXTS})[(c_custkey * 5 + c_custkey // 19) % 19 + 1]) AS raw FROM customer),
+typed AS (SELECT *, CASE WHEN key <> 'color' THEN replace(key, '-', '_') END AS field, CASE WHEN key IN ('max-pages', 'max-depth') THEN 'int'
+    WHEN key IN ('min-delay', 'max-delay', 'bm25-threshold', 'score-threshold') THEN 'float' WHEN key IN ('stealth', 'headless', 'include-external') THEN 'bool' ELSE 'text' END AS kind,
+  regexp_matches(raw, '^[+-]?[0-9]+(_[0-9]+)*$') AS whole, CASE WHEN raw ~ '^[-+0-9._e]+$' OR raw = 'nan' THEN TRY_CAST(replace(raw, '_', '') AS DOUBLE) END AS number FROM raws),
+checked AS (SELECT *, CASE WHEN kind = 'bool' AND lower(raw) IN ('true', '1', 'yes') THEN true WHEN kind = 'bool' AND lower(raw) IN ('false', '0', 'no') THEN false END AS flag,
+  CASE WHEN field IS NULL THEN 'Unknown key ''' || key || '''.  Valid keys: provider, max-pages, max-depth, min-delay, max-delay, strategy, filter, bm25-threshold, cache, stealth, headless, score-threshold, include-external'
+    WHEN kind = 'bool' AND lower(raw) NOT IN ('true', '1', 'yes', 'false', '0', 'no') THEN 'Invalid value for ''' || key || ''': expected true/false, got ''' || raw || ''''
+    WHEN kind = 'int' AND NOT whole THEN 'Invalid value for ''' || key || ''': invalid literal for int() with base 10: ' || CASE WHEN contains(raw, '''') THEN '"' || raw || '"' ELSE '''' || raw || '''' END
+    WHEN kind = 'float' AND number IS NULL THEN 'Invalid value for ''' || key || ''': could not convert string to float: ' || CASE WHEN contains(raw, '''') THEN '"' || raw || '"' ELSE '''' || raw || '''' END
+    WHEN field = 'provider' AND raw NOT IN ('claude', 'gemini') THEN 'provider must be one of: claude, gemini'
+    WHEN field = 'strategy' AND raw NOT IN ('bfs', 'bestfirst', 'dfs') THEN 'strategy must be one of: bfs, bestfirst, dfs'
+    WHEN field = 'filter' AND raw NOT IN ('bm25', 'pruning', 'none') THEN 'filter must be one of: bm25, pruning, none'
+    WHEN field = 'cache' AND raw NOT IN ('enabled', 'bypass') THEN 'cache must be one of: enabled, bypass'
+    WHEN field = 'max_depth' AND NOT (number BETWEEN 0 AND 10) THEN 'max_depth must be between 0 and 10'
+    WHEN field = 'max_pages' AND NOT (number BETWEEN 1 AND 10000) THEN 'max_pages must be between 1 and 10000'
+    WHEN field IN ('min_delay', 'max_delay') AND (isnan(number) OR NOT (number BETWEEN 0 AND 60)) THEN field || ' must be between 0 and 60'
+    WHEN field = 'bm25_threshold' AND number <= 0 THEN 'bm25_threshold must be > 0'
+    WHEN field = 'score_threshold' AND (isnan(number) OR NOT (number BETWEEN 0 AND 1)) THEN 'score_threshold must be between 0.0 and 1.0' END AS local FROM typed),
+delays AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM checked WHERE field IN ('min_delay', 'max_delay') AND local IS NULL),
+walk(session_id, i, seq, low, high, crossed) AS (SELECT DISTINCT session_id, 0::BIGINT, NULL::BIGINT, 1.0::DOUBLE, 3.0::DOUBLE, NULL::VARCHAR FROM delays
+  UNION ALL SELECT d.session_id, d.i, d.seq, CASE WHEN d.field = 'min_delay' AND d.number <= w.high THEN d.number ELSE w.low END,
+    CASE WHEN d.field = 'max_delay' AND d.number >= w.low THEN d.number ELSE w.high END,
+    CASE WHEN d.field = 'min_delay' AND d.number > w.high THEN 'min_delay must be <= max_delay' WHEN d.field = 'max_delay' AND d.number < w.low THEN 'max_delay must be >= min_delay' END
+  FROM walk w JOIN delays d ON d.session_id = w.session_id AND d.i = w.i + 1),
+outcomes AS (SELECT c.session_id, c.seq, c.key, c.raw, c.field, coalesce(c.local, w.crossed, '') AS message, c.flag
+  FROM checked c LEFT JOIN walk w ON w.session_id = c.session_id AND w.seq = c.seq)"""
+
+SQL["settings_checked"] = f"WITH RECURSIVE {SETTINGS} SELECT * FROM outcomes"
+SQL["session_settings"] = f"""WITH RECURSIVE {SETTINGS}
+SELECT session_id, field, arg_max(raw, seq) AS raw FROM outcomes WHERE message = '' AND field IS NOT NULL GROUP BY session_id, field"""
+
+SQL["plan_flow"] = f"""WITH {JOB_REQUESTS_V},
+o AS (SELECT job_id, goal, seed_urls[1] AS seed, CASE WHEN goal IN ('MACHINERY', 'BUILDING') THEN 'plan_error' WHEN goal = 'AUTOMOBILE' THEN 'fallback' ELSE 'ok' END AS outcome FROM acc)
+SELECT job_id, outcome, CASE goal WHEN 'MACHINERY' THEN 'provider down' WHEN 'BUILDING' THEN 'unusable plan' END AS error,
+  CASE outcome WHEN 'ok' THEN 'Plan for ' || goal WHEN 'fallback' THEN 'AI plan unavailable' END AS summary,
+  CASE outcome WHEN 'ok' THEN '/' || lower(goal) || '/' WHEN 'fallback' THEN '' END AS focus,
+  CASE outcome WHEN 'ok' THEN goal = 'FURNITURE' WHEN 'fallback' THEN false END AS prefer_external,
+  CASE outcome WHEN 'ok' THEN 'Summary: Plan for ' || goal || chr(10) || 'Focus: /' || lower(goal) || '/' || chr(10)
+      || CASE WHEN goal = 'FURNITURE' THEN 'Mode: external-first (aggregator site)' || chr(10) ELSE '' END || 'Seeds:' || chr(10) || '  0.9  ' || seed || '  given'
+    WHEN 'fallback' THEN 'Summary: AI plan unavailable' || chr(10) || 'Seeds:' || chr(10) || '  0.5  ' || seed END AS view
+FROM o"""
+
+SQL["listing_records"] = f"""WITH li AS (SELECT page_id, regexp_extract_all(html, {q(r'(?is)<li>(.*?)</li>')}, 1) AS items, regexp_extract_all(html, {q(r'(?is)<h1>(.*?)</h1>')}, 1) AS heads FROM pages),
+u AS (SELECT page_id, unnest(items) AS x, unnest(range(1, len(items) + 1)) AS i, true AS item FROM li UNION ALL SELECT page_id, unnest(heads), 1000000 + unnest(range(len(heads))), false FROM li),
+k AS (SELECT *, nullif(regexp_extract(x, {q(HREF_SQL)}, 1), '') AS href FROM u WHERE NOT item OR i % 2 = 1 OR i = 2)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS rec_no, replace(replace({strip_tags('x')}, '&quot;', '"'), '&amp;', '&') AS text, CASE WHEN item AND starts_with(href, '/') THEN href END AS href,
+  CASE WHEN item AND contains(href, 'e') THEN {strip_tags('x')} END AS with_e FROM k"""
+
+TANGLED = """tangled AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN replace(html, '<ul><li>', '<nav>inner</nav><ul><li>') WHEN 2 THEN replace(html, '</footer>', '')
+  WHEN 3 THEN replace(replace(html, '<article>', '<article><section><aside>note <p>more</section><p>after '), '</nav>', '<nav></nav></nav>') ELSE html END AS html FROM pages)"""
+ANY_TAG = r"</?[A-Za-z][^>]*>"
+SQL["nested_exclusion"] = f"""WITH RECURSIVE {TANGLED},
+ev AS (SELECT page_id, regexp_extract_all(html, {q(ANY_TAG)}) AS tags, string_split_regex(html, {q(ANY_TAG)}) AS texts FROM tangled),
+walk(page_id, i, stack, base, out) AS (SELECT page_id, 0::BIGINT, []::VARCHAR[], 0::BIGINT, texts[1] FROM ev
+  UNION ALL (WITH a AS (SELECT w.*, tags[w.i + 1] AS tag, texts[w.i + 2] AS txt, starts_with(tags[w.i + 1], '</') AS ends,
+      lower(regexp_extract(tags[w.i + 1], '^</?([A-Za-z][^\\s/>]*)', 1)) AS name FROM walk w JOIN ev USING (page_id) WHERE w.i < len(tags)),
+    b AS (SELECT *, CASE WHEN ends AND list_contains(stack, name) THEN len(stack) + 1 - list_position(list_reverse(stack), name) ELSE 0 END AS place,
+      NOT ends AND name NOT IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') AS opens FROM a)
+    SELECT page_id, i + 1, CASE WHEN place > 0 THEN stack[1:place - 1] WHEN opens THEN list_append(stack, name) ELSE stack END,
+      CASE WHEN place > 0 AND base > 0 AND place <= base THEN 0 WHEN opens AND base = 0 AND name IN ('nav', 'footer', 'header', 'aside') THEN len(stack) + 1 ELSE base END,
+      CASE WHEN base > 0 AND place > 0 AND place < base THEN out || ' ' || tag || txt WHEN base > 0 AND place = base THEN out || ' ' || txt WHEN base > 0 THEN out
+        WHEN opens AND name IN ('nav', 'footer', 'header', 'aside') THEN out ELSE out || tag || txt END FROM b)),
+last AS (SELECT page_id, arg_max(out, i) || CASE WHEN arg_max(base, i) > 0 THEN ' ' ELSE '' END AS html FROM walk GROUP BY page_id)
+SELECT page_id, {strip_tags('html')} AS text FROM last"""
+
+SUMMARY_TERMS = "['find', 'pricing', 'pages', 'for', 'software', 'plans']"
+SQL["doc_summaries"] = f"""WITH sp AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), {q(r'([.!?])[' + chr(92) + 't-' + chr(92) + 'r ]+')}, {q(chr(92) + '1')} || chr(1), 'g'), chr(1)) AS ls FROM documents),
+su AS (SELECT doc_id, unnest(ls) AS text, unnest(range(len(ls))) AS i FROM sp),
+tk AS (SELECT doc_id, i, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS toks FROM su WHERE trim(text) <> ''),
+st AS (SELECT doc_id, count(*) AS nb, avg(len(toks)) AS avgdl FROM tk GROUP BY doc_id),
+qt AS (SELECT unnest({SUMMARY_TERMS}) AS term),
+tf AS (SELECT tk.doc_id, tk.i, qt.term, len(list_filter(tk.toks, lambda x: x = qt.term)) AS tf, len(tk.toks) AS dl FROM tk CROSS JOIN qt),
+dfq AS (SELECT doc_id, term, count(*) FILTER (WHERE tf > 0) AS n FROM tf GROUP BY doc_id, term),
+sc AS (SELECT tf.doc_id, tf.i, sum(CASE WHEN tf.tf > 0 THEN ln((st.nb - dfq.n + 0.5) / (dfq.n + 0.5) + 1) * tf.tf * 2.5
+    / (tf.tf + 1.5 * (0.25 + 0.75 * coalesce(tf.dl / nullif(st.avgdl, 0), 0))) ELSE 0 END) AS s
+  FROM tf JOIN st USING (doc_id) JOIN dfq USING (doc_id, term) GROUP BY tf.doc_id, tf.i),
+top AS (SELECT tk.doc_id, tk.i, tk.text, row_number() OVER (PARTITION BY tk.doc_id ORDER BY sc.s DESC, tk.i) AS rk FROM tk JOIN sc USING (doc_id, i))
+SELECT d.doc_id, coalesce(string_agg(top.text, ' ' ORDER BY top.i), '') AS summary_text FROM documents d LEFT JOIN top ON top.doc_id = d.doc_id AND rk <= 3 GROUP BY d.doc_id"""

@@ -153,3 +153,27 @@ def plan_responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       F.lit('/"], "prefer_external": "false"}')))
            .otherwise(F.lit("{}")))
     return c.select(F.concat(F.lit("job-"), ks).alias("job_id"), F.array(given).alias("seed_urls"), raw.alias("raw"))
+
+
+# Keys and texts of the raw settings' stand-in.
+RAW_KEYS = ("provider", "Max-Pages", "max-depth", "min-delay", "max-delay", "strategy", "filter", "bm25-threshold", "cache", "stealth", "headless",
+            "score-threshold", "include-external", "color", "min-delay", "max-delay")
+RAW_TEXTS = ("claude", "5", "0.5", "TRUE", "dfs", "none", "abc", "-1", " 12 ", "no", "2.5", "1_000", "it's", "enabled", "", "61", "1e1", "nan", "4")
+
+
+def raw_settings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed settings stand-in from ``customer``: one (key, raw text) a row, a session for each nation."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("session_id"), k.cast("long").alias("seq"), _pick(RAW_KEYS, k * 7 + F.floor(k / 16)).alias("key"),
+        _pick(RAW_TEXTS, k * 5 + F.floor(k / 19)).alias("raw"))
+
+
+def tangled_pages_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stand-in: the stored html with its excluded elements nested in their own kind (page_id % 4 = 1),
+    never closed (2) or closed by the element around them (3)."""
+    n, html = F.col("page_id") % 4, F.col("html")
+    nested = F.replace(html, F.lit("<ul><li>"), F.lit("<nav>inner</nav><ul><li>"))
+    unclosed = F.replace(html, F.lit("</footer>"), F.lit(""))
+    around = F.replace(F.replace(html, F.lit("<article>"), F.lit("<article><section><aside>note <p>more</section><p>after ")), F.lit("</nav>"), F.lit("<nav></nav></nav>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(n == 1, nested).when(n == 2, unclosed).when(n == 3, around).otherwise(html).alias("html"))
