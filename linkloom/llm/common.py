@@ -34,11 +34,38 @@ def shared_path(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/linkloom-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
+#: Shuffle files go when the write that needed them has ended: what it wrote is read from the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, batch_bytes: int = 0) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again.
+
+    ``batch_bytes``: the most that a Python task of this write gets at once
+    (one row at least), where rows carry texts.
+    """
     spark, path, schema = df.sparkSession, shared_path(df.sparkSession, name), df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    settings = {_CLEANUP: "true"} | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        if getattr(table, "written_to", None):
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_python(df: DataFrame) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom.llm.decontaminate import find_leaks
 from linkloom.llm.exact_dedup import exact_groups
+from linkloom.llm.hard_negatives import hard_negatives
 from linkloom.llm.language_id import fit_text, identify_languages
 from linkloom.llm.packing import pack
 from linkloom.llm.parity_join import near_duplicates
 from linkloom.llm.perspectives import rotate_perspectives
+from linkloom.llm.pieces import encode_texts
+from linkloom.llm.prefix_trie import prefix_trie
 from linkloom.llm.quality_cnn import fit_quality, score_quality
 from linkloom.llm.suffix_arrays import remove_repeated_bytes
 from linkloom.llm.suffix_trees import remove_repeated_words
@@ -25,10 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +77,26 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    # Given by the query's contract: ids divisible by 7 carry the next label.
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), vector_col="embedding")
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_arrays, op4_packing, op5_perspectives, op6_url_filter,
-                            op7_decontaminate, op8_parity_join, op9_language, op10_suffix_trees)
+                            op7_decontaminate, op8_parity_join, op9_language, op10_suffix_trees, op11_hard_negatives, op12_pieces, op13_prefix_trie)
 }
 
 SQL = {

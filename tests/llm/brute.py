@@ -78,3 +78,62 @@ def smith_waterman(a, b, cost=0.5):
         held = row
         best = max(best, max(row))
     return best
+
+
+def conversations(rows, family=20, shared=4):
+    """Rebuilt conversations: id to its (role, text) turns."""
+    import zlib
+
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [(r, t) for _, r, t in sorted(x, key=lambda y: y[0])] for c, x in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % shared
+        base = c - (c % family if c >= 0 else -(-c % family))
+        out[c] = own.get(base, [])[:h] + turns[h:]
+    return out
+
+
+def trie(rows):
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node."""
+    members = defaultdict(list)
+    whole = conversations(rows)
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    total = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = [total[x] for x in children[node]]
+        saved = (len(members[node]) - 1) * len(WORD.findall(node[-1][1])) if node else 0
+        total[node] = (sum(x[0] for x in below) or 1, saved + sum(x[1] for x in below))
+    return [(min(m), len(n), min(members[n[:-1]]) if n else None, len(m), len(children[n]), *total[n],
+             hashlib.sha256(",".join(str(c) for c in sorted(m) if len(whole[c]) == len(n)).encode()).hexdigest()) for n, m in members.items()]
+
+
+def negatives(rows, positives=5, many=10, step=100, low=30, high=90):
+    """(anchor, positive, rank, negative, positive score, negative score) by scoring every pair; rows: (id, label, vector)."""
+    import math
+
+    taken = []
+    for i, label, v in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            row = (i, label, tuple(math.floor(256 * x) for x in v))
+            if row not in taken:
+                taken.append(row)
+    out = []
+    for i, label, q in taken:
+        if i % step:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j, own) for j, own, v in taken if j != i)
+        for p, j, own in [x for x in scored if x[2] == label][:positives]:
+            p = -p
+            fit = [(-n, k) for n, k, other in scored if other != label and 30 * p <= 100 * -n <= 90 * p]
+            out += [(i, j, r + 1, k, p, n) for r, (n, k) in enumerate(fit[:many])]
+    return out
