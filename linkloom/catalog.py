@@ -185,13 +185,13 @@ def job_stats(spark, d):
 def page_top_focus(spark, d):
     from .functions.urls import focus_score
     pages = pages_table(spark, d)
-    # The score needs the url alone: html is read and parsed for the ten pages that are shown.
-    best = (pages.select("page_id", focus_score("url", F.array(F.lit("/en/"))).alias("score"))
-            .orderBy(F.desc("score"), "page_id").limit(10))
-    top = P.page_rows(pages.join(F.broadcast(best.select("page_id")), "page_id", "left_semi")).join(F.broadcast(best), "page_id")
+    # One top ten that carries the page: its html is parsed for the ten that are shown.
     from pyspark.sql import Window
-    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "page_id")).cast("long").alias("rank"),
-                      "page_id", "url", "title", "score", "links_count", F.substring("text", 1, 120).alias("snippet"))
+    score = focus_score("url", F.array(F.lit("/en/")))
+    top = pages.select("page_id", "url", "html").orderBy(score.desc(), "page_id").limit(10)
+    rows = P.page_rows(top).withColumn("score", score)
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("score"), "page_id")).cast("long").alias("rank"),
+                       "page_id", "url", "title", "score", "links_count", F.substring("text", 1, 120).alias("snippet"))
 
 
 # ── relevance (B1-B4) ───────────────────────────────────────────────────────

@@ -31,13 +31,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+#: Folders made in local mode, by application: ``spark.checkpoint.dir`` can't be set in a running session.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set (a shared file system); a machine-local
     temporary folder is only made when running in local mode and unset.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FOLDERS.get(spark.sparkContext.applicationId)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
@@ -45,7 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="linkloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        _LOCAL_FOLDERS[spark.sparkContext.applicationId] = d
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -95,13 +95,15 @@ def terminal_events(events: DataFrame) -> DataFrame:
 
 def stream_dedupe(results: DataFrame, out_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Keep the first non-error row per URL across micro-batches. Each
-    batch appends only its own first (min-seq) row per URL (a partial
-    aggregate, so the stored table holds at most one row per URL and batch);
+    batch writes only its own first (min-seq) row per URL (a partial
+    aggregate, so the stored table holds at most one row per URL and batch),
+    to a folder of its epoch: one that is run again replaces what it wrote.
     ``deduped(spark, out_path)`` takes the min-seq row per URL on read, so the
-    answer does not depend on the order in which batches arrive, and a
-    replayed epoch only adds a duplicate candidate."""
+    answer does not depend on the order in which batches arrive.
+    ``state.stream_first_rows`` keeps the least seq as state instead and
+    stores corrections only."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        dedupe_first(batch).write.mode("append").parquet(out_path)
+        dedupe_first(batch).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
 
     w = results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now).start()
@@ -118,7 +120,7 @@ def compact_deduped(spark, out_path: str, compacted_path: str) -> DataFrame:
 
 def deduped(spark, out_path: str) -> DataFrame:
     """The T7 result: first row per URL over all stored candidates."""
-    return dedupe_first(spark.read.parquet(out_path))
+    return dedupe_first(spark.read.option("basePath", out_path).parquet(out_path).drop("epoch"))
 
 
 def stream_dedupe_watermarked(results: DataFrame, delay: str = "1 hour") -> DataFrame:
