@@ -51,8 +51,9 @@ def _call(make_fn: Caller):
         fn = make_fn()
         for pdf in batches:
             prompts = list(pdf["prompt"])
-            answers: list[tuple[str | None, str | None]] = [(None, "not asked")] * len(prompts)
-            groups = [list(range(len(prompts)))] if prompts else []
+            answers: list[tuple[str | None, str | None]] = [(None, "no prompt")] * len(prompts)
+            some = [i for i, p in enumerate(prompts) if p is not None]
+            groups = [some] if some else []
             while groups:
                 some = groups.pop()
                 try:
@@ -62,7 +63,7 @@ def _call(make_fn: Caller):
                     for i, text in zip(some, got):
                         answers[i] = (None, "no answer") if text is None else (str(text), None)
                 except Exception as e:  # noqa: BLE001 - a provider's error is an outcome of its prompts
-                    if len(some) > 1:  # ask one by one: only what fails itself fails
+                    if len(some) > 1:  # asked again one by one: only what fails itself fails
                         groups += [[i] for i in some]
                     else:
                         answers[some[0]] = (None, str(e) or type(e).__name__)
@@ -74,7 +75,8 @@ def answered(prompts: DataFrame, make_fn: Caller, store: str, retry_failed: bool
     """``prompts`` (with ``prompt``) plus digest, response and error; exactly one of these two is null.
 
     Prompts without a stored answer are asked and their answers appended to
-    ``store`` (Parquet, a folder for each run). Stored failures count as
+    ``store`` (Parquet, a folder for each run). A null prompt is not asked;
+    where a batch fails its prompts are asked again one by one. Stored failures count as
     answers unless ``retry_failed``. ``tasks``: how many tasks ask (calls wait
     on a network more than they compute).
     """

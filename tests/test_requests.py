@@ -39,7 +39,8 @@ def test_equal_prompts_are_asked_once_and_answers_are_kept(spark, tmp):
     store = f"{tmp}/answers"
     got = answered(prompts, counting(tmp, str.upper), store).collect()
     assert sorted((r.id, r.response, r.error) for r in got if r.id != 99) == sorted((i, f"P{i % 3}", None) for i in range(30))
-    assert sorted(p for p in asked(tmp) if p) == ["p0", "p1", "p2"]
+    assert sorted(asked(tmp)) == ["p0", "p1", "p2"]
+    assert [(r.response, r.error) for r in got if r.id == 99] == [(None, "no prompt")]
     more = prompts.unionByName(spark.createDataFrame([(100, "p9")], prompts.schema)).filter("id <> 99")
     n = len(asked(tmp))
     again = answered(more, counting(tmp, str.lower), store).collect()
@@ -73,7 +74,10 @@ def test_plan_flow_outcomes(spark, tmp):
             raise RuntimeError("provider down")
         return {"good": '{"summary": "S", "focus_patterns": ["/f"]}', "text": "no plan", "list": "[1]"}[goal]
 
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # else the failing prompt has its batch asked one by one
     got = {r.job_id: r for r in planned(jobs, counting(tmp, fn), f"{tmp}/s").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     assert {j: (r.outcome, r.error) for j, r in got.items()} == {"a": ("ok", None), "b": ("fallback", None), "c": ("plan_error", "unusable plan"),
                                                                 "d": ("plan_error", "provider down"), "e": ("ok", None)}
     assert got["a"].view == "Summary: S\nFocus: /f" and got["d"].view is None and len(got["b"].prioritized_seeds) == 2
