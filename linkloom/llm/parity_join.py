@@ -15,14 +15,14 @@ non-empty blocks for this, the search is made with more blocks.
 
 Candidates are pruned by size and by the Hamming distance of folded sketches
 (a lower bound of the difference), and what is left is verified on the whole
-shingle sets. Documents with equal sets are one from the start: only one text
-of each set deals its blocks. A block
-that more than ``LIMIT`` documents share yields pairs with one centre only.
-Its members that the links don't join are searched again with all such
-blocks put last in the order (any order that is the same for all will do), so
-that documents meet in rarer blocks; what is still in large groups at the
-last level is compared in full, page against page of a group's members, so
-that no task holds a whole group or its pairs.
+shingle sets. Documents with equal sets are one from the start: a task deals
+the blocks of one text of each set. A block that more than ``LIMIT`` documents
+share yields pairs with one centre only. Its members that the links don't join
+are searched again with all such blocks put last in the order (any order that
+is the same for all will do), so that documents meet in rarer blocks; what is
+still in large groups at the last level is compared in full, page against page
+of a group's members, so that no task holds a whole group or its pairs. Tables
+in between are deleted when nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import LOWER, grams, mixed, paged_join, row_of, slices, with_python, within_rows, word_hashes, word_spans, written
+from linkloom.llm.common import LOWER, grams, mixed, paged_join, release, row_of, slices, with_python, within_rows, word_hashes, word_spans, written
 from linkloom.llm.components import components
 
 SHINGLE = 5
@@ -246,7 +247,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt(slots: int, more: int, few, common):
     """Block rows of documents; labels are the signatures where the rows have none."""
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(slots)
+        dealer, seen = _Dealer(slots), np.zeros(0, np.int64)
         for batch, data, offsets in slices(batches, "t"):
             value, bounds = shingle_sets(data, offsets)
             sig = signatures(value, bounds).view(np.int64)
@@ -254,6 +255,13 @@ def _dealt(slots: int, more: int, few, common):
             key, row, band, lacking = block_rows(value, bounds, more, common.value)
             if lacking:
                 few.add(lacking)
+            # Of texts with equal sets a task deals one.
+            new, first = np.unique(sig, return_index=True)
+            first = first[~np.isin(new, seen)]
+            seen = np.concatenate([seen, sig[first]])
+            once = np.zeros(len(sig), bool)
+            once[first] = True
+            key, row, band = (x[once[row]] for x in (key, row, band))
             yield from _blobs(dealer.add(key, sig[row], label[row], np.diff(bounds)[row], band))
         yield from _blobs(dealer.deal())
     return dealt
@@ -317,28 +325,58 @@ def _paged_pairs(members: DataFrame, sketches: DataFrame, total: int) -> DataFra
     return rows.groupBy("e", "i", "j").applyInArrow(_page_pairs, "a long, b long, band int, size_a int, size_b int")
 
 
+def _one_each(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """One row of each run of equal texts, and the run of each row: a centre comes once for all its pairs in a row."""
+    run = np.zeros(len(column), np.int64)
+    if len(column) > 1:
+        run[1:] = np.cumsum(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False))
+    return column.take(pa.array(np.unique(run, return_index=True)[1])), run
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in slices(batches, "x"):
-        mine, bounds = shingle_sets(data, offsets)
+    for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
+        centres, run = _one_each(batch.column("x"))
+        lead = np.searchsorted(run, np.arange(len(centres) + 1))
         at = 0
-        for part, other, cuts in slices(iter([batch]), "y"):
-            theirs, limits = shingle_sets(other, cuts)
-            for i in range(part.num_rows):
-                x, y = mine[bounds[at]:bounds[at + 1]], theirs[limits[i]:limits[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[at] = 100 * both >= 75 * (len(x) + len(y) - both)
-                at += 1
+        for some, data, offsets in slices(iter([pa.RecordBatch.from_arrays([centres], ["x"])]), "x"):
+            mine, bounds = shingle_sets(data, offsets)
+            pairs, to = lead[at], lead[at + some.num_rows]
+            for part, other, cuts in slices(iter([batch.slice(pairs, to - pairs)]), "y"):
+                theirs, limits = shingle_sets(other, cuts)
+                for i in range(part.num_rows):
+                    j = run[pairs + i] - at
+                    x, y = mine[bounds[j]:bounds[j + 1]], theirs[limits[i]:limits[i + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[pairs + i] = 100 * both >= 75 * (len(x) + len(y) - both)
+                pairs += part.num_rows
+            at += some.num_rows
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _with_centres(pairs: DataFrame, counts: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """``pairs`` with what ``held`` has of their centres ``a``; a centre of many pairs (``counts``) is split, and goes once to each page of them."""
+    total = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    return paged_join(pairs, counts.join(held, keys), keys, "pairs", total, F.xxhash64("b")).drop("pairs")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
-    pairs = pairs.select("a", "b", "band", "size_a", "size_b").distinct()
-    pairs = pairs.join(sketches.select(F.col("sig").alias("a"), "band", F.col("sketch").alias("x")), ["a", "band"])
-    pairs = pairs.join(sketches.select(F.col("sig").alias("b"), "band", F.col("sketch").alias("y")), ["b", "band"])
-    near = written(pairs.mapInArrow(_near, "a long, b long").distinct(), "near")
-    both = near.join(texts.select(F.col("sig").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("sig").alias("b"), F.col("t").alias("y")), "b")
-    return written(both.mapInArrow(_verified, "a long, b long"), "links")
+    """Those of ``pairs`` that are linked. What a pair carries through a shuffle is b's sketch or text; the centre's meets it after."""
+    number = F.count(F.lit(1)).alias("pairs")
+    pairs = written(pairs.select("a", "b", "band", "size_a", "size_b").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    counts = written(pairs.groupBy("a", "band").agg(number), "centres")
+    both = pairs.join(sketches.select(F.col("sig").alias("b"), "band", F.col("sketch").alias("y")), ["b", "band"])
+    both = _with_centres(both, counts, sketches.select(F.col("sig").alias("a"), "band", F.col("sketch").alias("x")), ["a", "band"])
+    near = written(both.mapInArrow(_near, "a long, b long").distinct(), "near", PAGE_BYTES)
+    release(pairs, counts)
+    counts = written(near.groupBy("a").agg(number), "centres")
+    both = near.join(texts.select(F.col("sig").alias("b"), F.col("t").alias("y")), "b")
+    both = _with_centres(both, counts, texts.select(F.col("sig").alias("a"), F.col("t").alias("x")), ["a"])
+    links = written(both.mapInArrow(_verified, "a long, b long"), "links", PAGE_BYTES)
+    release(near, counts)
+    return links
 
 
 def _with_common(common: np.ndarray | None, hot: DataFrame) -> np.ndarray:
@@ -381,37 +419,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = written(blobs.groupBy("slot").applyInArrow(_search(limit), _FOUND), "candidates")
             if not few.value:
                 return out
+            release(out)
             more *= 4
 
-    # Of texts with equal sets one is searched: those of the other keys are left out.
-    copied = classes.filter("c > 1").select("sig", "c", F.col("k").alias("first"))
-    copies = written(paged_join(profiles.filter("n > 0").select("sig", "k"), copied, ["sig"], "c", total, F.xxhash64("k")).filter("k <> first").select("k").distinct(), "copies")
-    found = searched(named.join(copies, "k", "left_anti").select("t"), shingles, limit)
+    def relabelled(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """``labels`` with the links among ``pairs``; as they are where there is none."""
+        links = _verify(pairs, texts, sketches)
+        if labels is not None and links.isEmpty():
+            release(links)
+            return labels
+        out = components(links, labels)
+        release(links, labels)
+        return out
+
+    found = searched(named.select("t"), shingles, limit)
     wanted = found.select(F.explode(F.array(F.when(~F.col("hot"), F.col("a")), F.col("b"))).alias("sig")).filter("sig is not null").distinct()
     # Of every set that is in question one text.
     texts = written(named.select("k", "t").join(classes.join(wanted, "sig").select("k", "sig"), "k").select("sig", "t"), "texts")
     sketches = written(texts.mapInArrow(_sketches, "sig long, band int, sketch binary"), "sketches")
-    links = _verify(found.filter("not hot"), texts, sketches)
+    labels = relabelled(None, found.filter("not hot"))
     for level in range(1, LEVELS + 1):
         hot = written(found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig"), F.col("size_b").alias("key")).distinct(), "hot")
+        release(found)
+        found = None
         if hot.isEmpty():
+            release(hot)
             break
         common = _with_common(common, hot)
-        labels = components(links)
-        hot = written(hot.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("e", "sig", F.coalesce("label", "sig").alias("label")), "members")
-        apart = hot.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("e", "c")
-        members = written(paged_join(hot, apart, ["e"], "c", total, F.xxhash64("sig")).select("sig", "label").distinct(), "open")
+        # Groups that the links don't join: the rest need no further search.
+        known = hot.select("e", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("e", "sig", F.coalesce("label", "sig").alias("label"))
+        apart = known.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("e", "c")
+        apart = written(apart, "apart")
+        members = written(paged_join(known, apart, ["e"], "c", total, F.xxhash64("sig")).select("sig", "label").distinct(), "open")
+        release(hot, apart)
         size = members.join(classes.select("sig", "n"), "sig").agg(F.sum("n")).first()[0]
         if not size:
+            release(members)
             break
         found = searched(texts.join(members, "sig"), size, limit * min(4, 2 ** level))
-        links = written(links.unionByName(_verify(found.filter("not hot"), texts, sketches)).distinct(), "links")
+        release(members)
+        labels = relabelled(labels, found.filter("not hot"))
     else:
         large = found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig"), "band", F.col("size_a").alias("size")).distinct()
-        large = large.join(components(links).withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        pairs = _paged_pairs(written(large, "large"), sketches, total)
-        links = written(links.unionByName(_verify(pairs, texts, sketches)).distinct(), "links")
-    labels = components(links)
+        large = written(large.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), "large")
+        release(found)
+        labels = relabelled(labels, _paged_pairs(large, sketches, total))
+        release(large)
+    release(texts, sketches)
     named_classes = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = named_classes.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.min("least").alias("component_id"))
     ready = paged_join(named_classes, least, ["label"], "sets", total, F.xxhash64("sig")).select("sig", "c", "component_id")
