@@ -12,8 +12,11 @@ corpus (the universe the cascade is built for) the answer is exact, and
 looking up is arithmetic on literal bit arrays: no join.
 
 The levels together have about ``1.44 * n * log2(universe / n)`` bits for n
-listed keys. A list that needs more than ``MAX_BITS`` is looked up by an
-ordinary join of the distinct keys instead. Everything is DataFrame code.
+listed keys; a level is one binary literal. A list whose first level would
+have more than ``MAX_BITS`` is cut into parts by a hash of the key: a cascade
+for each part, looked up one part after the other over the same urls. So a
+plan's literals are bounded, and however long the list is nothing is joined.
+Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import written
 
-#: Bits that the levels of a cascade may have in a plan (8 MiB).
-MAX_BITS = 1 << 26
+#: Bits that the first level of a cascade may have in a plan (4 MiB); the others are smaller.
+MAX_BITS = 1 << 25
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -66,29 +69,31 @@ class Level:
         """Sets the bits of ``keys`` (key); at most size / 64 words come back."""
         at = keys.select(F.explode(F.array(*self.positions(F.col("key")))).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).collect()
-        self.bits = np.zeros(self.size // 64, np.int64)
+        bits = np.zeros(self.size // 64, "<i8")
         for w, b in words:
-            self.bits[w] = b
+            bits[w] = b
+        self.bits = bits.tobytes()
         return self
 
     def holds(self, key: Column) -> Column:
         bits, yes = F.lit(self.bits), F.lit(True)
         for at in self.positions(key):
-            word = F.get(bits, F.shiftright(at, 6).cast("int"))
-            yes = yes & (F.expr("1L") == F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)))
+            byte = F.conv(F.hex(F.call_function("substring", bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            yes = yes & (F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return yes
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS, seed: int = 0) -> list[Level] | None:
-    """Levels that tell ``listed`` (key, distinct) from the rest of ``universe`` (key); None when too large."""
+def first_level(n: int, universe: int, seed: int) -> Level:
+    """The first level of a cascade for n keys listed of a universe of so many."""
+    return Level(n, min(0.5, n / (math.sqrt(2) * max(n, universe))), seed)
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> list[Level]:
+    """Levels that tell ``listed`` (key, distinct) from the rest of ``universe`` (key)."""
     n = listed.count()
     if not n:
         return []
-    size = universe.agg(F.approx_count_distinct("key")).first()[0]
-    first = Level(n, min(0.5, n / (math.sqrt(2) * max(n, size))), seed)
-    if first.size > max_bits:
-        return None
-    levels = [first.build(listed)]
+    levels = [first_level(n, universe.agg(F.approx_count_distinct("key")).first()[0], seed).build(listed)]
     inside, other = listed, universe
     while True:
         # What the last level takes wrongly: first from the universe, then from the two sides in turn.
@@ -99,10 +104,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
         n = wrong.count()
         if not n:
             return levels
-        level = Level(n, 0.5, seed + len(levels))
-        if level.size > max_bits:
-            return None
-        levels.append(level.build(wrong))
+        levels.append(Level(n, 0.5, seed + len(levels)).build(wrong))
         inside, other = wrong, inside
 
 
@@ -136,21 +138,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keyed = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
     universe = keyed.select(F.explode("keys").alias("key"))
-    both = [build_cascade(rules.filter(F.col("verdict") == v).select("key"), universe, max_bits, seed)
-            for seed, v in ((0, "block"), (1000, "allow"))]
-    if None in both:
-        return _by_join(keyed, rules, id_col, default)
-    block, allow = both
-    verdict_of = lambda k: F.when(in_cascade(block, k), "block").when(in_cascade(allow, k), "allow")
-    hit = F.get(F.filter(F.transform(F.col("keys"), lambda k: F.struct(k.alias("rule"), verdict_of(k).alias("verdict"))),
-                         lambda x: x["verdict"].isNotNull()), F.lit(0))
-    return (keyed.withColumn("hit", hit)
-            .select(id_col, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")))
-
-
-def _by_join(keyed: DataFrame, rules: DataFrame, id_col: str, default: str) -> DataFrame:
-    """The same for lists too large for a plan: distinct (host, path) pairs meet the listed keys."""
-    pairs = keyed.select("host", "path", F.explode("keys").alias("key")).distinct().join(rules.select("key", "verdict"), "key")
-    best = pairs.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("hit"))
-    return (keyed.join(best, ["host", "path"], "left")
-            .select(id_col, "host", "path", F.col("hit.key").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")))
+    largest = max([0, *(r[0] for r in rules.groupBy("verdict").count().select("count").collect())])
+    parts = math.ceil(first_level(largest, universe.agg(F.approx_count_distinct("key")).first()[0], 0).size / max(1, max_bits))
+    none = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
+    keyed = keyed.withColumn("hit", none)
+    for part in range(parts):
+        mine = lambda k: F.lit(True) if parts == 1 else F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(parts)) == part  # noqa: E731,B023
+        own = rules.filter(mine(F.col("key")))
+        block, allow = (build_cascade(own.filter(F.col("verdict") == v).select("key"), universe.filter(mine(F.col("key"))), seed)
+                        for seed, v in ((0, "block"), (1000, "allow")))
+        verdict_of = lambda k: F.when(in_cascade(block, k), "block").when(in_cascade(allow, k), "allow")  # noqa: E731,B023
+        found = F.transform(F.filter("keys", mine), lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), verdict_of(k).alias("verdict")))
+        hit = F.get(F.filter(found, lambda x: x["verdict"].isNotNull()), F.lit(0))  # keys come longest first
+        keyed = keyed.withColumn("hit", F.greatest("hit", hit) if parts > 1 else hit)
+        if parts > 1:
+            keyed = written(keyed, "judged")
+    return keyed.select(id_col, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
