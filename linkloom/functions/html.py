@@ -100,7 +100,10 @@ def drop_elements(html, tags=EXCLUDED_TAGS) -> Column:
     """
     c = drop_flat(html, [t for t in tags if t in CLEANED_TAGS])
     nesting = [t for t in tags if t not in CLEANED_TAGS]
-    return F.when(_is_flat(c, nesting), drop_flat(c, nesting)).otherwise(drop_subtrees(c, nesting)) if nesting else c
+    if not nesting:
+        return c
+    # The array of one names the text, so that it is made once for the test and the removal.
+    return F.get(F.transform(F.array(c), lambda x: F.when(_is_flat(x, nesting), drop_flat(x, nesting)).otherwise(drop_subtrees(x, nesting))), F.lit(0))
 
 
 def clean_html(html, excluded=CLEANED_TAGS + EXCLUDED_TAGS) -> Column:
