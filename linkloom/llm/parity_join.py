@@ -435,7 +435,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = searched(named.select("t"), shingles, limit)
     wanted = found.select(F.explode(F.array(F.when(~F.col("hot"), F.col("a")), F.col("b"))).alias("sig")).filter("sig is not null").distinct()
     # Of every set that is in question one text.
-    texts = written(named.select("k", "t").join(classes.join(wanted, "sig").select("k", "sig"), "k").select("sig", "t"), "texts")
+    texts = named.select("k", "t").join(classes.join(wanted, "sig").select("k", "sig"), "k").select("sig", "t")
+    if not profiles.groupBy("k").count().filter("count > 1").isEmpty():  # rows that repeat id and text
+        texts = texts.groupBy("sig").agg(F.any_value("t").alias("t"))
+    texts = written(texts, "texts")
     sketches = written(texts.mapInArrow(_sketches, "sig long, band int, sketch binary"), "sketches")
     labels = relabelled(None, found.filter("not hot"))
     for level in range(1, LEVELS + 1):

@@ -119,6 +119,19 @@ def test_near_duplicates_of_a_large_group(spark):
     same(near_duplicates(table(spark, rows), limit=6), brute.near(rows))
 
 
+def test_rows_that_repeat_id_and_text_have_one_text(spark, monkeypatch):
+    """A third of all rows is one row, near to others: its text is kept and compared once."""
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(80)]
+    rows = [(None, " ".join(base))] * 60 + [(i, " ".join(base[:i] + [f"e{i}"] + base[i + 1:])) for i in range(60)] + [(100 + i, f"other {i} " * 9) for i in range(60)]
+    kept = {}
+    real = parity_join.written
+    monkeypatch.setattr(parity_join, "written", lambda df, name, *more: kept.setdefault(name, real(df, name, *more)) if name == "texts" else real(df, name, *more))
+    monkeypatch.setattr(parity_join, "release", lambda *tables: None)
+    same(near_duplicates(table(spark, rows)), brute.near(rows))
+    assert kept["texts"].count() == kept["texts"].select("sig").distinct().count()
+
+
 @pytest.mark.parametrize("ids", [range(10, 3010), [None] * 3000])
 def test_copies_deal_their_blocks_once(spark, monkeypatch, ids):
     rng = random.Random(11)
