@@ -77,12 +77,15 @@ def export(df: DataFrame, path: str = "results.csv", goal: str = "", overwrite:
 
 def export_document(df: DataFrame, path: str, overwrite: bool = False) -> str:
     """K5 as one document: a JSON array (.json) or a CSV file with one header
-    (anything else), in session order, as a folder of ordered pieces that is
-    shown when it is whole (``sinks.ordered``). Raises like ``export``."""
+    (anything but .md, which is ``export``'s), in session order, as a folder of
+    ordered pieces that is shown when it is whole (``sinks.ordered``). Raises
+    like ``export``."""
     from .ordered import write_document
 
     if R.ok_only(df).isEmpty():
         raise ValueError("No results to export.")
+    if os.path.splitext(path)[1].lower() == ".md":
+        return export(df, path, overwrite=overwrite)
     if os.path.splitext(path)[1].lower() == ".json":
         rows = json_rows(df).withColumn("extracted_content", F.to_json("extracted_content"))
         write_document(rows, path, "json", ["seq"], raw=("extracted_content",), overwrite=overwrite)
