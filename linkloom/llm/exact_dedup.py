@@ -10,7 +10,8 @@ that owns them. A key that very many rows share has several overflow
 
 Equal keys don't prove equal texts: for every key of two or more rows the
 owner compares the texts byte by byte (grouping on the text itself) and
-chains those that differ. Texts whose key is alone never move.
+chains those that differ. Texts whose key is alone stay where they are, but
+for a few that a map of the shared keys' low bits can't tell from them.
 
 Everything is DataFrame code.
 """
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import written
+from linkloom.llm.common import maybe_in, written
 
 #: Keys of a bucket before it splits.
 CAPACITY = 4096
@@ -77,7 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = written(entries.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"),
         F.coalesce(F.max_by("rid", "id"), F.max("rid")).alias("keep_rid")), "keys")
-    n_keys, n_rows = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_keys, n_rows, n_shared = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
     page_rows = page_rows or max(PAGE_ROWS, n_rows // HOT_KEYS)
 
     slots, depth = build_directory(keys, n_keys, capacity)
@@ -96,6 +97,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Owners: texts of shared keys, compared as bytes, first by page and then by key.
     shared = opened.filter("n > 1").select("h", "page", "bucket")
     texts = docs.select(key(text).cast("long").alias("h"), text.alias("t"), F.monotonically_increasing_id().alias("r"))
+    texts = maybe_in(texts, index.filter("n > 1").select("h"), "h", n_shared)
     links = (paged(texts, F.xxhash64("r")).drop("r").join(shared, ["h", "page"])
              .groupBy("bucket", "h", "page", "t").agg(F.lit(1).alias("one"))
              .groupBy("bucket", "h", "t").agg(F.lit(1).alias("one")))

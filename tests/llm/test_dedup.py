@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from linkloom.llm import parity_join
+from linkloom.llm import exact_dedup, parity_join
+from linkloom.llm.common import maybe_in
 from linkloom.llm.components import components
 from linkloom.llm.exact_dedup import drop_copies, exact_groups
 from linkloom.llm.parity_join import drop_near_duplicates, near_duplicates
@@ -75,6 +76,30 @@ def test_exact_groups(spark, corpus, poor):
         assert [r.doc_id for r in found if r.kept] == [top]
 
 
+def test_texts_of_lone_keys_stay_where_they_are(spark, monkeypatch):
+    moved = []
+
+    def counted(rows, *args):
+        out = maybe_in(rows, *args)
+        moved.append((rows.count(), sorted(r.t for r in out.select("t").collect())))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "maybe_in", counted)
+    rows = [(i, f"alone {i}") for i in range(2000)] + [(i, f"copy {i % 10}") for i in range(2000, 2030)]
+    got = exact_groups(table(spark, rows)).collect()
+    assert sum(r.kept for r in got) == 2010 and {r.group_size for r in got if r.doc_id >= 2000} == {3}
+    (before, after), = moved
+    assert before == 2030 and len(after) < 600 and [t for t in after if t.startswith("copy")] == sorted(t for _, t in rows[2000:])
+
+
+def test_map_of_keys_loses_none(spark):
+    rows = spark.range(-3000, 3000).select("id", F.xxhash64("id").alias("h"))
+    for keys, n in ((rows.filter("id % 20 = 0"), 300), (rows, 2), (rows.filter("false"), 0)):
+        found = {r.id for r in maybe_in(rows, keys.select("h"), "h", n).collect()}
+        wanted = {r.id for r in keys.collect()}
+        assert wanted <= found and len(found) <= (2000 if n == 300 else len(wanted))
+
+
 def test_drop_copies(spark, corpus):
     rows = [(None, "null ids"), (None, "null ids"), *corpus, *corpus[:5]]
     docs = table(spark, rows)
