@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import string
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -32,19 +33,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import with_python, written
+from linkloom.llm.common import IS_SPACE, slices, with_python, written
 
 CAPACITY, END = 4096, 1
 #: Entries of a worker's memory of encoded words.
 REMEMBERED = 500_000
 
-#: What a text of plain Latin words doesn't hold: other signs, contractions, marks of special tokens.
-_OTHER = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|'[A-Za-z]|<\|")
-#: Where such a text's words part though there is no space.
-_EDGE = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[!-/:-@\[-`{-~])")
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
-#: White space to Python, but not to the tokenizer.
-_ODD = re.compile("[\x1c-\x1f]")
+
+
+def _bytes(*parts: int | range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for x in parts:
+        out[x] = True
+    return out
+
+
+#: Bytes that a text of plain Latin words (ASCII and À to ÿ but × and ÷, where continuation bytes follow 0xC3) doesn't hold.
+_OTHER = _bytes(*range(0x09), *range(0x0E, 0x20), 0x7F, 0x97, 0xB7, *range(0xC0, 0xC3), *range(0xC4, 0x100))
+_CAPITAL = _bytes(*range(ord("A"), ord("Z") + 1), *range(0x80, 0x9F))
+_LETTER = _CAPITAL | _bytes(*range(ord("a"), ord("z") + 1), *range(0x9F, 0x100))
+_SIGN = _bytes(*(ord(c) for c in string.punctuation))
+_LOWERED = np.arange(256, dtype=np.uint8) + np.uint8(32) * _CAPITAL
+_ASCII_LETTER = _LETTER & (np.arange(256) < 0x80)
+
+
+def _other_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows hold other signs, contractions or marks of special tokens."""
+    at = [np.flatnonzero(_OTHER[data])]
+    for first, second in (("'", _ASCII_LETTER), ("<", _bytes(ord("|")))):
+        here = np.flatnonzero(data[:-1] == ord(first))
+        at.append(here[second[data[here + 1]]])
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.concatenate(at), "right") - 1] = True
+    return out
 
 
 class Words:
@@ -53,7 +75,8 @@ class Words:
     White space always parts tokens and is dropped, so a text's ids are its
     words' ids in order; a word is encoded when first met. Texts of plain
     Latin words are lower-cased and their letters parted from the signs that
-    follow beforehand, as the tokenizer does, which leaves fewer words.
+    follow beforehand, as the tokenizer does, which leaves fewer words. The
+    words of many texts are cut and made distinct as arrays.
     """
 
     def __init__(self, path: str):
@@ -65,7 +88,7 @@ class Words:
         self.lean = Tokenizer.from_file(path)
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -79,25 +102,57 @@ class Words:
             ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
             cuts = [0, *(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(ids)]
             if len(cuts) == len(some) + 1:
-                self.words.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+                self.words.update(zip([w.encode() for w in some], [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
                 rest += some
-        self.words.update(zip(rest, self.encode(rest)))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        split = [None if _ODD.search(t) else t.split() if _OTHER.search(t) else _EDGE.sub(" ", t.lower()).split() for t in texts]
-        new: set[str] = set()
-        for ws in split:
-            new.update(ws or ())
-        self.learn(list(new - self.words.keys()))
-        get = self.words.__getitem__
-        out = [self.encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
+        self.words.update(zip([w.encode() for w in rest], self.encode(rest)))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows of bytes, end to end, and the rows' bounds."""
+        ink = ~IS_SPACE[data]
+        first = ink.copy()
+        first[1:] &= ~(ink[:-1] & ~(_LETTER[data[:-1]] & _SIGN[data[1:]])) if plain else ~ink[:-1]
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        first[begins] = ink[begins]
+        starts = np.flatnonzero(first)
+        body = (_LOWERED[data] if plain else data)[ink]
+        bounds = np.append((np.cumsum(ink) - 1)[starts], len(body)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(body)]).dictionary_encode()
+        distinct, word = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        found = list(map(self.words.get, distinct))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        self.learn([distinct[i].decode() for i in new])
+        for i in new:
+            found[i] = self.words[distinct[i]]
         if len(self.words) > REMEMBERED:  # words met first are mostly the frequent ones
             for w in list(self.words)[REMEMBERED // 2:]:
                 del self.words[w]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = size[word]
+        ends = np.append(0, np.cumsum(n))
+        out = np.frombuffer(b"".join(found), "<u4")[np.repeat((np.cumsum(size) - size)[word] - ends[:-1], n) + np.arange(ends[-1])]
+        return out, ends[np.searchsorted(starts, offsets)]
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each row of UTF-8 bytes as little-endian 32-bit numbers."""
+        other = _other_rows(data, offsets)
+        out = [b""] * len(other)
+        for plain in (True, False):
+            row = np.flatnonzero(other != plain)
+            if len(row):
+                n = np.diff(offsets)[row]
+                some = data if len(row) == len(other) else data[np.repeat(other != plain, np.diff(offsets))]
+                ids, bounds = self.ids(some, np.append(0, np.cumsum(n)), plain)
+                raw, bounds = ids.tobytes(), (4 * bounds).tolist()
+                for i, a, b in zip(row.tolist(), bounds, bounds[1:]):
+                    out[i] = raw[a:b]
         return out
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        raw = [t.encode() for t in texts]
+        return self.rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
 
 _WORDS: dict[str, Words] = {}
 
@@ -113,22 +168,20 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         words = _WORDS.get(path) or _WORDS.setdefault(path, Words(path))
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                row, piece, start, length, crc, nth = [], [], [], [], [], []
-                for i, ids in enumerate(words([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[s:s + 4 * capacity]
-                        n = len(own) // 4
-                        row.append(i), piece.append(k), start.append(s // 4), length.append(n)
-                        crc.append(zlib.crc32(own)), nth.append(seen[n])
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())],
-                    ["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        for batch, data, offsets in slices(batches, "_text"):
+            row, piece, start, length, crc, nth = [], [], [], [], [], []
+            for i, ids in enumerate(words.rows(data, offsets)):
+                ids += end
+                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[s:s + 4 * capacity]
+                    n = len(own) // 4
+                    row.append(i), piece.append(k), start.append(s // 4), length.append(n)
+                    crc.append(zlib.crc32(own)), nth.append(seen[n])
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())],
+                ["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     rows = with_python(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")

@@ -77,6 +77,15 @@ def test_words_equal_the_tokenizer(tokenizer):
     assert got == expected
 
 
+def test_words_of_any_signs_are_cut_as_arrays(tokenizer):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aZéÀßÿ .,'<|>!12_-\t÷×\x0b\x1c\x7f\x00\x85\xa0日’İ́Σª" if i % 2 else "aZéÀßÿ .,!12_-\n") for _ in range(rng.randint(0, 40)))
+             for i in range(3000)]
+    raw = [t.encode() for t in texts]
+    got = Words(tokenizer_path()).rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def best_fit_decreasing(sizes, cap):
     gaps = []
     for s in sorted(sizes, reverse=True):
