@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import IS_SPACE, slices, with_python, written
+from linkloom.llm.common import IS_SPACE, kept, slices, with_python, written
 
 CAPACITY, END = 4096, 1
 #: Entries of a worker's memory of encoded words.
@@ -154,9 +154,6 @@ class Words:
         return self.rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32, part and nth.
 
@@ -165,7 +162,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.get(path) or _WORDS.setdefault(path, Words(path))
+        words = kept(path, lambda: Words(path))
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
         for batch, data, offsets in slices(batches, "_text"):

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
+from linkloom.llm import common
 from linkloom.llm.anchors import byte_grams, window_runs
 from linkloom.llm.common import grams, slices, within_rows, word_hashes, word_spans
 
@@ -44,3 +45,36 @@ def test_runs_hold_every_window_once_and_equal_windows_share_an_anchor(texts):
     by_window = {}
     for (r, s), a in seen.items():
         assert by_window.setdefault(rows[r][s:s + window], a) == a
+
+
+def test_a_worker_keeps_things_for_one_stage(monkeypatch):
+    made, stage = [], [1]
+    monkeypatch.setattr(common.TaskContext, "get", lambda: type("Context", (), {"stageId": lambda self: stage[0]})())
+    make = lambda: made.append(stage[0]) or object()
+    first = common.kept("words", make)
+    assert common.kept("words", make) is first
+    stage[0] = 2
+    list(common.slices(iter([]), "text"))
+    stage[0] = 1
+    assert common.kept("words", make) is not first and made == [1, 1]
+
+
+def test_python_tasks_get_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, held in (("64MB", 8 << 20), ("1g", 8 << 20), ("1048576b", 1 << 20), ("3m", 3 << 20)):
+            spark.conf.set(name, given)
+            common.with_python(spark.range(1))
+            assert common._as_bytes(spark.conf.get(name)) == held
+        spark.conf.set(name, "64MB")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+        rows = common.with_python(spark.range(0, 400, 1, 1).selectExpr("id n", "repeat('x', 100000) t"))
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 30e6 and max(found) < 10e6
+    finally:
+        spark.conf.set(name, before)
