@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import maybe_in, written
+from linkloom.llm.common import maybe_in, without, written
 
 #: Keys of a bucket before it splits.
 CAPACITY = 4096
@@ -122,10 +122,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by id and text, and one row of each is kept.
     """
     found = written(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_ll_id"), "kept", F.col("text_sha256").alias("_ll_sha")), "groups")
-    again = found.groupBy("_ll_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and _ll_id is not null").select("_ll_id")
-    gone = found.filter("not kept").select("_ll_id").unionByName(again)
-    plain = docs.filter(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_ll_id"], "left_anti")
-    repeated = docs.join(again, docs[id_col] == again["_ll_id"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    again = written(found.groupBy("_ll_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and _ll_id is not null").select("_ll_id"), "again")
+    gone = found.filter("not kept and _ll_id is not null").select("_ll_id").unionByName(again).withColumnRenamed("_ll_id", id_col)
+    plain = without(docs.filter(F.col(id_col).isNotNull()), gone, gone.count())
+    hashed = again.select(F.xxhash64("_ll_id").alias("_ll_key"))
+    repeated = maybe_in(docs.withColumn("_ll_key", F.xxhash64(id_col)), hashed, "_ll_key", again.count()).drop("_ll_key")
+    repeated = repeated.join(again, repeated[id_col] == again["_ll_id"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
     repeated = repeated.withColumn("_ll_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates([id_col, "_ll_text"])
     stays = found.filter("kept").select("_ll_id", "_ll_sha")
     repeated = repeated.join(stays, F.col(id_col).eqNullSafe(F.col("_ll_id")) & (F.col("_ll_text") == F.col("_ll_sha")), "left_semi").drop("_ll_text")

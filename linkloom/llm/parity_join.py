@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import LOWER, grams, mixed, paged_join, release, row_of, slices, with_python, within_rows, word_hashes, word_spans, written
+from linkloom.llm.common import LOWER, grams, maybe_in, mixed, paged_join, release, row_of, slices, with_python, within_rows, without, word_hashes, word_spans, written
 from linkloom.llm.components import components
 
 SHINGLE = 5
@@ -50,6 +50,8 @@ SINGLE = 64
 LEVELS = 5
 #: Members of a page at the last level at most, bytes of a page's sketches, and pairs (or bytes of them) held at a time.
 PAGE, PAGE_BYTES, PAIRS = 4096, 8 << 20, 1 << 20
+#: A table is searched for the rows that a join wants before it is shuffled if it has so many times the rows.
+FEW = 2
 #: Bits of the map of common blocks; a bit that is set for another block only changes the order.
 COMMON_BITS = 24
 
@@ -68,7 +70,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if len(short):  # the whole sequence is the one shingle
         whole = np.array([int(grams(words[first[r]:first[r + 1]], count[r])[0]) ^ int(count[r]) for r in short], np.uint64)
         row, value = np.concatenate([row, short]), np.concatenate([value, mixed(whole)])
-    order = np.lexsort((value, row))
+    order = np.argsort(value)
+    few = len(offsets) <= 1 << 16  # 16-bit numbers are sorted by radix
+    order = order[np.argsort(row[order].astype(np.uint16 if few else np.int64), kind="stable")]
     row, value = row[order], value[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
@@ -101,6 +105,15 @@ def _members(value: np.ndarray, bounds: np.ndarray, row: np.ndarray) -> tuple[np
     return value[at], entry
 
 
+def _by_entry(entry: np.ndarray, block: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """Order by entry, ``late`` ones last, and block (41 bits at most): as one number where that fits."""
+    if len(entry) and entry.max() >= 1 << 21:
+        return np.lexsort((block, entry) if late is None else (block, late, entry))
+    if late is not None:
+        entry = 2 * entry + late
+    return np.argsort((entry << 41) | block)
+
+
 def block_rows(value: np.ndarray, bounds: np.ndarray, more: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Key, row and band of each document's first d + 1 blocks, ``common`` ones last; how many had too few."""
     row, band, d = _bands(np.diff(bounds))
@@ -109,7 +122,7 @@ def block_rows(value: np.ndarray, bounds: np.ndarray, more: int, common: np.ndar
     blocks = (2 << band) * more
     many = (np.minimum(blocks, 1 << 40)[entry]).astype(np.uint64)
     block = np.where((2 << band)[entry] <= SINGLE, x >> np.uint64(24), (x >> np.uint64(16)) % many).astype(np.int64)
-    order = np.lexsort((block, entry))
+    order = _by_entry(entry, block)
     x, entry, block = x[order], entry[order], block[order]
     new = np.ones(len(x), bool)
     new[1:] = (entry[1:] != entry[:-1]) | (block[1:] != block[:-1])
@@ -121,7 +134,7 @@ def block_rows(value: np.ndarray, bounds: np.ndarray, more: int, common: np.ndar
     key = mixed(parity + mixed(block.astype(np.uint64) * _GOLD + band[entry].astype(np.uint64)))
     if common is not None:
         at = (key & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)
-        order = np.lexsort((block, (common[at >> 3] >> (at & 7).astype(np.uint8)) & 1, entry))
+        order = _by_entry(entry, block, (common[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
         key, entry = key[order], entry[order]
     first = np.searchsorted(entry, np.arange(len(row) + 1))
     nth = np.arange(len(entry)) - first[entry]
@@ -163,11 +176,6 @@ class _Dealer:
             return
         columns = [np.concatenate(c) for c in zip(*self.held)]
         self.held, self.size = [], 0
-        order = np.lexsort((columns[1], columns[0]))  # repeated rows send the same key and signature
-        columns = [c[order] for c in columns]
-        new = np.ones(len(order), bool)
-        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-        columns = [c[new] for c in columns]
         slot = ((columns[0] >> np.uint64(34)) % np.uint64(self.slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         columns = [c[order] for c in columns]
@@ -252,17 +260,16 @@ def _dealt(slots: int, more: int, few, common):
             value, bounds = shingle_sets(data, offsets)
             sig = signatures(value, bounds).view(np.int64)
             label = batch.column("label").to_numpy() if "label" in batch.schema.names else sig
-            key, row, band, lacking = block_rows(value, bounds, more, common.value)
-            if lacking:
-                few.add(lacking)
             # Of texts with equal sets a task deals one.
             new, first = np.unique(sig, return_index=True)
-            first = first[~np.isin(new, seen)]
+            first = np.sort(first[~np.isin(new, seen)])
             seen = np.concatenate([seen, sig[first]])
-            once = np.zeros(len(sig), bool)
-            once[first] = True
-            key, row, band = (x[once[row]] for x in (key, row, band))
-            yield from _blobs(dealer.add(key, sig[row], label[row], np.diff(bounds)[row], band))
+            value, _ = _members(value, bounds, first)
+            n = np.diff(bounds)[first]
+            key, row, band, lacking = block_rows(value, np.append(0, np.cumsum(n)), more, common.value)
+            if lacking:
+                few.add(lacking)
+            yield from _blobs(dealer.add(key, sig[first][row], label[first][row], n[row], band))
         yield from _blobs(dealer.deal())
     return dealt
 
@@ -354,26 +361,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _wanted(rows: DataFrame, total: int, pairs: DataFrame, side: str, n: int) -> DataFrame:
+    """``rows`` (sig, ...; ``total`` of them) under the name of ``side`` in the ``n`` pairs; without most that these don't name, if they are few."""
+    rows = rows.withColumnRenamed("sig", side)
+    return maybe_in(rows, pairs.select(side), side, n) if FEW * n < total else rows
+
+
 def _with_centres(pairs: DataFrame, counts: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """``pairs`` with what ``held`` has of their centres ``a``; a centre of many pairs (``counts``) is split, and goes once to each page of them."""
     total = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
     return paged_join(pairs, counts.join(held, keys), keys, "pairs", total, F.xxhash64("b")).drop("pairs")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, total: int) -> DataFrame:
     """Those of ``pairs`` that are linked. What a pair carries through a shuffle is b's sketch or text; the centre's meets it after."""
     number = F.count(F.lit(1)).alias("pairs")
     pairs = written(pairs.select("a", "b", "band", "size_a", "size_b").distinct(), "pairs")
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs.select("a", "b")
     counts = written(pairs.groupBy("a", "band").agg(number), "centres")
-    both = pairs.join(sketches.select(F.col("sig").alias("b"), "band", F.col("sketch").alias("y")), ["b", "band"])
-    both = _with_centres(both, counts, sketches.select(F.col("sig").alias("a"), "band", F.col("sketch").alias("x")), ["a", "band"])
+    both = pairs.join(_wanted(sketches.withColumnRenamed("sketch", "y"), total, pairs, "b", n), ["b", "band"])
+    both = _with_centres(both, counts, _wanted(sketches.withColumnRenamed("sketch", "x"), total, pairs, "a", n), ["a", "band"])
     near = written(both.mapInArrow(_near, "a long, b long").distinct(), "near", PAGE_BYTES)
     release(pairs, counts)
+    n = near.count()
     counts = written(near.groupBy("a").agg(number), "centres")
-    both = near.join(texts.select(F.col("sig").alias("b"), F.col("t").alias("y")), "b")
-    both = _with_centres(both, counts, texts.select(F.col("sig").alias("a"), F.col("t").alias("x")), ["a"])
+    both = near.join(_wanted(texts.withColumnRenamed("t", "y"), total, near, "b", n), "b")
+    both = _with_centres(both, counts, _wanted(texts.withColumnRenamed("t", "x"), total, near, "a", n), ["a"])
     links = written(both.mapInArrow(_verified, "a long, b long"), "links", PAGE_BYTES)
     release(near, counts)
     return links
@@ -424,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def relabelled(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """``labels`` with the links among ``pairs``; as they are where there is none."""
-        links = _verify(pairs, texts, sketches)
+        links = _verify(pairs, texts, sketches, sets)
         if labels is not None and links.isEmpty():
             release(links)
             return labels
@@ -439,6 +454,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not profiles.groupBy("k").count().filter("count > 1").isEmpty():  # rows that repeat id and text
         texts = texts.groupBy("sig").agg(F.any_value("t").alias("t"))
     texts = written(texts, "texts")
+    sets = texts.count()
     sketches = written(texts.mapInArrow(_sketches, "sig long, band int, sketch binary"), "sketches")
     labels = relabelled(None, found.filter("not hot"))
     for level in range(1, LEVELS + 1):
@@ -455,11 +471,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = written(apart, "apart")
         members = written(paged_join(known, apart, ["e"], "c", total, F.xxhash64("sig")).select("sig", "label").distinct(), "open")
         release(hot, apart)
-        size = members.join(classes.select("sig", "n"), "sig").agg(F.sum("n")).first()[0]
+        size, n = members.join(classes.select("sig", "n"), "sig").agg(F.sum("n"), F.count(F.lit(1))).first()
         if not size:
             release(members)
             break
-        found = searched(texts.join(members, "sig"), size, limit * min(4, 2 ** level))
+        found = searched(_wanted(texts, sets, members, "sig", n).join(members, "sig"), size, limit * min(4, 2 ** level))
         release(members)
         labels = relabelled(labels, found.filter("not hot"))
     else:
@@ -485,4 +501,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_ll_id"), (F.col(id_col) == F.col("component_id")).alias("stays"))
     gone = written(found.groupBy("_ll_id").agg(F.max("stays").alias("stays")).filter("not stays").select("_ll_id"), "gone")
-    return docs.join(gone, docs[id_col] == gone["_ll_id"], "left_anti")
+    gone = gone.withColumnRenamed("_ll_id", id_col)
+    return without(docs.filter(F.col(id_col).isNotNull()), gone, gone.count()).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from linkloom.llm import exact_dedup, parity_join
+from linkloom.llm import common, exact_dedup, parity_join
 from linkloom.llm.common import maybe_in
 from linkloom.llm.components import components
 from linkloom.llm.exact_dedup import drop_copies, exact_groups
@@ -100,6 +101,31 @@ def test_map_of_keys_loses_none(spark):
         assert wanted <= found and len(found) <= (2000 if n == 300 else len(wanted))
 
 
+@pytest.mark.parametrize("op", [drop_copies, drop_near_duplicates])
+def test_rows_that_surely_stay_are_not_joined(spark, monkeypatch, op):
+    doubtful = []
+
+    def counted(rows, *args):
+        out = maybe_in(rows, *args)
+        if "doc_id" in rows.columns and "left_anti" not in args:
+            doubtful.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "maybe_in", counted)
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(40))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(10)] + [(None, "no id"), (1000, rows[20][1])]
+    kept = op(table(spark, rows))
+    assert len(kept.columns) == 11
+    ids = sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr)
+    if op is drop_copies:
+        # 1000 has two texts, that of 0 and that of 20, and is the larger id of both.
+        assert ids == sorted([*range(10, 20), *range(21, 400), *range(1000, 1010), 1000, None], key=repr)
+    else:
+        assert ids == sorted([*range(400), None], key=repr)
+    assert doubtful and max(doubtful) < 100
+
+
 def test_drop_copies(spark, corpus):
     rows = [(None, "null ids"), (None, "null ids"), *corpus, *corpus[:5]]
     docs = table(spark, rows)
@@ -180,6 +206,37 @@ def test_copies_deal_their_blocks_once(spark, monkeypatch, ids):
     assert 0 < dealt.value < 100 * 40
 
 
+@pytest.mark.parametrize("few", [0, 2])
+def test_few_wanted_texts_are_shuffled(spark, monkeypatch, few):
+    """Of 600 texts that share blocks only those that near pairs name are read for verification."""
+    rng = random.Random(12)
+    text = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    rows = [(i, " ".join(text(60))) for i in range(600)]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(20)] + [(2000, "one"), (2001, "ONE"), (2002, None)]
+    seen = []
+
+    def counted(table_, *args):
+        out = maybe_in(table_, *args)
+        if "sketch" not in table_.columns and "x" in table_.columns and "band" not in table_.columns:
+            seen.append((table_.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(parity_join, "maybe_in", counted)
+    monkeypatch.setattr(parity_join, "FEW", few)
+    shared = " ".join(text(12))
+    rows = [(i, t and f"{t} {shared}") for i, t in rows]
+    same(near_duplicates(table(spark, rows)), brute.near(rows))
+    assert seen and all(after < before / 2 for before, after in seen)
+
+
+def test_orders_by_entry_are_alike():
+    rng = np.random.default_rng(3)
+    entry, block, late = np.sort(rng.integers(0, 50, 4000)), rng.integers(0, 1 << 40, 4000), rng.integers(0, 2, 4000).astype(np.uint8)
+    np.testing.assert_array_equal(parity_join._by_entry(entry, block), np.lexsort((block, entry)))
+    np.testing.assert_array_equal(parity_join._by_entry(entry, block, late), np.lexsort((block, late, entry)))
+    np.testing.assert_array_equal(parity_join._by_entry(entry << 18, block, late), np.lexsort((block, late, entry)))
+
+
 def test_near_duplicates_of_a_template(spark, monkeypatch):
     """Texts that share three quarters of their shingles meet in common blocks at every level; some are linked."""
     rng = random.Random(10)
