@@ -19,10 +19,13 @@ shingle sets. Documents with equal sets are one from the start: a task deals
 the blocks of one text of each set. A block that more than ``LIMIT`` documents
 share yields pairs with one centre only. Its members that the links don't join
 are searched again with all such blocks put last in the order (any order that
-is the same for all will do), so that documents meet in rarer blocks; what is
-still in large groups at the last level is compared in full, page against page
-of a group's members, so that no task holds a whole group or its pairs. Tables
-in between are deleted when nothing reads them any more.
+is the same for all will do), so that documents meet in rarer blocks. As
+soon as so few are left that each can be compared with each, and with what is
+still in large groups at the last level, this is done in full, page against page
+of the members, so that no task holds a whole group or its pairs: two pages'
+whole sets are held, sketches of these tell what needs no look, and of the links
+found a task gives one for each two parts that it joins. Tables in between are
+deleted when nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -48,8 +51,12 @@ GROUP_BYTES, HELD = 12 << 20, 400_000
 #: Below this size every shingle has a block of its own.
 SINGLE = 64
 LEVELS = 5
-#: Members of a page at the last level at most, bytes of a page's sketches, and pairs (or bytes of them) held at a time.
-PAGE, PAGE_BYTES, PAIRS = 4096, 8 << 20, 1 << 20
+#: Members of a page at most, bytes of a page's sets, pairs (or bytes of them) held at a time, and pages of a smaller group.
+PAGE, PAGE_BYTES, PAIRS, PAGES = 4096, 8 << 20, 1 << 20, 4
+#: All that is still in question is compared in full if that is so many times ``limit`` squared comparisons for each document at most.
+COMPARED = 8
+#: Bits of a sketch for each 2^band: a folded one, and one made of two pages' sets.
+FOLDED, WIDE = 4, 16
 #: A table is searched for the rows that a join wants before it is shuffled if it has so many times the rows.
 FEW = 2
 #: Bits of the map of common blocks; a bit that is set for another block only changes the order.
@@ -147,7 +154,7 @@ def folded_sketches(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     """Row, band and the bit sketch (4 * 2^band bits, each shingle flips one) for every band entered."""
     row, band, _ = _bands(np.diff(bounds))
     x, entry = _members(value, bounds, row)
-    bits = np.maximum(8, 4 << band)
+    bits = np.maximum(8, FOLDED << band)
     begin = np.concatenate([[0], np.cumsum(bits)])
     at = begin[entry] + ((mixed(x) >> np.uint64(16)) % bits[entry].astype(np.uint64)).astype(np.int64)
     odd = np.bincount(at, minlength=begin[-1]) & 1
@@ -246,10 +253,19 @@ def _search(limit: int):
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, signature, band and folded sketch of each row's set, and the sketch of the band below if the row enters it."""
     for batch, data, offsets in slices(batches, "t"):
         value, bounds = shingle_sets(data, offsets)
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), pa.array(np.diff(bounds)), pa.array(signatures(value, bounds).view(np.int64))],
-                                         ["k", "id", "n", "sig"])
+        row, band, sketch = folded_sketches(value, bounds)
+        own, high, low = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows, [None] * batch.num_rows
+        for r, b, x in zip(row.tolist(), band.tolist(), sketch):  # a row's own band comes first
+            if high[r] is None:
+                own[r], high[r] = b, x
+            else:
+                low[r] = x
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), pa.array(np.diff(bounds)), pa.array(signatures(value, bounds).view(np.int64)),
+                                          pa.array(own), pa.array(high, pa.binary()), pa.array(low, pa.binary())],
+                                         ["k", "id", "n", "sig", "band", "high", "low"])
 
 
 def _dealt(slots: int, more: int, few, common):
@@ -274,12 +290,6 @@ def _dealt(slots: int, more: int, few, common):
     return dealt
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in slices(batches, "t"):
-        row, band, sketch = folded_sketches(*shingle_sets(data, offsets))
-        yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(row)), pa.array(band.astype(np.int32)), pa.array(sketch, pa.binary())], ["sig", "band", "sketch"])
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches are no further apart than linked sets can be."""
     for batch in batches:
@@ -290,46 +300,91 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _wide_sketches(value: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    """Each row's bit sketch, all of one width."""
+    step = max(1, (1 << 23) // bits)
+    at = ((mixed(value) >> np.uint64(16)) % np.uint64(bits)).astype(np.int64)
+    out = np.empty((len(bounds) - 1, bits // 8), np.uint8)
+    for r in range(0, len(out), step):
+        cuts = bounds[r:r + step + 1]
+        row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        odd = np.bincount(row * bits + at[cuts[0]:cuts[-1]], minlength=(len(cuts) - 1) * bits) & 1
+        out[r:r + step] = np.packbits(odd.astype(np.uint8)).reshape(-1, bits // 8)
+    return out
+
+
+class _Parts:
+    """Which labels are joined: a forest, the root of each tree its name."""
+
+    def __init__(self, n: int):
+        self.above = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.above[x] != x:
+            self.above[x] = x = self.above[self.above[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self.root(x)] = self.root(y)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(x) for x in range(len(self.above))], np.int64)
+
+
 def _page_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of two pages of a group (or within one) that could be linked and are not known to be."""
-    page, sig, label, size = (table.column(c).to_numpy() for c in ("page", "sig", "label", "size"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    sketch = table.column("sketch").to_pylist()
-    wide = len(sketch[0])
-    sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, wide)
+    """Linked pairs of two pages of a group (or within one): one for each two parts, not known to be joined, that links join."""
+    table = table.combine_chunks()
+    page, sig = table.column("page").to_numpy(), table.column("sig").to_numpy()
+    i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    names, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+    sets = [shingle_sets(data, offsets) for _, data, offsets in slices(iter(table.select(["t"]).to_batches()), "t")]
+    value = np.concatenate([v for v, _ in sets])
+    size = np.concatenate([np.diff(b) for _, b in sets])
+    bounds = np.append(0, np.cumsum(size))
+    narrow, wide = (_wide_sketches(value, bounds, max(8, bits << band)) for bits in (FOLDED, WIDE))
     left, right = np.flatnonzero(page == i), np.flatnonzero(page == j)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    step, held = max(1, PAIRS // max(1, len(right))), max(1, 8 * PAIRS // wide)
+    parts, out = _Parts(len(names)), []
+    step = max(1, PAIRS // max(1, len(right)))
     for at in range(0, len(left), step):
         a, b = (x.ravel() for x in np.meshgrid(left[at:at + step], right, indexing="ij"))
-        small, large = np.minimum(size[a], size[b]).astype(np.int64), np.maximum(size[a], size[b]).astype(np.int64)
-        good = (label[a] != label[b]) & (4 * small >= 3 * large)
+        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        part = parts.roots()[label]
+        good = (part[a] != part[b]) & (4 * small >= 3 * large)
         if i == j:
             good &= a < b
         a, b, most = a[good], b[good], ((small + large) // 7)[good]
-        for c in range(0, len(a), held):
-            x, y = a[c:c + held], b[c:c + held]
-            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= most[c:c + held]
-            out.append((x[near], y[near]))
-    a, b = (np.concatenate(x) for x in zip(*out))
-    band = np.full(len(a), table.column("band")[0].as_py(), np.int32)
-    return pa.table([pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(band), pa.array(size[a]), pa.array(size[b])],
-                    names=["a", "b", "band", "size_a", "size_b"])
-
-
-def _paged_pairs(members: DataFrame, sketches: DataFrame, total: int) -> DataFrame:
-    """All pairs of each group's members (e, sig, band, size, label), page against page."""
+        for sketch in (narrow, wide):
+            held = max(1, 8 * PAIRS // sketch.shape[1])
+            near = [np.bitwise_count(sketch[a[c:c + held]] ^ sketch[b[c:c + held]]).sum(1, dtype=np.int64) <= most[c:c + held] for c in range(0, len(a), held)]
+            near = np.concatenate(near) if near else np.zeros(0, bool)
+            a, b, most = a[near], b[near], most[near]
+        for x, y in zip(a.tolist(), b.tolist()):
+            if parts.root(label[x]) == parts.root(label[y]):
+                continue
+            mine, theirs = value[bounds[x]:bounds[x + 1]], value[bounds[y]:bounds[y + 1]]
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if 100 * both >= 75 * (len(mine) + len(theirs) - both):
+                parts.join(label[x], label[y])
+                out.append((x, y))
+    a, b = (sig[np.array(x, np.int64)] for x in (zip(*out) if out else ([], [])))
+    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _paged_pairs(members: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """Linked pairs that join each group's members (e, of one band; sig, band, label), page against page; ``texts``: sig, t of all of them."""
     # Groups with the same members are one.
     groups = (members.groupBy("e", "band").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("marks"),
                                                F.min("label").alias("low"), F.max("label").alias("high"))
               .filter("low <> high").groupBy("band", "c", "marks").agg(F.min("e").alias("e")))
-    page = F.greatest(F.lit(1), F.least(F.lit(PAGE), F.floor(F.lit(2 * PAGE_BYTES) / F.pow(F.lit(2.0), F.col("band")))))
+    # A set of the band has 2^(band + 1) numbers of 8 bytes at most.
+    most = F.floor(F.lit(PAGE_BYTES >> 4) / F.pow(F.lit(2.0), F.col("band")))
+    page = F.greatest(F.lit(1), F.least(F.lit(PAGE), most, F.greatest(F.lit(PAGE >> 4), F.ceil(F.col("c") / PAGES))))
     groups = groups.select("e", "c", F.ceil(F.col("c") / page).cast("int").alias("pages"))
     rows = paged_join(members, groups, ["e"], "c", total, F.xxhash64("sig")).drop("c")
-    rows = rows.withColumn("page", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("pages")).cast("int")).join(sketches, ["sig", "band"])
+    rows = rows.withColumn("page", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("pages")).cast("int")).join(texts, "sig")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-    rows = rows.select("e", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "page", "sig", "label", "band", "size", "sketch")
-    return rows.groupBy("e", "i", "j").applyInArrow(_page_pairs, "a long, b long, band int, size_a int, size_b int")
+    rows = rows.select("e", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "page", "sig", "label", "band", "t")
+    return rows.groupBy("e", "i", "j").applyInArrow(_page_pairs, "a long, b long")
 
 
 def _one_each(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -373,7 +428,7 @@ def _with_centres(pairs: DataFrame, counts: DataFrame, held: DataFrame, keys: li
     return paged_join(pairs, counts.join(held, keys), keys, "pairs", total, F.xxhash64("b")).drop("pairs")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, total: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts_of, sketches: DataFrame, total: int) -> DataFrame:
     """Those of ``pairs`` that are linked. What a pair carries through a shuffle is b's sketch or text; the centre's meets it after."""
     number = F.count(F.lit(1)).alias("pairs")
     pairs = written(pairs.select("a", "b", "band", "size_a", "size_b").distinct(), "pairs")
@@ -385,12 +440,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, total: int)
     both = _with_centres(both, counts, _wanted(sketches.withColumnRenamed("sketch", "x"), total, pairs, "a", n), ["a", "band"])
     near = written(both.mapInArrow(_near, "a long, b long").distinct(), "near", PAGE_BYTES)
     release(pairs, counts)
-    n = near.count()
     counts = written(near.groupBy("a").agg(number), "centres")
-    both = near.join(_wanted(texts.withColumnRenamed("t", "y"), total, near, "b", n), "b")
-    both = _with_centres(both, counts, _wanted(texts.withColumnRenamed("t", "x"), total, near, "a", n), ["a"])
+    named = written(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "named")
+    texts = written(texts_of(named, named.count(), "x"), "texts")
+    both = near.join(texts.select(F.col("sig").alias("b"), F.col("x").alias("y")), "b")
+    both = _with_centres(both, counts, texts.withColumnRenamed("sig", "a"), ["a"])
     links = written(both.mapInArrow(_verified, "a long, b long"), "links", PAGE_BYTES)
-    release(near, counts)
+    release(near, counts, named, texts)
     return links
 
 
@@ -418,9 +474,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = with_python(docs).select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id"), text.alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    profiles = written(named.mapInArrow(_profiles, f"k long, id {kind}, n long, sig long"), "profiles")
-    classes = written(profiles.filter("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least"), F.min("k").alias("k"), F.max("n").alias("n")), "classes")
+    profiles = written(named.mapInArrow(_profiles, f"k long, id {kind}, n long, sig long, band int, high binary, low binary"), "profiles")
+    # Rows of a class have the same set, and so the same size, band and sketches.
+    classes = written(profiles.filter("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least"), F.min("k").alias("k"), F.max("n").alias("n"),
+                                                                  *(F.any_value(x).alias(x) for x in ("band", "high", "low"))), "classes")
     total, shingles = profiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sets = classes.count()
+    repeated = not profiles.groupBy("k").count().filter("count > 1").isEmpty()  # rows that repeat id and text
+    entered = F.filter(F.array(F.struct("band", F.col("high").alias("sketch")), F.struct((F.col("band") - 1).alias("band"), F.col("low").alias("sketch"))),
+                       lambda x: x["sketch"].isNotNull())
+    sketches = classes.select("sig", F.inline(entered))
 
     common = None
 
@@ -437,9 +500,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             release(out)
             more *= 4
 
+    def texts_of(some: DataFrame, n: int, text: str = "t") -> DataFrame:
+        """``some`` (sig, once each, ...; ``n`` rows) with one text of each set; most other texts aren't shuffled, if these are few."""
+        keys, rows = some.join(classes.select("sig", "k"), "sig"), named.select("k", F.col("t").alias(text))
+        rows = (maybe_in(rows, keys, "k", n) if FEW * n < total else rows).join(keys, "k")
+        return rows.groupBy(some.columns).agg(F.any_value(text).alias(text)) if repeated else rows.drop("k")
+
     def relabelled(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """``labels`` with the links among ``pairs``; as they are where there is none."""
-        links = _verify(pairs, texts, sketches, sets)
+        return joined(labels, _verify(pairs, texts_of, sketches, sets))
+
+    def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         if labels is not None and links.isEmpty():
             release(links)
             return labels
@@ -448,14 +519,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return out
 
     found = searched(named.select("t"), shingles, limit)
-    wanted = found.select(F.explode(F.array(F.when(~F.col("hot"), F.col("a")), F.col("b"))).alias("sig")).filter("sig is not null").distinct()
-    # Of every set that is in question one text.
-    texts = named.select("k", "t").join(classes.join(wanted, "sig").select("k", "sig"), "k").select("sig", "t")
-    if not profiles.groupBy("k").count().filter("count > 1").isEmpty():  # rows that repeat id and text
-        texts = texts.groupBy("sig").agg(F.any_value("t").alias("t"))
-    texts = written(texts, "texts")
-    sets = texts.count()
-    sketches = written(texts.mapInArrow(_sketches, "sig long, band int, sketch binary"), "sketches")
     labels = relabelled(None, found.filter("not hot"))
     for level in range(1, LEVELS + 1):
         hot = written(found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig"), F.col("size_b").alias("key")).distinct(), "hot")
@@ -475,16 +538,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not size:
             release(members)
             break
-        found = searched(_wanted(texts, sets, members, "sig", n).join(members, "sig"), size, limit * min(4, 2 ** level))
+        if n * n <= COMPARED * limit * limit * total:  # whoever of a linked pair is not joined yet is among these
+            each = members.join(classes.select("sig", F.inline(entered)).drop("sketch"), "sig").withColumn("e", F.col("band").cast("long"))
+            labels = joined(labels, written(_paged_pairs(each, texts_of(members.select("sig"), n), total), "links"))
+            release(members)
+            break
+        found = searched(texts_of(members, n), size, limit * min(4, 2 ** level))
         release(members)
         labels = relabelled(labels, found.filter("not hot"))
     else:
-        large = found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig"), "band", F.col("size_a").alias("size")).distinct()
+        large = found.filter("hot").select(F.col("a").alias("e"), F.col("b").alias("sig"), "band").distinct()
         large = written(large.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), "large")
         release(found)
-        labels = relabelled(labels, _paged_pairs(large, sketches, total))
-        release(large)
-    release(texts, sketches)
+        some = written(large.select("sig").distinct(), "sets")
+        labels = joined(labels, written(_paged_pairs(large, texts_of(some, some.count()), total), "links"))
+        release(large, some)
     named_classes = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = named_classes.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.min("least").alias("component_id"))
     ready = paged_join(named_classes, least, ["label"], "sets", total, F.xxhash64("sig")).select("sig", "c", "component_id")

@@ -268,6 +268,38 @@ def test_near_duplicates_of_a_template(spark, monkeypatch):
     assert len(pairs) == parity_join.LEVELS + 1 and None not in pairs and compared.value > 1
 
 
+@pytest.mark.parametrize("compared", [0, 8])
+def test_a_family_of_near_copies_makes_few_pairs(spark, monkeypatch, compared):
+    """Texts about as alike as linked ones: a task gives its links' forest, not all pairs that sketches can't tell apart."""
+    rng = random.Random(14)
+    base, rows = [f"b{i}" for i in range(40)], []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(40), 2 if i < 75 else 1):
+            words[at] = f"w{i}_{at}"
+        rows.append((i, " ".join(words)))
+    made, searched = spark.sparkContext.accumulator(0), []
+    whole, real = parity_join._page_pairs, parity_join._search
+
+    def counted(table):
+        out = whole(table)
+        made.add(out.num_rows)
+        assert out.num_rows < table.num_rows
+        return out
+
+    def search(limit):
+        searched.append(limit)
+        return real(limit)
+
+    monkeypatch.setattr(parity_join, "_page_pairs", counted)
+    monkeypatch.setattr(parity_join, "_search", search)
+    monkeypatch.setattr(parity_join, "COMPARED", compared)
+    want = brute.near(rows)
+    assert 2 < len({c for _, _, c in want}) < 100
+    same(near_duplicates(table(spark, rows), limit=8), want)
+    assert made.value < 2 * len(rows) and (len(searched) == parity_join.LEVELS + 1) == (not compared)
+
+
 def test_drop_near_duplicates(spark, corpus):
     docs = table(spark, corpus)
     kept = drop_near_duplicates(docs)
